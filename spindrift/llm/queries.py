@@ -7,20 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import exact_dedup, line_dedup
-from spindrift.llm.tables import documents
+from spindrift.llm import exact_dedup, langid, line_dedup, quality, toxicity
+from spindrift.llm.tables import documents, held_out, table
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = langid.train(docs.filter(~held_out()))
+    return langid.identify(docs, model, "doc_id").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_boilerplate(documents(spark, sf_dir, "doc_id", "source", "text"))
     return out.select("doc_id", F.col("source").alias("host"), "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_toxicity, op8_language, op10_line_dedup)}
 
 ORACLES = {
     "op2_exact_dedup": """
