@@ -35,9 +35,8 @@ MIN_TOXIC = 4
 STEMS = (4, 5, 6, 7)
 #: Evidence that a pattern must give, as the logarithm of a likelihood ratio: chance finds less among a million patterns.
 EVIDENCE = 8.5
-#: Least share of the toxic documents that a pattern of each round is in, and its most documents of the other kind for each toxic one.
-ROUNDS = (0.03, 0.01, 0.003)
-STRAY = 0.01
+#: For each round: the least share of the toxic documents that a pattern is in, and its most documents of the other kind for each toxic one.
+ROUNDS = ((0.03, 0.01), (0.01, 0.01), (0.003, 0.01), (0.005, 0.2))
 
 # Letters that look like Latin ones, and digits and signs written for letters.
 HOMOGLYPHS = {
@@ -167,12 +166,12 @@ def learn(sample: DataFrame) -> Lexicon:
         return Lexicon({}, set())
     terms: dict[str, float] = {}
     odds = lambda n1, n0: math.log(((n1 + 0.5) / (total[1] + 1)) / ((n0 + 0.5) / (total[0] + 1)))
-    for least in ROUNDS:
+    for least, stray in ROUNDS:
         counts = first
         if terms:
             left = _counts(sample.filter("label > 0"), terms).select("pattern", F.col("n1").alias("m1"))
             counts = first.join(left, "pattern").select("pattern", "n0", F.col("m1").alias("n1"))
-        rows = counts.filter((F.col("pattern") != "") & (F.col("n1") >= max(MIN_TOXIC, least * total[1])) & (F.col("n0") <= STRAY * F.col("n1")))
+        rows = counts.filter((F.col("pattern") != "") & (F.col("n1") >= max(MIN_TOXIC, least * total[1])) & (F.col("n0") <= stray * F.col("n1")))
         rows = rows.orderBy(F.desc("n1"), "n0", "pattern").limit(TERMS).collect()
         got = {r.pattern: r for r in rows if _evidence(r.n1, r.n0, (total[1] + 1) / (sum(total) + 2)) > EVIDENCE}
         for p, r in got.items():
