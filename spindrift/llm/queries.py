@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, exact_dedup, fingerprint, jaccard, langid, line_dedup, packing, quality, toxicity
+from spindrift.llm import bpe, exact_dedup, fingerprint, jaccard, langid, line_dedup, packing, quality, repeats, toxicity
 from spindrift.llm.tables import documents, held_out, table
 
 
@@ -29,6 +29,10 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -52,7 +56,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("source").alias("host"), "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_toxicity, op4_jaccard, op6_packing, op7_fingerprint, op8_language, op9_bpe, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_toxicity, op4_jaccard, op5_repeats, op6_packing, op7_fingerprint, op8_language, op9_bpe, op10_line_dedup)}
 
 ORACLES = {
     "op2_exact_dedup": """
