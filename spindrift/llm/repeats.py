@@ -339,8 +339,8 @@ def _read_shared(messages: pa.Table) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, *keep: str, text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; the columns in keep are passed on, and `kept` (the
-    remaining bytes) is added if text is asked for."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; the columns in keep are passed on, and `kept` (what
+    remains, as text, without the torn characters at cuts) is added if text is asked for."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = CELLS * buckets
     own = docs.select("doc_id", F.col("text").cast("binary").alias("_body"), *keep).withColumn("cell", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("_body"))), F.lit(cells)).cast("int"))
@@ -395,11 +395,11 @@ def remove_repeats(docs: DataFrame, *keep: str, text: bool = False) -> DataFrame
             a, b = int(begin[i]), int(begin[i] + size[i])
             removed = int(total[b] - total[a])
             kept = np.frombuffer(t, np.uint8)[~gone[a:b]].tobytes() if removed else t
-            for name, v in zip(out, (cell.ids[i], len(t), removed, int(rises[b - 1] - rises[a] + gone[a]) if removed else 0, hashlib.sha256(kept).hexdigest(), kept)):
+            for name, v in zip(out, (cell.ids[i], len(t), removed, int(rises[b - 1] - rises[a] + gone[a]) if removed else 0, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if text else None)):
                 out[name].append(v)
         if not text:
             out.pop("kept")
-        kinds = {"doc_id": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
+        kinds = {"doc_id": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
         columns = {c: pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()}
         passed = table.take(pa.array(cell.order, pa.int64()))
         return pa.table({**columns, **{c: passed.column(c) for c in keep}})
@@ -409,6 +409,6 @@ def remove_repeats(docs: DataFrame, *keep: str, text: bool = False) -> DataFrame
     shared = found.repartition(buckets, "bucket").sortWithinPartitions("bucket", "cell").mapInArrow(_shared, _DDL["shared"])
     contexts = grouped.cogroup(shared.groupBy("cell")).applyInArrow(find_contexts, _DDL["contexts"])
     places = contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "cell").mapInArrow(_places, _DDL["shared"])
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * text
     schema += "".join(f", `{c}` {own.schema[c].dataType.simpleString()}" for c in keep)
     return grouped.cogroup(shared.unionByName(places).groupBy("cell")).applyInArrow(cut, schema)
