@@ -29,8 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate on their site go; every document stays."""
-    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("_source"), F.col("text").alias("_kept"))
-    own = line_dedup.drop_boilerplate(own, "_source", "_kept").select("_row.*", "_kept")
+    own = docs.select(F.struct(*docs.columns).alias("_document"), "source", "text")
+    own = line_dedup.drop_boilerplate(own).select("_document.*", F.col("text").alias("_kept"))
     return _with_text(own, docs.columns, "_kept")
 
 

@@ -45,13 +45,13 @@ def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", ratio
 
 def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """docs with boilerplate lines taken out of `text`, and the columns n_lines and n_dropped added."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     drop = boilerplate(docs, site, text, ratio, min_pages)
-    lines, kept = F.split(F.col(text), "\n", -1), F.filter(F.split(F.col(text), "\n", -1), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), _key(x)))
-    own = docs.select(*names).withColumn("_site", _site(site)).join(drop, "_site", "left")
-    own = own.withColumn("_kept", F.when(F.col("_drop").isNull(), lines).otherwise(kept))
+    own = docs.select(F.struct(*docs.columns).alias("_row"), _site(site).alias("_site"), F.col(text).alias("_body")).join(drop, "_site", "left")
+    lines = F.split("_body", "\n", -1)
+    kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), _key(x))))
+    own = own.select("_row", "_body", lines.alias("_lines"), kept.alias("_kept"), F.col("_drop").isNull().alias("_same"))
     return own.select(
-        *(F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n")).alias(text) if c == text else F.col(c) for c in names),
-        F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("_kept")).cast("long").alias("n_dropped"),
+        *(F.when(F.col("_same"), F.col("_body")).otherwise(F.array_join("_kept", "\n")).alias(text) if c == text else F.col(f"_row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")),
+        F.when(F.col("_body").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
+        F.when(F.col("_body").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
     )
