@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from spindrift.plans import search  # noqa: F401  (registers its queries)
+from spindrift.plans.registry import ORACLES, QUERIES
+
 FLAGSHIP = "rrf_two_leg"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
