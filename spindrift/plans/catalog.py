@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.plans import lifecycle, search, structure  # noqa: F401  (they register their queries)
+from spindrift.plans import lifecycle, search, structure, text  # noqa: F401  (they register their queries)
 from spindrift.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "rrf_two_leg"
