@@ -261,3 +261,11 @@ def mmr_diverse(spark, sf_dir):
     """Sequential choice per label: no SQL; the tests hold it against a plain loop."""
     rows = table(spark, sf_dir, "embeddings").withColumn("score", vectors.cosine_constant(F.col("embedding"), _query_vector(spark, sf_dir)))
     return search.mmr(rows, "label", "vec_id", "embedding", "score", 5)
+
+
+@query()
+def local_embedding(spark, sf_dir):
+    """Hashing embeddings of the query set: no SQL for the hash; the tests check it feature by feature."""
+    from spindrift.functions.embedding import embeddings
+
+    return embeddings(table(spark, sf_dir, "benchmark"), "item_id", "text")
