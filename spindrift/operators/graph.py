@@ -115,21 +115,20 @@ def cooccurrence(mentions: DataFrame, doc: str, sentence: str, entity: str) -> D
     return pairs.groupBy("src", "dst").agg(F.max(F.when(F.col("_s") == F.col("_t"), 0.7).otherwise(0.5)).alias("strength"), F.count("*").alias("n"))
 
 
-def capped_pairs(pairs: DataFrame, order: list[str], cap: int) -> DataFrame:
-    """Pairs (a, b, score) taken in order, each member in at most `cap` of them: greedy by nature. Rounds: a pair is taken
-    when it is among the first `cap` waiting ones of both its members, counting those taken; others wait."""
-    waiting = pairs.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
-    taken = None
+def capped_pairs(pairs: DataFrame, order: list, cap: int) -> DataFrame:
+    """Distinct pairs (a, b, ...) taken in order, each member in at most `cap` of them: greedy by nature. In each round a
+    pair is taken when it is among the first `cap` of both its members, counting those taken; pairs of full members go.
+    Members are ranked on their own, so no task orders all pairs."""
+    waiting, taken = pairs, None
     while True:
-        ends = waiting.select("_n", F.explode(F.array("a", "b")).alias("v")).withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("_n")))
+        ends = waiting.withColumn("v", F.explode(F.array("a", "b"))).withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(*order)))
         if taken is not None:
             used = taken.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("used"))
             ends = ends.join(used, "v", "left").withColumn("r", F.col("r") + F.coalesce("used", F.lit(0)))
-        sure = ends.groupBy("_n").agg(F.max("r").alias("r")).filter(F.col("r") <= cap).select("_n")
-        new = waiting.join(sure, "_n", "left_semi").checkpoint()
+        sure = ends.groupBy("a", "b").agg(F.max("r").alias("r")).filter(F.col("r") <= cap).select("a", "b")
+        new = waiting.join(sure, ["a", "b"], "left_semi").checkpoint()
         if new.isEmpty():
-            break
+            return taken if taken is not None else waiting
         taken = new if taken is None else taken.unionByName(new)
-        used = taken.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("used")).filter(F.col("used") >= cap).select("v")
-        waiting = waiting.join(new.select("_n"), "_n", "left_anti").join(used.withColumnRenamed("v", "a"), "a", "left_anti").join(used.withColumnRenamed("v", "b"), "b", "left_anti").checkpoint()
-    return (taken if taken is not None else waiting).drop("_n")
+        full = taken.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("used")).filter(F.col("used") >= cap).select("v")
+        waiting = waiting.join(new.select("a", "b"), ["a", "b"], "left_anti").join(full.withColumnRenamed("v", "a"), "a", "left_anti").join(full.withColumnRenamed("v", "b"), "b", "left_anti").select(*pairs.columns).checkpoint()
