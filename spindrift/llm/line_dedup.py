@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.tables import written
+
 RATIO = 0.08
 MIN_PAGES = 5
 
@@ -45,7 +47,7 @@ def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", ratio
 
 def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """docs with boilerplate lines taken out of `text`, and the columns n_lines and n_dropped added."""
-    drop = boilerplate(docs, site, text, ratio, min_pages)
+    drop = written(boilerplate(docs, site, text, ratio, min_pages))  # small, and of a known size when the join is planned
     own = docs.select(F.struct(*docs.columns).alias("_row"), _site(site).alias("_site"), F.col(text).alias("_body")).join(drop, "_site", "left")
     lines = F.split("_body", "\n", -1)
     kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), _key(x))))
