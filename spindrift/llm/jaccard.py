@@ -36,11 +36,13 @@ from spindrift.llm.components import components
 from spindrift.llm.tables import written
 
 WIDTH = 5
-#: Postings of a portion: what a task counts before it reports its frequent tokens, and sends at once.
-PORTION = 2_000_000
+#: Tokens of a portion, which a task counts before it reports the frequent ones; postings that it sends at once.
+PORTION = 8_000_000
+FLUSH = 2_000_000
 HOT = 64
-#: Lists up to this length are joined pair by pair in a bucket: at most half as many pairs as the length for each posting.
-LIST = 128
+#: Lists up to this length (or up to the least frequency of hot tokens, if that is more) are joined pair by pair in a
+#: bucket: at most half as many pairs as the length for each posting.
+LIST = 256
 GROUP = 3000
 
 
@@ -159,7 +161,7 @@ def _postings(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             sigs.append(sig)
             sizes.append(len(s))
             held += p
-            if held >= PORTION:
+            if held >= FLUSH:
                 yield from flush()
                 known, tokens, sigs, sizes, held = set(), [], [], [], 0
         if tokens:
@@ -168,7 +170,7 @@ def _postings(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     return docs.select(F.col("text").cast("binary")).mapInArrow(run, "bucket int, token binary, at binary, sig binary, size binary")
 
 
-def _pairs_of(token: np.ndarray, sig: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+def _pairs_of(token: np.ndarray, sig: np.ndarray, size: np.ndarray, most: int = LIST) -> tuple[np.ndarray, ...]:
     """sig a, sig b, size a, size b, n of a bucket's postings: n shared tokens, or -1 for links of a chain."""
     order = np.lexsort((sig, token))
     token, sig, size = token[order], sig[order], size[order]
@@ -182,7 +184,7 @@ def _pairs_of(token: np.ndarray, sig: np.ndarray, size: np.ndarray) -> tuple[np.
     n_of = np.zeros(len(ids), np.int64)
     n_of[local] = size
     rest = np.repeat(length, length) - (np.arange(len(token)) - np.repeat(start, length))  # places from here to the list's end
-    short = np.repeat((length > 1) & (length <= LIST), length)
+    short = np.repeat((length > 1) & (length <= most), length)
     keys, counts = [], []
     at, k, held = np.flatnonzero(short & (rest > 1)), 1, 0
 
@@ -205,7 +207,7 @@ def _pairs_of(token: np.ndarray, sig: np.ndarray, size: np.ndarray) -> tuple[np.
         key, n = keys[0], counts[0]
     else:
         key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    long_ = np.flatnonzero(np.repeat(length > LIST, length))
+    long_ = np.flatnonzero(np.repeat(length > most, length))
     if len(long_):
         order = np.lexsort((local[long_], n_of[local[long_]], token[long_]))
         t, m = token[long_][order], local[long_][order]
@@ -223,15 +225,15 @@ def _merge_counts(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
     return u, np.bincount(at, weight).astype(np.int64)
 
 
-def _candidates(postings: DataFrame, buckets: int) -> DataFrame:
-    """a, b: signatures of sets that may be similar, and chains."""
+def _candidates(postings: DataFrame, buckets: int, most: int) -> DataFrame:
+    """a, b: signatures of sets that may be similar, and chains of the lists longer than `most`."""
 
     def run(batches):
         held, parts = None, []
 
         def bucket():
             token, sig, size = (np.concatenate(x) for x in zip(*parts))
-            a, b, m, n, c = _pairs_of(token, sig, size)
+            a, b, m, n, c = _pairs_of(token, sig, size, most)
             for i in range(0, len(a), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000].astype(np.int64)) for x in (a, b, m, n, c)], ["a", "b", "m", "n", "c"])
 
@@ -373,9 +375,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     vertices = own.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     portions = survey.filter("kind = 0").agg(F.sum("c")).first()[0] or 0
     portions = portions // PORTION + survey.filter("kind = 2").count()
-    hot = survey.filter("kind = 1").groupBy("a").agg(F.sum("c").alias("n")).filter(F.col("n") >= max(HOT, 2 * portions)).select("a").collect()
+    frequent = max(HOT, 2 * portions)
+    hot = survey.filter("kind = 1").groupBy("a").agg(F.sum("c").alias("n")).filter(F.col("n") >= frequent).select("a").collect()
     hot = np.sort(np.array([r.a for r in hot], np.int64)).astype(np.uint64)
-    candidates = _candidates(_postings(docs, hot, buckets), buckets)
+    candidates = _candidates(_postings(docs, hot, buckets), buckets, max(LIST, frequent))
     found = written(_join_groups(docs, vertices, components(candidates)))
     labels = components(found)
     own = own.withColumn("sig", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("sig")))
