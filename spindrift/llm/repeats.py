@@ -40,6 +40,8 @@ GRAM = 20
 BLOCK = 1 << 20
 #: Cells for each shuffle partition.
 CELLS = 2
+#: About how many bytes of contexts one suffix array holds.
+ARRAY_BYTES = 1 << 20
 NEVER = np.iinfo(np.int64).max
 
 _rng = np.random.Generator(np.random.PCG64(20_240_613))
@@ -142,16 +144,20 @@ class Cell:
         return [(k, h[edge[k] : edge[k + 1]], two[edge[k] : edge[k + 1]]) for k in range(buckets) if edge[k + 1] > edge[k]]
 
     def contexts(self, shared: np.ndarray, buckets: int):
-        """Distinct contexts of shared anchors by bucket, {bytes: place}; and their occurrences: bucket, place, document, first window."""
+        """Distinct contexts of shared anchors by bucket, {bytes: place}, and a byte of each one's anchor; and their
+        occurrences: bucket, place, document, first window."""
         known: list[dict[bytes, int]] = [{} for _ in range(buckets)]
+        parts: list[dict[int, int]] = [{} for _ in range(buckets)]
         found = []
         for x, doc, shift, low, high, h in self.anchors() if len(shared) else ():
             at = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
             own = np.flatnonzero(shared[at] == h)
             body, bucket = x.tobytes(), _bucket(h[own], buckets).astype(np.int64)
             place = [known[k].setdefault(body[a:b], len(known[k])) for k, a, b in zip(bucket.tolist(), low[own].tolist(), (high[own] + LENGTH).tolist())]
+            for k, i, part in zip(bucket.tolist(), place, (h[own] & np.uint64(255)).tolist()):
+                parts[k][i] = part
             found.append((bucket, np.array(place, np.int64), doc[own], low[own] + shift[own]))
-        return known, [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
+        return known, parts, [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
 
 
 def suffix_array(x: np.ndarray, depth: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -247,11 +253,11 @@ def _table(rows, schema: pa.Schema) -> pa.Table:
 
 _ANCHORS = pa.schema([("bucket", pa.int32()), ("cell", pa.int32()), ("hashes", pa.binary()), ("two", pa.binary())])
 _SHARED = pa.schema([("cell", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("a", "b", "c", "d"))])
-_CONTEXTS = pa.schema([("bucket", pa.int32()), ("cell", pa.int32()), ("sizes", pa.binary()), ("least", pa.binary()), ("most", pa.binary()), ("body", pa.binary())])
+_CONTEXTS = pa.schema([("bucket", pa.int32()), ("cell", pa.int32()), ("parts", pa.binary()), ("sizes", pa.binary()), ("least", pa.binary()), ("most", pa.binary()), ("body", pa.binary())])
 _DDL = {
     "anchors": "bucket int, cell int, hashes binary, two binary",
     "shared": "cell int, kind int, bucket int, a binary, b binary, c binary, d binary",
-    "contexts": "bucket int, cell int, sizes binary, least binary, most binary, body binary",
+    "contexts": "bucket int, cell int, parts binary, sizes binary, least binary, most binary, body binary",
 }
 
 
@@ -291,15 +297,31 @@ def _places(batches):
 
     def bucket(k, parts):
         known: dict[bytes, int] = {}
+        part_of = bytearray()
         ids, least = [], []
-        for _, sizes, low, _, body in parts:
+        for _, part, sizes, low, _, body in parts:
             end = np.cumsum(sizes)
-            own = np.array([known.setdefault(body[a:b], len(known)) for a, b in zip((end - sizes).tolist(), end.tolist())], np.int64)
-            ids.append(own)
+            own = []
+            for p, a, b in zip(part, (end - sizes).tolist(), end.tolist()):
+                c = body[a:b]
+                if (i := known.get(c)) is None:
+                    i = known[c] = len(known)
+                    part_of.append(p)
+                own.append(i)
+            ids.append(np.array(own, np.int64))
             least.append(low)
         lowest = np.full(len(known), NEVER, np.int64)
         np.minimum.at(lowest, np.concatenate(ids), np.concatenate(least))
-        value, begin, windows = first_places(list(known), lowest)
+        texts, windows = list(known), np.array([len(c) - LENGTH + 1 for c in known], np.int64)
+        begin = np.cumsum(windows) - windows
+        value = np.empty(int(windows.sum()), np.int64)
+        shares = min(256, 1 + sum(map(len, texts)) // ARRAY_BYTES)  # equal strings have one anchor, so one array need not hold them all
+        share = np.frombuffer(part_of, np.uint8).astype(np.int64) * shares >> 8
+        for part in range(shares):
+            own = np.flatnonzero(share == part)
+            if len(own):
+                got, _, n = first_places([texts[i] for i in own], lowest[own])
+                value[np.arange(len(got)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[own], n)] = got
         new = np.ones(len(value), bool)
         new[1:] = value[1:] != value[:-1]
         new[begin] = True
@@ -309,7 +331,7 @@ def _places(batches):
         runs = np.diff(np.append(first_run, len(run)))
         earliest = np.minimum.reduceat(value, begin)
         rows = []
-        for (cell, _, _, most, _), own in zip(parts, ids):
+        for (cell, _, _, _, most, _), own in zip(parts, ids):
             some = np.flatnonzero(earliest[own] < most)
             if len(some):
                 c = own[some]
@@ -322,12 +344,12 @@ def _places(batches):
 
     held, parts = None, []
     for batch in batches:
-        for k, cell, sizes, least, most, body in zip(*(c.to_pylist() for c in batch.columns)):
+        for k, cell, part, sizes, least, most, body in zip(*(c.to_pylist() for c in batch.columns)):
             if k != held and parts:
                 yield from bucket(held, parts)
                 parts = []
             held = k
-            parts.append((cell, _unplanes(sizes, np.int32).astype(np.int64), _unplanes(least), _unplanes(most), body))
+            parts.append((cell, part, _unplanes(sizes, np.int32).astype(np.int64), _unplanes(least), _unplanes(most), body))
     if parts:
         yield from bucket(held, parts)
 
@@ -353,7 +375,7 @@ def remove_repeats(docs: DataFrame, *keep: str, text: bool = False) -> DataFrame
         rows = []
         if table.num_rows and messages.num_rows:
             cell = Cell(table)
-            known, (bucket, place, doc, _) = cell.contexts(_read_shared(messages), buckets)
+            known, parts, (bucket, place, doc, _) = cell.contexts(_read_shared(messages), buckets)
             doc_id = cell.doc[doc]
             order = np.argsort(bucket, kind="stable")
             edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -363,7 +385,7 @@ def remove_repeats(docs: DataFrame, *keep: str, text: bool = False) -> DataFrame
                     least, most = np.full(len(texts), NEVER, np.int64), np.full(len(texts), -NEVER, np.int64)
                     np.minimum.at(least, place[some], doc_id[some])
                     np.maximum.at(most, place[some], doc_id[some])
-                    rows.append((k, table.column("cell")[0].as_py(), _planes(np.array([len(t) for t in texts], np.int32)), _planes(least), _planes(most), b"".join(texts)))
+                    rows.append((k, table.column("cell")[0].as_py(), bytes(parts[k][i] for i in range(len(texts))), _planes(np.array([len(t) for t in texts], np.int32)), _planes(least), _planes(most), b"".join(texts)))
         return _table(rows, _CONTEXTS)
 
     def cut(table: pa.Table, messages: pa.Table) -> pa.Table:
@@ -373,7 +395,7 @@ def remove_repeats(docs: DataFrame, *keep: str, text: bool = False) -> DataFrame
         cover = np.zeros(int((size + 1).sum()) + 1, np.int32)
         found = messages.filter(pc.equal(messages.column("kind"), 1)) if messages.num_rows else messages
         if found.num_rows:
-            _, (bucket, place, doc, first) = cell.contexts(_read_shared(messages), buckets)
+            _, _, (bucket, place, doc, first) = cell.contexts(_read_shared(messages), buckets)
             key = bucket << 32 | place
             order = np.argsort(key, kind="stable")
             key, doc, first = key[order], doc[order], first[order]
