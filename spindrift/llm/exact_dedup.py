@@ -79,6 +79,7 @@ def _compare(members: DataFrame, docs: DataFrame) -> DataFrame:
     """
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body")).withColumn("text_sha256", F.sha2("body", 256))
     texts = texts.join(members.withColumnRenamed("doc_id", "member"), F.col("doc_id").eqNullSafe(F.col("member")) & (texts.text_sha256 == members.text_sha256)).select("doc_id", texts.text_sha256, *KEY, "rep", "rows", "body")
+    texts = written(texts)  # members only: read as such and as representatives
     slices = F.ceil(F.col("rows") / SLICE_ROWS).cast("int")
     chunks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.col("n_bytes") - 1, F.lit(0)) / CHUNK).cast("int")), lambda i: F.substring(F.col("body"), i * CHUNK + 1, F.lit(CHUNK)))
     ours = texts.select("doc_id", "text_sha256", *KEY, F.pmod(F.xxhash64("doc_id", "text_sha256"), slices).cast("int").alias("slice"), F.posexplode(chunks).alias("part", "chunk"))
