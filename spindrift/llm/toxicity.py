@@ -38,13 +38,13 @@ EVIDENCE = 8.5
 #: For each round: the least share of the toxic documents that a pattern is in, and its most documents of the other kind for each toxic one.
 ROUNDS = ((0.03, 0.01), (0.01, 0.01), (0.003, 0.01), (0.005, 0.2))
 
-# Letters that look like Latin ones, and digits and signs written for letters.
+# Letters that look like Latin ones, and digits and signs written for letters. A 1 stands for i or l, so l is i too.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "е": "e", "з": "e", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w",
     "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ħ": "h", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʏ": "y", "ß": "ss", "æ": "ae", "œ": "oe",
 }
-SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
+SUBSTITUTES = {"l": "i", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 INVISIBLE = {0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF}
 
 
