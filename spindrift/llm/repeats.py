@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.memory import release
 from spindrift.llm.shingles import mix
 
 LENGTH = 50
@@ -41,7 +42,7 @@ BLOCK = 1 << 20
 #: Cells for each shuffle partition.
 CELLS = 2
 #: About how many bytes of contexts one suffix array holds.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 18
 NEVER = np.iinfo(np.int64).max
 
 _rng = np.random.Generator(np.random.PCG64(20_240_613))
@@ -105,7 +106,8 @@ def _unplanes(b: bytes, kind=np.int64) -> np.ndarray:
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    """By the low half of the hash: anchors are the least of their neighbours, so their high bits are mostly 0."""
+    return ((h & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)) >> np.uint64(32)
 
 
 class Cell:
@@ -139,8 +141,10 @@ class Cell:
         if not len(start):
             return []
         two = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
-        h = h[start]
-        edge = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1, dtype=np.uint64))
+        bucket = _bucket(h[start], buckets).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        h, two = h[start][order], two[order]
+        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
         return [(k, h[edge[k] : edge[k + 1]], two[edge[k] : edge[k + 1]]) for k in range(buckets) if edge[k + 1] > edge[k]]
 
     def contexts(self, shared: np.ndarray, buckets: int):
@@ -154,7 +158,7 @@ class Cell:
             own = np.flatnonzero(shared[at] == h)
             body, bucket = x.tobytes(), _bucket(h[own], buckets).astype(np.int64)
             place = [known[k].setdefault(body[a:b], len(known[k])) for k, a, b in zip(bucket.tolist(), low[own].tolist(), (high[own] + LENGTH).tolist())]
-            for k, i, part in zip(bucket.tolist(), place, (h[own] & np.uint64(255)).tolist()):
+            for k, i, part in zip(bucket.tolist(), place, ((h[own] >> np.uint64(32)) & np.uint64(255)).tolist()):
                 parts[k][i] = part
             found.append((bucket, np.array(place, np.int64), doc[own], low[own] + shift[own]))
         return known, parts, [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
@@ -242,6 +246,12 @@ def first_places(contexts: list[bytes], least: np.ndarray) -> tuple[np.ndarray,
     return out[at], np.cumsum(windows) - windows, windows
 
 
+def _rows(batch: pa.RecordBatch):
+    """A batch's rows one at a time: its blobs needn't all be copied at once."""
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in batch.columns)
+
+
 def _batches(rows, schema: pa.Schema, most: int = 8):
     for i in range(0, len(rows), most):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + most]), schema)], schema=schema)
@@ -281,14 +291,17 @@ def _shared(batches):
 
     held, parts = None, []
     for batch in batches:
-        for k, cell, hashes, two in zip(*(c.to_pylist() for c in batch.columns)):
+        for k, cell, hashes, two in _rows(batch):
             if k != held and parts:
                 yield from bucket(held, parts)
                 parts = []
+                release()
             held = k
             parts.append((cell, np.cumsum(_unplanes(hashes, np.uint64)), np.frombuffer(two, bool)))
     if parts:
         yield from bucket(held, parts)
+    del parts
+    release()
 
 
 def _places(batches):
@@ -312,46 +325,52 @@ def _places(batches):
             least.append(low)
         lowest = np.full(len(known), NEVER, np.int64)
         np.minimum.at(lowest, np.concatenate(ids), np.concatenate(least))
-        texts, windows = list(known), np.array([len(c) - LENGTH + 1 for c in known], np.int64)
-        begin = np.cumsum(windows) - windows
-        value = np.empty(int(windows.sum()), np.int64)
+        texts = list(known)
         shares = min(256, 1 + sum(map(len, texts)) // ARRAY_BYTES)  # equal strings have one anchor, so one array need not hold them all
         share = np.frombuffer(part_of, np.uint8).astype(np.int64) * shares >> 8
-        for part in range(shares):
-            own = np.flatnonzero(share == part)
-            if len(own):
-                got, _, n = first_places([texts[i] for i in own], lowest[own])
-                value[np.arange(len(got)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[own], n)] = got
-        new = np.ones(len(value), bool)
-        new[1:] = value[1:] != value[:-1]
-        new[begin] = True
-        run = np.flatnonzero(new)
-        run_size = np.diff(np.append(run, len(value)))
-        first_run = np.searchsorted(run, begin)
-        runs = np.diff(np.append(first_run, len(run)))
-        earliest = np.minimum.reduceat(value, begin)
-        rows = []
-        for (cell, _, _, _, most, _), own in zip(parts, ids):
-            some = np.flatnonzero(earliest[own] < most)
-            if len(some):
-                c = own[some]
-                n = runs[c]
-                r = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first_run[c], n)
-                place, low = np.repeat(some, n), run[r] - np.repeat(begin[c], n)
-                useful = value[run[r]] < np.repeat(most[some], n)
-                rows.append((cell, 1, k, *(_planes(v[useful].astype(t)) for v, t in ((place, np.int32), (low, np.int32), (run_size[r], np.int32), (value[run[r]], np.int64)))))
+        found: list[list[tuple]] = [[] for _ in parts]
+        local = np.full(len(texts), -1, np.int64)
+        for s in range(shares):
+            members = np.flatnonzero(share == s)
+            if not len(members):
+                continue
+            value, begin, _ = first_places([texts[i] for i in members], lowest[members])
+            new = np.ones(len(value), bool)
+            new[1:] = value[1:] != value[:-1]
+            new[begin] = True
+            run = np.flatnonzero(new)
+            run_size = np.diff(np.append(run, len(value)))
+            first_run = np.searchsorted(run, begin)
+            runs = np.diff(np.append(first_run, len(run)))
+            earliest = np.minimum.reduceat(value, begin)
+            local[members] = np.arange(len(members))
+            for out, own, (_, _, _, _, most, _) in zip(found, ids, parts):
+                some = np.flatnonzero(local[own] >= 0)
+                some = some[earliest[local[own[some]]] < most[some]]
+                if len(some):
+                    c = local[own[some]]
+                    n = runs[c]
+                    r = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first_run[c], n)
+                    useful = value[run[r]] < np.repeat(most[some], n)
+                    r = r[useful]
+                    out.append((np.repeat(some, n)[useful], run[r] - np.repeat(begin[c], n)[useful], run_size[r], value[run[r]]))
+            local[members] = -1
+        rows = [(part[0], 1, k, *(_planes(np.concatenate(v).astype(t)) for v, t in zip(zip(*out), (np.int32, np.int32, np.int32, np.int64)))) for part, out in zip(parts, found) if out]
         yield from _batches(rows, _SHARED, 64)
 
     held, parts = None, []
     for batch in batches:
-        for k, cell, part, sizes, least, most, body in zip(*(c.to_pylist() for c in batch.columns)):
+        for k, cell, part, sizes, least, most, body in _rows(batch):
             if k != held and parts:
                 yield from bucket(held, parts)
                 parts = []
+                release()
             held = k
             parts.append((cell, part, _unplanes(sizes, np.int32).astype(np.int64), _unplanes(least), _unplanes(most), body))
     if parts:
         yield from bucket(held, parts)
+    del parts
+    release()
 
 
 def _read_shared(messages: pa.Table) -> np.ndarray:
@@ -386,7 +405,10 @@ def remove_repeats(docs: DataFrame, *keep: str, text: bool = False) -> DataFrame
                     np.minimum.at(least, place[some], doc_id[some])
                     np.maximum.at(most, place[some], doc_id[some])
                     rows.append((k, table.column("cell")[0].as_py(), bytes(parts[k][i] for i in range(len(texts))), _planes(np.array([len(t) for t in texts], np.int32)), _planes(least), _planes(most), b"".join(texts)))
-        return _table(rows, _CONTEXTS)
+        out = _table(rows, _CONTEXTS)
+        del rows
+        release()
+        return out
 
     def cut(table: pa.Table, messages: pa.Table) -> pa.Table:
         cell = Cell(table)
@@ -423,6 +445,7 @@ def remove_repeats(docs: DataFrame, *keep: str, text: bool = False) -> DataFrame
             out.pop("kept")
         kinds = {"doc_id": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
         columns = {c: pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()}
+        release()
         passed = table.take(pa.array(cell.order, pa.int64()))
         return pa.table({**columns, **{c: passed.column(c) for c in keep}})
 
