@@ -3,8 +3,8 @@
 Two documents link when the Jaccard similarity of their shingle sets is at least 3/4. Equal sets are one vertex.
 
 1. A pass over the texts gives each document its set's size and signature, and the tokens that are frequent within
-   a bounded number of postings. Their totals give the hot tokens: those of HOT documents at least, and of more
-   than twice as many as there are such portions. So there are at most PORTION / 2 hot tokens at any input size.
+   a bounded number of tokens, a portion. Their totals give the hot tokens: those of HOT documents at least, and of
+   as many as there are portions. So there are at most PORTION hot tokens at any input size.
 2. A second pass sends, for each distinct set, a prefix of its tokens (hot ones last, else by hash) to the buckets
    of a hash range. Two similar sets of sizes m and n with an overlap of at least 3 (m + n) / 7 share a known number
    of tokens within their prefixes. Buckets count shared tokens per pair in short lists; the members of a long
@@ -33,15 +33,18 @@ from pyspark.sql import functions as F
 
 from spindrift.llm import shingles as S
 from spindrift.llm.components import components
+from spindrift.llm.memory import release
 from spindrift.llm.tables import written
 
 WIDTH = 5
 #: Tokens of a portion, which a task counts before it reports the frequent ones; postings that it sends at once.
-PORTION = 8_000_000
+PORTION = 4_000_000
 FLUSH = 2_000_000
+#: Postings of a bucket. Large buckets see more of a pair's shared tokens at once, so they report it less often.
+BUCKET = 2_000_000
 HOT = 64
-#: Lists up to this length (or up to the least frequency of hot tokens, if that is more) are joined pair by pair in a
-#: bucket: at most half as many pairs as the length for each posting.
+#: Lists of tokens that aren't hot are joined pair by pair in a bucket up to this length (or up to the least frequency of
+#: hot tokens, if that is more): at most half as many pairs as the length for each posting. Longer ones are chained too.
 LIST = 256
 GROUP = 3000
 
@@ -100,12 +103,15 @@ def _survey(docs: DataFrame) -> DataFrame:
             if size > PORTION:
                 yield frequent()
                 tokens, known, size = [], set(), 0
+                release()
             if len(ids) >= 5000:
                 yield rows(0, ids, sigs, sizes)
                 ids, sigs, sizes = [], [], []
         yield rows(0, ids, sigs, sizes)
         yield frequent()
         yield rows(2, [0], [0], [1])
+        del tokens
+        release()
 
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "kind int, a long, b long, c long")
 
@@ -130,9 +136,10 @@ def _postings(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         def flush():
             t, n = np.concatenate(tokens), np.array([len(x) for x in tokens])
             owner = np.repeat(np.arange(len(tokens), dtype=np.uint32), n)
-            order = np.argsort(t)
+            bucket = ((S.mix(t) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # prefixes hold low hashes mostly: mixed anew
+            order = np.lexsort((t, bucket))
             t, owner, sig, size = t[order], owner[order], np.array(sigs, np.int64), np.array(sizes, np.int32)
-            edge = np.searchsorted((t * np.uint64(buckets)) >> np.uint64(S.HASH_BITS), np.arange(buckets + 1, dtype=np.uint64))
+            edge = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
             out = []
             for k in range(buckets):
                 a, b = edge[k], edge[k + 1]
@@ -166,11 +173,13 @@ def _postings(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 known, tokens, sigs, sizes, held = set(), [], [], [], 0
         if tokens:
             yield from flush()
+        del tokens
+        release()
 
     return docs.select(F.col("text").cast("binary")).mapInArrow(run, "bucket int, token binary, at binary, sig binary, size binary")
 
 
-def _pairs_of(token: np.ndarray, sig: np.ndarray, size: np.ndarray, most: int = LIST) -> tuple[np.ndarray, ...]:
+def _pairs_of(token: np.ndarray, sig: np.ndarray, size: np.ndarray, hot: np.ndarray, most: int = LIST) -> tuple[np.ndarray, ...]:
     """sig a, sig b, size a, size b, n of a bucket's postings: n shared tokens, or -1 for links of a chain."""
     order = np.lexsort((sig, token))
     token, sig, size = token[order], sig[order], size[order]
@@ -184,7 +193,8 @@ def _pairs_of(token: np.ndarray, sig: np.ndarray, size: np.ndarray, most: int =
     n_of = np.zeros(len(ids), np.int64)
     n_of[local] = size
     rest = np.repeat(length, length) - (np.arange(len(token)) - np.repeat(start, length))  # places from here to the list's end
-    short = np.repeat((length > 1) & (length <= most), length)
+    chained = (length > most) | np.isin(token[start], hot, assume_unique=True)
+    short = np.repeat((length > 1) & ~chained, length)
     keys, counts = [], []
     at, k, held = np.flatnonzero(short & (rest > 1)), 1, 0
 
@@ -197,7 +207,7 @@ def _pairs_of(token: np.ndarray, sig: np.ndarray, size: np.ndarray, most: int =
         ok = 4 * np.minimum(n_of[a], n_of[b]) >= 3 * np.maximum(n_of[a], n_of[b])
         keys.append(a[ok].astype(np.int64) * len(ids) + b[ok])
         held += int(ok.sum())
-        if held > 4_000_000:
+        if held > 2_000_000:
             fold()
             held = 0
         k += 1
@@ -207,7 +217,7 @@ def _pairs_of(token: np.ndarray, sig: np.ndarray, size: np.ndarray, most: int =
         key, n = keys[0], counts[0]
     else:
         key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    long_ = np.flatnonzero(np.repeat(length > most, length))
+    long_ = np.flatnonzero(np.repeat(chained & (length > 1), length))
     if len(long_):
         order = np.lexsort((local[long_], n_of[local[long_]], token[long_]))
         t, m = token[long_][order], local[long_][order]
@@ -225,15 +235,16 @@ def _merge_counts(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
     return u, np.bincount(at, weight).astype(np.int64)
 
 
-def _candidates(postings: DataFrame, buckets: int, most: int) -> DataFrame:
-    """a, b: signatures of sets that may be similar, and chains of the lists longer than `most`."""
+def _candidates(postings: DataFrame, hot: np.ndarray, buckets: int, most: int) -> DataFrame:
+    """a, b: signatures of sets that may be similar, and chains of the lists of hot tokens and of those longer than `most`."""
+    shared = postings.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         held, parts = None, []
 
         def bucket():
             token, sig, size = (np.concatenate(x) for x in zip(*parts))
-            a, b, m, n, c = _pairs_of(token, sig, size, most)
+            a, b, m, n, c = _pairs_of(token, sig, size, shared.value, most)
             for i in range(0, len(a), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000].astype(np.int64)) for x in (a, b, m, n, c)], ["a", "b", "m", "n", "c"])
 
@@ -242,10 +253,13 @@ def _candidates(postings: DataFrame, buckets: int, most: int) -> DataFrame:
                 if k != held and parts:
                     yield from bucket()
                     parts = []
+                    release()
                 held, at = k, _unplanes(at, np.uint32)
                 parts.append((np.cumsum(_unplanes(token, np.uint64)), _unplanes(sig, np.int64)[at], _unplanes(size, np.int32)[at]))
         if parts:
             yield from bucket()
+        del parts
+        release()
 
     pairs = postings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, m long, n long, c long")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("m") + F.col("n")).alias("s"), F.least("m", "n").alias("m"), F.greatest("m", "n").alias("n"), "c")
@@ -362,6 +376,8 @@ def _join_groups(docs: DataFrame, vertices: DataFrame, groups: DataFrame) -> Dat
                 block.append(b)
         if len(sigs) > 1:
             yield group()
+        del sigs, texts
+        release()
 
     return texts.mapInArrow(run, "a long, b long")
 
@@ -369,16 +385,16 @@ def _join_groups(docs: DataFrame, vertices: DataFrame, groups: DataFrame) -> Dat
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     survey = written(_survey(docs))
     own = survey.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sig"), F.col("c").alias("n_shingles"))
     vertices = own.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    portions = survey.filter("kind = 0").agg(F.sum("c")).first()[0] or 0
-    portions = portions // PORTION + survey.filter("kind = 2").count()
-    frequent = max(HOT, 2 * portions)
+    total = survey.filter("kind = 0").agg(F.sum("c")).first()[0] or 0
+    buckets = 2 + int(prefix(total)) // BUCKET
+    portions = total // PORTION + survey.filter("kind = 2").count()
+    frequent = max(HOT, portions)
     hot = survey.filter("kind = 1").groupBy("a").agg(F.sum("c").alias("n")).filter(F.col("n") >= frequent).select("a").collect()
     hot = np.sort(np.array([r.a for r in hot], np.int64)).astype(np.uint64)
-    candidates = _candidates(_postings(docs, hot, buckets), buckets, max(LIST, frequent))
+    candidates = _candidates(_postings(docs, hot, buckets), hot, buckets, max(LIST, frequent))
     found = written(_join_groups(docs, vertices, components(candidates)))
     labels = components(found)
     own = own.withColumn("sig", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("sig")))
