@@ -23,8 +23,8 @@ def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language can be told (no text, or no letter in it) go."""
     model = langid.train(docs.select("doc_id", "text", "lang").filter(~held_out()))
-    own = docs.select("text", F.struct(*docs.columns).alias("_row"))
-    return langid.identify(own, model, "_row").filter("lang_pred <> 'und'").select("_row.*")
+    own = docs.select(F.struct(*docs.columns).alias("_row"))
+    return langid.identify(own, model, "_row", row=True).filter("lang_pred <> 'und'").select("_row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.llm.memory import release
+
 SEGMENT = 512
 #: Bound of the training sample: rows and symbols of each language. The sample is the rows of least hash.
 TRAIN_ROWS = 48
@@ -182,16 +184,18 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, symbols: int = TRAIN_SYMB
     return Model({k: v for k, v in samples.items() if v})
 
 
-def identify(docs: DataFrame, model: Model, *keep: str | Column) -> DataFrame:
-    """The columns in keep, and lang_pred and score for every row of docs (text)."""
+def identify(docs: DataFrame, model: Model, *keep: str | Column, row: bool = False) -> DataFrame:
+    """The columns in keep, and lang_pred and score for every row of docs (text). row: keep is one struct that holds the
+    text, which then needn't be passed twice."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
+    own = docs.select(*keep) if row else docs.select(*keep, F.col("text").alias("_text"))
+    passed = len(keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:passed])
 
     def run(batches):
         model = shared.value
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = (b.column(0).field("text") if row else b.column(passed)).to_pylist()
             langs, scores, first = [], [], 0
             while first < len(texts):  # blocks of bounded length; a longer text is a block of its own
                 last, size = first, 0
@@ -202,6 +206,8 @@ def identify(docs: DataFrame, model: Model, *keep: str | Column) -> DataFrame:
                 langs += got[0]
                 scores += got[1]
                 first = last
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:passed], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:passed], "lang_pred", "score"])
+
+        release()
 
     return own.mapInArrow(run, f"{schema}{', ' if schema else ''}lang_pred string, score double")
