@@ -19,6 +19,8 @@ _CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _CODE[65:91] = _CODE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+# An odd multiplier for each place of a word in its shingle, drawn independently.
+_PLACE = np.random.Generator(np.random.PCG64(20_240_612)).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
@@ -34,6 +36,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _follow(s: np.ndarray, word: np.ndarray, place: int) -> np.ndarray:
+    """The hash of a run of words that goes on with a word: not linear in the place, so that the order of words counts."""
+    s = s ^ (s >> np.uint64(29))
+    s *= _PLACE[place % len(_PLACE)]
+    s ^= s >> np.uint64(32)
+    s += word
+    return s
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n + 1:
         size = max(n + 1, BYTES_PER_BLOCK * 2)
@@ -82,18 +93,18 @@ def shingle_sets(texts: list[bytes | None], width: int = 5) -> tuple[np.ndarray,
     doc = np.repeat(np.arange(len(texts), dtype=np.uint64), n)
     keep = np.zeros(0, np.uint64)
     if len(h) >= width:
-        s = np.zeros(len(h) - width + 1, np.uint64)
-        for k in range(width):
-            s += h[k : len(h) - width + 1 + k] * np.uint64(2 * k + 0xA0761D6478BD6421)
+        s = h[: len(h) - width + 1]
+        for k in range(1, width):
+            s = _follow(s, h[k : len(h) - width + 1 + k], k)
         whole = doc[: len(s)] == doc[width - 1 :]
         keep = (doc[: len(s)][whole] << np.uint64(HASH_BITS)) | (mix(s[whole]) >> np.uint64(64 - HASH_BITS))
     short = np.flatnonzero((n > 0) & (n < width))
     if len(short):
-        few = np.zeros(len(short), np.uint64)
+        few = n[short].astype(np.uint64)
         for k in range(width - 1):
             has = n[short] > k
-            few[has] += h[first[short[has]] + k] * np.uint64(2 * k + 0xE7037ED1A0B428DB)
-        few = mix(few + n[short].astype(np.uint64)) >> np.uint64(64 - HASH_BITS)
+            few[has] = _follow(few[has], h[first[short[has]] + k], k)
+        few = mix(few) >> np.uint64(64 - HASH_BITS)
         keep = np.concatenate([keep, (short.astype(np.uint64) << np.uint64(HASH_BITS)) | few])
     keep.sort()
     if len(keep):

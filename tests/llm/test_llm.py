@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -165,6 +166,24 @@ def test_shingle_sets(texts):
     assert [int(b - a) for a, b in zip(bounds, bounds[1:])] == [len(brute_sets(t)) for t in texts]
 
 
+def test_shingles_of_swapped_words_differ():
+    runs = [" ".join(x) for x in itertools.product("abx", repeat=5)]
+    values, bounds = shingles.shingle_sets([t.encode() for t in runs])
+    assert (np.diff(bounds) == 1).all() and len(set(values.tolist())) == len(runs)
+    few = [" ".join(x) for n in (1, 2, 3, 4) for x in itertools.product(("yes", "no"), repeat=n)]
+    values, bounds = shingles.shingle_sets([t.encode() for t in few])
+    assert (np.diff(bounds) == 1).all() and len(set(values.tolist())) == len(few)
+    both = [x + " " + y for x, y in (("a b b a x", "b a a b x"), ("a b x b a", "b a x a b"), ("a b b b a", "b a b a b"))]
+    values, bounds = shingles.shingle_sets([t.encode() for t in both])
+    assert np.diff(bounds).tolist() == [len(brute_sets(t)) for t in both]
+
+
+def test_swapped_words_are_not_near_duplicates(spark):
+    rows = [(1, "yes no no yes"), (2, "no yes yes no"), (3, "a b b a x"), (4, "b a a b x"), (5, "yes no no yes")]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_components(rows)
+
+
 def test_prefix_bound():
     for m in range(1, 60):
         for n in range(m, 80):
