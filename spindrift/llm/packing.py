@@ -17,6 +17,7 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -134,6 +135,15 @@ def pack_examples(examples: DataFrame, limits: tuple[int, int, int] = (LENGTH, 6
 _ENCODERS: dict = {}
 
 
+def added_tokens(name: str) -> dict[str, int]:
+    """Tokens that the vocabulary's JSON form cuts out of a text before all else, with their ids."""
+    with open(tokenizer_path(name.removesuffix(".tiktoken") + ".json"), "rb") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t[k] for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{name}: an added token that isn't plain text")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 def encoder(name: str = VOCABULARY):
     """A function from a text to its ids as a uint32 array; one for each worker process."""
     if name not in _ENCODERS:
@@ -141,8 +151,8 @@ def encoder(name: str = VOCABULARY):
 
         with open(tokenizer_path(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        coding = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _ENCODERS[name] = lambda text: coding.encode_to_numpy(text, disallowed_special=())
+        coding = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(name))
+        _ENCODERS[name] = lambda text: coding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
     return _ENCODERS[name]
 
 

@@ -277,6 +277,17 @@ def test_same_ids_as_the_tokenizers_library(docs):
         assert packing.encoder()(r.text or "").tolist() == t.encode(r.text or "", add_special_tokens=False).ids
 
 
+def test_added_tokens_as_the_tokenizers_library(docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    marker = "<|endoftext|>"
+    odd = [f"one {marker} two", marker, marker * 3, f"  {marker}\n\n {marker}  x", f"a{marker}b", "<|endoftext|", f"<|endof{marker}text|>", f"日本 {marker}語 \n"]
+    for text in [*odd, *(r.text or "" for r in docs.select("text").collect())]:
+        assert packing.encoder()(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert packing.encoder()(odd[0]).tolist() == [505, 220, 50256, 734]
+
+
 def test_examples_keep_to_all_limits(spark):
     rng = random.Random(2)
     rows = [(i, rng.randint(1, 90), rng.randint(1, 4), rng.randint(0, 60)) for i in range(300)] + [(999, 500, 1, 1), (1000, None, None, None)]
