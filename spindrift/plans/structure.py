@@ -163,6 +163,14 @@ def merge_fact_sentences(spark, sf_dir):
     return dedup.merged_sentences(rows, "grp", "content")
 
 
+@query(f"""WITH {M}, s AS (SELECT DISTINCT id % 50 AS grp, regexp_replace(trim(unnest(regexp_split_to_array(content, '[.!?]\\s+|\\n+'))), '[.!?]+$', '') AS s FROM m),
+    c AS (SELECT id % 50 AS grp, count(*) AS sources FROM m GROUP BY 1) SELECT s.grp, string_agg(s, '. ' ORDER BY s) AS merged, any_value(sources) AS sources FROM s JOIN c ON s.grp = c.grp WHERE s <> '' GROUP BY s.grp""")
+def merge_all_sentences(spark, sf_dir):
+    """merge_fact_sentences over documents of every length."""
+    rows = memories(spark, sf_dir, "id", "content").select((F.col("id") % 50).alias("grp"), "content")
+    return dedup.merged_sentences(rows, "grp", "content")
+
+
 @query("""WITH s AS (SELECT p_partkey AS id, lower(p_name) AS x, list_distinct(list_filter(string_split(regexp_replace(lower(p_name), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: x <> '')) AS w FROM part WHERE p_partkey <= 1000000),
     p AS (SELECT a.id AS a, b.id AS b, a.x, b.x AS y, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS m, len(b.w) AS n FROM s a JOIN s b ON a.id < b.id AND len(list_intersect(a.w, b.w)) > 0),
     q AS (SELECT a, b, CASE WHEN x = y THEN 1::DOUBLE WHEN k / (m + n - k)::DOUBLE >= 0.8 THEN k / (m + n - k)::DOUBLE WHEN (contains(x, y) OR contains(y, x)) AND least(length(x), length(y)) / greatest(length(x), length(y))::DOUBLE >= 0.5 THEN 0.85::DOUBLE END AS score FROM p)

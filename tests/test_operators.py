@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import scoring, text, vectors
 from spindrift.functions.embedding import decode, embed, encode, slot
 from spindrift.operators import cluster, context, dedup, graph, search, temporal
+from spindrift.plans import structure
 from spindrift.sources import tables
 from spindrift.streaming import streams
 
@@ -91,6 +92,14 @@ def test_word_jaccard_finds_all(spark):
     assert got == pytest.approx(want)
 
 
+def test_merge_all_sentences_keeps_long_documents(spark, tmp_path):
+    long = ". ".join(f"sentence {i} of a long document" for i in range(40))
+    columns = ", ".join(f"{c} {t}" for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string")))
+    spark.createDataFrame([(1, long + ".", "en", "s"), (51, "short. sentence 3 of a long document!", "en", "s")], columns).write.parquet(f"{tmp_path}/documents.parquet")
+    (r,) = structure.merge_all_sentences(spark, str(tmp_path)).collect()
+    assert (r.grp, r.sources) == (1, 2) and r.merged == ". ".join(sorted({*long.split(". "), "short"}))
+
+
 def test_capped_pairs_are_greedy(spark):
     tables.shared_folder(spark)
     rng = np.random.default_rng(1)
