@@ -19,6 +19,17 @@ def exact_pairs(rows: DataFrame, key: str, content: str) -> DataFrame:
     return own.join(rep, ["_h", "_n"]).filter(F.col(key) != F.col("rep")).select("rep", F.col(key).alias("member"))
 
 
+def class_members(rows: DataFrame, key: str, *by: str) -> DataFrame:
+    """rep, member: each class of equal values of `by` as a star around its least key, never as all pairs."""
+    rep = rows.groupBy(*by).agg(F.min(key).alias("rep"), F.count("*").alias("_c")).filter("_c > 1")
+    return rows.join(rep, [*by]).filter(F.col(key) != F.col("rep")).select("rep", F.col(key).alias("member"))
+
+
+def word_sets(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """key, _w: the sorted distinct words of every row that has any."""
+    return rows.select(key, F.array_sort(F.array_distinct(text.words(F.col(content)))).alias("_w")).filter(F.size("_w") > 0)
+
+
 def simhash_value(words: Counter) -> int:
     """32 bits: each the sign of the weighted votes of FNV-1a hashes."""
     votes = np.zeros(32, np.int64)
@@ -59,7 +70,8 @@ def hash_candidates(signed: DataFrame, key: str, distance: int = 4, similar: flo
     """a < b, hamming, minhash, stage: pairs within the distance of the simhash or the similarity of the minhash.
 
     Blocking loses nothing: `distance` differing bits leave one of distance + 1 blocks of bits equal, and 38 of 128
-    differing places leave one of 42 bands of three equal. Equal rows are one class before blocking."""
+    differing places leave one of 42 bands of three equal. Equal rows are one class before blocking; pairs are of the
+    classes' least keys, `class_members` has the others."""
     width = -(-32 // (distance + 1))
     keys = [F.struct(F.lit(i).alias("t"), (F.shiftright("simhash", i * width).bitwiseAND((1 << width) - 1)).alias("v")) for i in range(distance + 1)]
     rows = 128 // bands
@@ -78,9 +90,9 @@ def hash_candidates(signed: DataFrame, key: str, distance: int = 4, similar: flo
 
 def word_jaccard(rows: DataFrame, key: str, content: str, least: float) -> DataFrame:
     """a < b, jaccard of the word sets. Equal sets are one class; of each set only a prefix of its rarest words is
-    joined, which every similar pair shares a word of; sizes and the exact sets decide."""
-    sets = rows.select(key, F.array_sort(F.array_distinct(text.words(F.col(content)))).alias("_w")).filter(F.size("_w") > 0)
-    classes = sets.groupBy("_w").agg(F.min(key).alias("id"))
+    joined, which every similar pair shares a word of; sizes and the exact sets decide. Pairs are of the classes' least
+    keys; `class_members` of `word_sets` has the others."""
+    classes = word_sets(rows, key, content).groupBy("_w").agg(F.min(key).alias("id"))
     each = classes.select("id", F.size("_w").alias("n"), F.explode("_w").alias("w"))
     often = each.groupBy("w").agg(F.count("*").alias("df"))
     order = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))

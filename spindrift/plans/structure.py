@@ -122,14 +122,19 @@ WORDS = "list_sort(list_distinct(list_filter(string_split(regexp_replace(lower({
     SELECT a, b, round(k / (x.n + y.n - k)::DOUBLE, 6) AS jaccard FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k / (x.n + y.n - k)::DOUBLE >= 0.3""")
 def dup_jaccard(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
-    return dedup.word_jaccard(rows, "id", "text", 0.3).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    same = dedup.class_members(dedup.word_sets(rows, "id", "text"), "id", "_w")
+    pairs = dedup.word_jaccard(rows, "id", "text", 0.3).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return pairs.unionByName(same.select(F.col("rep").alias("a"), F.col("member").alias("b"), F.lit(1.0).alias("jaccard")))
 
 
 @query()
 def dup_hashes(spark, sf_dir):
     """SimHash and MinHash candidates with lossless blocking: hash values have no SQL; the tests hold the pairs against all pairs."""
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
-    return dedup.hash_candidates(dedup.hashes(rows, "id", "text"), "id")
+    signed = dedup.hashes(rows, "id", "text")
+    pairs = dedup.hash_candidates(signed, "id")
+    same = dedup.class_members(signed, "id", "simhash", "minhash").select(F.col("rep").alias("a"), F.col("member").alias("b"), F.lit(0).alias("hamming"), F.lit(1.0).alias("minhash"), F.lit("both").alias("stage"))
+    return pairs.unionByName(same)
 
 
 SCORED = "p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, ((a.vec_id * 7 + b.vec_id * 13) % 50 + 50) / 100::DOUBLE AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND b.vec_id - a.vec_id <= 3)"

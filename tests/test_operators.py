@@ -92,6 +92,49 @@ def test_word_jaccard_finds_all(spark):
     assert got == pytest.approx(want)
 
 
+def _conversations(spark, path):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    texts = ["a b c d", "D c b A", "a b c d", "x y z w", "w z y x", "lonely pair here", "here lonely pair", "", ""] + [" ".join(words[(i * j) % 10] for j in range(1, 9)) for i in range(20)] * 2
+    rows = [(i // 100 + 1, i % 100, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{path}/conversations.parquet")
+    return {c * 100 + i: t for c, i, t in rows}
+
+
+def _stars(same):
+    """Every row's class representative; `same` maps a row to what is equal within a class."""
+    first = {}
+    return {i: first.setdefault(x, i) for i, x in sorted(same.items())}
+
+
+def test_dup_jaccard_links_all_rows(spark, tmp_path):
+    sets = {i: frozenset(t.lower().split()) for i, t in _conversations(spark, tmp_path).items() if t}
+    got = {(r.a, r.b): r.jaccard for r in structure.dup_jaccard(spark, str(tmp_path)).collect()}
+    rep = _stars(sets)
+    for (i, a), (j, b) in itertools.combinations(sets.items(), 2):
+        link = len(a & b) / len(a | b)
+        if rep[i] != rep[j]:
+            assert got.get(tuple(sorted((rep[i], rep[j]))), 0) == pytest.approx(link if link >= 0.3 else 0, abs=1e-6)
+    assert {p for p, s in got.items() if s == 1} == {(r, i) for i, r in rep.items() if i != r}
+
+
+def test_dup_hashes_links_all_rows(spark, tmp_path):
+    texts = _conversations(spark, tmp_path)
+    got = [tuple(r) for r in structure.dup_hashes(spark, str(tmp_path)).select("a", "b", "hamming", "minhash", "stage").collect()]
+    signed = {r.id: (r.simhash, tuple(r.minhash)) for r in dedup.hashes(spark.createDataFrame(list(texts.items()), "id long, t string"), "id", "t").collect()}
+    rep = _stars(signed)
+    want = set()
+    for i, j in itertools.combinations(sorted(texts), 2):
+        bits, same = bin(signed[i][0] ^ signed[j][0]).count("1"), float(np.mean(np.array(signed[i][1]) == np.array(signed[j][1])))
+        if bits <= 4 or same >= 0.7:
+            stage = "both" if bits <= 4 and same >= 0.7 else "simhash" if bits <= 4 else "minhash"
+            if rep[i] == rep[j]:
+                want.add((rep[i], j, 0, 1.0, "both"))
+            else:
+                a, b = sorted((rep[i], rep[j]))
+                want.add((a, b, bits, same, stage))
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_merge_all_sentences_keeps_long_documents(spark, tmp_path):
     long = ". ".join(f"sentence {i} of a long document" for i in range(40))
     columns = ", ".join(f"{c} {t}" for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string")))
