@@ -60,6 +60,27 @@ def batch_top_k(rows: DataFrame, key: str, vector: str, queries: list[tuple[int,
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def batch_at_least(rows: DataFrame, key: str, vector: str, queries: list[tuple[int, list[float]]], least: float, block: int = 4096) -> DataFrame:
+    """query, key, similarity: every row at or above a similarity to each query, itself aside. Queries are a stated,
+    bounded list; each task makes one matrix product per block of rows and writes what it finds in each."""
+    ids = np.array([q for q, _ in queries], np.int64)
+    matrix = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
+    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, block):
+                part = b.slice(a, block)
+                v = np.array(part.column(1).flatten(), np.float64).reshape(part.num_rows, -1)
+                own = np.array(part.column(0))
+                sims = matrix @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
+                q, i = np.nonzero((sims >= least) & (ids[:, None] != own[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[i], pa.int64()), pa.array(sims[q, i])], ["query", "key", "similarity"])
+
+    own = rows.filter(F.col(key).isNotNull() & (F.size(vector) == matrix.shape[1])).select(F.col(key).cast("long"), F.col(vector).cast("array<double>"))
+    return own.mapInArrow(run, "query long, key long, similarity double")
+
+
 def lexical_top_k(rows: DataFrame, content: str, terms: list[str], k: int, *ties: str, exclude: tuple[str, ...] = ()) -> DataFrame:
     """Share of the terms found; rows with an excluded term go, and rows without any term."""
     scored = rows.withColumn("score", text.matched_share(F.col(content), terms)).filter("score > 0")

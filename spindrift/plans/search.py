@@ -252,7 +252,7 @@ def shadow_delta(spark, sf_dir):
 def near_duplicate_lookup(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     queries = [(r.vec_id, [float(x) for x in r.embedding]) for r in rows.filter("vec_id % 100 = 0").select("vec_id", "embedding").toLocalIterator()]
-    found = search.batch_top_k(rows, "vec_id", "embedding", queries, 20).filter("similarity >= 0.4")
+    found = search.batch_at_least(rows, "vec_id", "embedding", queries, 0.4)
     return found.select(F.col("query").alias("a"), F.col("key").alias("b"), F.round("similarity", 6).alias("similarity"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import scoring, text, vectors
 from spindrift.functions.embedding import decode, embed, encode, slot
 from spindrift.operators import cluster, context, dedup, graph, search, temporal
+from spindrift.plans import search as search_plans
 from spindrift.plans import structure
 from spindrift.sources import tables
 from spindrift.streaming import streams
@@ -135,6 +136,14 @@ def test_dup_hashes_links_all_rows(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_lookup_at_least_has_no_cap(spark, tmp_path):
+    rows = [(i, [1.0, i / 1000]) for i in range(150)] + [(500, [0.0, 1.0]), (None, [1.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.a, r.b) for r in search_plans.near_duplicate_lookup(spark, str(tmp_path)).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if i is not None}
+    assert got == {(a, b) for a in unit for b in unit if a % 100 == 0 and a != b and unit[a] @ unit[b] >= 0.4} and len(got) > 290
+
+
 def test_merge_all_sentences_keeps_long_documents(spark, tmp_path):
     long = ". ".join(f"sentence {i} of a long document" for i in range(40))
     columns = ", ".join(f"{c} {t}" for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string")))
