@@ -116,13 +116,26 @@ def merged_sentences(rows: DataFrame, group: str, content: str) -> DataFrame:
 
 
 def entity_matches(rows: DataFrame, key: str, name: str, least: float = 0.8) -> DataFrame:
-    """a < b, score: equal names 1, word Jaccard from `least`, containment with a length ratio of a half 0.85. Blocked on words."""
+    """a < b, score: equal names 1, word Jaccard from `least`, containment with a length ratio of a half 0.85.
+
+    Blocking loses nothing: equal names join on the name, similar word sets share a word, and all character trigrams of a
+    contained name are in the other, so that its rarest one finds it; a name of one or two characters is looked up whole
+    among names of at most four."""
     own = rows.select(F.col(key).alias("id"), F.lower(name).alias("x"), F.array_distinct(text.words(F.col(name))).alias("w"))
     words = own.select("id", F.explode("w").alias("k"))
-    pairs = words.select(F.col("id").alias("a"), "k").join(words.select(F.col("id").alias("b"), "k"), "k").filter("a < b").select("a", "b").distinct()
+    by_word = words.select(F.col("id").alias("a"), "k").join(words.select(F.col("id").alias("b"), "k"), "k").filter("a < b").select("a", "b")
+    equal = own.select(F.col("id").alias("a"), "x").join(own.select(F.col("id").alias("b"), "x"), "x").filter("a < b").select("a", "b")
+    n_grams = lambda n: f"CASE WHEN length(x) >= {n} THEN transform(sequence(1, length(x) - {n - 1}), i -> substring(x, i, {n})) ELSE array() END"
+    names = own.filter("x <> ''").select("id", "x")
+    grams = names.select("id", "x", F.explode(F.expr(f"array_distinct(CASE WHEN length(x) <= 4 THEN concat({n_grams(3)}, {n_grams(2)}, {n_grams(1)}) ELSE {n_grams(3)} END)")).alias("k"))
+    often = grams.groupBy("k").agg(F.count("*").alias("df"))
+    probe = grams.filter("length(k) = least(length(x), 3)").join(often, "k").groupBy("id", "x").agg(F.min(F.struct("df", "k")).alias("rare")).select(F.col("id").alias("s"), F.col("x").alias("y"), F.col("rare.k").alias("k"))
+    held = probe.join(grams, "k").filter("id <> s AND contains(x, y) AND length(y) >= 0.5 * length(x)")
+    by_part = held.select(F.least("id", "s").alias("a"), F.greatest("id", "s").alias("b"))
+    pairs = by_word.unionByName(equal).unionByName(by_part).distinct()
     both = pairs.join(own.toDF("a", "x", "v"), "a").join(own.toDF("b", "y", "w"), "b")
     common = F.size(F.array_intersect("v", "w"))
-    jaccard = common / (F.size("v") + F.size("w") - common)
-    inside = (F.col("x").contains(F.col("y")) | F.col("y").contains(F.col("x"))) & (F.least(F.length("x"), F.length("y")) / F.greatest(F.length("x"), F.length("y")) >= 0.5)
+    jaccard = F.try_divide(common, F.size("v") + F.size("w") - common)
+    inside = (F.col("x").contains(F.col("y")) | F.col("y").contains(F.col("x"))) & (F.least(F.length("x"), F.length("y")) >= 0.5 * F.greatest(F.length("x"), F.length("y")))
     score = F.when(F.col("x") == F.col("y"), 1.0).when(jaccard >= least, jaccard).when(inside, 0.85)
     return both.withColumn("score", score).filter("score IS NOT NULL").select("a", "b", "score")

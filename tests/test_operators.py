@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -144,6 +145,22 @@ def test_lookup_at_least_has_no_cap(spark, tmp_path):
     assert got == {(a, b) for a in unit for b in unit if a % 100 == 0 and a != b and unit[a] @ unit[b] >= 0.4} and len(got) > 290
 
 
+def test_entity_matches_against_all_pairs(spark):
+    names = ["sprocket", "sprockets", "Big sprocket", "big  sprocket", "шестерня", "Шестерня", "шестерня м", "歯", "歯車", "歯車箱", "", "", "ab", "abab", "b", "a b", "red green blue", "blue green red", "x y z w v", "x y z w", "тест", None, "!!", "!!"]
+    got = {(r.a, r.b): r.score for r in dedup.entity_matches(spark.createDataFrame(list(enumerate(names)), "id long, n string"), "id", "n").collect()}
+    want = {}
+    for (i, x), (j, y) in itertools.combinations([(i, n.lower()) for i, n in enumerate(names) if n is not None], 2):
+        v, w = ({t for t in re.split("[^a-z0-9_]+", s) if t} for s in (x, y))
+        jaccard = len(v & w) / max(1, len(v | w))
+        if x == y:
+            want[i, j] = 1.0
+        elif jaccard >= 0.8:
+            want[i, j] = jaccard
+        elif x and y and (x in y or y in x) and min(len(x), len(y)) / max(len(x), len(y)) >= 0.5:
+            want[i, j] = 0.85
+    assert got == pytest.approx(want)
+
+
 def test_merge_all_sentences_keeps_long_documents(spark, tmp_path):
     long = ". ".join(f"sentence {i} of a long document" for i in range(40))
     columns = ", ".join(f"{c} {t}" for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string")))
