@@ -15,6 +15,7 @@ columns other than those named are ignored.
 
 from __future__ import annotations
 
+import collections
 import functools
 
 import numpy as np
@@ -25,10 +26,11 @@ from pyspark.sql import functions as F
 from spindrift.llm.memory import release
 
 SEGMENT = 512
-#: Bound of the training sample: rows and symbols of each language. The sample is the rows of least hash.
+#: Bound of the training sample: rows and symbols of each language. The sample is the distinct texts of least hash.
 TRAIN_ROWS = 48
 TRAIN_SYMBOLS = 14_000
-#: Symbols of the tables: 0 separates words, the last stands for any letter outside the learned alphabet.
+#: Symbols of the tables: 0 separates words, the last stands for any letter that no sample holds. Of the others each
+#: letter of the samples has its own code: one symbol, or where there are more letters, several for the rarer ones.
 ALPHABET = 64
 BLOCK_SYMBOLS = 1 << 20
 
@@ -49,6 +51,15 @@ def _letters() -> np.ndarray:
     return out
 
 
+def spellings(n: int) -> list[tuple[int, ...]]:
+    """n codes of symbols, none the start of another, the shorter ones first."""
+    codes = collections.deque((i,) for i in range(1, ALPHABET - 1))
+    while len(codes) < n:
+        first = codes.popleft()
+        codes.extend((*first, i) for i in range(1, ALPHABET - 1))
+    return list(codes)[:n]
+
+
 def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
     """Suffix automaton of a symbol sequence as a table (state, symbol) -> next state, -1 where there is none."""
     nxt, link, length, last = [{}], [-1], [0], 0
@@ -88,25 +99,37 @@ class Model:
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
         text = "".join(samples.values())
-        common = [c for c, _ in sorted(((c, text.count(c)) for c in set(text) - {" "}), key=lambda x: (-x[1], x[0]))][: ALPHABET - 2]
-        self.codes = {ord(c): i + 1 for i, c in enumerate(sorted(common))}
+        letters = [c for c, _ in sorted(collections.Counter(text).items(), key=lambda x: (-x[1], x[0])) if c != " "]
+        self.codes = {ord(c): i + 1 for i, c in enumerate(letters)}
+        spelled = [(0,), *spellings(len(letters)), (ALPHABET - 1,)]
+        self.lengths = np.array([len(x) for x in spelled])
+        self.spelled = np.zeros((len(spelled), int(self.lengths.max())), np.uint8)
+        for row, x in zip(self.spelled, spelled):
+            row[: len(x)] = x
         parts, self.roots, at, self.cost = [], [], 0, []
         for lang in self.languages:
             cp = np.frombuffer(samples[lang].encode("utf-32-le"), np.uint32)
-            symbols = np.array([0 if c == 32 else self.codes.get(int(c), ALPHABET - 1) for c in cp], np.int64)
-            t = automaton(symbols, ALPHABET)
+            t = automaton(self._spell(np.array([self.codes.get(int(c), 0) for c in cp], np.int64)), ALPHABET)
             root = np.where(t[0] < 0, 0, t[0])
             # a missing transition ends the phrase: ~(the state that a new phrase starts with)
             t = np.where(t < 0, ~((root[None, :] + at) * ALPHABET), (t + at) * ALPHABET)
             parts.append(t.astype(np.int32).ravel())
             self.roots.append(at * ALPHABET)
-            self.cost.append(float(np.log2(max(2, len(symbols)))))
+            self.cost.append(float(np.log2(max(2, len(cp)))))
             at += len(parts[-1]) // ALPHABET
         self.table = np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
+    def _spell(self, letters: np.ndarray) -> np.ndarray:
+        """The symbols of a sequence of letters (their numbers)."""
+        if self.spelled.shape[1] == 1:
+            return self.spelled[letters, 0]
+        return self.spelled[letters][np.arange(self.spelled.shape[1])[None, :] < self.lengths[letters][:, None]]
+
     @functools.cached_property
     def _map(self) -> np.ndarray:
-        m = np.where(_letters() > 0, ALPHABET - 1, 0).astype(np.uint8)
+        """For each code point the number of its letter: 0 is none, the last an unknown one."""
+        last = len(self.lengths) - 1
+        m = np.where(_letters() > 0, last, 0).astype(np.uint8 if last < 256 else np.int32)
         for c, i in self.codes.items():
             m[c] = i
         return m
@@ -128,8 +151,9 @@ class Model:
         keep[np.minimum(ends[:-1], len(s) - 1)] &= s[np.minimum(ends[:-1], len(s) - 1)] != 0  # no separator before a text's first word
         if len(s):
             keep[0] &= s[0] != 0
-        kept = np.concatenate([[0], np.cumsum(keep)])
-        return s[keep], np.concatenate([[0], kept[np.minimum(ends, len(s))]])
+        at = np.minimum(ends, len(s))
+        kept = np.concatenate([[0], np.cumsum(keep if self.spelled.shape[1] == 1 else np.where(keep, self.lengths[s], 0))])
+        return self._spell(s[keep]), np.concatenate([[0], kept[at]])
 
     def phrases(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """(texts, languages): phrases that each text's symbols need."""
@@ -173,9 +197,12 @@ class Model:
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS, symbols: int = TRAIN_SYMBOLS) -> Model:
-    """labelled: lang, text. Learns from at most `rows` rows and `symbols` folded characters of each language."""
+    """labelled: lang, text. Learns from at most `rows` distinct texts and `symbols` folded characters of each language."""
     own = labelled.filter("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("_h"))
-    best = own.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))).filter(F.col("_n") <= rows)
+    # the least hashes of each language first, so that copies count once and other texts aren't shuffled
+    least = own.select("lang", "_h").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).filter(F.col("_n") <= rows).select("lang", "_h")
+    some = own.join(F.broadcast(least), ["lang", "_h"]).groupBy("lang", "_h", "text").count()
+    best = some.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))).filter(F.col("_n") <= rows)
     samples: dict[str, str] = {}
     for r in best.select("lang", "_n", F.substring("text", 1, 4 * symbols).alias("text")).orderBy("lang", "_n").toLocalIterator():
         have = samples.get(r.lang, "")

@@ -347,6 +347,34 @@ def test_cross_parsing_counts_phrases():
             assert abs(int(got[k]) - n) <= text.count("x") + text.count("y") + text.count("z")
 
 
+def scripts() -> dict[str, list[str]]:
+    """Letters of each language; two languages share one large script and differ in the words that they make of it."""
+    letters = {"en": range(97, 123), "ru": range(0x430, 0x450), "el": range(0x3B1, 0x3C2), "hy": range(0x561, 0x587), "ka": range(0x10D0, 0x10F1), "ja": range(0x4E00, 0x5400), "zh": range(0x4E00, 0x5400)}
+    out = {}
+    for k, (lang, codes) in enumerate(sorted(letters.items())):
+        rng = random.Random(k)
+        out[lang] = ["".join(rng.choices([chr(c) for c in codes], k=3)) for _ in range(600)]
+    return out
+
+
+def test_languages_of_many_scripts():
+    rng, words = random.Random(5), scripts()
+    model = langid.Model({lang: " ".join(rng.choices(w, k=3000)) for lang, w in words.items()})
+    texts, want = zip(*((" ".join(rng.choices(w, k=25)), lang) for lang, w in words.items() for _ in range(20)))
+    got = model.predict([*texts, "", "ⴰⴱ ⴳ", None])[0]
+    assert got[: len(texts)] == list(want) and got[-3] == got[-1] == "und"
+    one = [model.phrases(*model.symbols([t, "x"]))[0].tolist() for t in texts]
+    assert model.phrases(*model.symbols([*texts, "x"]))[:-1].tolist() == one
+    codes = [tuple(x[:n]) for x, n in zip(model.spelled.tolist(), model.lengths)]
+    assert len(set(codes)) == len(codes) and not any(a != b and b[: len(a)] == a for a in codes[:200] for b in codes)
+
+
+def test_language_sample_holds_distinct_texts(spark):
+    texts = ["abc abc", "def def", "ghi ghi"]
+    model = langid.train(spark.createDataFrame([("x", t) for t in texts * 5], "lang string, text string"), rows=3)
+    assert {chr(c) for c in model.codes} == set("abcdefghi")
+
+
 def test_language(spark, docs, nothing):
     rows = [(i, " ".join(random.Random(i).choices(["le", "la", "chat", "et", "rouge", "maison"] if i % 2 else ["the", "cat", "and", "house", "with"], k=30)), "fr" if i % 2 else "en") for i in range(60)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
