@@ -2,20 +2,23 @@
 
 Two documents link when the Jaccard similarity of their shingle sets is at least 3/4. Equal sets are one vertex.
 
-1. A pass over the texts gives each document its set's size and signature, and the tokens that are frequent within
-   a bounded number of tokens, a portion. Their totals give the hot tokens: those of HOT documents at least, and of
-   as many as there are portions. So there are at most PORTION hot tokens at any input size.
-2. A second pass sends, for each distinct set, a prefix of its tokens (hot ones last, else by hash) to the buckets
+1. A pass over the texts gives each document its set's size, signature and min-hash keys, and the tokens that are
+   frequent within a bounded number of tokens, a portion. Their totals give the hot tokens: those of HOT documents at
+   least, and of as many as there are portions. So there are at most PORTION hot tokens at any input size.
+2. Families first: the sets of a key are compared exactly with one of them, a star and not pairs. What links is one
+   component from here on, so that no later step makes pairs within a family.
+3. A second pass sends, for each distinct set, a prefix of its tokens (hot ones last, else by hash) to the buckets
    of a hash range. Two similar sets of sizes m and n with an overlap of at least 3 (m + n) / 7 share a known number
-   of tokens within their prefixes. Buckets count shared tokens per pair in short lists; the members of a long
-   list, which are sets that consist of hot tokens mostly, are chained by size. Pairs that reach their number and
-   the chains make candidate groups: a similar pair is never in two groups.
-3. Each group's texts are joined exactly by T-occurrence search (DivideSkip). A group beyond GROUP documents is cut
-   into blocks, and every pair of blocks is searched by a task of its own.
-4. The links found, reduced to a forest per task, give the components.
+   of tokens within their prefixes. Tokens that one set alone has are dropped; sets with too few tokens left for any
+   partner are dropped; the tokens of the others go back to the buckets, as those of their components. There, shared
+   tokens are counted per pair of components in short lists; the members of a long list are chained by size. Pairs
+   that reach their number and the chains make candidate groups: a similar pair is never in two groups.
+4. Each group's texts are joined exactly by T-occurrence search (DivideSkip), whose lists hold components. A group
+   beyond GROUP documents is cut into blocks, large components into blocks of their own, which never meet each other.
+5. The links found, reduced to a forest per task, give the components.
 
-Only hashes, sizes and links move between tasks, and the texts of candidate groups. Sets are compared as sets of
-52-bit hashes.
+Only hashes, sizes and links move between tasks, and the texts of families and candidate groups. A list gives at most
+LIST / 2 pairs for each posting. Sets are compared as sets of 52-bit hashes.
 
 Defined results: a null, empty or wordless text has n_shingles 0 and is its own component; repeated rows give
 repeated rows; a row without a doc_id links with nothing and has a null component; an empty table gives no rows;
@@ -34,19 +37,23 @@ from pyspark.sql import functions as F
 from spindrift.llm import shingles as S
 from spindrift.llm.components import components
 from spindrift.llm.memory import release
-from spindrift.llm.tables import written
+from spindrift.llm.tables import spread_join, written
 
 WIDTH = 5
 #: Tokens of a portion, which a task counts before it reports the frequent ones; postings that it sends at once.
 PORTION = 4_000_000
 FLUSH = 2_000_000
-#: Postings of a bucket. Large buckets see more of a pair's shared tokens at once, so they report it less often.
+#: Postings of a bucket.
 BUCKET = 2_000_000
 HOT = 64
-#: Lists of tokens that aren't hot are joined pair by pair in a bucket up to this length (or up to the least frequency of
-#: hot tokens, if that is more): at most half as many pairs as the length for each posting. Longer ones are chained too.
+#: Lists of tokens that aren't hot are joined pair by pair in a bucket up to this length; longer ones are chained too.
 LIST = 256
+#: Documents and tokens of a block of a candidate group, and members that are compared with one copy of a family's centre.
 GROUP = 3000
+GROUP_TOKENS = 1_500_000
+SLICE = 256
+#: Min-hash keys of a set; each is made of two hashes.
+KEYS = 3
 
 
 def prefix(n: np.ndarray | int):
@@ -60,60 +67,139 @@ def shared_within_prefix(m, n):
     return np.minimum(prefix(m) - m, prefix(n) - n) + overlap
 
 
+def shared_with_any(n):
+    """A lower bound of shared_within_prefix for a set of size n or more and any partner: the overlap is at least 0.75 of
+    the larger set, whose prefix leaves out 0.65 of it and 0.65 at most."""
+    return np.maximum(1, np.ceil((10 * np.asarray(n, np.int64) - 65) / 100).astype(np.int64))
+
+
 def signature(tokens: np.ndarray) -> int:
     """64 bits of a set; never 0."""
     h = S.mix(tokens * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(tokens)))
     return int(np.add.reduce(S.mix(h ^ np.uint64(0xA0761D6478BD642F))).view(np.int64)) or 1
 
 
-def _sets(batches, text: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
-    """(batch, row, tokens) of every row."""
+_SALT = S.mix(np.arange(1, 2 * KEYS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def min_keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(sets, KEYS) min-hash keys of sets end to end; those of empty sets mean nothing."""
+    out = np.zeros((len(bounds) - 1, KEYS), np.int64)
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        lows = [np.minimum.reduceat((values ^ s) * np.uint64(0xD6E8FEB86659FD93), bounds[some]) for s in _SALT]
+        for k in range(KEYS):
+            out[some, k] = S.mix(lows[2 * k] * np.uint64(3) + S.mix(lows[2 * k + 1])).view(np.int64)
+    return out
+
+
+def _sets(batches, text: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
+    """(batch, first row, last row, tokens, bounds) of blocks of rows."""
     for b in batches:
         texts = b.column(text).to_pylist()
         for first, last in S.blocks(texts):
-            values, bounds = S.shingle_sets(texts[first:last], WIDTH)
-            for i in range(last - first):
-                yield b, first + i, values[bounds[i] : bounds[i + 1]]
+            yield b, first, last, *S.shingle_sets(texts[first:last], WIDTH)
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """kind 0: a document's id, signature and size; kind 1: a token and in how many distinct sets of a portion it is."""
+    """kind 0: a document's id, signature, size and keys; kind 1: a token and in how many distinct sets of a portion it is."""
 
     def run(batches):
         tokens, known, size = [], set(), 0
-        ids, sigs, sizes = [], [], []
+        held: list[tuple] = []
 
         def frequent():
             t, n = np.unique(np.concatenate(tokens or [np.zeros(0, np.uint64)]), return_counts=True)
             t, n = t[n > 2].astype(np.int64), n[n > 2]
-            return rows(1, t, np.zeros(len(t), np.int64), n)
-
-        def rows(kind, a, b, c):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(c), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["kind", "a", "b", "c"])
-
-        for batch, i, s in _sets(batches, 1):
-            sig = signature(s) if len(s) else 0
-            ids.append(batch.column(0)[i].as_py())
-            sigs.append(sig)
-            sizes.append(len(s))
-            if len(s) and sig not in known:
-                known.add(sig)
-                tokens.append(s)
-                size += len(s)
-            if size > PORTION:
-                yield frequent()
-                tokens, known, size = [], set(), 0
-                release()
-            if len(ids) >= 5000:
-                yield rows(0, ids, sigs, sizes)
-                ids, sigs, sizes = [], [], []
-        yield rows(0, ids, sigs, sizes)
+            return rows(1, t, np.zeros(len(t), np.int64), n, None)
+
+        def rows(kind, a, b, c, keys):
+            keys = pa.nulls(len(c), pa.list_(pa.int64())) if keys is None else pa.array(keys, pa.list_(pa.int64()))
+            columns = [pa.array(np.full(len(c), kind, np.int32)), *(pa.array(x, pa.int64()) for x in (a, b, c)), keys]
+            return pa.RecordBatch.from_arrays(columns, ["kind", "a", "b", "c", "keys"])
+
+        for batch, first, last, values, bounds in _sets(batches, 1):
+            keys = min_keys(values, bounds)
+            for i, doc in enumerate(batch.column(0)[first:last].to_pylist()):
+                s = values[bounds[i] : bounds[i + 1]]
+                sig = signature(s) if len(s) else 0
+                held.append((doc, sig, len(s), keys[i]))
+                if len(s) and sig not in known:
+                    known.add(sig)
+                    tokens.append(s)
+                    size += len(s)
+                if size > PORTION:
+                    yield frequent()
+                    tokens, known, size = [], set(), 0
+                    release()
+            if len(held) >= 5000:
+                yield rows(0, *zip(*held))
+                held = []
+        if held:
+            yield rows(0, *zip(*held))
         yield frequent()
-        yield rows(2, [0], [0], [1])
+        yield rows(2, [0], [0], [1], None)
         del tokens
         release()
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "kind int, a long, b long, c long")
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "kind int, a long, b long, c long, keys array<long>")
+
+
+def _stars(docs: DataFrame, vertices: DataFrame, partitions: int) -> DataFrame:
+    """a, b: links between the sets of a min-hash key and the one of the least document, each compared exactly."""
+    keyed = vertices.select("sig", "doc_id", "n", F.posexplode("keys").alias("j", "key"))
+    groups = keyed.groupBy("j", "key").agg(F.count("*").alias("members"), F.min(F.struct("doc_id", "sig", "n")).alias("centre")).filter("members > 1")
+    near = spread_join(keyed, groups, ["j", "key"], "members").filter("sig <> centre.sig AND 4 * least(n, centre.n) >= 3 * greatest(n, centre.n)")
+    edges = written(near.select("sig", "doc_id", "centre").distinct())
+    slices = edges.groupBy("centre").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    where = F.struct(F.col("centre.sig").alias("centre"), F.pmod(F.xxhash64("sig"), "slices").cast("int").alias("slice"), F.lit(1).alias("member"))
+    members = spread_join(edges, slices.withColumn("rows", F.col("slices") * SLICE), ["centre"], "rows").select("doc_id", "sig", where.alias("at"))
+    centres = slices.select("centre.doc_id", "centre.sig", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    centres = centres.select("doc_id", "sig", F.struct(F.col("sig").alias("centre"), "slice", F.lit(0).alias("member")).alias("at"))
+    texts = _texts(docs, members.unionByName(centres)).select("at.*", "sig", "text")
+    texts = texts.repartition(partitions, "centre", "slice").sortWithinPartitions("centre", "slice", "member", "sig")
+
+    def run(batches):
+        at, centre, block, size = None, None, [], 0
+
+        def compare():
+            values, bounds = S.shingle_sets([t for _, t in block], WIDTH)
+            found = []
+            for i, (sig, _) in enumerate(block):
+                s = values[bounds[i] : bounds[i + 1]]
+                common = np.count_nonzero(centre[np.minimum(np.searchsorted(centre, s), len(centre) - 1)] == s)
+                if signature(s) == sig and similar(len(s), len(centre), common):
+                    found.append(sig)
+            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(found), pa.int64()), pa.array(found, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for c, i, member, sig, text in zip(*(x.to_pylist() for x in batch.columns)):
+                if (c, i) != at or size > S.BYTES_PER_BLOCK:
+                    if block:
+                        yield compare()
+                    block, size = [], 0
+                if (c, i) != at:
+                    at, centre = (c, i), None
+                if member and centre is not None:
+                    block.append((sig, text))
+                    size += len(text)
+                elif not member and centre is None:
+                    s = S.shingle_sets([text], WIDTH)[0]
+                    centre = s if signature(s) == sig else None
+        if block:
+            yield compare()
+        release()
+
+    return texts.mapInArrow(run, "a long, b long")
+
+
+def similar(m, n, common):
+    return 7 * common >= 3 * (m + n)
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted rows (doc_id, sig, ...) with the texts of their documents; a document of several texts gives each."""
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted, "doc_id")
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -126,106 +212,198 @@ def _unplanes(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(k, -1).T).view(kind).ravel()
 
 
+_POSTINGS = "bucket int, token binary, at binary, sig binary, size binary"
+_SCHEMA = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("token", "at", "sig", "size"))])
+
+
+def _range_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket by the mixed hash: prefixes hold low hashes mostly."""
+    return ((S.mix(h) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _set_range(sig: np.ndarray, buckets: int) -> np.ndarray:
+    return ((sig.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _packed(bucket: np.ndarray, token: np.ndarray, sig: np.ndarray, size: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Postings by bucket: sorted tokens as differences, sets as places in a small dictionary of (sig, size)."""
+    order = np.lexsort((token, bucket))
+    token, sig, size = token[order], sig[order], size[order].astype(np.int32)
+    edge = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=bucket.dtype))
+    out = []
+    for k in np.flatnonzero(np.diff(edge)).tolist():
+        a, b = edge[k], edge[k + 1]
+        both = np.empty(b - a, [("s", np.int64), ("n", np.int32)])
+        both["s"], both["n"] = sig[a:b], size[a:b]
+        own, at = np.unique(both, return_inverse=True)
+        out.append((k, _planes(np.diff(token[a:b], prepend=np.uint64(0))), _planes(at.astype(np.uint32)), _planes(own["s"].copy()), _planes(own["n"].copy())))
+    for i in range(0, len(out), 16):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 16]), _SCHEMA)], schema=_SCHEMA)
+
+
+def _by_bucket(batches, work) -> Iterator[pa.RecordBatch]:
+    """work(token, sig, size) of each bucket's postings, distinct and ordered by token and sig."""
+    held, parts = None, []
+
+    def bucket():
+        token, sig, size = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((size, sig, token))
+        token, sig, size = token[order], sig[order], size[order]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1]) | (size[1:] != size[:-1])
+        yield from work(token[new], sig[new], size[new].astype(np.int64))
+
+    for batch in batches:
+        for k, token, at, sig, size in zip(*(c.to_pylist() for c in batch.columns)):
+            if k != held and parts:
+                yield from bucket()
+                parts = []
+                release()
+            held, at = k, _unplanes(at, np.uint32)
+            parts.append((np.cumsum(_unplanes(token, np.uint64)), _unplanes(sig, np.int64)[at], _unplanes(size, np.int32)[at]))
+    if parts:
+        yield from bucket()
+    del parts
+    release()
+
+
+def _dealt(postings: DataFrame, buckets: int) -> DataFrame:
+    return postings.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+
+
 def _postings(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """bucket, and packed (token, set) of the prefixes: sorted tokens as differences, sets as places in a small dictionary."""
+    """The postings of the prefixes by ranges of tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         hot, known, tokens, sigs, sizes, held = shared.value, set(), [], [], [], 0
 
         def flush():
-            t, n = np.concatenate(tokens), np.array([len(x) for x in tokens])
-            owner = np.repeat(np.arange(len(tokens), dtype=np.uint32), n)
-            bucket = ((S.mix(t) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # prefixes hold low hashes mostly: mixed anew
-            order = np.lexsort((t, bucket))
-            t, owner, sig, size = t[order], owner[order], np.array(sigs, np.int64), np.array(sizes, np.int32)
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            out = []
-            for k in range(buckets):
-                a, b = edge[k], edge[k + 1]
-                if b > a:
-                    own, at = np.unique(owner[a:b], return_inverse=True)
-                    out.append((k, _planes(np.diff(t[a:b], prepend=np.uint64(0))), _planes(at.astype(np.uint32)), _planes(sig[own]), _planes(size[own])))
-            kinds = (pa.int32(), *[pa.binary()] * 4)
-            for i in range(0, len(out), 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 16]), kinds)], ["bucket", "token", "at", "sig", "size"])
-
-        for _, _, s in _sets(batches, 0):
-            if not len(s) or (sig := signature(s)) in known:
-                continue
-            known.add(sig)
-            p = int(prefix(len(s)))
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                is_hot = hot[at] == s
-                if is_hot[:p].any():
-                    s = np.concatenate([s[~is_hot], s[is_hot]])
-                    tokens.append(s[:p])
-                else:
-                    tokens.append(s[:p])
-            else:
-                tokens.append(s[:p])
-            sigs.append(sig)
-            sizes.append(len(s))
-            held += p
-            if held >= FLUSH:
-                yield from flush()
-                known, tokens, sigs, sizes, held = set(), [], [], [], 0
+            n = np.array([len(x) for x in tokens])
+            token = np.concatenate(tokens)
+            yield from _packed(_range_of(token, buckets), token, np.repeat(np.array(sigs, np.int64), n), np.repeat(np.array(sizes, np.int64), n), buckets)
+
+        for _, first, last, values, bounds in _sets(batches, 0):
+            for i in range(last - first):
+                s = values[bounds[i] : bounds[i + 1]]
+                if not len(s) or (sig := signature(s)) in known:
+                    continue
+                known.add(sig)
+                p = int(prefix(len(s)))
+                if len(hot):
+                    is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
+                    if is_hot[:p].any():
+                        s = np.concatenate([s[~is_hot], s[is_hot]])
+                tokens.append(s[:p].copy())
+                sigs.append(sig)
+                sizes.append(len(s))
+                held += p
+                if held >= FLUSH:
+                    yield from flush()
+                    known, tokens, sigs, sizes, held = set(), [], [], [], 0
         if tokens:
             yield from flush()
         del tokens
         release()
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(run, "bucket int, token binary, at binary, sig binary, size binary")
+    return docs.filter("doc_id IS NOT NULL").select(F.col("text").cast("binary")).mapInArrow(run, _POSTINGS)
 
 
-def _pairs_of(token: np.ndarray, sig: np.ndarray, size: np.ndarray, hot: np.ndarray, most: int = LIST) -> tuple[np.ndarray, ...]:
-    """sig a, sig b, size a, size b, n of a bucket's postings: n shared tokens, or -1 for links of a chain."""
-    order = np.lexsort((sig, token))
-    token, sig, size = token[order], sig[order], size[order]
-    if len(token):
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
-        token, sig, size = token[new], sig[new], size[new]
-    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-    length = np.diff(np.append(start, len(token)))
-    ids, local = np.unique(sig, return_inverse=True)
-    n_of = np.zeros(len(ids), np.int64)
-    n_of[local] = size
-    rest = np.repeat(length, length) - (np.arange(len(token)) - np.repeat(start, length))  # places from here to the list's end
-    chained = (length > most) | np.isin(token[start], hot, assume_unique=True)
-    short = np.repeat((length > 1) & ~chained, length)
-    keys, counts = [], []
-    at, k, held = np.flatnonzero(short & (rest > 1)), 1, 0
-
-    def fold():
-        u, c = np.unique(np.concatenate(keys), return_counts=True) if not counts else _merge_counts(keys, counts)
-        keys[:], counts[:] = [u], [c]
+def _shared_only(postings: DataFrame, buckets: int) -> DataFrame:
+    """The postings of tokens that two sets have at least, by ranges of sets."""
+
+    def work(token, sig, size):
+        length = np.diff(np.append(np.flatnonzero(_starts(token)), len(token)))
+        some = np.repeat(length > 1, length)
+        yield from _packed(_set_range(sig[some], buckets), token[some], sig[some], size[some], buckets)
+
+    return _dealt(postings, buckets).mapInArrow(lambda batches: _by_bucket(batches, work), _POSTINGS)
+
+
+def _starts(sorted_: np.ndarray) -> np.ndarray:
+    """True where a run of equal values begins."""
+    new = np.ones(len(sorted_), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    return new
+
 
+def _unpacked(postings: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """token, sig, size of all rows of a table of postings."""
+    parts = []
+    for token, at, sig, size in zip(*(postings.column(c).to_pylist() for c in ("token", "at", "sig", "size"))):
+        at = _unplanes(at, np.uint32)
+        parts.append((np.cumsum(_unplanes(token, np.uint64)), _unplanes(sig, np.int64)[at], _unplanes(size, np.int32)[at].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _survivors(postings: DataFrame, families: DataFrame, buckets: int) -> DataFrame:
+    """The postings of sets that have as many shared tokens as some partner would need, by ranges of tokens and under
+    the names of their families (sig, family); the name of any other set is its own."""
+
+    def choose(own: pa.Table, named: pa.Table) -> pa.Table:
+        token, sig, size = _unpacked(own)
+        order = np.lexsort((token, sig))
+        token, sig, size = token[order], sig[order], size[order]
+        new = _starts(sig)
+        new[1:] |= token[1:] != token[:-1]
+        token, sig, size = token[new], sig[new], size[new]
+        start = np.flatnonzero(_starts(sig)) if len(sig) else np.zeros(0, np.int64)
+        length = np.diff(np.append(start, len(sig)))
+        some = np.repeat(length >= shared_with_any(size[start]), length)
+        token, sig, size = token[some], sig[some], size[some]
+        if named.num_rows and len(sig):
+            known, names = (np.array(named.column(c), np.int64) for c in ("sig", "family"))
+            by = np.argsort(known)
+            known, names = known[by], names[by]
+            at = np.minimum(np.searchsorted(known, sig), len(known) - 1)
+            sig = np.where(known[at] == sig, names[at], sig)
+        out = list(_packed(_range_of(token, buckets), token, sig, size, buckets)) if len(token) else []
+        release()
+        return pa.Table.from_batches(out, _SCHEMA)
+
+    own = families.withColumn("bucket", F.shiftright(F.shiftrightunsigned("sig", 32) * F.lit(buckets).cast("long"), 32).cast("int"))
+    return postings.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(choose, _POSTINGS)
+
+
+def _pairs_of(token: np.ndarray, name: np.ndarray, size: np.ndarray, hot: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """name a < name b, the sizes of their sets (least a, greatest a, least b, greatest b), and how many tokens they
+    share, or -1 for links of a chain. Postings are distinct and ordered by token, name and size."""
+    ids, local = np.unique(name, return_inverse=True)
+    low, high = np.full(len(ids), np.iinfo(np.int64).max), np.zeros(len(ids), np.int64)
+    np.minimum.at(low, local, size)
+    np.maximum.at(high, local, size)
+    one = _starts(token)
+    one[1:] |= local[1:] != local[:-1]
+    t, m = token[one], local[one]
+    start = np.flatnonzero(_starts(t)) if len(t) else np.zeros(0, np.int64)
+    length = np.diff(np.append(start, len(t)))
+    chained = (length > most) | np.isin(t[start], hot, assume_unique=True)
+    rest = np.repeat(length, length) - (np.arange(len(t)) - np.repeat(start, length))  # places from here to the list's end
+    keys: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    at, k, held = np.flatnonzero(np.repeat((length > 1) & ~chained, length) & (rest > 1)), 1, 0
     while len(at):
-        a, b = local[at], local[at + k]
-        ok = 4 * np.minimum(n_of[a], n_of[b]) >= 3 * np.maximum(n_of[a], n_of[b])
+        a, b = m[at], m[at + k]
+        ok = (4 * high[a] >= 3 * low[b]) & (4 * high[b] >= 3 * low[a])
         keys.append(a[ok].astype(np.int64) * len(ids) + b[ok])
         held += int(ok.sum())
         if held > 2_000_000:
-            fold()
-            held = 0
+            u, c = _merge_counts(keys, counts)
+            keys, counts, held = [u], [c], 0
         k += 1
         at = at[rest[at] > k]
-    if keys:
-        fold()
-        key, n = keys[0], counts[0]
-    else:
-        key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    long_ = np.flatnonzero(np.repeat(chained & (length > 1), length))
-    if len(long_):
-        order = np.lexsort((local[long_], n_of[local[long_]], token[long_]))
-        t, m = token[long_][order], local[long_][order]
-        near = (t[1:] == t[:-1]) & (4 * n_of[m[:-1]] >= 3 * n_of[m[1:]])
-        chain = np.unique(m[:-1][near].astype(np.int64) * len(ids) + m[1:][near])
+    key, n = _merge_counts(keys, counts) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    long_ = np.repeat(chained & (length > 1), length)[np.cumsum(one) - 1] if len(t) else np.zeros(0, bool)
+    if long_.any():
+        x, y, z = token[long_], local[long_], size[long_]
+        order = np.lexsort((y, z, x))
+        x, y, z = x[order], y[order], z[order]
+        near = (x[1:] == x[:-1]) & (y[1:] != y[:-1]) & (4 * z[:-1] >= 3 * z[1:])
+        p, q = np.minimum(y[:-1], y[1:])[near], np.maximum(y[:-1], y[1:])[near]
+        chain = np.unique(p.astype(np.int64) * len(ids) + q)
         key, n = np.concatenate([key, chain]), np.concatenate([n, np.full(len(chain), -1, np.int64)])
     a, b = (key // len(ids), key % len(ids)) if len(ids) else (key, key)
-    return ids[a], ids[b], n_of[a], n_of[b], n
+    return ids[a], ids[b], low[a], high[a], low[b], high[b], n
 
 
 def _merge_counts(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -236,36 +414,23 @@ def _merge_counts(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(postings: DataFrame, hot: np.ndarray, buckets: int, most: int) -> DataFrame:
-    """a, b: signatures of sets that may be similar, and chains of the lists of hot tokens and of those longer than `most`."""
+    """a, b: families that may hold similar sets, and chains of the lists of hot tokens and of those longer than `most`."""
     shared = postings.sparkSession.sparkContext.broadcast(hot)
+    names = ["a", "b", "la", "ha", "lb", "hb", "c"]
 
-    def run(batches):
-        held, parts = None, []
-
-        def bucket():
-            token, sig, size = (np.concatenate(x) for x in zip(*parts))
-            a, b, m, n, c = _pairs_of(token, sig, size, shared.value, most)
-            for i in range(0, len(a), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000].astype(np.int64)) for x in (a, b, m, n, c)], ["a", "b", "m", "n", "c"])
+    def work(token, name, size):
+        columns = _pairs_of(token, name, size, shared.value, most)
+        for i in range(0, len(columns[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000].astype(np.int64)) for x in columns], names)
 
-        for batch in batches:
-            for k, token, at, sig, size in zip(*(c.to_pylist() for c in batch.columns)):
-                if k != held and parts:
-                    yield from bucket()
-                    parts = []
-                    release()
-                held, at = k, _unplanes(at, np.uint32)
-                parts.append((np.cumsum(_unplanes(token, np.uint64)), _unplanes(sig, np.int64)[at], _unplanes(size, np.int32)[at]))
-        if parts:
-            yield from bucket()
-        del parts
-        release()
-
-    pairs = postings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, m long, n long, c long")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("m") + F.col("n")).alias("s"), F.least("m", "n").alias("m"), F.greatest("m", "n").alias("n"), "c")
-    sums = pairs.groupBy("a", "b", "m", "n").agg(F.sum(F.greatest("c", F.lit(0))).alias("c"), F.min("c").alias("least"))
+    pairs = _dealt(postings, buckets).mapInArrow(lambda batches: _by_bucket(batches, work), ", ".join(f"{n} long" for n in names))
+    sums = pairs.groupBy("a", "b").agg(
+        F.sum(F.greatest("c", F.lit(0))).alias("c"), F.min("c").alias("least"), *(F.min(x).alias(x) for x in ("la", "lb")), *(F.max(x).alias(x) for x in ("ha", "hb"))
+    )
     own = lambda n: F.least(n, n - F.floor((3 * n + 3) / 4) + 1 + F.floor(n / 10)) - n
-    need = F.least(own(F.col("m")), own(F.col("n"))) + F.ceil(3 * (F.col("m") + F.col("n")) / 7)
+    exact = F.least(own(F.col("la")), own(F.col("lb"))) + F.ceil(3 * (F.col("la") + F.col("lb")) / 7)
+    any_ = F.greatest(F.lit(1), F.ceil((10 * F.greatest("la", "lb") - 65) / 100))
+    need = F.when((F.col("la") == F.col("ha")) & (F.col("lb") == F.col("hb")), exact).otherwise(any_)
     return sums.filter((F.col("least") < 0) | (F.col("c") >= need)).select("a", "b")
 
 
@@ -310,94 +475,146 @@ def divide_skip(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.nda
     return member, count
 
 
-def links(sets: list[np.ndarray], block: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A forest of the similar pairs of a group: places in `sets`. block: only pairs of different blocks are joined."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    n = np.array([len(sets[i]) for i in order], np.int64)
-    token = np.concatenate([sets[i] for i in order]) if len(sets) else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), n)
-    by = np.argsort(token, kind="stable")
-    token, posting = token[by], owner[by]
-    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-    length = np.diff(np.append(start, len(token)))
-    mine = np.argsort(posting, kind="stable")  # postings by set
-    list_of = np.repeat(np.arange(len(start)), length)[mine]
-    bound = np.concatenate([[0], np.cumsum(n)])
-    forest = Forest(len(sets))
-    for x in range(1, len(sets)):
-        low = int(np.searchsorted(n, -(-3 * n[x] // 4)))
-        if low >= x:
-            continue
-        own = list_of[bound[x] : bound[x + 1]]
-        own = own[length[own] > 1]
-        least = int(-(-3 * (n[x] + n[low]) // 7))
+def links(sets: list[np.ndarray], names: np.ndarray) -> list[tuple[int, int]]:
+    """Places of similar sets of different families, a link for every two families that no earlier links join.
+
+    The inverted lists hold families. A set finds those that hold at least 3/4 of its tokens, as any similar set
+    does; their members are then compared with it exactly."""
+    ids, family = np.unique(names, return_inverse=True)
+    if len(ids) < 2:
+        return []
+    n = np.array([len(s) for s in sets], np.int64)
+    token, owner = np.concatenate(sets), np.repeat(family, n)
+    order = np.lexsort((owner, token))
+    token, owner = token[order], owner[order]
+    new = _starts(token)
+    new[1:] |= owner[1:] != owner[:-1]
+    token, owner = token[new], owner[new]
+    start = np.flatnonzero(_starts(token))
+    end, known = np.append(start[1:], len(token)), token[start]
+    by = np.argsort(family, kind="stable")
+    edge = np.searchsorted(family[by], np.arange(len(ids) + 1))
+    members = [by[edge[f] : edge[f + 1]] for f in range(len(ids))]
+    bodies: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    forest, out = Forest(len(ids)), []
+    for x in by[edge[1] :].tolist():
+        s, f = sets[x], int(family[x])
+        own = np.searchsorted(known, s)
+        own = own[end[own] - start[own] > 1]
+        least = int(-(-3 * n[x] // 4))
         if len(own) < least:
             continue
-        own_lists = [posting[start[k] : start[k] + length[k]] for k in own]
-        member, count = divide_skip(own_lists, least)
-        ok = (member < x) & (7 * count >= 3 * (n[x] + n[np.minimum(member, len(n) - 1)]))
-        for y in member[ok].tolist():
-            if block is None or block[order[x]] != block[order[y]]:
-                forest.join(x, y)
-    roots = [forest.root(x) for x in range(len(sets))]
-    return [(int(order[x]), int(order[r])) for x, r in enumerate(roots) if x != r]
-
-
-def _join_groups(docs: DataFrame, vertices: DataFrame, groups: DataFrame) -> DataFrame:
-    """a, b: a forest of links between signatures, from exact joins within candidate groups."""
-    sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
-    blocks = F.ceil(F.col("members") / GROUP).cast("int")
-    placed = groups.join(sizes, "component").select(F.col("vertex").alias("sig"), F.col("component").alias("grp"), blocks.alias("blocks"), F.pmod(F.xxhash64("vertex"), blocks).cast("int").alias("block"))
-    chosen = vertices.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).join(placed, "sig")
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(chosen, "doc_id").select("grp", F.inline(cells), "block", "sig", "text")
-    texts = texts.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "sig")
+        found = divide_skip([owner[a:b] for a, b in zip(start[own].tolist(), end[own].tolist())], least)[0]
+        for g in found[found < f].tolist():
+            if forest.root(f) == forest.root(g):
+                continue
+            if g not in bodies:
+                size = n[members[g]]
+                bodies[g] = np.concatenate([sets[i] for i in members[g]]), np.cumsum(size) - size
+            body, first = bodies[g]
+            common = np.add.reduceat(s[np.minimum(np.searchsorted(s, body), len(s) - 1)] == body, first, dtype=np.int64)
+            hit = np.flatnonzero(similar(n[x], n[members[g]], common))
+            if len(hit):
+                forest.join(f, g)
+                out.append((x, int(members[g][hit[0]])))
+    return out
+
+
+def _placed(vertices: DataFrame, families: DataFrame, groups: DataFrame) -> DataFrame:
+    """sig, doc_id, name, at (grp and two blocks): the cells in which each member of a candidate group is compared.
+
+    A block holds GROUP documents or GROUP_TOKENS tokens. A large family has blocks of its own, which meet those of
+    others; the rest of a group is dealt to blocks that all meet."""
+    sizes = vertices.select("sig", "n").join(families, "sig").groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
+    names = groups.join(sizes.withColumnRenamed("family", "vertex"), "vertex", "left")
+    names = names.join(vertices.select(F.col("sig").alias("vertex"), "n"), "vertex")  # a family's name is a member of it
+    share = F.greatest(F.coalesce("members", F.lit(1)) / GROUP, F.coalesce("tokens", "n") / GROUP_TOKENS)
+    names = written(names.select(F.col("component").alias("grp"), F.col("vertex").alias("name"), F.coalesce("members", F.lit(1)).alias("members"), share.alias("share"), (share > 0.5).alias("large")))
+    block = lambda name, i: F.struct(name.alias("name"), i.cast("int").alias("i"))
+    many = lambda x: F.greatest(F.lit(1), F.ceil(x)).cast("int")
+    of = names.groupBy("grp").agg(
+        F.sum("members").alias("rows"), many(F.sum(F.when(~F.col("large"), F.col("share")).otherwise(0.0))).alias("blocks"),
+        F.collect_list(F.when(F.col("large"), F.struct("name", many(F.col("share")).alias("parts")))).alias("large_ones"),
+    )
+    mine = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: block(F.lit(0).cast("long"), i))
+    theirs = F.flatten(F.transform("large_ones", lambda x: F.transform(F.sequence(F.lit(0), x["parts"] - 1), lambda i: block(x["name"], i))))
+    of = of.select("grp", "rows", "blocks", F.concat(mine, theirs).alias("all"))
+    member = names.select("grp", "name", "members", F.when(F.col("large"), many(F.col("share"))).alias("parts"))
+    single = member.filter("members = 1").withColumn("sig", F.col("name"))
+    several = spread_join(families.withColumnRenamed("family", "name"), member.filter("members > 1"), ["name"], "members")
+    rows = spread_join(single.unionByName(several).select("grp", "name", "parts", "sig"), of, ["grp"], "rows")
+    hashed = F.xxhash64("sig")
+    own = F.when(F.col("parts").isNull(), block(F.lit(0).cast("long"), F.pmod(hashed, "blocks"))).otherwise(block(F.col("name"), F.pmod(hashed, "parts")))
+    rows = rows.withColumn("own", own)
+    cells = F.transform(F.filter("all", lambda b: (b["name"] != F.col("own.name")) | (b["name"] == 0)), lambda b: F.struct("grp", F.least("own", b).alias("x"), F.greatest("own", b).alias("y")))
+    return rows.select("sig", "name", F.explode(cells).alias("at")).join(vertices.select("sig", "doc_id"), "sig")
+
+
+def _join_groups(docs: DataFrame, placed: DataFrame, partitions: int) -> DataFrame:
+    """a, b: links between signatures of different families, from exact joins within the cells."""
+    texts = _texts(docs, placed).select("at", "sig", "name", "text").repartition(partitions, "at").sortWithinPartitions("at", "sig")
+    texts = texts.select(F.xxhash64("at").alias("at"), "sig", "name", "text")
 
     def run(batches):
-        held, sigs, texts, block = None, [], [], []
-
-        def group():
-            sets: list[np.ndarray] = []
-            for a, b in S.blocks(texts):
-                v, bound = S.shingle_sets(texts[a:b], WIDTH)
-                sets += [v[bound[i] : bound[i + 1]] for i in range(b - a)]
-            keep = [i for i, s in enumerate(sets) if signature(s) == sigs[i] and (i == 0 or sigs[i] != sigs[i - 1])]
-            found = links([sets[i] for i in keep], np.array([block[i] for i in keep]) if held[1] != held[2] else None)
-            return pa.RecordBatch.from_arrays([pa.array([sigs[keep[p[k]]] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        held, rows = None, []
+
+        def cell():
+            sets, sigs, names = [], [], []
+            for a, b in S.blocks([r[2] for r in rows]):
+                v, bound = S.shingle_sets([r[2] for r in rows[a:b]], WIDTH)
+                for i, (sig, name, _) in enumerate(rows[a:b]):
+                    s = v[bound[i] : bound[i + 1]]
+                    if (not sigs or sigs[-1] != sig) and len(s) and signature(s) == sig:
+                        sets.append(s)
+                        sigs.append(sig)
+                        names.append(name)
+            found = links(sets, np.array(names, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array([sigs[p[k]] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for g, i, j, b, sig, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if (g, i, j) != held:
-                    if len(sigs) > 1:
-                        yield group()
-                    held, sigs, texts, block = (g, i, j), [], [], []
-                sigs.append(sig)
-                texts.append(text)
-                block.append(b)
-        if len(sigs) > 1:
-            yield group()
-        del sigs, texts
+            for at, sig, name, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != held:
+                    if len(rows) > 1:
+                        yield cell()
+                        release()
+                    held, rows = at, []
+                rows.append((sig, name, text))
+        if len(rows) > 1:
+            yield cell()
+        del rows
         release()
 
     return texts.mapInArrow(run, "a long, b long")
 
 
+def _hot(survey: DataFrame, frequent: int, spark) -> np.ndarray:
+    """The hot tokens in order; there are at most as many as a portion has tokens."""
+    sums = survey.filter("kind = 1").groupBy("a").agg(F.sum("c").alias("n")).filter(F.col("n") >= frequent).select("a")
+    return np.sort(sums.toArrow().column("a").to_numpy().astype(np.int64).view(np.uint64))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     survey = written(_survey(docs))
-    own = survey.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sig"), F.col("c").alias("n_shingles"))
-    vertices = own.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    total = survey.filter("kind = 0").agg(F.sum("c")).first()[0] or 0
+    own = survey.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sig"), F.col("c").alias("n"), "keys")
+    vertices = own.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig")
+    vertices = written(vertices.agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("keys").alias("keys"), F.count("*").alias("rows")))
+    total = vertices.agg(F.sum("n")).first()[0] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + total // 1_000_000)
     buckets = 2 + int(prefix(total)) // BUCKET
-    portions = total // PORTION + survey.filter("kind = 2").count()
-    frequent = max(HOT, portions)
-    hot = survey.filter("kind = 1").groupBy("a").agg(F.sum("c").alias("n")).filter(F.col("n") >= frequent).select("a").collect()
-    hot = np.sort(np.array([r.a for r in hot], np.int64)).astype(np.uint64)
-    candidates = _candidates(_postings(docs, hot, buckets), hot, buckets, max(LIST, frequent))
-    found = written(_join_groups(docs, vertices, components(candidates)))
-    labels = components(found)
-    own = own.withColumn("sig", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("sig")))
-    own = written(own.join(labels.withColumnRenamed("vertex", "sig"), "sig", "left").select("doc_id", "n_shingles", F.coalesce("component", "sig").alias("_c")))
-    least = own.filter("_c IS NOT NULL").groupBy("_c").agg(F.min("doc_id").alias("_least"))
-    return own.join(least, "_c", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
+    kept = written(_stars(docs, vertices, partitions))
+    families = written(components(kept).select(F.col("vertex").alias("sig"), F.col("component").alias("family")))
+    frequent = max(HOT, (survey.filter("kind = 0").agg(F.sum("c")).first()[0] or 0) // PORTION + survey.filter("kind = 2").count())
+    hot = _hot(survey, frequent, spark)
+    postings = _survivors(_shared_only(_postings(docs, hot, buckets), buckets), families, buckets)
+    groups = components(_candidates(postings, hot, buckets, LIST))
+    found = written(_join_groups(docs, written(_placed(vertices, families, groups)), partitions))
+    labels = components(kept.unionByName(found)).withColumnRenamed("vertex", "sig")
+    sized = labels.join(vertices.select("sig", "doc_id"), "sig")
+    least = sized.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
+    named = spread_join(labels, least, ["component"], "rows").select("sig", "component_id")
+    named = vertices.select("sig", "doc_id", "rows").join(named, "sig", "left").select("sig", "rows", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = spread_join(own.filter("n > 0 AND doc_id IS NOT NULL"), named, ["sig"], "rows").select("doc_id", "n", "component_id")
+    alone = own.filter("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).withColumnRenamed("n", "n_shingles")

@@ -25,9 +25,12 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where that is unset (tests), a folder of our own."""
+    """The shared folder of spark.checkpoint.dir. Where it is unset, a folder of this machine's is used if all of Spark
+    runs on it; on a cluster, whose executors don't see such a folder, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spindrift-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -40,6 +43,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, classes: DataFrame, on: list[str], size: str) -> DataFrame:
+    """rows joined with classes, which has one row for each key and in `size` how many rows have it. Keys of more than
+    a thousandth of all rows (so 1000 keys at most) are broadcast, and their rows stay where they are; the others are shuffled."""
+    classes = written(classes)
+    most = max(1000, (classes.agg(F.sum(size)).first()[0] or 0) // 1000)
+    hot = F.broadcast(classes.filter(F.col(size) > most))
+    cold = rows.join(F.broadcast(classes.filter(F.col(size) > most).select(*on)), on, "left_anti").join(classes.filter(F.col(size) <= most), on)
+    return rows.join(hot, on).unionByName(cold)
+
+
 def tokenizer_path(name: str) -> str:
     """A vocabulary file by name; SPINDRIFT_TOKENIZERS, if set, is the folder, else the public_tokenizers package."""
     if folder := os.environ.get("SPINDRIFT_TOKENIZERS"):

@@ -139,10 +139,12 @@ def near_family(seed=4, n=60):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_near_duplicates(spark, docs, nothing, small, monkeypatch):
-    if small:  # chains, blocks of groups and hot tokens at once; read on the driver only, so workers keep their own
+    if small:  # chains, blocks of groups and hot tokens at once, and no families; read on the driver only, so workers keep their own
         monkeypatch.setattr(jaccard, "LIST", 3)
         monkeypatch.setattr(jaccard, "GROUP", 7)
         monkeypatch.setattr(jaccard, "HOT", 3)
+        monkeypatch.setattr(jaccard, "GROUP_TOKENS", 600)
+        monkeypatch.setattr(jaccard, "_stars", lambda docs, vertices, partitions: spark.createDataFrame([], "a long, b long"))
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(near_family(), "doc_id long, text string"))
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect())
     assert got == brute_components([(r.doc_id, r.text) for r in df.collect()])
@@ -185,10 +187,43 @@ def test_swapped_words_are_not_near_duplicates(spark):
 
 
 def test_prefix_bound():
-    for m in range(1, 60):
-        for n in range(m, 80):
+    for m in range(1, 300):
+        for n in range(m, 400):
             if 4 * m >= 3 * n:
-                assert jaccard.shared_within_prefix(m, n) >= 1
+                assert jaccard.shared_within_prefix(m, n) >= max(jaccard.shared_with_any(m), jaccard.shared_with_any(n)) >= 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(0, 14), min_size=1, max_size=12), st.integers(0, 5)), min_size=2, max_size=14))
+def test_links_between_families(rows):
+    sets = [np.array(sorted(s), np.uint64) for s, _ in rows]
+    names = np.array([f for _, f in rows])
+    up = {f: f for f in names.tolist()}
+
+    def root(x):
+        return x if up[x] == x else root(up[x])
+
+    for x, y in itertools.combinations(range(len(rows)), 2):
+        a, b = rows[x][0], rows[y][0]
+        if 100 * len(a & b) >= 75 * len(a | b):
+            up[root(names[x].item())] = root(names[y].item())
+    forest = jaccard.Forest(6)
+    for x, y in jaccard.links(sets, names):
+        assert 100 * len(rows[x][0] & rows[y][0]) >= 75 * len(rows[x][0] | rows[y][0])
+        forest.join(int(names[x]), int(names[y]))
+    assert {(a, b) for a in up for b in up if root(a) == root(b)} == {(a, b) for a in up for b in up if forest.root(a) == forest.root(b)}
+
+
+def test_a_family_makes_no_pairs(spark):
+    """700 near copies, and another family that shares a passage with them."""
+    rows = near_family(seed=6, n=700)
+    other = [(90_000 + i, t.replace("w", "q") + " " + " ".join(rows[0][1].split()[:20])) for i, (_, t) in enumerate(rows[:40])]
+    df = spark.createDataFrame([*rows, *other], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect())
+    assert got == brute_components([*rows, *other])
+    token = np.repeat(np.arange(500, dtype=np.uint64), 2000)
+    family = np.full(len(token), 7, np.int64)
+    assert not len(jaccard._pairs_of(token[::2000], family[::2000], np.full(500, 300, np.int64), np.zeros(0, np.uint64), 256)[0])
 
 
 def test_components(spark):
