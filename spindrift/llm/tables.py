@@ -10,6 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def named(*names: str) -> list[Column]:
+    """Columns by their whole names, which may hold dots, spaces and backticks."""
+    return [F.col(f"`{n.replace('`', '``')}`") for n in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
