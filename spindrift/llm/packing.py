@@ -3,8 +3,9 @@
 An example demands tokens, segments and loss-bearing tokens; a sequence has a limit on each. The packer keeps a
 bounded pool of waiting examples. It fills one sequence at a time with the waiting example that fits and whose
 demand has the largest dot product with what is left of the limits (both as shares of the limits). Examples that
-may be cut fill the rest of a sequence exactly; what remains at the end of a partition goes into sequences
-of power-of-two lengths, so that cut examples leave no padding at all.
+may be cut fill the rest of a sequence exactly; the last segment that a sequence may have is the beginning of the
+longest waiting example; what remains at the end of a partition goes into sequences of power-of-two lengths. So cut
+examples leave no padding, unless a sequence has all its segments and none of those waiting is long enough.
 
 Every partition packs its own rows in their order, without a shuffle: a sequence never spans partitions, and a
 task that is run again gives the same sequences. sequence_id holds the partition and the sequence's number in it.
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from spindrift.llm.tables import tokenizer_path
 
 LENGTH = 1024
+#: Pieces of documents in a sequence, at most.
+SEGMENTS = 64
 POOL = 2048
 END = 0
 #: The same vocabulary as byte_bpe_50k.json, as ranks.
@@ -39,7 +42,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 class Packer:
-    """limits: tokens, segments, loss-bearing tokens of a sequence. cut: examples may be cut anywhere, and all their tokens bear loss."""
+    """limits: tokens, segments, loss-bearing tokens of a sequence. cut: examples may be cut anywhere; all their tokens but
+    the last, the end id, bear loss."""
 
     def __init__(self, limits: tuple[int, int, int], cut: bool, pool: int = POOL):
         self.limits, self.cut, self.size = np.array(limits, np.float64), cut, pool
@@ -51,11 +55,13 @@ class Packer:
         """Yields (key, start, length, sequence, offset) of whatever is placed now; start counts within the added example."""
         start = 0
         if self.cut:
-            while tokens - start >= self.limits[0]:  # a full sequence by itself
-                yield key, start, int(self.limits[0]), self.sequence, 0
-                start += int(self.limits[0])
+            full = int(min(self.limits[0], self.limits[2]))
+            while tokens - start >= self.limits[0] and loss >= full:  # a full sequence by itself
+                yield key, start, full, self.sequence, 0
+                start += full
+                loss -= full
                 self.sequence += 1
-            tokens, loss = tokens - start, tokens - start
+            tokens -= start
             if not tokens:
                 return
         self._wait((key, start), tokens, segments, loss)
@@ -82,40 +88,49 @@ class Packer:
         self.keys.pop()
         return key, demand
 
+    def _part(self, i: int, most: float):
+        """At most `most` tokens of the i-th waiting example, its beginning; the rest goes on waiting."""
+        (key, start), d = self._take(i)
+        some = int(min(most, d[0]))
+        if some < d[0]:
+            self._wait((key, start + some), d[0] - some, d[1], max(0.0, d[2] - some))
+        return key, start, some, np.array([some, d[1], min(some, d[2])])
+
     def _fill(self, limits: np.ndarray) -> Iterator[tuple]:
         left, offset, number = limits.copy(), 0, self.sequence
         self.sequence += 1
-        while self.keys:
+        while self.keys and left[0] >= 1:
             waiting = self.demand[: len(self.keys)]
             fits = (waiting <= left).all(1)
-            if not fits.any():
-                if offset and (not self.cut or left[:2].min() < 1):
-                    return
-                if not self.cut:  # beyond a limit by itself: a sequence of its own
-                    (key, start), d = self._take(0)
-                    yield key, start, int(d[0]), number, 0
-                    return
-                if left[:2].min() < 1:
+            if self.cut and left[1] < 2:  # the last segment: the longest example, to the end or to a power of two
+                if left[1] < 1 or left[2] < 1 and not fits.any():
                     return
-                (key, start), d = self._take(int(np.argmin(waiting[:, 0])))
-                some = int(min(left[0], left[2], d[0]))
-                self._wait((key, start + some), d[0] - some, d[1], d[2] - some)
+                i = int(waiting[:, 0].argmax()) if left[2] >= 1 else int(np.where(fits, waiting[:, 0], -1).argmax())
+                most = min(left[0], left[2] if waiting[i, 2] > left[2] else np.inf)
+                if waiting[i, 0] < left[0] and 1 << int(offset + min(most, waiting[i, 0])).bit_length() - 1 > offset:
+                    most = (1 << int(offset + min(most, waiting[i, 0])).bit_length() - 1) - offset
+                key, start, some, _ = self._part(i, most)
                 yield key, start, some, number, offset
-                offset += some
-                left -= (some, d[1], some)
-                if left[0] < 1 or left[2] < 1:
+                return
+            if not fits.any():
+                if not self.cut:
+                    if not offset:  # beyond a limit by itself: a sequence of its own
+                        (key, start), d = self._take(0)
+                        yield key, start, int(d[0]), number, 0
+                    return
+                if left[2] < 1:
                     return
-                continue
-            score = np.where(fits, (waiting / self.limits) @ (left / self.limits), -1.0)
-            (key, start), d = self._take(int(score.argmax()))
-            yield key, start, int(d[0]), number, offset
-            offset += int(d[0])
+                key, start, some, d = self._part(int(np.argmin(waiting[:, 0])), min(left[0], left[2]))
+            else:
+                score = np.where(fits, (waiting / self.limits) @ (left / self.limits), -1.0)
+                (key, start), d = self._take(int(score.argmax()))
+                some = int(d[0])
+            yield key, start, some, number, offset
+            offset += some
             left -= d
-            if left[0] < 1:
-                return
 
 
-def pack_examples(examples: DataFrame, limits: tuple[int, int, int] = (LENGTH, 64, LENGTH)) -> DataFrame:
+def pack_examples(examples: DataFrame, limits: tuple[int, int, int] = (LENGTH, SEGMENTS, LENGTH)) -> DataFrame:
     """example_id (long), tokens, segments, loss_tokens -> example_id, sequence_id, offset. Examples stay whole."""
 
     def run(batches):
@@ -156,12 +171,13 @@ def encoder(name: str = VOCABULARY):
     return _ENCODERS[name]
 
 
-def pack_documents(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY) -> DataFrame:
-    """docs (doc_id, text) -> one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack_documents(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, segments: int = SEGMENTS) -> DataFrame:
+    """docs (doc_id, text) -> one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A
+    sequence has at most `length` tokens, `segments` pieces and `length` loss-bearing tokens; end ids bear no loss."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
-        encode, packer, base = encoder(vocabulary), Packer((length, length, length), cut=True), TaskContext.get().partitionId() << 32
+        encode, packer, base = encoder(vocabulary), Packer((length, segments, length), cut=True), TaskContext.get().partitionId() << 32
 
         def out(placed):
             rows = [(doc, base_start + start, size, zlib.crc32(ids[start : start + size].tobytes()), total, base + number, offset) for (doc, ids, total, base_start), start, size, number, offset in placed]
@@ -174,7 +190,7 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCA
                 if whole:  # only the rest waits, so that the pool holds less than `length` ids of a document
                     yield from packer.add((doc, ids, len(ids), 0), whole, 1, whole)
                 if whole < len(ids):
-                    yield from packer.add((doc, ids[whole:].copy(), len(ids), whole), len(ids) - whole, 1, len(ids) - whole)
+                    yield from packer.add((doc, ids[whole:].copy(), len(ids), whole), len(ids) - whole, 1, len(ids) - whole - 1)
 
         for b in batches:
             yield out(documents(b))
