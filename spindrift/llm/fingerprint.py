@@ -7,9 +7,9 @@ They go into a chain of Bloom filters of 2048 bits, 160 features to a filter. Tw
 filter: the share of common bits beyond what chance gives, the best partner for each filter of the shorter chain.
 
 Defined results: a null or empty text has an empty digest; a text of under 64 bytes has one feature, itself; the
-likeness of equal digests is 1 and of an empty one to another 0; a null doc_id comes first; of repeated rows the
-next document is the next row in the order of doc_id and text; an empty table gives no rows; other columns are
-ignored.
+likeness of equal digests is 1 and of an empty one to another 0; a null doc_id comes first; of several rows of a
+doc_id the next document is the next row in the order of the text's hash (xxhash64) and the text; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ import base64
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 64
@@ -171,31 +172,58 @@ def _parts(texts: list):
         yield part
 
 
-def _range(c: Column, bounds: list[int], base: int = 0) -> Column:
-    """Number of the range that c is in, by a tree of comparisons; bounds: where each range after the first begins."""
-    if not bounds:
-        return F.lit(base)
-    mid = len(bounds) // 2
-    return F.when(c < bounds[mid], _range(c, bounds[:mid], base)).otherwise(_range(c, bounds[mid + 1 :], base + mid + 1))
+#: Ranges of documents: so many for each partition that is read, and at most; rows sampled to cut each range.
+RANGES = 4
+MOST_RANGES = 50_000
+SAMPLES = 20
+
+
+def places(bounds: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """2 * r for rows of range r, and 2 * r + 1 if the row is the first of its range. bounds: (ranges, 2) sorted pairs of
+    id and hash with which the ranges begin; no row is before the first."""
+    low, high = np.searchsorted(bounds[:, 0], ids), np.searchsorted(bounds[:, 0], ids, "right")
+    place = high.astype(np.int64)
+    for i in np.flatnonzero(high > low):  # the id of a bound: its hashes decide
+        place[i] = low[i] + np.searchsorted(bounds[low[i] : high[i], 1], hashes[i], "right")
+    place = np.maximum(place - 1, 0)
+    first = (bounds[place, 0] == ids) & (bounds[place, 1] == hashes)
+    return 2 * place + first
+
+
+def _bounds(own: DataFrame) -> np.ndarray:
+    """The pairs of id and hash with which the ranges begin, from a sample of a bounded number of rows."""
+    least = own.agg(F.min(F.struct("_o", "_h"))).first()[0]
+    if least is None:
+        return np.zeros((0, 2), np.int64)
+    n = min(MOST_RANGES, max(1, RANGES * own.rdd.getNumPartitions()))
+    some = own.select("_o", "_h").orderBy(F.xxhash64("_o", "_h")).limit(SAMPLES * n).toArrow()
+    rows = np.stack([some.column(c).to_numpy() for c in ("_o", "_h")], 1)
+    rows = np.unique(rows[np.lexsort((rows[:, 1], rows[:, 0]))], axis=0)
+    cuts = rows[[len(rows) * i // n for i in range(1, n)]]
+    return np.unique(np.concatenate([[list(least)], cuts]), axis=0)
 
 
 def _ranges(docs: DataFrame) -> DataFrame:
-    """part, last, doc_id, text: documents by ranges of doc_id; each range also gets the next one's first documents,
-    marked last, so that every document meets its follower without a global sort. The first range follows the last."""
-    order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), order.cast("long").alias("_o"))
-    least = own.agg(F.min("_o")).first()[0]
-    n = max(1, 4 * docs.rdd.getNumPartitions())
-    known = own.filter("doc_id IS NOT NULL")
-    inner = sorted({int(q) for q in known.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)} - {least}) if least is not None and n > 1 else []
-    exact = known.filter(F.col("doc_id").isin(inner)).select("doc_id").distinct().collect() if inner else []
-    starts = sorted(r.doc_id for r in exact)  # quantiles pass through doubles: keep those that are ids
-    part = _range(F.col("_o"), starts)
-    heads = [least, *starts]
-    before = F.create_map(*(F.lit(x) for i, h in enumerate(heads) for x in (h, (i - 1) % len(heads)))) if least is not None else F.create_map(F.lit(0).cast("long"), F.lit(0))
-    places = F.when(F.col("_o").isin([h for h in heads if h is not None]), F.array(F.struct(part.alias("part"), F.lit(False).alias("last")), F.struct(before[F.col("_o")].alias("part"), F.lit(True).alias("last")))).otherwise(F.array(F.struct(part.alias("part"), F.lit(False).alias("last"))))
-    spread = own.select(F.inline(places), "doc_id", "text", "_o")
-    return spread.repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "last", "_o", "text").select("part", "last", "doc_id", "text")
+    """part, last, doc_id, text: documents by ranges of doc_id and of a hash of the text; each range also gets the next
+    one's first documents, marked last, so that every document meets its follower without a global sort. The first range
+    follows the last."""
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", order.alias("_o"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
+    bounds = _bounds(own)
+    if not len(bounds):
+        return own.select(F.lit(0).alias("part"), F.lit(False).alias("last"), "doc_id", "text")
+    shared = docs.sparkSession.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf("long")
+    def place(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(places(shared.value, ids.to_numpy(), hashes.to_numpy()))
+
+    part, before = F.col("_p") / 2, (F.floor(F.col("_p") / 2) + len(bounds) - 1) % len(bounds)
+    one = lambda p, last: F.struct(p.cast("int").alias("part"), F.lit(last).alias("last"))
+    both = F.when(F.col("_p") % 2 == 1, F.array(one(part, False), one(before, True))).otherwise(F.array(one(part, False)))
+    spread = own.withColumn("_p", place("_o", "_h")).select(F.inline(both), "doc_id", "text", "_o", "_h")
+    spread = spread.repartition(len(bounds), "part").sortWithinPartitions("part", "last", "_o", "_h", "text")
+    return spread.select("part", "last", "doc_id", "text")
 
 
 def near_next(docs: DataFrame) -> DataFrame:
