@@ -3,10 +3,10 @@
 Each language's labelled text becomes a suffix automaton. A text is parsed from left to right into the longest
 phrases that occur in that language's text; the language that needs the fewest phrases wins, since a phrase
 costs about log2(training length) bits. The automata are dense transition tables, so that one numpy step reads
-one symbol of thousands of text segments against all languages at once.
+one symbol of thousands of texts against all languages at once. A table grows with the text that a language is
+learned from (at most 16 texts, 256 bytes a state), and the broadcast model with the number of languages.
 
-A text is folded (lower case, one separator between words, letters only) and cut into segments of SEGMENT
-symbols, each parsed from its start; all segments of the whole text count.
+A text is folded (lower case, one separator between words, letters only) and parsed as a whole.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; ties go to the first language by
 name; null or empty labels are not learned; without any label all rows are `und`; an empty table gives no rows;
@@ -22,17 +22,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spindrift.llm.memory import release
 
-SEGMENT = 512
-#: Bound of the training sample: rows and symbols of each language. The sample is the distinct texts of least hash.
-TRAIN_ROWS = 48
-TRAIN_SYMBOLS = 14_000
+#: Bound of the training sample: rows of each language, whole texts. The sample is the distinct texts of least hash.
+TRAIN_ROWS = 16
+#: So many pairs of a text and a language are read one by one rather than together.
+FEW = 128
 #: Symbols of the tables: 0 separates words, the last stands for any letter that no sample holds. Of the others each
 #: letter of the samples has its own code: one symbol, or where there are more letters, several for the rarer ones.
 ALPHABET = 64
-BLOCK_SYMBOLS = 1 << 20
+BLOCK_SYMBOLS = 1 << 22
 
 
 def fold(text: str) -> str:
@@ -146,41 +147,51 @@ class Model:
             cp = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         s = self._map[cp]
         ends = np.cumsum([len(t) + 1 for t in texts])
-        keep = np.ones(len(s), bool)
-        keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
-        keep[np.minimum(ends[:-1], len(s) - 1)] &= s[np.minimum(ends[:-1], len(s) - 1)] != 0  # no separator before a text's first word
+        keep = np.ones(len(s), bool)  # of a run of separators the last one, if a letter of the same text is before it
         if len(s):
-            keep[0] &= s[0] != 0
+            keep[:-1] = (s[:-1] != 0) | (s[1:] != 0)
+            keep[-1] = s[-1] != 0
+        letter = np.append(np.flatnonzero(s), 0)
+        first = letter[np.searchsorted(letter[:-1], np.concatenate([[0], ends[:-1]]))]  # each text's first letter, or a later one's
+        first = first[first > 0]
+        keep[first - 1] &= s[first - 1] != 0
         at = np.minimum(ends, len(s))
         kept = np.concatenate([[0], np.cumsum(keep if self.spelled.shape[1] == 1 else np.where(keep, self.lengths[s], 0))])
         return self._spell(s[keep]), np.concatenate([[0], kept[at]])
 
     def phrases(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """(texts, languages): phrases that each text's symbols need."""
+        """(texts, languages): phrases that each text's symbols need. A step reads one symbol of every text that is long
+        enough, against all languages; the last few texts are read one by one."""
         n = np.diff(bounds)
-        per = -(-n // SEGMENT)
-        owner = np.repeat(np.arange(len(n)), per)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-        start = bounds[owner] + nth * SEGMENT
-        size = np.minimum(SEGMENT, n[owner] - nth * SEGMENT)
-        order = np.argsort(-size, kind="stable")
-        start, size, owner = start[order], size[order], owner[order]
         out = np.zeros((len(n), len(self.languages)), np.int64)
-        if not len(start):
+        order = np.argsort(-n, kind="stable")
+        order = order[: int(np.count_nonzero(n))]
+        if not len(order):
             return out
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(start), 1)
+        start, size = bounds[order], n[order]
+        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(order), 1)
         count = np.ones(state.shape, np.int32)
-        padded = np.concatenate([symbols, np.zeros(SEGMENT, symbols.dtype)])
-        active = np.searchsorted(-size, -np.arange(1, SEGMENT + 1), "right")  # segments that have a symbol t
-        matrix = padded[start[None, :] + np.arange(int(size[0]))[:, None]].astype(np.int32)
-        for t in range(int(size[0])):
+        few = FEW // max(1, len(self.languages))
+        together = int(size[few]) if len(size) > few else 0
+        active = np.searchsorted(-size, -np.arange(1, together + 1), "right")  # texts that have a symbol t
+        for t in range(together):
             k = int(active[t])
-            x = self.table[state[:, :k] + matrix[t, :k]]
+            x = self.table[state[:, :k] + symbols[start[:k] + t]]
             fails = x >> 31
             count[:, :k] -= fails
             state[:, :k] = x ^ fails
-        for j in range(len(self.languages)):
-            out[:, j] = np.bincount(owner, count[j], len(n))
+        table = memoryview(self.table)
+        for i in range(min(few, len(order))):
+            rest = symbols[start[i] + together : start[i] + size[i]].tobytes()
+            for j in range(len(self.languages)):
+                at, more = int(state[j, i]), 0
+                for c in rest:
+                    at = table[at + c]
+                    if at < 0:
+                        at = ~at
+                        more += 1
+                count[j, i] += more
+        out[order] = count.T
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -196,19 +207,17 @@ class Model:
         return [self.languages[b] if s else "und" for b, s in zip(best, some)], np.where(some, score, 0.0).tolist()
 
 
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS, symbols: int = TRAIN_SYMBOLS) -> Model:
-    """labelled: lang, text. Learns from at most `rows` distinct texts and `symbols` folded characters of each language."""
+def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    """labelled: lang, text. Learns from at most `rows` distinct whole texts of each language."""
     own = labelled.filter("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("_h"))
     # the least hashes of each language first, so that copies count once and other texts aren't shuffled
     least = own.select("lang", "_h").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).filter(F.col("_n") <= rows).select("lang", "_h")
     some = own.join(F.broadcast(least), ["lang", "_h"]).groupBy("lang", "_h", "text").count()
     best = some.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))).filter(F.col("_n") <= rows)
-    samples: dict[str, str] = {}
-    for r in best.select("lang", "_n", F.substring("text", 1, 4 * symbols).alias("text")).orderBy("lang", "_n").toLocalIterator():
-        have = samples.get(r.lang, "")
-        if len(have) < symbols:
-            samples[r.lang] = (have + " " + fold(r.text)).strip()[:symbols]
-    return Model({k: v for k, v in samples.items() if v})
+    samples: dict[str, list[str]] = {}
+    for r in best.select("lang", "_n", "text").orderBy("lang", "_n").toLocalIterator():
+        samples.setdefault(r.lang, []).append(fold(r.text))
+    return Model({k: " ".join(filter(None, v)) for k, v in samples.items() if any(v)})
 
 
 def identify(docs: DataFrame, model: Model, *keep: str | Column, row: bool = False) -> DataFrame:
@@ -217,24 +226,27 @@ def identify(docs: DataFrame, model: Model, *keep: str | Column, row: bool = Fal
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(*keep) if row else docs.select(*keep, F.col("text").alias("_text"))
     passed = len(keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:passed])
+    schema = T.StructType([*own.schema.fields[:passed], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         model = shared.value
         for b in batches:
             texts = (b.column(0).field("text") if row else b.column(passed)).to_pylist()
-            langs, scores, first = [], [], 0
-            while first < len(texts):  # blocks of bounded length; a longer text is a block of its own
+            langs: list = [None] * len(texts)
+            scores = np.zeros(len(texts))
+            order, first = sorted(range(len(texts)), key=lambda i: len(texts[i] or "")), 0
+            while first < len(order):  # blocks of bounded length, of texts of like length; a longer text is a block of its own
                 last, size = first, 0
-                while last < len(texts) and (last == first or size + len(texts[last] or "") < BLOCK_SYMBOLS):
-                    size += len(texts[last] or "")
+                while last < len(order) and (last == first or size + len(texts[order[last]] or "") < BLOCK_SYMBOLS):
+                    size += len(texts[order[last]] or "")
                     last += 1
-                got = model.predict(texts[first:last])
-                langs += got[0]
-                scores += got[1]
+                own = order[first:last]
+                got, scores[own] = model.predict([texts[i] for i in own])
+                for i, lang in zip(own, got):
+                    langs[i] = lang
                 first = last
-            yield pa.RecordBatch.from_arrays([*b.columns[:passed], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:passed], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:passed], pa.array(langs, pa.string()), pa.array(scores)], [*b.schema.names[:passed], "lang_pred", "score"])
 
         release()
 
-    return own.mapInArrow(run, f"{schema}{', ' if schema else ''}lang_pred string, score double")
+    return own.mapInArrow(run, schema)
