@@ -4,8 +4,8 @@ A text is cut into pieces by the pattern of the vocabulary; pieces that repeat a
 block are bucketed by length; a bucket is a padded matrix of token ids, one row a piece. In each round every row
 looks up the ranks of its adjacent pairs in a hash table (open addressing over two flat arrays), merges its
 leftmost pair of least rank and is compacted, until no row has a pair with a rank. A piece that is a token itself
-is that token. Pieces longer than LONG bytes are merged by a heap of pairs instead, with the same result in
-n log n steps.
+is that token. A piece longer than LONG bytes is a matrix of one row, in which a round merges all places of the pair
+of least rank at once, if the vocabulary shows that this changes nothing.
 
 Defined results: null and empty texts have no ids and decode to nothing; invalid surrogates can't occur in Spark
 strings; an empty table gives no rows; columns other than those named are ignored.
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 
 import numpy as np
@@ -88,6 +87,9 @@ class Codec:
         self.start = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         splits = [(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         self.pairs = Pairs(*np.array(splits, np.int64).T)
+        self.safe = np.ones(len(self.bytes), bool)  # tokens that no pair turns into one of lower rank
+        for a, b, i in splits:
+            self.safe[[x for x in (a, b) if i < x]] = False
         self.cache: dict[str, bytes] = {}
 
     @classmethod
@@ -130,27 +132,28 @@ class Codec:
             if len(right):
                 rank[right, at[right]] = self.pairs.find(ids[right, at[right]], ids[right, at[right] + 1])
 
-    def _merge_long(self, piece: bytes) -> bytes:
-        """One long piece: a heap of (rank, place) over a linked list."""
-        ids = [int(x) for x in self.start[np.frombuffer(piece, np.uint8)]]
-        nxt, prv = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        one = lambda i, j: int(self.pairs.find(np.array([ids[i]]), np.array([ids[j]]))[0])
-        first = self.pairs.find(np.array(ids[:-1]), np.array(ids[1:])).tolist()
-        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NONE]
-        heapq.heapify(heap)
-        gone = [False] * len(ids)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = nxt[i]
-            if gone[i] or j >= len(ids) or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], gone[j], nxt[i] = r, True, nxt[j]
-            if nxt[j] < len(ids):
-                prv[nxt[j]] = i
-            for x, y in ((prv[i], i), (i, nxt[i])):
-                if x >= 0 and y < len(ids) and (q := one(x, y)) != NONE:
-                    heapq.heappush(heap, (q, x, ids[x], ids[y]))
-        return np.array([x for x, g in zip(ids, gone) if not g], "<u4").tobytes()
+    def _merge_row(self, piece: bytes) -> bytes:
+        """One long piece, a matrix of one row: a round merges all places of the row's pair of least rank, from the left.
+
+        That is what as many rounds of the leftmost place alone would do, as long as no pair with the new token is of lower
+        rank than the token: what a merge brings about then never comes before the places left of its kind. Where some
+        pair is, a round merges the leftmost place alone."""
+        ids = self.start[np.frombuffer(piece, np.uint8)]
+        rank = self.pairs.find(ids[:-1], ids[1:])
+        while len(rank) and (best := rank.min()) != NONE:
+            at = np.flatnonzero(rank == best)
+            if self.safe[best]:
+                run = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))  # of overlapping places every other one counts
+                at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            else:
+                at = at[:1]
+            ids[at] = best
+            ids, rank = np.delete(ids, at + 1), np.delete(rank, at)
+            at = at - np.arange(len(at))
+            near = np.unique(np.concatenate([at - 1, at]))
+            near = near[(near >= 0) & (near < len(rank))]
+            rank[near] = self.pairs.find(ids[near], ids[near + 1])
+        return ids.astype("<u4").tobytes()
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Packed little-endian 32-bit ids of each piece."""
@@ -160,7 +163,7 @@ class Codec:
             if (r := self.ranks.get(p)) is not None:
                 out[k] = r.to_bytes(4, "little")
             elif len(p) > LONG:
-                out[k] = self._merge_long(p)
+                out[k] = self._merge_row(p)
             elif p:
                 buckets.setdefault(len(p) if len(p) < 24 else -(-len(p) // 16) * 16, []).append(k)
         for members in buckets.values():
