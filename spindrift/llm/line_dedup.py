@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.tables import written
+from spindrift.llm.tables import named, written
 
 RATIO = 0.08
 MIN_PAGES = 5
@@ -30,6 +30,11 @@ def _site(site: str) -> Column:
     return F.struct(F.col(site).isNull().alias("none"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("name"))
 
 
+def host(url: Column) -> Column:
+    """The site of a page: the host of its URL in lower case, or the whole of what isn't a URL with a host."""
+    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), url)
+
+
 def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """_site, _drop: each site's boilerplate lines as an array of keys; sites without any are left out."""
     pages = docs.select(_site(site).alias("_site"), F.col(text).alias("_text"))
@@ -48,12 +53,16 @@ def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", ratio
 def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """docs with boilerplate lines taken out of `text`, and the columns n_lines and n_dropped added."""
     drop = written(boilerplate(docs, site, text, ratio, min_pages))  # small, and of a known size when the join is planned
-    own = docs.select(F.struct(*docs.columns).alias("_row"), _site(site).alias("_site"), F.col(text).alias("_body")).join(drop, "_site", "left")
+    own = docs.select(F.struct(*named(*docs.columns)).alias("_row"), _site(site).alias("_site"), F.col(text).alias("_body")).join(drop, "_site", "left")
     lines = F.split("_body", "\n", -1)
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), _key(x))))
-    own = own.select("_row", "_body", lines.alias("_lines"), kept.alias("_kept"), F.col("_drop").isNull().alias("_same"))
+    own = own.withColumn("_lines", lines).withColumn("_here", F.array_intersect(F.transform("_lines", _key), "_drop"))  # by hashing: a page holds few
+    kept = F.when(F.coalesce(F.size("_here") < 1, F.lit(True)), F.col("_lines")).otherwise(F.filter("_lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_here"), _key(x))))
+    own = own.select("_row", "_body", "_lines", kept.alias("_kept"), F.col("_drop").isNull().alias("_same"))
     return own.select(
-        *(F.when(F.col("_same"), F.col("_body")).otherwise(F.array_join("_kept", "\n")).alias(text) if c == text else F.col(f"_row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")),
+        *(
+            F.when(F.col("_same"), F.col("_body")).otherwise(F.array_join("_kept", "\n")).alias(text) if c == text else F.col("_row")[c].alias(c)
+            for c in docs.columns if c not in ("n_lines", "n_dropped")
+        ),
         F.when(F.col("_body").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
         F.when(F.col("_body").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
     )

@@ -56,33 +56,58 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("source").alias("host"), "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_toxicity, op4_jaccard, op5_repeats, op6_packing, op7_fingerprint, op8_language, op9_bpe, op10_line_dedup)}
-
-ORACLES = {
-    "op2_exact_dedup": """
-        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-               doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
-        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
-    "op10_line_dedup": """
-        WITH page AS (SELECT row_number() OVER () AS page, doc_id, source, text FROM documents),
-        split AS (SELECT page, source, string_split(text, chr(10)) AS lines FROM page WHERE text IS NOT NULL),
-        line AS (SELECT page, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM split),
-        total AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+def pages_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10 over raw web pages: the site is the URL's host, a line is a tag with the text that follows it."""
+    pages = table(spark, sf_dir, "pages").select("page_id", line_dedup.host(F.col("url")).alias("host"), F.replace("html", F.lit("<"), F.lit("\n<")).alias("html"))
+    out = line_dedup.drop_boilerplate(pages, "host", "html", 0.5, 3)
+    return out.select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_quality, op2_exact_dedup, op3_toxicity, op4_jaccard, op5_repeats, op6_packing, op7_fingerprint, op8_language,
+        op9_bpe, op10_line_dedup, pages_line_dedup,
+    )
+}
+
+
+def _lines_sql(key: str, rows: str, least: int, ratio: float) -> str:
+    """Site-relative boilerplate lines of `rows` (key, host, text) in SQL."""
+    return f"""
+        WITH page AS (SELECT row_number() OVER () AS page, * FROM ({rows})),
+        split AS (SELECT page, host, string_split(text, chr(10)) AS lines FROM page WHERE text IS NOT NULL),
+        line AS (SELECT page, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM split),
+        total AS (SELECT host, count(*) AS pages FROM page GROUP BY host),
         boiler AS (
-            SELECT l.source, trim(l.line) AS line FROM line l JOIN total t ON l.source IS NOT DISTINCT FROM t.source
-            WHERE trim(l.line) <> '' GROUP BY l.source, trim(l.line), t.pages
-            HAVING count(DISTINCT l.page) >= 5 AND count(DISTINCT l.page) > 0.08 * t.pages),
+            SELECT l.host, trim(l.line) AS line FROM line l JOIN total t ON l.host IS NOT DISTINCT FROM t.host
+            WHERE trim(l.line) <> '' GROUP BY l.host, trim(l.line), t.pages
+            HAVING count(DISTINCT l.page) >= {least} AND count(DISTINCT l.page) > {ratio} * t.pages),
         marked AS (
             SELECT l.page, l.line, l.pos, b.line IS NOT NULL AS dropped
-            FROM line l LEFT JOIN boiler b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line) = b.line),
+            FROM line l LEFT JOIN boiler b ON l.host IS NOT DISTINCT FROM b.host AND trim(l.line) = b.line),
         kept AS (
             SELECT page, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
                    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '') AS text
             FROM marked GROUP BY page)
-        SELECT p.doc_id, p.source AS host, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped,
+        SELECT p.{key}, p.host, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped,
                sha256(coalesce(k.text, '')) AS kept_sha256
-        FROM page p LEFT JOIN kept k USING (page)""",
-}
+        FROM page p LEFT JOIN kept k USING (page)"""
+
+
+ORACLES = {
+    "op2_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op10_line_dedup": _lines_sql("doc_id", "SELECT doc_id, source AS host, text FROM documents", 5, 0.08),
+    "pages_line_dedup": _lines_sql(
+        "page_id",
+        """SELECT page_id, coalesce(nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)), ''), url) AS host,
+                  replace(html, '<', chr(10) || '<') AS text FROM pages""",
+        3, 0.5,
+    ),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
