@@ -8,14 +8,14 @@ Documents are dealt to cells by a hash of doc_id; their texts are shuffled once
    its distinct anchors to the bucket of their hash, which tells the cells those that are shared.
 2. Neighbouring windows with the same anchor make a context, the bytes that they cover. Cells send their distinct
    contexts of shared anchors, with the least doc_id of each, to the anchors' buckets.
-3. A bucket builds the suffix array of its distinct contexts (sorted as far as the length in question) and derives
-   common prefixes by threshold-bounded interval expansion: beginning with the intervals of single symbols, every
-   interval of one length is extended backward by every symbol at once, breadth first, which gives the intervals
-   of the next length; a border that first shows at length l marks a common prefix of l - 1. The expansion stops at
-   50. Suffixes not yet parted share 50 bytes, and the least doc_id of their contexts is the string's first place.
+3. A bucket sorts the suffixes of its distinct contexts (as far as the length in question), makes their Burrows-Wheeler
+   transform and derives common prefixes by threshold-bounded interval expansion: beginning with the intervals of
+   single symbols, the intervals that are new are extended backward by every symbol, breadth first; a border that
+   first shows at length l marks a common prefix of l. The expansion stops at 50. Suffixes not yet parted share 50
+   bytes, and the least doc_id of their contexts is the string's first place.
 4. Cells mark the bytes of windows whose string has an earlier place, and cut them out.
 
-Buckets get each context once a cell, however many documents hold it, so a passage in a third of all documents
+The numbers of cells and buckets follow the bytes of the input. Buckets get each context once a cell, however many documents hold it, so a passage in a third of all documents
 costs one row a cell. No step has all pairs of anything.
 
 Defined results: a null text is empty; a row without a doc_id stays as it is and removes nothing; rows of one doc_id
@@ -32,15 +32,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spindrift.llm.memory import release
 from spindrift.llm.shingles import mix
+from spindrift.llm.tables import named
 
 LENGTH = 50
 GRAM = 20
-BLOCK = 1 << 20
-#: Cells for each shuffle partition.
+#: Bytes whose anchors are found at once: small enough for a processor's cache.
+BLOCK = 1 << 16
+#: Anchors are told apart by so many bits of their hash; two that fall together only widen the search.
+ANCHOR_BITS = 48
+#: Cells for each shuffle partition at least, and about how many bytes of text a cell and a bucket stand for at most.
 CELLS = 2
+CELL_BYTES = 24 << 20
+BUCKET_BYTES = 32 << 20
 #: About how many bytes of contexts one suffix array holds.
 ARRAY_BYTES = 1 << 18
 NEVER = np.iinfo(np.int64).max
@@ -77,7 +84,7 @@ def anchors(x: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, ...]:
     place = (low[at] & np.uint64(BLOCK - 1)).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (piece[1:] != piece[:-1])]))
     last = np.append(new[1:], len(at)) - 1
-    return piece[new], at[new], at[last], h[place[new]]
+    return piece[new], at[new], at[last], h[place[new]] & np.uint64((1 << ANCHOR_BITS) - 1)
 
 
 def _blocks(texts: list[bytes]):
@@ -105,6 +112,12 @@ def _unplanes(b: bytes, kind=np.int64) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(k, -1).T).view(kind).ravel()
 
 
+def _runs(sorted_: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, first, last) of the runs of equal values."""
+    start = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
+    return list(zip(sorted_[start].tolist(), start.tolist(), np.append(start[1:], len(sorted_)).tolist()))
+
+
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     """By the low half of the hash: anchors are the least of their neighbours, so their high bits are mostly 0."""
     return ((h & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)) >> np.uint64(32)
@@ -144,24 +157,28 @@ class Cell:
         bucket = _bucket(h[start], buckets).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         h, two = h[start][order], two[order]
-        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        return [(k, h[edge[k] : edge[k + 1]], two[edge[k] : edge[k + 1]]) for k in range(buckets) if edge[k + 1] > edge[k]]
+        return [(k, h[a:b], two[a:b]) for k, a, b in _runs(bucket[order])]
 
     def contexts(self, shared: np.ndarray, buckets: int):
-        """Distinct contexts of shared anchors by bucket, {bytes: place}, and a byte of each one's anchor; and their
-        occurrences: bucket, place, document, first window."""
-        known: list[dict[bytes, int]] = [{} for _ in range(buckets)]
-        parts: list[dict[int, int]] = [{} for _ in range(buckets)]
+        """Distinct contexts of shared anchors in the order of their bucket, the bucket and high anchor bits of each,
+        and the occurrences: place among the contexts, document, first window."""
+        known: dict[bytes, int] = {}
         found = []
         for x, doc, shift, low, high, h in self.anchors() if len(shared) else ():
             at = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
             own = np.flatnonzero(shared[at] == h)
-            body, bucket = x.tobytes(), _bucket(h[own], buckets).astype(np.int64)
-            place = [known[k].setdefault(body[a:b], len(known[k])) for k, a, b in zip(bucket.tolist(), low[own].tolist(), (high[own] + LENGTH).tolist())]
-            for k, i, part in zip(bucket.tolist(), place, ((h[own] >> np.uint64(32)) & np.uint64(255)).tolist()):
-                parts[k][i] = part
-            found.append((bucket, np.array(place, np.int64), doc[own], low[own] + shift[own]))
-        return known, parts, [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
+            body = x.tobytes()
+            place = [known.setdefault(body[a:b], len(known)) for a, b in zip(low[own].tolist(), (high[own] + LENGTH).tolist())]
+            found.append((np.array(place, np.int64), doc[own], low[own] + shift[own], h[own]))
+        place, doc, first, h = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
+        anchor = np.zeros(len(known), np.uint64)
+        anchor[place] = h  # equal bytes have equal anchors
+        bucket = _bucket(anchor, buckets).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        to = np.empty(len(order), np.int64)
+        to[order] = np.arange(len(order))
+        texts = list(known)
+        return [texts[i] for i in order.tolist()], bucket[order], (anchor[order] >> np.uint64(32)).astype(np.uint16), to[place], doc, first
 
 
 def suffix_array(x: np.ndarray, depth: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -198,32 +215,58 @@ def suffix_array(x: np.ndarray, depth: int = 64) -> tuple[np.ndarray, np.ndarray
 
 
 def expand_intervals(x: np.ndarray, order: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Borders, in suffix order, between suffixes that differ within `length` bytes: the common prefix of two
-    neighbours is derived by value, from 0 up, and what is not parted at `length` - 1 shares `length` bytes.
-
-    The rows of symbol c's bucket are, in order, the rows whose transform symbol is c, so row j is the backward
-    extension of row next_[j]. Extending all intervals of length l by all symbols parts two neighbours of a
-    bucket just where their rows lie in different intervals of length l."""
+    """Borders, in suffix order, between suffixes that differ within `length` symbols. Common prefixes are derived by
+    increasing value, breadth first: a round extends the intervals that are new since the last one backward by every
+    symbol of the transform, and a border that shows in round l stands for a common prefix of l symbols. Neighbours not
+    parted before `length` share that many symbols.
+
+    The rows that begin with a symbol are, in order, those whose transform holds it: row `forward[q]` is the extension
+    of row q by its symbol. Two neighbouring extensions part as soon as their rows lie in different intervals, so only
+    the extensions of rows whose interval has a new name are looked at; the largest part of an interval keeps its name,
+    so that a row is renamed log n times at most."""
     n = len(x)
-    inverse = np.empty(n + 1, np.int32)
-    inverse[order] = np.arange(n, dtype=np.int32)
-    inverse[n] = 0
-    next_ = inverse[order + 1]
+    back = np.argsort(x[order - 1], kind="stable").astype(np.int32)  # the transform, sorted: symbol counts and ranks
+    forward = np.empty(n, np.int32)
+    forward[back] = np.arange(n, dtype=np.int32)
     symbol = x[order]
-    border = np.ones(n, bool)
-    border[1:] = symbol[1:] != symbol[:-1]
-    at_end = np.flatnonzero(order == n - 1)  # the last suffix has no symbol after its first
-    border[at_end] = True
-    border[at_end[at_end + 1 < n] + 1] = True
-    waiting = np.flatnonzero(~border)
+    border = np.ones(n + 1, bool)
+    border[1:-1] = symbol[1:] != symbol[:-1]
+    last = int(np.flatnonzero(order == n - 1)[0])  # the last suffix has no symbol after its first
+    border[last] = border[last + 1] = True
+    name = np.cumsum(border[:-1], dtype=np.int32) - 1
+    names = int(name[-1]) + 1
+    low, high = np.empty(n + 1, np.int32), np.empty(n + 1, np.int32)  # of each interval, by name
+    edge = np.flatnonzero(border)
+    low[:names], high[:names] = edge[:-1], edge[1:]
+    queue, due = np.flatnonzero(~border[:-1]), np.zeros(n + 1, bool)
     for _ in range(length - 1):
-        if not len(waiting):
+        new = queue[name[back[queue]] != name[back[queue - 1]]]
+        if not len(new):
             break
-        interval = np.cumsum(border, dtype=np.int32)
-        apart = interval[next_[waiting]] != interval[next_[waiting - 1]]
-        border[waiting[apart]] = True
-        waiting = waiting[~apart]
-    return border
+        border[new] = True
+        first = np.flatnonzero(np.concatenate([[True], name[new[1:]] != name[new[:-1]]]))
+        parent, cuts = name[new[first]], np.diff(np.append(first, len(new)))
+        start, end = np.empty(len(new) + len(first), np.int32), np.empty(len(new) + len(first), np.int32)
+        at = np.arange(len(new)) + np.repeat(np.arange(1, len(first) + 1), cuts)
+        start[at], end[at - 1] = new, new
+        head = first + np.arange(len(first))
+        start[head], end[head + cuts] = low[parent], high[parent]
+        size = end - start
+        largest = np.where(size == np.repeat(np.maximum.reduceat(size, head), cuts + 1), np.arange(len(size)), len(size))
+        largest = np.minimum.reduceat(largest, head)
+        low[parent], high[parent] = start[largest], end[largest]
+        other = np.ones(len(size), bool)
+        other[largest] = False
+        start, end, size = start[other], end[other], size[other]
+        low[names : names + len(size)], high[names : names + len(size)] = start, end
+        rows = np.arange(int(size.sum()), dtype=np.int32) + np.repeat(start - (np.cumsum(size) - size).astype(np.int32), size)
+        name[rows] = np.repeat(np.arange(names, names + len(size), dtype=np.int32), size)
+        names += len(size)
+        extended = forward[rows]
+        due[extended] = due[extended + 1] = True
+        queue = np.flatnonzero(due[:-1] & ~border[:-1])
+        due[extended] = due[extended + 1] = False
+    return border[:-1]
 
 
 def first_places(contexts: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -310,12 +353,12 @@ def _places(batches):
 
     def bucket(k, parts):
         known: dict[bytes, int] = {}
-        part_of = bytearray()
+        part_of: list[int] = []
         ids, least = [], []
         for _, part, sizes, low, _, body in parts:
             end = np.cumsum(sizes)
             own = []
-            for p, a, b in zip(part, (end - sizes).tolist(), end.tolist()):
+            for p, a, b in zip(part.tolist(), (end - sizes).tolist(), end.tolist()):
                 c = body[a:b]
                 if (i := known.get(c)) is None:
                     i = known[c] = len(known)
@@ -326,8 +369,8 @@ def _places(batches):
         lowest = np.full(len(known), NEVER, np.int64)
         np.minimum.at(lowest, np.concatenate(ids), np.concatenate(least))
         texts = list(known)
-        shares = min(256, 1 + sum(map(len, texts)) // ARRAY_BYTES)  # equal strings have one anchor, so one array need not hold them all
-        share = np.frombuffer(part_of, np.uint8).astype(np.int64) * shares >> 8
+        shares = 1 + sum(map(len, texts)) // ARRAY_BYTES  # equal strings have one anchor, so one array need not hold them all
+        share = np.array(part_of, np.int64) * shares >> (ANCHOR_BITS - 32)
         found: list[list[tuple]] = [[] for _ in parts]
         local = np.full(len(texts), -1, np.int64)
         for s in range(shares):
@@ -366,7 +409,7 @@ def _places(batches):
                 parts = []
                 release()
             held = k
-            parts.append((cell, part, _unplanes(sizes, np.int32).astype(np.int64), _unplanes(least), _unplanes(most), body))
+            parts.append((cell, _unplanes(part, np.uint16), _unplanes(sizes, np.int32).astype(np.int64), _unplanes(least), _unplanes(most), body))
     if parts:
         yield from bucket(held, parts)
     del parts
@@ -382,9 +425,11 @@ def _read_shared(messages: pa.Table) -> np.ndarray:
 def remove_repeats(docs: DataFrame, *keep: str, text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; the columns in keep are passed on, and `kept` (what
     remains, as text, without the torn characters at cuts) is added if text is asked for."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = CELLS * buckets
-    own = docs.select("doc_id", F.col("text").cast("binary").alias("_body"), *keep).withColumn("cell", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("_body"))), F.lit(cells)).cast("int"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, cells = max(partitions, size // BUCKET_BYTES), max(CELLS * partitions, size // CELL_BYTES)
+    dealt = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("_body"))), F.lit(cells)).cast("int")
+    own = docs.select("doc_id", F.col("text").cast("binary").alias("_body"), *named(*keep)).withColumn("cell", dealt)
 
     def find_anchors(table: pa.Table) -> pa.Table:
         cell = table.column("cell")[0].as_py()
@@ -394,17 +439,13 @@ def remove_repeats(docs: DataFrame, *keep: str, text: bool = False) -> DataFrame
         rows = []
         if table.num_rows and messages.num_rows:
             cell = Cell(table)
-            known, parts, (bucket, place, doc, _) = cell.contexts(_read_shared(messages), buckets)
-            doc_id = cell.doc[doc]
-            order = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for k, texts in enumerate(known):
-                if texts:
-                    some = order[edge[k] : edge[k + 1]]
-                    least, most = np.full(len(texts), NEVER, np.int64), np.full(len(texts), -NEVER, np.int64)
-                    np.minimum.at(least, place[some], doc_id[some])
-                    np.maximum.at(most, place[some], doc_id[some])
-                    rows.append((k, table.column("cell")[0].as_py(), bytes(parts[k][i] for i in range(len(texts))), _planes(np.array([len(t) for t in texts], np.int32)), _planes(least), _planes(most), b"".join(texts)))
+            texts, bucket, part, place, doc, _ = cell.contexts(_read_shared(messages), buckets)
+            least, most = np.full(len(texts), NEVER, np.int64), np.full(len(texts), -NEVER, np.int64)
+            np.minimum.at(least, place, cell.doc[doc])
+            np.maximum.at(most, place, cell.doc[doc])
+            sizes, number = np.array([len(t) for t in texts], np.int32), table.column("cell")[0].as_py()
+            for k, a, b in _runs(bucket):
+                rows.append((k, number, *(_planes(v[a:b]) for v in (part, sizes, least, most)), b"".join(texts[a:b])))
         out = _table(rows, _CONTEXTS)
         del rows
         release()
@@ -417,12 +458,11 @@ def remove_repeats(docs: DataFrame, *keep: str, text: bool = False) -> DataFrame
         cover = np.zeros(int((size + 1).sum()) + 1, np.int32)
         found = messages.filter(pc.equal(messages.column("kind"), 1)) if messages.num_rows else messages
         if found.num_rows:
-            _, _, (bucket, place, doc, first) = cell.contexts(_read_shared(messages), buckets)
-            key = bucket << 32 | place
-            order = np.argsort(key, kind="stable")
-            key, doc, first = key[order], doc[order], first[order]
+            _, bucket, _, place, doc, first = cell.contexts(_read_shared(messages), buckets)
+            order = np.argsort(place, kind="stable")
+            key, doc, first = place[order], doc[order], first[order]
             for k, a, b, c, d in zip(*(found.column(n).to_pylist() for n in ("bucket", "a", "b", "c", "d"))):
-                wanted = (k << 32) | _unplanes(a, np.int32).astype(np.int64)
+                wanted = np.searchsorted(bucket, k) + _unplanes(a, np.int32).astype(np.int64)
                 low, run, earlier = _unplanes(b, np.int32), _unplanes(c, np.int32), _unplanes(d)
                 lo, hi = np.searchsorted(key, wanted), np.searchsorted(key, wanted, "right")
                 n = hi - lo
@@ -454,6 +494,7 @@ def remove_repeats(docs: DataFrame, *keep: str, text: bool = False) -> DataFrame
     shared = found.repartition(buckets, "bucket").sortWithinPartitions("bucket", "cell").mapInArrow(_shared, _DDL["shared"])
     contexts = grouped.cogroup(shared.groupBy("cell")).applyInArrow(find_contexts, _DDL["contexts"])
     places = contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "cell").mapInArrow(_places, _DDL["shared"])
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * text
-    schema += "".join(f", `{c}` {own.schema[c].dataType.simpleString()}" for c in keep)
+    longs = [T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")]
+    strings = [T.StructField(c, T.StringType()) for c in ("kept_sha256", *["kept"] * text)]
+    schema = T.StructType([*longs, *strings, *(own.schema[c] for c in keep)])
     return grouped.cogroup(shared.unionByName(places).groupBy("cell")).applyInArrow(cut, schema)
