@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import itertools
 import random
@@ -16,10 +17,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, components, exact_dedup, fingerprint, jaccard, langid, line_dedup, packing, quality, repeats, shingles, toxicity
+from spindrift.llm import bpe, components, exact_dedup, fingerprint, jaccard, langid, line_dedup, packing, quality, repeats, samples, shingles, toxicity
 from spindrift.llm.tables import held_out, tokenizer_path
 
 
+def prose(seed: int, words: int) -> str:
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(words))
+
+
 def table(df):
     return [r.asDict() for r in df.collect()]
 
@@ -48,6 +54,13 @@ def test_quality_learns_and_handles_odd_rows(spark, docs, nothing):
     assert {r["score"] for r in table(quality.quality(docs, empty))} and table(quality.quality(nothing, empty)) == []
 
 
+def test_a_sample_has_a_row_for_each_document(spark):
+    texts = spark.createDataFrame([(i % 50, f"t {i % 50} {i % 3}") for i in range(5000)] + [(7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    got = samples.labelled_sample(texts, labels, "quality", 10).collect()
+    assert len(got) == len({r.doc_id for r in got}) == 10 and all(r.text in (f"t {r.doc_id} 0", "") for r in got)
+
+
 # 2. exact deduplication
 
 
@@ -58,18 +71,32 @@ def test_fingerprints_compose(data, cut):
     assert exact_dedup.combine(exact_dedup.fingerprint(a), exact_dedup.fingerprint(b)) == exact_dedup.fingerprint(data)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=300), st.integers(1, 60))
+def test_shifted_parts_add_up(data, size):
+    parts = [data[i : i + size] for i in range(0, len(data), size)]
+    shares = [exact_dedup.shifted(p, len(data) - min(len(data), (i + 1) * size)) for i, p in enumerate(parts)]
+    assert tuple(sum(x[k] for x in shares) % exact_dedup.PRIMES[k] for k in (0, 1)) == exact_dedup.fingerprint(data)[:2]
+
+
+def test_exact_duplicates_of_repeated_rows(spark):
+    rows = [(1, "a"), (1, "a"), (2, "b"), (3, "x" * 200_000), (4, "x" * 200_000), (4, "x" * 200_000), (5, "x" * 199_999 + "y")]
+    got = table(exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    want = [(1, 1, 2), (1, 1, 2), (2, 2, 1), (3, 4, 3), (4, 4, 3), (4, 4, 3), (5, 5, 1)]
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == want
+
+
 @pytest.mark.parametrize("modulus", [None, 2])
-def test_exact_duplicates(docs, nothing, modulus, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "CHUNK", 1 << 16)
+def test_exact_duplicates(docs, nothing, modulus):
     got = table(exact_dedup.exact_duplicates(docs, modulus))
     groups = defaultdict(list)
     for r in docs.select("doc_id", "text").collect():
         groups[r.text or ""].append(r.doc_id)
-    want = set()
+    want: Counter = Counter()
     for t, ids in groups.items():
         keep = max((i for i in ids if i is not None), default=None)
-        want |= {(i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()) for i in ids}
-    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == Counter(want)
+        want.update((i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()) for i in ids)
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == want
     assert table(exact_dedup.exact_duplicates(nothing, modulus)) == []
 
 
@@ -307,7 +334,6 @@ def test_same_ids_as_the_tokenizers_library(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     for r in docs.select("text").collect():
         assert packing.encoder()(r.text or "").tolist() == t.encode(r.text or "", add_special_tokens=False).ids
 
@@ -323,6 +349,39 @@ def test_added_tokens_as_the_tokenizers_library(docs):
     assert packing.encoder()(odd[0]).tolist() == [505, 220, 50256, 734]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 90), max_size=60), st.integers(1, 6), st.integers(1, 12))
+def test_cut_examples_keep_to_all_limits(sizes, segments, pool):
+    packer = packing.Packer((32, segments, 32), cut=True, pool=pool)
+    placed, gone, used = [], defaultdict(int), defaultdict(list)
+    for i, n in enumerate(sizes):
+        whole = n // 32 * 32
+        for start, tokens, loss in ((0, whole, whole), (whole, n - whole, n - whole - 1)):
+            if tokens:
+                placed += list(packer.add((i, start), tokens, 1, loss))
+    placed += list(packer.end())
+    for (i, base), start, size, number, offset in sorted(placed, key=lambda p: (p[0], p[1])):
+        assert base + start == gone[i] and size > 0
+        gone[i] += size
+        used[number].append((offset, size))
+    assert [gone[i] for i in range(len(sizes))] == sizes
+    for pieces in used.values():
+        assert len(pieces) <= segments and sum(s for _, s in pieces) <= 32
+        assert all(a + s == b for (a, s), (b, _) in zip(sorted(pieces), sorted(pieces)[1:]))
+
+
+def test_segments_bind(spark):
+    """Many short documents and few long ones: sequences of as many segments as allowed, still filled to the end."""
+    rows = [(i, "word") for i in range(600)] + [(1000 + i, prose(i, 300)) for i in range(30)]
+    got = table(packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), 256, segments=8))
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append(r["length"])
+    assert max(map(len, sequences.values())) == 8
+    waste = sum(256 - sum(s) for s in sequences.values() if sum(s) & (sum(s) - 1))
+    assert waste < 0.05 * sum(map(sum, sequences.values()))
+
+
 def test_examples_keep_to_all_limits(spark):
     rng = random.Random(2)
     rows = [(i, rng.randint(1, 90), rng.randint(1, 4), rng.randint(0, 60)) for i in range(300)] + [(999, 500, 1, 1), (1000, None, None, None)]
@@ -338,23 +397,85 @@ def test_examples_keep_to_all_limits(spark):
 # 7. fingerprints
 
 
-def test_fingerprints(docs, nothing):
-    got = table(fingerprint.near_next(docs))
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    want = Counter()
+def plain_bin(window: bytes) -> int:
+    total = sum(round(n * np.log2(n) * 65536) for n in Counter(window).values())
+    return 1023 - total * 1023 // round(64 * 6 * 65536)
+
+
+def plain_digest(text: bytes, rank: dict[int, int]) -> list[set[int]]:
+    """Window by window and run by run."""
+    mask, words = (1 << 64) - 1, [int(w) for w in fingerprint._WORD]
+    windows = [text[i : i + 64] for i in range(len(text) - 63)]
+    key = [(rank[plain_bin(w)], i) for i, w in enumerate(windows)]
+    points = Counter(min(key[i : i + 64])[1] for i in range(len(key) - 63))
+    chosen = sorted({i for i, n in points.items() if n >= 16} | ({min(key)[1]} if key else set()))
+    features = [windows[i] for i in chosen] or ([text.ljust(64, b"\0")] if text else [])
+    chain: list[set[int]] = []
+    for n, f in enumerate(features):
+        if n % 160 == 0:
+            chain.append(set())
+        h = 0
+        for k in range(8):
+            x = int.from_bytes(f[8 * k : 8 * k + 8], "little") * words[k] & mask
+            h += (x ^ x >> 29) * words[7 - k]
+        h &= mask
+        h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & mask
+        h ^= h >> 31
+        chain[-1] |= {h >> 11 * j & 2047 for j in range(5)}
+    return chain
+
+
+def plain_likeness(a: list[set[int]], b: list[set[int]]) -> float:
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    if (len(a), sum(map(len, a))) > (len(b), sum(map(len, b))):
+        a, b = b, a
+
+    def share(x, y):
+        chance, most = len(x) * len(y) / 2048, min(len(x), len(y))
+        return min(1.0, max(0.0, (len(x & y) - chance) / max(most - chance, 1e-9)))
+
+    return sum(len(x) * max(share(x, y) for y in b) for x in a) / sum(map(len, a))
+
+
+def in_order(docs) -> list[tuple]:
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    return [(r.doc_id, r.t) for r in sorted(rows, key=lambda r: (-(1 << 63) if r.doc_id is None else r.doc_id, r.h, r.t))]
+
+
+def test_fingerprints_as_a_plain_version(docs, nothing):
+    rows = in_order(docs)
+    counts = Counter(plain_bin(t[i : i + 64]) for t in (t.encode() for _, t in rows) for i in range(len(t) - 63))
+    rank = {b: i for i, b in enumerate(sorted(range(1024), key=lambda b: (b < 100, counts[b], b)))}
+    digest = functools.cache(lambda t: plain_digest(t.encode(), rank))
+    text = lambda chain: base64.b64encode(b"".join(np.packbits(np.isin(np.arange(2048), list(f))).tobytes() for f in chain)).decode()
+    want: Counter = Counter()
     for (i, t), (_, f) in zip(rows, [*rows[1:], rows[0]]):
-        want[i, len(t), hashlib.sha256(fingerprint.edited(t, f).encode()).hexdigest()] += 1
-    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
-    by = defaultdict(set)
-    text_of = {i: t for i, t in rows if i is not None}
-    for r in got:
-        if r["doc_id"] is not None:
-            by[text_of[r["doc_id"]]].add(r["fingerprint"])
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    assert all(len(x) == 1 for x in by.values()) and by[""] == {""}
+        half = len(t) // 2
+        e = t[: len(t) - half] + f[:half]
+        near = [round(plain_likeness(digest(t), digest(x)), 5) for x in (e, f)]
+        want[i, len(t), hashlib.sha256(e.encode()).hexdigest(), text(digest(t)), text(digest(e)), *near] += 1
+    got = table(fingerprint.near_next(docs))
+    names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint")
+    assert Counter((*(r[c] for c in names), round(r["near_edited"], 5), round(r["near_next"], 5)) for r in got) == want
     assert table(fingerprint.near_next(nothing)) == []
 
 
+def test_followers_of_any_doc_id(spark):
+    """Hashes as ids, an id of many texts, and nulls."""
+    rng = random.Random(3)
+    rows = [(rng.randint(-(1 << 63) + 1, (1 << 63) - 1), prose(i, 8)) for i in range(300)]
+    rows += [(77, prose(1000 + i, 5)) for i in range(300)] + [(None, "x"), (None, None), (77, prose(1000, 5)), ((1 << 63) - 1, "end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    ordered = in_order(df)
+    want = Counter((i, hashlib.sha256(fingerprint.edited(t, f).encode()).hexdigest()) for (i, t), (_, f) in zip(ordered, [*ordered[1:], ordered[0]]))
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in table(fingerprint.near_next(df))) == want
+    parts = fingerprint._ranges(df).groupBy("part").count().collect()
+    assert len(parts) > 12 and max(r["count"] for r in parts) < 150
+
+
 def test_entropy_bins():
     x = np.frombuffer(("the quick brown fox " * 9 + "z" * 90 + "0123456789" * 9).encode(), np.uint8)
     for s, b in enumerate(fingerprint.entropy_bins(x)):
@@ -366,20 +487,27 @@ def test_entropy_bins():
 # 8. language
 
 
-def test_cross_parsing_counts_phrases():
-    samples = {"a": "abab cdc dcd", "b": "bbaa ddcc bdbd"}
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_cross_parsing_counts_phrases(few, monkeypatch):
+    """Longest matches from left to right over whole texts, short and long, read together or one by one."""
+    monkeypatch.setattr(langid, "FEW", few)
+    rng = random.Random(8)
+    samples = {"a": "abab cdc dcd" + "".join(rng.choices("abcd ", k=200)), "b": "bbaa ddcc bdbd" + "".join(rng.choices("abcd ", k=90))}
+    samples = {k: " ".join(v.split()) for k, v in samples.items()}
     m = langid.Model(samples)
-    for text in ("abab", "ddcc bdbd aabb", "cdcdc xyz ab", "a"):
-        symbols, bounds = m.symbols([text])
-        got = m.phrases(symbols, bounds)[0]
-        for k, lang in enumerate(m.languages):
+    texts = ["abab", "", "ddcc bdbd aabb", "a", *(" ".join("".join(rng.choices("abcd ", k=n)).split()) for n in (3000, 700, 20))]
+    got = m.phrases(*m.symbols(texts))
+    for t, row in zip(texts, got.tolist()):
+        want = []
+        for lang in m.languages:
             n, i = 0, 0
-            while i < len(text):
+            while i < len(t):
                 j = i + 1
-                while j <= len(text) and text[i:j] in samples[lang]:
+                while j < len(t) and t[i : j + 1] in samples[lang]:
                     j += 1
-                i, n = max(i + 1, j - 1), n + 1
-            assert abs(int(got[k]) - n) <= text.count("x") + text.count("y") + text.count("z")
+                i, n = j, n + 1
+            want.append(n)
+        assert row == want
 
 
 def scripts() -> dict[str, list[str]]:
@@ -438,17 +566,31 @@ def test_bpe_as_tiktoken(text):
 
 
 def test_bpe_rows(docs, nothing):
-    by = {r["doc_id"]: r for r in table(bpe.round_trip(docs))}
+    import tiktoken
+
+    with open(tokenizer_path(bpe.VOCABULARY), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("t", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want: Counter = Counter()
     for r in docs.select("doc_id", "text").collect():
-        if r.doc_id is not None:
-            assert by[r.doc_id]["decoded_sha256"] == hashlib.sha256((r.text or "").encode()).hexdigest()
+        ids = np.array(plain.encode_ordinary(r.text or ""), "<u4")
+        want[r.doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in table(bpe.round_trip(docs))) == want
     assert table(bpe.round_trip(nothing)) == []
 
 
 def test_long_pieces_merge_alike():
-    c = bpe.codec(bpe.VOCABULARY)
-    for p in (b"abcabc" * 60, bytes(range(97, 123)) * 12):
-        assert c._merge_long(p) == c._merge_matrix([p])[0]
+    c, rng = bpe.codec(bpe.VOCABULARY), random.Random(9)
+    assert 0 < c.safe.mean() < 1
+    odd = [b"abcabc" * 60, bytes(range(97, 123)) * 12, b"a" * 301, b"ab" * 200 + b"a", "ü".encode() * 150, bytes(rng.choices(b"abeinrst", k=700)), bytes(rng.choices(range(256), k=400))]
+    for p in odd:
+        assert c._merge_row(p) == c._merge_matrix([p])[0]
+    for safe in (True, False):
+        tiny = bpe.Codec({**{bytes([b]): b for b in range(256)}, b"th": 300, b"the": 301, b"he": 350, b"theh": 310, b"aa": 320, b"aaa": 321, b"aaaa": 315})
+        tiny.safe[:] &= safe
+        for p in (b"xthehe" * 9, b"a" * 57, b"heheththe" * 7, b"tthhee" * 11):
+            assert tiny._merge_row(p) == tiny._merge_matrix([p])[0]
+    assert len(c._merge_row(b"x" * 100_000)) > 0
 
 
 # 10. lines
@@ -459,6 +601,8 @@ def test_boilerplate_lines(spark, docs, nothing):
     got = {r["doc_id"]: r for r in table(line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id int, source string, text string"), ratio=0.4, min_pages=3))}
     assert got[1]["text"] == "own 1\n" and got[1]["n_dropped"] == 3 and got[99]["text"] is None and got[99]["n_lines"] == 0
     assert got[4]["text"] == "only" and got[21]["n_dropped"] == 2  # a null site is a site: 4 of its 5 pages have NAV, 3 are under the count
+    urls = spark.createDataFrame([("http://WWW.a.example/x",), ("https://b.example:8080/?q",), ("not a url",), (None,)], "url string")
+    assert [r[0] for r in urls.select(line_dedup.host(F.col("url"))).collect()] == ["www.a.example", "b.example", "not a url", None]
     out = line_dedup.drop_boilerplate(docs)
     assert out.columns == [*docs.columns, "n_lines", "n_dropped"] and out.count() == docs.count()
     assert table(line_dedup.drop_boilerplate(nothing)) == []
