@@ -8,7 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that a query never searches for.
-STOPWORDS = frozenset("the and for are but not you all can had her was one our out has have been were they this that with from what when where which who how why will would".split())
+STOPWORDS = frozenset((
+    "a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "did", "do", "does",
+    "for", "from", "had", "has", "have", "how", "i", "if", "in", "into", "is", "it", "its",
+    "last", "me", "my", "of", "on", "or", "our", "so", "that", "the", "their", "then",
+    "there", "this", "time", "to", "was", "we", "were", "what", "when", "where", "which",
+    "who", "why", "will", "with", "you",
+))
 RESERVED = frozenset("and or not near match rank order column phrase".split())
 
 
@@ -27,8 +33,8 @@ def parse_query(query: str) -> tuple[list[str], list[str], list[str]]:
 
 
 def words(text: Column) -> Column:
-    """Lower-case words of letters, digits and underscores (ASCII)."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9_]+", " "), " "), lambda w: w != "")
+    """Lower-case words of letters, digits and underscores (ASCII). array_remove stays in generated code, a lambda doesn't."""
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9_]+"), "")
 
 
 def matched_share(text: Column, terms: list[str]) -> Column:

@@ -1,4 +1,6 @@
-"""Clusters of vectors: spread, representatives, geometry and leader clustering."""
+"""Clusters of vectors: spread, representatives, geometry and leader clustering.
+
+Rows without a vector are left out by the caller; ties go to the least key; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -32,7 +34,6 @@ def medoid(rows: DataFrame, group: str, key: str, vector: str) -> DataFrame:
 def geometry(rows: DataFrame, group: str, vector: str, theta: float = 0.7) -> DataFrame:
     """group, n, dimension (participation ratio of the spectrum), concentration, strategy. Each task sums moments of its
     rows (n, sum and Gram matrix of d x d), so that no group's vectors meet in one place."""
-    d = len(rows.select(vector).first()[0])
 
     def moments(pdf_iter):
         import pandas as pd
@@ -51,7 +52,8 @@ def geometry(rows: DataFrame, group: str, vector: str, theta: float = 0.7) -> Da
         import pandas as pd
 
         n = int(pdf["n"].sum())
-        s, c = np.sum(np.stack(pdf["s"]), 0), np.sum(np.stack(pdf["c"]), 0).reshape(d, d)
+        s = np.sum(np.stack(pdf["s"]), 0)
+        c = np.sum(np.stack(pdf["c"]), 0).reshape(len(s), len(s))
         cov = c / n - np.outer(s / n, s / n)
         values = np.maximum(np.linalg.eigvalsh(cov), 0)
         total = values.sum()

@@ -1,7 +1,12 @@
-"""Near duplicates of short records by hashes, words and vectors, and what to do with them."""
+"""Near duplicates of short records by hashes, words and vectors, and what to do with them.
+
+Null contents count as empty and have no words; equal rows are one class, whose members come as a star around the least
+key; an empty table gives no rows."""
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from collections import Counter
 
 import numpy as np
@@ -48,7 +53,7 @@ def minhash_signature(content: str, size: int = 128) -> np.ndarray:
     """Least values of `size` hash functions over the text's padded character trigrams."""
     t = f"  {content.lower()} "
     grams = {t[i : i + 3] for i in range(len(t) - 2)}
-    base = np.array([int.from_bytes(__import__("hashlib").blake2b(g.encode(), digest_size=4).digest(), "little") for g in sorted(grams)], np.uint64)
+    base = np.array([int.from_bytes(hashlib.blake2b(g.encode(), digest_size=4).digest(), "little") for g in sorted(grams)], np.uint64)
     rng = np.random.Generator(np.random.PCG64(7))
     a, b = rng.integers(1, 1 << 31, size, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 31, size, dtype=np.uint64)
     return ((base[None, :] * a[:, None] + b[:, None]) % np.uint64(4294967291)).min(1).astype(np.int64)
@@ -66,44 +71,58 @@ def hashes(rows: DataFrame, key: str, content: str) -> DataFrame:
     return rows.select(F.col(key).cast("long").alias(key), content).mapInArrow(run, f"{key} long, simhash long, minhash array<long>")
 
 
-def hash_candidates(signed: DataFrame, key: str, distance: int = 4, similar: float = 0.7, bands: int = 42) -> DataFrame:
+def hash_candidates(signed: DataFrame, key: str, distance: int = 4, similar: float = 0.7, bands: int = 42, blocks: int = 8) -> DataFrame:
     """a < b, hamming, minhash, stage: pairs within the distance of the simhash or the similarity of the minhash.
 
-    Blocking loses nothing: `distance` differing bits leave one of distance + 1 blocks of bits equal, and 38 of 128
-    differing places leave one of 42 bands of three equal. Equal rows are one class before blocking; pairs are of the
-    classes' least keys, `class_members` has the others."""
-    width = -(-32 // (distance + 1))
-    keys = [F.struct(F.lit(i).alias("t"), (F.shiftright("simhash", i * width).bitwiseAND((1 << width) - 1)).alias("v")) for i in range(distance + 1)]
-    rows = 128 // bands
-    keys += [F.struct(F.lit(100 + i).alias("t"), F.xxhash64(F.slice("minhash", i * rows + 1, rows)).alias("v")) for i in range(bands)]
+    Blocking loses nothing: `distance` differing bits leave blocks - distance blocks of 32 / blocks bits equal, so one of
+    the choices of so many blocks is a key that both have (16 bits here); 38 of 128 differing places leave one of 42 bands
+    of three equal. Pairs of a key are compared where they meet, before they are made distinct. Equal rows are one class
+    before blocking; pairs are of the classes' least keys, `class_members` has the others."""
     classes = signed.groupBy("simhash", "minhash").agg(F.min(key).alias(key))
-    blocks = classes.select(key, F.explode(F.array(*keys)).alias("k"))
-    pairs = blocks.select(F.col(key).alias("a"), "k").join(blocks.select(F.col(key).alias("b"), "k"), "k").filter("a < b").select("a", "b").distinct()
-    one = lambda s, p: classes.select(F.col(key).alias(p), F.col("simhash").alias(f"s{p}"), F.col("minhash").alias(f"m{p}"))
-    both = pairs.join(one(classes, "a"), "a").join(one(classes, "b"), "b")
-    hamming = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))
+    width = 32 // blocks
+    masks = [sum(((1 << width) - 1) << (i * width) for i in chosen) for chosen in itertools.combinations(range(blocks), blocks - distance)]
+    own = classes.select(F.col(key).alias("id"), "simhash", F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("simhash").bitwiseAND(m).alias("v")) for i, m in enumerate(masks)))).alias("k"))
+    a, b = own.select(F.col("id").alias("a"), F.col("simhash").alias("sa"), "k"), own.select(F.col("id").alias("b"), F.col("simhash").alias("sb"), "k")
+    near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= distance
+    by_bits = a.join(b, "k").filter((F.col("a") < F.col("b")) & near).select("a", "b")
+    rows = 128 // bands
+    own = classes.select(F.col(key).alias("id"), F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.slice("minhash", i * rows + 1, rows).alias("v")) for i in range(bands)))).alias("k"))
+    by_band = own.select(F.col("id").alias("a"), "k").join(own.select(F.col("id").alias("b"), "k"), "k").filter("a < b").select("a", "b")
+    pairs = by_bits.unionByName(by_band).distinct()
+    one = lambda p: classes.select(F.col(key).alias(p), F.col("simhash").alias(f"s{p}"), F.col("minhash").alias(f"m{p}"))
+    both = pairs.join(one("a"), "a").join(one("b"), "b")
     same = F.size(F.filter(F.zip_with("ma", "mb", lambda x, y: x == y), lambda x: x)) / 128
-    out = both.select("a", "b", hamming.alias("hamming"), same.alias("minhash"))
+    out = both.select("a", "b", F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))).alias("hamming"), same.alias("minhash"))
     stage = F.when((F.col("hamming") <= distance) & (F.col("minhash") >= similar), "both").when(F.col("hamming") <= distance, "simhash").otherwise("minhash")
     return out.filter((F.col("hamming") <= distance) | (F.col("minhash") >= similar)).withColumn("stage", stage)
 
 
-def word_jaccard(rows: DataFrame, key: str, content: str, least: float) -> DataFrame:
-    """a < b, jaccard of the word sets. Equal sets are one class; of each set only a prefix of its rarest words is
-    joined, which every similar pair shares a word of; sizes and the exact sets decide. Pairs are of the classes' least
-    keys; `class_members` of `word_sets` has the others."""
-    classes = word_sets(rows, key, content).groupBy("_w").agg(F.min(key).alias("id"))
-    each = classes.select("id", F.size("_w").alias("n"), F.explode("_w").alias("w"))
-    often = each.groupBy("w").agg(F.count("*").alias("df"))
-    order = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
-    prefix = each.join(often, "w").withColumn("r", order).filter(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
-    a, b = prefix.select("w", F.col("id").alias("a"), F.col("n").alias("m")), prefix.select("w", F.col("id").alias("b"), "n")
-    near = a.join(b, "w").filter((F.col("a") < F.col("b")) & (F.least("m", "n") >= F.lit(least) * F.greatest("m", "n"))).select("a", "b").distinct()
-    both = near.join(classes.select(F.col("id").alias("a"), F.col("_w").alias("x")), "a").join(classes.select(F.col("id").alias("b"), F.col("_w").alias("y")), "b")
+def similar_sets(sets: DataFrame, least: float) -> DataFrame:
+    """a < b, jaccard of sets (id, w: sorted distinct words), at least `least`.
+
+    Of each set only a prefix of its rarest words is joined, which every similar pair shares a word of. A shared word
+    counts only if the places that follow it in both sets still suffice for the overlap that their sizes need, as they do
+    for the first word that a similar pair shares. Sizes and the exact sets decide."""
+    each = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("k"))
+    often = each.groupBy("k").agg(F.count("*").alias("df")).filter("df > 1")
+    alone = each.join(often, "k", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    order = F.row_number().over(Window.partitionBy("id").orderBy("df", "k"))
+    prefix = alone.withColumn("r", order).filter((F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1) & (F.col("df") > 1))
+    a, b = prefix.select("k", F.col("id").alias("a"), F.col("n").alias("m"), F.col("r").alias("i")), prefix.select("k", F.col("id").alias("b"), "n", F.col("r").alias("j"))
+    overlap = F.ceil(F.lit(least / (1 + least)) * (F.col("m") + F.col("n")) - 1e-9)
+    may = (F.least("m", "n") >= F.lit(least) * F.greatest("m", "n") - 1e-9) & (1 + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= overlap)
+    near = a.join(b, "k").filter((F.col("a") < F.col("b")) & may).select("a", "b").distinct()
+    both = near.join(sets.select(F.col("id").alias("a"), F.col("w").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("w").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.withColumn("jaccard", common / (F.size("x") + F.size("y") - common)).filter(F.col("jaccard") >= least).select("a", "b", "jaccard")
 
 
+def word_jaccard(rows: DataFrame, key: str, content: str, least: float) -> DataFrame:
+    """a < b, jaccard of the word sets. Equal sets are one class; pairs are of the classes' least keys, `class_members` of
+    `word_sets` has the others."""
+    return similar_sets(word_sets(rows, key, content).groupBy("_w").agg(F.min(key).alias("id")).select("id", F.col("_w").alias("w")), least)
+
+
 def pair_confidence(similarity: Column, same_kind: Column, tag_overlap: Column) -> Column:
     return F.when(similarity >= 0.9, F.when(same_kind | (tag_overlap > 0.3), "high").otherwise("medium")).when(similarity >= 0.8, "medium").otherwise("low")
 
@@ -116,26 +135,30 @@ def merged_sentences(rows: DataFrame, group: str, content: str) -> DataFrame:
 
 
 def entity_matches(rows: DataFrame, key: str, name: str, least: float = 0.8) -> DataFrame:
-    """a < b, score: equal names 1, word Jaccard from `least`, containment with a length ratio of a half 0.85.
-
-    Blocking loses nothing: equal names join on the name, similar word sets share a word, and all character trigrams of a
-    contained name are in the other, so that its rarest one finds it; a name of one or two characters is looked up whole
-    among names of at most four."""
-    own = rows.select(F.col(key).alias("id"), F.lower(name).alias("x"), F.array_distinct(text.words(F.col(name))).alias("w"))
-    words = own.select("id", F.explode("w").alias("k"))
-    by_word = words.select(F.col("id").alias("a"), "k").join(words.select(F.col("id").alias("b"), "k"), "k").filter("a < b").select("a", "b")
-    equal = own.select(F.col("id").alias("a"), "x").join(own.select(F.col("id").alias("b"), "x"), "x").filter("a < b").select("a", "b")
+    """a < b, score: word Jaccard from `least`, containment with a length ratio of a half 0.85. Equal names (but for case)
+    are one class: pairs are of the classes' least keys, and each other member is paired with its class's least key at 1.
+
+    Blocking loses nothing: similar word sets share a word of their rarest, and all character trigrams of a contained name
+    are in the other, so that its rarest one finds it; a name of one or two characters is looked up whole among names of at
+    most four, and longer ones by trigrams that hold it."""
+    all_ = rows.select(F.col(key).alias("id"), F.lower(name).alias("x")).filter("x IS NOT NULL")
+    same = class_members(all_, "id", "x").select(F.col("rep").alias("a"), F.col("member").alias("b"), F.lit(1.0).alias("score"))
+    own = all_.groupBy("x").agg(F.min("id").alias("id")).select("id", "x", F.array_sort(F.array_distinct(text.words(F.col("x")))).alias("w"))
+    sets = own.filter(F.size("w") > 0)
+    classes = sets.groupBy("w").agg(F.min("id").alias("rep"))
+    by_word = similar_sets(classes.select(F.col("rep").alias("id"), "w"), least)
+    members = sets.join(classes, "w").select("rep", "id")  # names of the same words in another order or with other signs
+    pair = lambda x, y: by_word.join(members.toDF("a", "p"), "a").join(members.toDF("b", "q"), "b").select(F.col(x), F.col(y), "jaccard")
+    by_word = pair("p", "q").toDF("a", "b", "jaccard").unionByName(
+        members.filter("rep <> id").join(members.toDF("rep", "other"), "rep").filter("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), F.lit(1.0).alias("jaccard"))
+    )
+    by_word = by_word.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("jaccard").alias("score"))
     n_grams = lambda n: f"CASE WHEN length(x) >= {n} THEN transform(sequence(1, length(x) - {n - 1}), i -> substring(x, i, {n})) ELSE array() END"
     names = own.filter("x <> ''").select("id", "x")
     grams = names.select("id", "x", F.explode(F.expr(f"array_distinct(CASE WHEN length(x) <= 4 THEN concat({n_grams(3)}, {n_grams(2)}, {n_grams(1)}) ELSE {n_grams(3)} END)")).alias("k"))
     often = grams.groupBy("k").agg(F.count("*").alias("df"))
-    probe = grams.filter("length(k) = least(length(x), 3)").join(often, "k").groupBy("id", "x").agg(F.min(F.struct("df", "k")).alias("rare")).select(F.col("id").alias("s"), F.col("x").alias("y"), F.col("rare.k").alias("k"))
+    probe = grams.filter("length(k) = least(length(x), 3)").join(often, "k").groupBy("id", "x").agg(F.min(F.struct("df", "k")).alias("rare"))
+    probe = probe.select(F.col("id").alias("s"), F.col("x").alias("y"), F.col("rare.k").alias("k"))
     held = probe.join(grams, "k").filter("id <> s AND contains(x, y) AND length(y) >= 0.5 * length(x)")
-    by_part = held.select(F.least("id", "s").alias("a"), F.greatest("id", "s").alias("b"))
-    pairs = by_word.unionByName(equal).unionByName(by_part).distinct()
-    both = pairs.join(own.toDF("a", "x", "v"), "a").join(own.toDF("b", "y", "w"), "b")
-    common = F.size(F.array_intersect("v", "w"))
-    jaccard = F.try_divide(common, F.size("v") + F.size("w") - common)
-    inside = (F.col("x").contains(F.col("y")) | F.col("y").contains(F.col("x"))) & (F.least(F.length("x"), F.length("y")) >= 0.5 * F.greatest(F.length("x"), F.length("y")))
-    score = F.when(F.col("x") == F.col("y"), 1.0).when(jaccard >= least, jaccard).when(inside, 0.85)
-    return both.withColumn("score", score).filter("score IS NOT NULL").select("a", "b", "score")
+    by_part = held.select(F.least("id", "s").alias("a"), F.greatest("id", "s").alias("b"), F.lit(0.85).alias("score")).distinct()
+    return same.unionByName(by_word.unionByName(by_part.join(by_word.select("a", "b"), ["a", "b"], "left_anti")).distinct())

@@ -3,9 +3,13 @@ visited vertices taken out; an edge is looked up by either end through a union o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.sources.tables import discard, stored
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *(c for c in edges.columns if c not in ("src", "dst"))))
@@ -65,10 +69,11 @@ def boost(edges: DataFrame, seeds: DataFrame, depth: int = 2, least: float = 0.3
 
 
 def derive(edges: DataFrame, rules: DataFrame) -> DataFrame:
-    """src, dst, kind, confidence: two-hop conclusions. edges: src, dst, kind; rules: first, second, kind, confidence."""
+    """src, dst, kind, confidence: two-hop conclusions. edges: src, dst, kind; rules: first, second, kind, confidence,
+    which Spark broadcasts below its own size threshold."""
     a = edges.select("src", F.col("dst").alias("via"), F.col("kind").alias("first"))
     b = edges.select(F.col("src").alias("via"), "dst", F.col("kind").alias("second"))
-    out = a.join(b, "via").filter("src <> dst").join(F.broadcast(rules), ["first", "second"])  # rules: a fixed, short list
+    out = a.join(b, "via").filter("src <> dst").join(rules, ["first", "second"])
     return out.groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"), F.count("*").alias("paths"))
 
 
@@ -78,13 +83,68 @@ def mutual(edges: DataFrame) -> DataFrame:
     return e.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"], "left_semi").filter("src <= dst")
 
 
-def chain_ends(edges: DataFrame, key: str, follows: str, rounds: int = 20) -> DataFrame:
-    """The end of each row's chain of successors, by pointer doubling: 2^rounds links are followed."""
-    jump = edges.select(F.col(key).alias("src"), F.col(follows).alias("dst"), F.lit(1).cast("long").alias("links"))
-    for _ in range(rounds):
+def chain_ends(edges: DataFrame, key: str, follows: str) -> DataFrame:
+    """The end of each row's chain of successors and the links to it, by pointer doubling. A round is written to the
+    shared folder, so that the plan stays small; the last is the one in which no pointer moves. Chains that run in a
+    circle have no end and are left out."""
+    jump = stored(edges.select(F.col(key).alias("src"), F.col(follows).alias("dst"), F.lit(1).cast("long").alias("links")))
+    n = jump.count()
+    for _ in range(max(1, n).bit_length() + 1):
         ahead = jump.select(F.col("src").alias("dst"), F.col("dst").alias("further"), F.col("links").alias("more"))
-        jump = jump.join(ahead, "dst", "left").select("src", F.coalesce("further", "dst").alias("dst"), (F.col("links") + F.coalesce("more", F.lit(0))).alias("links"))
-    return jump
+        if jump.join(ahead.select("dst"), "dst", "left_semi").isEmpty():
+            return jump
+        further = jump.join(ahead, "dst", "left").select("src", F.coalesce("further", "dst").alias("dst"), (F.col("links") + F.coalesce("more", F.lit(0))).alias("links"))
+        jump, old = stored(further), jump
+        discard(old)
+    return jump.join(jump.select(F.col("src").alias("dst")), "dst", "left_anti").select("src", "dst", "links")
+
+
+def temporal_cycles(edges: DataFrame, depth: int) -> DataFrame:
+    """vertex, hops: vertices that a path of at most `depth` edges leads back to, along which all periods [low, high) meet
+    (a null end is open). edges: src, dst, low, high."""
+    later = F.least(F.col("high"), F.col("h"))  # nulls are skipped
+    paths = edges.filter("src <> dst").select(F.col("src").alias("vertex"), F.col("dst").alias("at"), "low", "high")
+    loops = edges.filter("src = dst").select(F.col("src").alias("vertex"), F.lit(1).alias("hops"))
+    step = edges.filter("src <> dst").select(F.col("src").alias("at"), F.col("dst").alias("next"), F.col("low").alias("l"), F.col("high").alias("h"))
+    for hops in range(2, depth + 1):
+        meets = (F.col("high").isNull() | (F.col("l") < F.col("high"))) & (F.col("h").isNull() | (F.col("h") > F.col("low")))
+        paths = paths.join(step, "at").filter(meets).select("vertex", F.col("next").alias("at"), F.greatest("low", "l").alias("low"), later.alias("high")).distinct()
+        loops = loops.unionByName(paths.filter("at = vertex").select("vertex", F.lit(hops).alias("hops")))
+        paths = paths.filter("at <> vertex")
+    return loops.groupBy("vertex").agg(F.min("hops").alias("hops"))
+
+
+def view(edges: DataFrame, starts: DataFrame, kinds: tuple[str, ...], depth: int, least: float) -> DataFrame:
+    """vertex, hops: what a view of the graph reaches from the starts, both ways: edges of its kinds and enough weight."""
+    return bfs(both_ways(edges.filter(F.col("kind").isin(*kinds)).select("src", "dst", "weight")), starts, depth, least)
+
+
+def provenance(edges: DataFrame, starts: DataFrame, kinds: tuple[str, ...], depth: int) -> DataFrame:
+    """vertex, hops: what the starts derive from, along edges of the kinds as they point."""
+    return bfs(edges.filter(F.col("kind").isin(*kinds)).select("src", "dst"), starts, depth)
+
+
+def multi_hop(edges: DataFrame, anchors: DataFrame, depth: int) -> DataFrame:
+    """vertex, score, hops: vertices around the anchors, by 1 / (1 + hops) * 1 / (1 + 0.1 w) with the weight w of the
+    lightest edge that leads there in that many hops; the best score counts."""
+    step = both_ways(edges.select("src", "dst", "weight"))
+    seen = bfs(step, anchors, depth)
+    before, here = seen.select(F.col("vertex").alias("src"), F.col("hops").alias("h")), seen.filter("hops > 0").select(F.col("vertex").alias("dst"), "hops")
+    found = step.join(before, "src").join(here, "dst").filter("h + 1 = hops")
+    score = F.lit(1.0) / (1 + F.col("hops")) / (1 + F.lit(0.1) * F.min("weight"))
+    return found.groupBy(F.col("dst").alias("vertex"), "hops").agg(score.alias("score"))
+
+
+def connectivity(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: vertices, edges, mean out-degree, density, vertices of over 1.5 times the mean degree, and of under half."""
+    out = edges.groupBy(F.col("src").alias("vertex")).agg(F.count("*").alias("degree"))
+    degree = vertices.select("vertex").join(out, "vertex", "left").select(F.coalesce("degree", F.lit(0)).alias("degree"))
+    by = degree.groupBy("degree").agg(F.count("*").alias("n"))  # as many rows as there are degrees
+    total = by.agg(F.sum("n").alias("vertices"), F.sum(F.col("n") * F.col("degree")).alias("edges")).withColumn("mean", F.try_divide("edges", "vertices"))
+    out = by.crossJoin(F.broadcast(total)).groupBy("vertices", "edges", "mean")  # total: one row
+    some = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    out = out.agg(some(F.col("degree") > 1.5 * F.col("mean")).alias("tight"), some(F.col("degree") < 0.5 * F.col("mean")).alias("loose"))
+    return out.withColumn("density", F.try_divide(2 * F.col("edges"), F.col("vertices") * (F.col("vertices") - 1)))
 
 
 def shared_neighbours(edges: DataFrame, least: int = 2) -> DataFrame:
@@ -119,16 +179,22 @@ def capped_pairs(pairs: DataFrame, order: list, cap: int) -> DataFrame:
     """Distinct pairs (a, b, ...) taken in order, each member in at most `cap` of them: greedy by nature. In each round a
     pair is taken when it is among the first `cap` of both its members, counting those taken; pairs of full members go.
     Members are ranked on their own, so no task orders all pairs."""
-    waiting, taken = pairs, None
+    waiting, parts = stored(pairs), []
     while True:
+        taken = reduce(DataFrame.unionByName, parts) if parts else None
         ends = waiting.withColumn("v", F.explode(F.array("a", "b"))).withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(*order)))
         if taken is not None:
             used = taken.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("used"))
             ends = ends.join(used, "v", "left").withColumn("r", F.col("r") + F.coalesce("used", F.lit(0)))
         sure = ends.groupBy("a", "b").agg(F.max("r").alias("r")).filter(F.col("r") <= cap).select("a", "b")
-        new = waiting.join(sure, ["a", "b"], "left_semi").checkpoint()
+        new = stored(waiting.join(sure, ["a", "b"], "left_semi"))
         if new.isEmpty():
-            return taken if taken is not None else waiting
-        taken = new if taken is None else taken.unionByName(new)
+            return taken if taken is not None else new
+        parts.append(new)
+        taken = reduce(DataFrame.unionByName, parts)
         full = taken.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("used")).filter(F.col("used") >= cap).select("v")
-        waiting = waiting.join(new.select("a", "b"), ["a", "b"], "left_anti").join(full.withColumnRenamed("v", "a"), "a", "left_anti").join(full.withColumnRenamed("v", "b"), "b", "left_anti").select(*pairs.columns).checkpoint()
+        left = waiting.join(new.select("a", "b"), ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            left = left.join(full.withColumnRenamed("v", end), end, "left_anti")
+        waiting, old = stored(left.select(*pairs.columns)), waiting
+        discard(old)

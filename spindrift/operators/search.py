@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import scoring, text, vectors
+from spindrift.sources.tables import stored
 
 
 def vector_top_k(rows: DataFrame, vector: str, query: list[float], k: int, *ties: str) -> DataFrame:
     """The k rows most similar to a fixed vector; rows of another dimension are skipped."""
+    if not query:
+        return rows.withColumn("similarity", F.lit(None).cast("double")).limit(0)
     scored = rows.filter(F.size(vector) == len(query)).withColumn("similarity", vectors.cosine_constant(F.col(vector), query))
     return scored.orderBy(F.desc(vectors.bucket(F.col("similarity"))), *ties).limit(k)
 
@@ -90,12 +93,18 @@ def lexical_top_k(rows: DataFrame, content: str, terms: list[str], k: int, *ties
 
 
 def bm25(rows: DataFrame, key: str, content: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key, bm25 of rows with a term. One pass counts terms and lengths, one row of totals is joined to it."""
-    words = text.words(F.col(content))
-    times = lambda t: F.size(F.filter(words, lambda w: w == F.lit(t)))
-    tf = rows.select(key, F.size(words).alias("n"), *(times(t).alias(f"tf{i}") for i, t in enumerate(terms)))
+    """key, bm25 of rows with a term. Texts are cut into words once; the lengths and counts, a small row for each text, are
+    written, and totals and scores are read from there. Null texts have no words."""
+    cut = F.split(F.lower(F.coalesce(content, F.lit(""))), "[^a-z0-9_]+")
+    own = rows.select(key, cut.alias("_w"))
+    empty = F.size("_w") - F.size(F.array_remove("_w", ""))
+    tf = stored(own.select(key, (F.size("_w") - empty).alias("n"), *((F.size("_w") - F.size(F.array_remove("_w", t))).alias(f"tf{i}") for i, t in enumerate(terms))))
     totals = tf.agg(F.count("*").alias("rows"), F.avg("n").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))))
-    part = lambda i: F.log(1 + (F.col("rows") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+
+    def part(i: int) -> Column:
+        count, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        return F.log(1 + (F.col("rows") - df + 0.5) / (df + 0.5)) * count * (k1 + 1) / (count + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+
     hit = reduce(lambda x, y: x | y, (F.col(f"tf{i}") > 0 for i in range(len(terms))))
     return tf.filter(hit).crossJoin(F.broadcast(totals)).select(key, reduce(lambda x, y: x + y, map(part, range(len(terms)))).alias("bm25"))  # totals: one row
 

@@ -16,8 +16,9 @@ BUCKET = "floor({} * 1e6 + 0.5)"
 
 
 def _query_vector(spark, sf_dir, key=0):
-    """One vector, by id."""
-    return [float(x) for x in table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == key).select("embedding").first()[0]]
+    """One vector, by id; an empty one if there is none, which matches nothing."""
+    found = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == key).select("embedding").first()
+    return [float(x) for x in found[0]] if found else []
 
 
 SIM = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))"
@@ -248,7 +249,7 @@ def shadow_delta(spark, sf_dir):
 
 @query("""
     WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
-    SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.4 AND (SELECT count(*) FROM p q WHERE q.a = p.a AND (floor(q.s * 1e6 + 0.5) > floor(p.s * 1e6 + 0.5) OR floor(q.s * 1e6 + 0.5) = floor(p.s * 1e6 + 0.5) AND q.b < p.b)) < 20""")
+    SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.4""")
 def near_duplicate_lookup(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     queries = [(r.vec_id, [float(x) for x in r.embedding]) for r in rows.filter("vec_id % 100 = 0").select("vec_id", "embedding").toLocalIterator()]

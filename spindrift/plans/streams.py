@@ -36,4 +36,4 @@ def stream_dedup(spark, sf_dir):
 @query()
 def stream_salience(spark, sf_dir):
     """An ordered stateful fold: no SQL; the tests hold it against the same fold over the whole table."""
-    return streams.run_available(streams.salience(_events(spark, sf_dir), "user_id", "event_type", "ts"), "update")
+    return streams.run_available(streams.salience(_events(spark, sf_dir), "user_id", "event_type", "ts"), "update", ("user_id", "event_type"))

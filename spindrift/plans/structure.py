@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import vectors
-from spindrift.operators import cluster, dedup, graph
+from spindrift.operators import cluster, dedup, graph, search
 from spindrift.plans.registry import M, memories, query, table
 
 ITEM = "i AS (SELECT DISTINCT l_orderkey AS basket, l_partkey AS item FROM lineitem)"
@@ -28,7 +28,9 @@ def bfs_depth2(spark, sf_dir):
     return graph.bfs(graph.both_ways(_pairs(spark, sf_dir, 2)), starts, 2)
 
 
-@query(f"WITH {PAIR}, w AS (SELECT src, dst, weight FROM e WHERE weight >= 2), u AS (SELECT src, dst FROM w UNION ALL SELECT dst, src FROM w), v AS (SELECT 1 AS vertex UNION SELECT dst FROM u WHERE src = 1 UNION SELECT b.dst FROM u a JOIN u b ON a.dst = b.src WHERE a.src = 1) SELECT src, dst, weight FROM w WHERE src IN (SELECT vertex FROM v) AND dst IN (SELECT vertex FROM v)")
+@query(f"""WITH {PAIR}, w AS MATERIALIZED (SELECT src, dst, weight FROM e WHERE weight >= 2), u AS MATERIALIZED (SELECT src, dst FROM w UNION ALL SELECT dst, src FROM w),
+    o AS MATERIALIZED (SELECT 1 AS vertex UNION SELECT dst FROM u WHERE src = 1), v AS MATERIALIZED (SELECT vertex FROM o UNION SELECT dst FROM u SEMI JOIN o ON u.src = o.vertex)
+    SELECT src, dst, weight FROM w SEMI JOIN v a ON w.src = a.vertex SEMI JOIN v b ON w.dst = b.vertex""")
 def neighborhood(spark, sf_dir):
     return graph.neighborhood(_pairs(spark, sf_dir, 2), spark.range(1, 2).select(F.col("id").alias("vertex"))).select("src", "dst", "weight")
 
@@ -77,7 +79,7 @@ def cycle_pairs(spark, sf_dir):
 @query(f"WITH RECURSIVE {M}, l AS (SELECT id AS src, coalesce(superseded_by, merged_into) AS dst FROM m WHERE superseded_by IS NOT NULL OR merged_into IS NOT NULL), w AS (SELECT src, dst, 1 AS links FROM l UNION ALL SELECT w.src, l.dst, links + 1 FROM w JOIN l ON w.dst = l.src) SELECT src, arg_max(dst, links) AS dst, max(links)::BIGINT AS links FROM w GROUP BY src")
 def chain_walk(spark, sf_dir):
     rows = memories(spark, sf_dir, "id", "superseded_by", "merged_into").select("id", F.coalesce("superseded_by", "merged_into").alias("next")).filter("next IS NOT NULL")
-    return graph.chain_ends(rows, "id", "next", 4)
+    return graph.chain_ends(rows, "id", "next")
 
 
 @query(f"WITH {NATION} SELECT a.src AS a, b.src AS b, count(*) AS shared FROM e a JOIN e b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2 HAVING count(*) >= 2")
@@ -117,13 +119,15 @@ def dup_exact(spark, sf_dir):
 WORDS = "list_sort(list_distinct(list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: x <> '')))"
 
 
-@query(f"""WITH s AS (SELECT conv_id * 100 + turn AS id, {WORDS.format('text')} AS w FROM conversations), c AS (SELECT min(id) AS id, w FROM s WHERE len(w) > 0 GROUP BY w),
+@query(f"""WITH s AS (SELECT doc_id AS id, {WORDS.format('text')} AS w FROM documents), c AS (SELECT min(id) AS id, w FROM s WHERE len(w) > 0 GROUP BY w),
     e AS (SELECT id, unnest(w) AS t FROM c), n AS (SELECT id, len(w) AS n FROM c), p AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM e a JOIN e b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2)
-    SELECT a, b, round(k / (x.n + y.n - k)::DOUBLE, 6) AS jaccard FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k / (x.n + y.n - k)::DOUBLE >= 0.3""")
+    SELECT a, b, round(k / (x.n + y.n - k)::DOUBLE, 6) AS jaccard FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k / (x.n + y.n - k)::DOUBLE >= 0.8
+    UNION ALL SELECT c.id, s.id, 1 FROM s JOIN c ON s.w = c.w WHERE s.id <> c.id""")
 def dup_jaccard(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    """Pairs of the least ids of classes of equal word sets, and each class as a star around its least id."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     same = dedup.class_members(dedup.word_sets(rows, "id", "text"), "id", "_w")
-    pairs = dedup.word_jaccard(rows, "id", "text", 0.3).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    pairs = dedup.word_jaccard(rows, "id", "text", 0.8).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
     return pairs.unionByName(same.select(F.col("rep").alias("a"), F.col("member").alias("b"), F.lit(1.0).alias("jaccard")))
 
 
@@ -137,51 +141,48 @@ def dup_hashes(spark, sf_dir):
     return pairs.unionByName(same)
 
 
-SCORED = "p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, ((a.vec_id * 7 + b.vec_id * 13) % 50 + 50) / 100::DOUBLE AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND b.vec_id - a.vec_id <= 3)"
+SCORED = """c AS (SELECT least(a.vec_id, b.vec_id) AS a, greatest(a.vec_id, b.vec_id) AS b, a.label = b.label AS same, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
+    FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id), p AS (SELECT a, b, same, max(s) AS s FROM c WHERE s >= 0.25 GROUP BY 1, 2, 3)"""
 
 
 def _scored(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    near = e.select(F.col("vec_id").alias("a"), F.col("label").alias("la"), F.explode(F.array(*(F.col("vec_id") + i for i in (1, 2, 3)))).alias("b"))
-    return near.join(e.select(F.col("vec_id").alias("b"), F.col("label").alias("lb")), "b").select("a", "b", (F.col("la") == F.col("lb")).alias("same"), (((F.col("a") * 7 + F.col("b") * 13) % 50 + 50) / 100).alias("s"))
+    """Every pair of a stated vector (every hundredth) and another with a cosine of at least 0.25."""
+    rows = table(spark, sf_dir, "embeddings")
+    queries = [(r.vec_id, [float(x) for x in r.embedding]) for r in rows.filter("vec_id % 100 = 0").select("vec_id", "embedding").toLocalIterator()]
+    found = search.batch_at_least(rows, "vec_id", "embedding", queries, 0.25)
+    pairs = found.groupBy(F.least("query", "key").alias("a"), F.greatest("query", "key").alias("b")).agg(F.max("similarity").alias("s"))
+    label = lambda c: rows.select(F.col("vec_id").alias(c), F.col("label").alias(f"l{c}"))
+    return pairs.join(label("a"), "a").join(label("b"), "b").select("a", "b", (F.col("la") == F.col("lb")).alias("same"), "s")
 
 
-@query(f"WITH {SCORED} SELECT a, b, CASE WHEN s >= 0.9 THEN CASE WHEN same THEN 'high' ELSE 'medium' END WHEN s >= 0.8 THEN 'medium' ELSE 'low' END AS confidence FROM p")
+@query(f"WITH {SCORED} SELECT a, b, CASE WHEN s >= 0.9 THEN CASE WHEN same THEN 'high' ELSE 'medium' END WHEN s >= 0.8 THEN 'medium' ELSE 'low' END AS confidence, round(s, 6) AS similarity FROM p")
 def pair_confidence(spark, sf_dir):
-    return _scored(spark, sf_dir).select("a", "b", dedup.pair_confidence(F.col("s"), F.col("same"), F.lit(0.0)).alias("confidence"))
+    return _scored(spark, sf_dir).select("a", "b", dedup.pair_confidence(F.col("s"), F.col("same"), F.lit(0.0)).alias("confidence"), F.round("s", 6).alias("similarity"))
 
 
 @query()
 def greedy_pair_cap(spark, sf_dir):
     """Order-dependent: no SQL; the tests hold it against a plain loop."""
-    from spindrift.sources.tables import shared_folder
-
-    shared_folder(spark)
     pairs = _scored(spark, sf_dir).select("a", "b", F.col("s").alias("score"))
     return graph.capped_pairs(pairs, [F.desc("score"), "a", "b"], 2)
 
 
-@query(f"""WITH {M}, s AS (SELECT DISTINCT id % 50 AS grp, regexp_replace(trim(unnest(regexp_split_to_array(content, '[.!?]\\s+|\\n+'))), '[.!?]+$', '') AS s FROM m WHERE length(content) < 300),
-    c AS (SELECT id % 50 AS grp, count(*) AS sources FROM m WHERE length(content) < 300 GROUP BY 1) SELECT s.grp, string_agg(s, '. ' ORDER BY s) AS merged, any_value(sources) AS sources FROM s JOIN c ON s.grp = c.grp WHERE s <> '' GROUP BY s.grp""")
-def merge_fact_sentences(spark, sf_dir):
-    rows = memories(spark, sf_dir, "id", "content").filter(F.length("content") < 300).select((F.col("id") % 50).alias("grp"), "content")
-    return dedup.merged_sentences(rows, "grp", "content")
-
-
 @query(f"""WITH {M}, s AS (SELECT DISTINCT id % 50 AS grp, regexp_replace(trim(unnest(regexp_split_to_array(content, '[.!?]\\s+|\\n+'))), '[.!?]+$', '') AS s FROM m),
     c AS (SELECT id % 50 AS grp, count(*) AS sources FROM m GROUP BY 1) SELECT s.grp, string_agg(s, '. ' ORDER BY s) AS merged, any_value(sources) AS sources FROM s JOIN c ON s.grp = c.grp WHERE s <> '' GROUP BY s.grp""")
 def merge_all_sentences(spark, sf_dir):
-    """merge_fact_sentences over documents of every length."""
+    """The sorted distinct sentences of each group, over documents of every length."""
     rows = memories(spark, sf_dir, "id", "content").select((F.col("id") % 50).alias("grp"), "content")
     return dedup.merged_sentences(rows, "grp", "content")
 
 
-@query("""WITH s AS (SELECT p_partkey AS id, lower(p_name) AS x, list_distinct(list_filter(string_split(regexp_replace(lower(p_name), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: x <> '')) AS w FROM part WHERE p_partkey <= 1000000),
-    p AS (SELECT a.id AS a, b.id AS b, a.x, b.x AS y, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS m, len(b.w) AS n FROM s a JOIN s b ON a.id < b.id AND len(list_intersect(a.w, b.w)) > 0),
-    q AS (SELECT a, b, CASE WHEN x = y THEN 1::DOUBLE WHEN k / (m + n - k)::DOUBLE >= 0.8 THEN k / (m + n - k)::DOUBLE WHEN (contains(x, y) OR contains(y, x)) AND least(length(x), length(y)) / greatest(length(x), length(y))::DOUBLE >= 0.5 THEN 0.85::DOUBLE END AS score FROM p)
-    SELECT count(*) AS pairs, round(coalesce(sum(score), 0), 4) AS total FROM q WHERE score IS NOT NULL""")
+@query("""WITH n AS (SELECT lower(p_name) AS x, min(p_partkey) AS id FROM part WHERE p_name IS NOT NULL GROUP BY 1),
+    s AS (SELECT id, x, list_distinct(list_filter(string_split(regexp_replace(x, '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: x <> '')) AS w FROM n),
+    p AS (SELECT a.id AS a, b.id AS b, a.x, b.x AS y, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS m, len(b.w) AS n FROM s a JOIN s b ON a.id < b.id),
+    q AS (SELECT a, b, CASE WHEN k / nullif(m + n - k, 0)::DOUBLE >= 0.8 THEN k / (m + n - k)::DOUBLE
+        WHEN x <> '' AND y <> '' AND (contains(x, y) OR contains(y, x)) AND least(length(x), length(y)) / greatest(length(x), length(y))::DOUBLE >= 0.5 THEN 0.85::DOUBLE END AS score FROM p)
+    SELECT a, b, round(score, 6) AS score FROM q WHERE score IS NOT NULL UNION ALL SELECT n.id, p_partkey, 1 FROM part JOIN n ON lower(p_name) = n.x WHERE p_partkey <> n.id""")
 def entity_dedup(spark, sf_dir):
-    return dedup.entity_matches(table(spark, sf_dir, "part"), "p_partkey", "p_name").agg(F.count("*").alias("pairs"), F.round(F.coalesce(F.sum("score"), F.lit(0.0)), 4).alias("total"))
+    return dedup.entity_matches(table(spark, sf_dir, "part"), "p_partkey", "p_name").select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query("""WITH p AS (SELECT a.label, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id), c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +16,30 @@ TRANSCRIPT = T.StructType([
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a folder of our own only where none is set, as in tests."""
+    """The session's checkpoint folder. Where none is set, a folder of this machine's is used if all of Spark runs on it;
+    on a cluster, whose executors don't see such a folder, that is an error."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spindrift-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+    return path.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: cuts the plan, and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/spindrift-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def transcripts(spark: SparkSession, path: str) -> DataFrame:

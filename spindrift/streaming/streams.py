@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spindrift.sources.tables import shared_folder
@@ -55,15 +56,24 @@ def salience(stream: DataFrame, key: str, entity: str, time: str) -> DataFrame:
     )
 
 
-def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """All that the source has, run to its end; the last state of the result as a table in the shared folder."""
+def run_available(stream: DataFrame, mode: str = "complete", keys: tuple[str, ...] = ()) -> DataFrame:
+    """All that the source has, run to its end; the last state of the result as a table in the shared folder.
+
+    Each micro-batch is written to a folder of its own, over whatever an earlier try of the batch left there, so that a
+    retry doesn't double rows. Of a complete result the last batch counts; of updates the last row of each key; an empty
+    source gives an empty table."""
     spark: SparkSession = stream.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/out/batch=-1")
 
-    def write(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    out = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/out")
+    if mode == "complete":
+        return out.join(out.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch")
+    if keys:
+        return out.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("_r")).select("_r.*")
+    return out.drop("batch")

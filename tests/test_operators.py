@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import os
+import random
 import re
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import scoring, text, vectors
 from spindrift.functions.embedding import decode, embed, encode, slot
-from spindrift.operators import cluster, context, dedup, graph, search, temporal
+from spindrift.operators import cluster, context, dedup, facts, graph, search, temporal
 from spindrift.plans import search as search_plans
 from spindrift.plans import structure
 from spindrift.sources import tables
@@ -85,12 +87,15 @@ def test_hash_blocking_loses_nothing(spark):
     assert got == want
 
 
-def test_word_jaccard_finds_all(spark):
-    texts = ["a b c d", "b c d e", "a b c d e", "x y", "x y z", "", "D c b A", "the the a b"]
-    got = {(r.a, r.b): r.jaccard for r in dedup.word_jaccard(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t", 0.5).collect()}
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.75])
+def test_word_jaccard_finds_all(spark, least):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcdefghij", [9, 8, 7, 6, 5, 4, 3, 2, 1, 1], k=rng.randint(1, 9))) for _ in range(60)]
+    texts += ["a b c d", "b c d e", "a b c d e", "x y", "x y z", "", "D c b A", "the the a b"]
+    got = {(r.a, r.b): r.jaccard for r in dedup.word_jaccard(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t", least).collect()}
     sets = [frozenset(t.lower().split()) for t in texts]
     firsts = {s: i for i, s in reversed(list(enumerate(sets)))}
-    want = {(i, j): len(a & b) / len(a | b) for (a, i), (b, j) in itertools.combinations(sorted(firsts.items(), key=lambda x: x[1]), 2) if a and b and len(a & b) / len(a | b) >= 0.5}
+    want = {(i, j): len(a & b) / len(a | b) for (a, i), (b, j) in itertools.combinations(sorted(firsts.items(), key=lambda x: x[1]), 2) if a and b and len(a & b) / len(a | b) >= least}
     assert got == pytest.approx(want)
 
 
@@ -99,6 +104,7 @@ def _conversations(spark, path):
     texts = ["a b c d", "D c b A", "a b c d", "x y z w", "w z y x", "lonely pair here", "here lonely pair", "", ""] + [" ".join(words[(i * j) % 10] for j in range(1, 9)) for i in range(20)] * 2
     rows = [(i // 100 + 1, i % 100, t) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{path}/conversations.parquet")
+    spark.createDataFrame([(c * 100 + i, t) for c, i, t in rows], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
     return {c * 100 + i: t for c, i, t in rows}
 
 
@@ -115,7 +121,7 @@ def test_dup_jaccard_links_all_rows(spark, tmp_path):
     for (i, a), (j, b) in itertools.combinations(sets.items(), 2):
         link = len(a & b) / len(a | b)
         if rep[i] != rep[j]:
-            assert got.get(tuple(sorted((rep[i], rep[j]))), 0) == pytest.approx(link if link >= 0.3 else 0, abs=1e-6)
+            assert got.get(tuple(sorted((rep[i], rep[j]))), 0) == pytest.approx(link if link >= 0.8 else 0, abs=1e-6)
     assert {p for p, s in got.items() if s == 1} == {(r, i) for i, r in rep.items() if i != r}
 
 
@@ -148,13 +154,13 @@ def test_lookup_at_least_has_no_cap(spark, tmp_path):
 def test_entity_matches_against_all_pairs(spark):
     names = ["sprocket", "sprockets", "Big sprocket", "big  sprocket", "шестерня", "Шестерня", "шестерня м", "歯", "歯車", "歯車箱", "", "", "ab", "abab", "b", "a b", "red green blue", "blue green red", "x y z w v", "x y z w", "тест", None, "!!", "!!"]
     got = {(r.a, r.b): r.score for r in dedup.entity_matches(spark.createDataFrame(list(enumerate(names)), "id long, n string"), "id", "n").collect()}
-    want = {}
-    for (i, x), (j, y) in itertools.combinations([(i, n.lower()) for i, n in enumerate(names) if n is not None], 2):
+    first: dict = {}
+    low = [(i, n.lower()) for i, n in enumerate(names) if n is not None]
+    want = {(first[n], i): 1.0 for i, n in low if first.setdefault(n, i) != i}
+    for (x, i), (y, j) in itertools.combinations(first.items(), 2):
         v, w = ({t for t in re.split("[^a-z0-9_]+", s) if t} for s in (x, y))
         jaccard = len(v & w) / max(1, len(v | w))
-        if x == y:
-            want[i, j] = 1.0
-        elif jaccard >= 0.8:
+        if jaccard >= 0.8:
             want[i, j] = jaccard
         elif x and y and (x in y or y in x) and min(len(x), len(y)) / max(len(x), len(y)) >= 0.5:
             want[i, j] = 0.85
@@ -235,8 +241,52 @@ def test_components_of_paths(spark):
     got = [(r.path, r.total) for r in graph.simple_paths(edges, 1, 4, 3, 5).collect()]
     assert got == [([1, 2, 3, 4], 7.0)]
     assert {(r.vertex, r.hops) for r in graph.bfs(edges, spark.createDataFrame([(1,)], "vertex int"), 2).collect()} == {(1, 0), (2, 1), (3, 2)}
-    chain = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "id int, nxt int")
-    assert {(r.src, r.dst, r.links) for r in graph.chain_ends(chain, "id", "nxt", 3).collect()} == {(1, 4, 3), (2, 4, 2), (3, 4, 1)}
+    chain = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (10, 11), (11, 12), (12, 11), (20, 20), *((i, i + 1) for i in range(100, 140))], "id int, nxt int")
+    want = {(1, 4, 3), (2, 4, 2), (3, 4, 1)} | {(i, 140, 140 - i) for i in range(100, 140)}
+    assert {(r.src, r.dst, r.links) for r in graph.chain_ends(chain, "id", "nxt").collect()} == want
+    assert graph.chain_ends(chain.limit(0), "id", "nxt").collect() == []
+
+
+def test_cycles_in_time(spark):
+    edges = spark.createDataFrame([(1, 2, 0, 10), (2, 3, 5, None), (3, 1, 8, 9), (3, 4, 0, 3), (4, 2, 0, 20), (7, 7, 0, 1)], "src int, dst int, low int, high int")
+    assert {(r.vertex, r.hops) for r in graph.temporal_cycles(edges, 4).collect()} == {(1, 3), (2, 3), (3, 3), (7, 1)}
+
+
+def test_geometry_of_nothing(spark):
+    none = spark.createDataFrame([], "grp int, v array<double>")
+    assert cluster.geometry(none, "grp", "v").collect() == [] and search.vector_top_k(none, "v", [], 3, "grp").collect() == []
+
+
+def test_merge_safety_and_dates(spark):
+    rows = spark.createDataFrame([(1, "fact", "active", False, True, "u", False, False, 0.9), (1, "note", None, False, True, "u", False, False, None), (2, "fact", "archived", True, False, "a", True, True, 0.1), (2, "fact", "active", None, True, "b", False, False, 0.8)], "g int, kind string, status string, merged boolean, mergeable boolean, owner string, private boolean, secrets boolean, similarity double")
+    got = {r.g: (r.members, r.blockers, r.warnings) for r in facts.safety(rows, "g").collect()}
+    assert got == {1: (2, ["type_consistency"], []), 2: (2, ["immutability", "already_merged", "min_similarity", "active_status"], ["multi_user", "privacy", "secrets"])}
+    notes = {"on 2024-03-05": "2024-03-05", "3 weeks ago": "2024-01-11", "yesterday": "2024-01-31", "In May 2021": "2021-05-15", "by 1999": "1999-07-02", "never": None, None: None, "2024-99-99 tomorrow": "2024-02-02"}
+    df = spark.createDataFrame([(n,) for n in notes], "n string").select("n", facts.date_in(F.col("n"), F.lit("2024-02-01").cast("date")).cast("string").alias("d"))
+    assert {r.n: r.d for r in df.collect()} == notes
+
+
+def test_contradictions_of_null_statements(spark):
+    new = spark.createDataFrame([(1, "s", None, "k", 5), (2, "s", "the lamp is not good", "k", 5)], "new_id int, subject string, content string, kind string, at int")
+    old = spark.createDataFrame([(2, "s", "the lamp is not good", "k", None, None, None), (3, "s", None, None, 1, 2, False), (4, "s", "the lamp is not good", "k", 1, 2, True), (5, "s", "the lamp is good", "k", 1, 2, None)], "old_id int, subject string, content string, kind string, valid_from int, valid_to int, protected boolean")
+    got = {(r.new_id, r.old_id, r.rule): r.confidence for r in facts.contradictions(new, old, "subject").collect()}
+    assert got == {(2, 5, "negation"): pytest.approx(0.75 * 0.9 * 1.2)}
+
+
+def test_streams_of_several_batches(spark, tmp_path):
+    schema = "user long, kind string, ts timestamp"
+    for i, rows in enumerate([[(1, "a", 0), (1, "b", 1)], [(1, "a", 60), (2, "a", 61)], [(1, "b", 120)]]):
+        spark.createDataFrame(rows, "user long, kind string, s long").selectExpr("user", "kind", "timestamp_seconds(s) AS ts").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    for i in range(3):
+        os.utime(f"{tmp_path}/in/{i}", (i, i))
+    read = lambda path: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+    got = streams.run_available(streams.salience(read(f"{tmp_path}/in"), "user", "kind", "ts"), "update", ("user", "kind"))
+    found = {(r.user, r.kind): r.salience for r in got.collect()}
+    assert set(found) == {(1, "a"), (1, "b"), (2, "a")} and got.count() == 3
+    (tmp_path / "empty").mkdir()
+    for mode, keys in (("update", ("user", "kind")), ("append", ())):
+        stream = streams.salience(read(f"{tmp_path}/empty"), "user", "kind", "ts") if keys else read(f"{tmp_path}/empty")
+        assert streams.run_available(stream, mode, keys).collect() == []
 
 
 def test_vectors_and_text(spark):
