@@ -11,41 +11,41 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import jaccard, langid, line_dedup, packing, repeats
-from spindrift.llm.tables import held_out, table, written
+from spindrift.llm.tables import held_out, named, table, written
 
 
-def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
-    """The columns, with the column `text` as text and n_chars (where there is one) after it."""
-    new: dict[str, Column] = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
-    return docs.select(*(F.when(F.col(text).isNull(), F.col(c)).otherwise(new[c]).alias(c) if c in new else F.col(c) for c in columns))
+def _with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the struct _row, with the text in _kept as text and n_chars (where there is one) after it."""
+    new: dict[str, Column] = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
+    same = F.col("_kept").isNull()
+    return rows.select(*((F.when(same, F.col("_row")[c]).otherwise(new[c]) if c in new else F.col("_row")[c]).alias(c) for c in columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language can be told (no text, or no letter in it) go."""
     model = langid.train(docs.select("doc_id", "text", "lang").filter(~held_out()))
-    own = docs.select(F.struct(*docs.columns).alias("_row"))
-    return langid.identify(own, model, "_row", row=True).filter("lang_pred <> 'und'").select("_row.*")
+    own = docs.select(F.struct(*named(*docs.columns)).alias("_row"))
+    return langid.identify(own, model, "_row", row=True).filter("lang_pred <> 'und'").select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate on their site go; every document stays."""
-    own = docs.select(F.struct(*docs.columns).alias("_document"), "source", "text")
-    own = line_dedup.drop_boilerplate(own).select("_document.*", F.col("text").alias("_kept"))
-    return _with_text(own, docs.columns, "_kept")
+    own = docs.select(F.struct(*named(*docs.columns)).alias("_row"), "source", "text")
+    return _with_text(line_dedup.drop_boilerplate(own).withColumn("_kept", F.col("text")), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the least doc_id stays, and any row without a doc_id."""
     groups = jaccard.near_duplicates(docs.select("doc_id", "text"))
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*named(*docs.columns))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more that a document with a smaller doc_id holds go; every document stays."""
-    own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    own = repeats.remove_repeats(own, "_row", text=True).select("_row.*", F.when(F.col("_row.text").isNotNull(), F.col("kept")).alias("_kept"))
-    return _with_text(own, docs.columns, "_kept")
+    own = docs.select("doc_id", "text", F.struct(*named(*docs.columns)).alias("_row"))
+    own = repeats.remove_repeats(own, "_row", text=True)
+    return _with_text(own.withColumn("_kept", F.when(F.col("_row")["text"].isNotNull(), F.col("kept"))), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
