@@ -3,9 +3,12 @@
 Folding lower-cases, strips accents, maps homoglyphs (Cyrillic, Greek, full-width) and digit substitutions to
 letters, drops invisible characters and makes everything else a single space, so that a term is matched as
 " term " (a word) or " stem" (how a word begins). The lexicon is learned from labelled rows by sequential
-covering over folded words and word stems, weighted by their log odds. Exception
-phrases are word pairs with a lexicon word that occur in non-toxic documents at least as often as in toxic
-ones; a hit inside one doesn't count. The sum of the weights of the hits is normalised by the text's length.
+covering over folded words and word stems: of those that hold it, and of those that it makes up a large share of.
+Exception phrases are word pairs with a lexicon word that occur in non-toxic documents at least as often as in toxic
+ones; a hit inside one doesn't count. A term's hits are weighed as Poisson counts: k hits in n words are evidence of
+k log(q / b) - n (q - b), where q and b are the term's shares of the words of toxic documents that hold it and of the
+other documents. So the text's length counts against every term, and a term that turns up by chance in long texts
+weighs nothing there. The positive evidence of all terms is summed.
 
 Defined results: null and empty texts score as texts without hits; null labels are not learned, repeated labels
 of a document count once (the largest); without labels the lexicon is empty and scores are low; an empty table
@@ -26,17 +29,18 @@ from pyspark.sql import functions as F
 from spindrift.llm.samples import labelled_sample
 from spindrift.llm.tables import written
 
-#: Bounds: labelled rows learned from, terms and exception phrases kept.
+#: Bound of the sample: labelled rows learned from.
 TRAIN_ROWS = 20_000
-TERMS = 4000
-EXCEPTIONS = 4000
 THRESHOLD = 0.5
 MIN_TOXIC = 4
 STEMS = (4, 5, 6, 7)
 #: Evidence that a pattern must give, as the logarithm of a likelihood ratio: chance finds less among a million patterns.
 EVIDENCE = 8.5
-#: For each round: the least share of the toxic documents that a pattern is in, and its most documents of the other kind for each toxic one.
-ROUNDS = ((0.03, 0.01), (0.01, 0.01), (0.003, 0.01), (0.005, 0.2))
+#: A pattern is dense in a document if it is this share of its words at least.
+DENSE = 0.008
+#: For each round: the least share of the toxic documents that a pattern is in, its most documents of the other kind for
+#: each toxic one, and whether only documents count in which it is dense.
+ROUNDS = ((0.03, 0.01, False), (0.03, 0.2, True), (0.01, 0.01, False), (0.01, 0.2, True), (0.003, 0.01, False), (0.005, 0.2, True))
 
 # Letters that look like Latin ones, and digits and signs written for letters. A 1 stands for i or l, so l is i too.
 HOMOGLYPHS = {
@@ -79,9 +83,9 @@ def fold(text: str | None) -> str:
 
 
 class Lexicon:
-    """terms: pattern -> weight; exceptions: patterns; bias and scale turn hits per length into a probability."""
+    """terms: pattern -> (share of the words of toxic documents that hold it, share of those of others); exceptions: patterns."""
 
-    def __init__(self, terms: dict[str, float], exceptions: set[str], bias: float = -3.0):
+    def __init__(self, terms: dict[str, tuple[float, float]], exceptions: set[str], bias: float = -3.0):
         self.terms, self.exceptions, self.bias = terms, exceptions, bias
 
     @functools.cached_property
@@ -89,10 +93,10 @@ class Lexicon:
         import ahocorasick
 
         a = ahocorasick.Automaton()
-        for k, w in self.terms.items():
-            a.add_word(k, (len(k), w))
+        for k, (q, b) in self.terms.items():
+            a.add_word(k, (len(k), math.log(q / b), k))
         for k in self.exceptions:
-            a.add_word(k, (len(k), 0.0))
+            a.add_word(k, (len(k), 0.0, ""))
         if len(a):
             a.make_automaton()
         return a
@@ -100,56 +104,96 @@ class Lexicon:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_automaton"}
 
-    def hits(self, folded: str) -> tuple[float, int]:
-        """Sum of the weights of the hits outside exception phrases, one a word, and their number."""
+    def hits(self, folded: str) -> Counter:
+        """How often each term is hit outside exception phrases; of the terms that begin at one place the heaviest counts."""
         if not len(self._automaton):
-            return 0.0, 0
-        best: dict[int, float] = {}
+            return Counter()
+        best: dict[int, tuple[float, str]] = {}
         spared: list[tuple[int, int]] = []
-        for end, (size, weight) in self._automaton.iter(folded):
+        for end, (size, weight, term) in self._automaton.iter(folded):
             start = end - size + 1
-            if weight:
-                best[start] = max(best.get(start, 0.0), weight)
+            if term:
+                best[start] = max(best.get(start, (-1.0, "")), (weight, term))
             else:
                 spared.append((start, end))
         if spared:
             best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in spared)}
-        return sum(best.values()), len(best)
+        return Counter(term for _, term in best.values())
+
+    def evidence(self, folded: str) -> float:
+        n, rates = folded.count(" ") - 1, self.terms
+        return sum(max(0.0, k * math.log(rates[t][0] / rates[t][1]) - n * (rates[t][0] - rates[t][1])) for t, k in self.hits(folded).items())
 
     def score(self, text: str | None) -> float:
-        folded = fold(text)
-        total, n = self.hits(folded)
-        if not n:
-            return 1 / (1 + math.exp(-self.bias))
-        per = 1 + math.log10(1 + len(folded) / 10_000)  # hits are evidence in a long text too, but each weighs less
-        return 1 / (1 + math.exp(-(self.bias + total / per)))
+        return 1 / (1 + math.exp(-min(30.0, self.bias + self.evidence(fold(text)))))
 
 
-def grams(folded: str) -> tuple[set[str], set[str]]:
-    """Patterns of a folded text: words and stems, and pairs of words."""
+def grams(folded: str) -> tuple[Counter, set[str]]:
+    """Patterns of a folded text: words and stems with their counts, and pairs of words."""
     words = folded.split()
-    own = set(words)
-    out = {f" {w} " for w in own}
-    for k in STEMS:
-        out |= {f" {w[:k]}" for w in own if len(w) > k}
+    out: Counter = Counter()
+    for w, n in Counter(words).items():
+        out[f" {w} "] += n
+        for k in STEMS:
+            if len(w) > k:
+                out[f" {w[:k]}"] += n
     return out, {f" {a} {b} " for a, b in zip(words, words[1:])}
 
 
-def _counts(rows: DataFrame, terms: dict[str, float]) -> DataFrame:
-    """pattern, n0, n1: documents without and with the label that hold the pattern; '' counts them all. Documents that terms hit are left out."""
+_COUNTED = "pattern string, toxic boolean, n long, d long"
+
+
+def _batch(count: dict) -> pa.RecordBatch:
+    """{(pattern, toxic): (n, d)} as rows."""
+    kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64())
+    rows = [(*k, *v) for k, v in count.items()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, kinds)], ["pattern", "toxic", "n", "d"])
+
+
+def _sums(found: DataFrame) -> DataFrame:
+    """pattern, n0, n1, d0, d1."""
+    one = lambda c, toxic: F.sum(F.when(F.col("toxic") if toxic else ~F.col("toxic"), F.col(c)).otherwise(0)).alias(f"{c}{toxic:d}")
+    return found.groupBy("pattern").agg(*(one(c, t) for c in ("n", "d") for t in (False, True)))
+
+
+def _counts(rows: DataFrame, terms: dict) -> DataFrame:
+    """pattern, n0, n1, d0, d1: documents without and with the label that hold the pattern (n) and in which it is dense (d);
+    '' counts them all. Documents that the terms find toxic are left out."""
     known = rows.sparkSession.sparkContext.broadcast(Lexicon(terms, set()))
 
     def run(batches):
         for b in batches:
-            count: Counter = Counter()
+            n, d = Counter(), Counter()
+            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                folded = fold(text)
+                if known.value.evidence(folded) <= -known.value.bias:
+                    own, least = grams(folded)[0], DENSE * (folded.count(" ") - 1)
+                    n.update((p, label > 0) for p in (*own, ""))
+                    d.update((p, label > 0) for p, k in own.items() if k >= least)
+            yield _batch({k: (v, d[k]) for k, v in n.items()})
+
+    return _sums(rows.select("text", "label").mapInArrow(run, _COUNTED))
+
+
+def _rates(rows: DataFrame, terms: set[str]) -> dict[str, tuple[float, float]]:
+    """Each term's share of the words of the toxic documents that hold it, and of the words of all others."""
+    known = rows.sparkSession.sparkContext.broadcast(Lexicon({t: (0.1 * (len(t) + 1), 0.1) for t in terms}, set()))  # the longest counts
+
+    def run(batches):
+        for b in batches:
+            count: dict = {}
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 folded = fold(text)
-                if not known.value.hits(folded)[1]:
-                    count.update((p, label > 0) for p in (*grams(folded)[0], ""))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in count], pa.string()), pa.array([k[1] for k in count], pa.bool_()), pa.array(list(count.values()), pa.int64())], ["pattern", "toxic", "n"])
+                n, toxic = folded.count(" ") - 1, label > 0
+                for t, k in (*known.value.hits(folded).items(), ("", 0)):
+                    a, c = count.get((t, toxic), (0, 0))
+                    count[t, toxic] = a + k, c + n
+            yield _batch(count)
 
-    found = rows.select("text", "label").mapInArrow(run, "pattern string, toxic boolean, n long")
-    return found.groupBy("pattern").agg(*(F.sum(F.when(t, F.col("n")).otherwise(0)).alias(n) for n, t in (("n0", ~F.col("toxic")), ("n1", F.col("toxic")))))
+    found = {r.pattern: r for r in _sums(rows.select("text", "label").mapInArrow(run, _COUNTED)).collect()}
+    words = max(1, found[""].d0) if "" in found else 1
+    rates = {t: ((r.n1 + 0.5) / (r.d1 + 1), (r.n0 + 0.5) / (words + 1)) for t, r in found.items() if t and r.n1}
+    return {t: (q, b) for t, (q, b) in rates.items() if q > b}
 
 
 def _evidence(n1: int, n0: int, share: float) -> float:
@@ -158,28 +202,33 @@ def _evidence(n1: int, n0: int, share: float) -> float:
 
 def learn(sample: DataFrame) -> Lexicon:
     """From doc_id, text, label, by sequential covering: each round takes the patterns that are frequent in the
-    toxic documents that no earlier term hits and (nearly) absent from the others. So the accidental words of a
-    group of toxic copies, which their toxic word covers, are not learned. The executors count patterns."""
+    toxic documents that no earlier term finds and (nearly) absent from the others, or nearly never dense there. So the
+    accidental words of a group of toxic copies, which their toxic word covers, are not learned. The executors count
+    patterns; the driver gets those that pass a round's shares, whose number the sample bounds."""
     first = written(_counts(sample, {}).filter(f"n1 >= {MIN_TOXIC} OR pattern = ''"))
     total = next(((r.n0, r.n1) for r in first.filter("pattern = ''").collect()), (0, 0))
     if not total[1]:
         return Lexicon({}, set())
-    terms: dict[str, float] = {}
-    odds = lambda n1, n0: math.log(((n1 + 0.5) / (total[1] + 1)) / ((n0 + 0.5) / (total[0] + 1)))
-    for least, stray in ROUNDS:
-        counts = first
+    chosen: set[str] = set()
+    terms: dict[str, tuple[float, float]] = {}
+    for least, stray, dense in ROUNDS:
+        c = "d" if dense else "n"
+        counts = first.select("pattern", F.col(f"{c}0").alias("n0"), F.col(f"{c}1").alias("n1"))
         if terms:
-            left = _counts(sample.filter("label > 0"), terms).select("pattern", F.col("n1").alias("m1"))
-            counts = first.join(left, "pattern").select("pattern", "n0", F.col("m1").alias("n1"))
-        rows = counts.filter((F.col("pattern") != "") & (F.col("n1") >= max(MIN_TOXIC, least * total[1])) & (F.col("n0") <= stray * F.col("n1")))
-        rows = rows.orderBy(F.desc("n1"), "n0", "pattern").limit(TERMS).collect()
-        got = {r.pattern: r for r in rows if _evidence(r.n1, r.n0, (total[1] + 1) / (sum(total) + 2)) > EVIDENCE}
+            left = _counts(sample.filter("label > 0"), terms).select("pattern", F.col(f"{c}1").alias("n1"))
+            counts = counts.drop("n1").join(left, "pattern")
+        rows = counts.filter((F.col("pattern") != "") & (F.col("n1") >= max(MIN_TOXIC, least * total[1])) & (F.col("n0") <= stray * F.col("n1"))).collect()
+        got = {r.pattern: r for r in sorted(rows) if _evidence(r.n1, r.n0, (total[1] + 1) / (sum(total) + 2)) > EVIDENCE}
+        new = set()
         for p, r in got.items():
             stem = not p.endswith(" ")
             one_word = stem and any(q.endswith(" ") and q.startswith(p) and got[q].n1 >= 0.9 * r.n1 for q in got)
-            shorter = any(p[:k] in got and got[p[:k]].n1 * 0.95 > r.n1 for k in range(5, len(p)))
+            shorter = any(p[:k] in got and got[p[:k]].n1 * 0.95 > r.n1 and got[p[:k]].n0 <= 2 * r.n0 + 1 for k in range(5, len(p)))
             if not one_word and not (shorter and stem):
-                terms[p] = odds(r.n1, r.n0)
+                new.add(p)
+        if new - chosen:
+            chosen |= new
+            terms = _rates(sample, chosen)
     shared = sample.sparkSession.sparkContext.broadcast(Lexicon(terms, set()))
 
     def pairs(batches):
@@ -187,13 +236,12 @@ def learn(sample: DataFrame) -> Lexicon:
             count: Counter = Counter()
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for p in grams(fold(text))[1]:
-                    if shared.value.hits(p)[1]:
+                    if shared.value.hits(p):
                         count[p, label > 0] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in count], pa.string()), pa.array([k[1] for k in count], pa.bool_()), pa.array(list(count.values()), pa.int64())], ["pattern", "toxic", "n"])
+            yield _batch({k: (v, 0) for k, v in count.items()})
 
-    found = sample.select("text", "label").mapInArrow(pairs, "pattern string, toxic boolean, n long").groupBy("pattern").agg(F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("n0"), F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("n1"))
-    spared = {r.pattern for r in found.filter("n0 >= 2 AND n0 >= n1").orderBy(F.desc("n0"), "pattern").limit(EXCEPTIONS).collect()} if terms else set()
-    return Lexicon(terms, spared)
+    found = _sums(sample.select("text", "label").mapInArrow(pairs, _COUNTED)).filter("n0 >= 2 AND n0 >= n1")
+    return Lexicon(terms, {r.pattern for r in found.select("pattern").collect()} if terms else set())
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> Lexicon:
