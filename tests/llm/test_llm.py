@@ -106,8 +106,32 @@ def test_exact_duplicates(docs, nothing, modulus):
 def test_folding_and_exceptions():
     assert toxicity.fold("Ｉd1οt, с10wn!") == toxicity.fold("idiot clown") == " idiot ciown "
     assert toxicity.fold(None) == " " and toxicity.fold("É​t́e 12") == " ete "
-    lexicon = toxicity.Lexicon({toxicity.fold("clown"): 6.0, " vequ": 5.0}, {toxicity.fold("clown fish")})
+    lexicon = toxicity.Lexicon({toxicity.fold("clown"): (0.01, 0.00002), " vequ": (0.02, 0.0002)}, {toxicity.fold("clown fish")})
     assert lexicon.score("a CLOWN") > 0.5 > lexicon.score("a clown fish") and lexicon.score("vequmo x") > 0.5 > lexicon.score("")
+    assert lexicon.score("a clown " + "word " * 900) < 0.5 < lexicon.score("a clown " * 9 + "word " * 900)
+
+
+def plain_score(lexicon, text):
+    """Scans for every term at every place, and takes each exception phrase out."""
+    folded = toxicity.fold(text)
+    spared = {i for e in lexicon.exceptions for s in range(len(folded)) if folded.startswith(e, s) for i in range(s, s + len(e) - 1)}
+    hits: Counter = Counter()
+    for s in set(range(len(folded))) - spared:
+        if here := [t for t in lexicon.terms if folded.startswith(t, s)]:
+            hits[max(here, key=lambda t: (np.log(lexicon.terms[t][0] / lexicon.terms[t][1]), t))] += 1
+    n, total = len(folded.split()), 0.0
+    for t, k in hits.items():
+        q, b = lexicon.terms[t]
+        total += max(0.0, k * np.log(q / b) - n * (q - b))
+    return 1 / (1 + np.exp(-(min(30.0, total + lexicon.bias))))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["clown", "cl0wns", "fish", "vequ", "vequmo", "ve", "the", "Clown,", "x"]), max_size=25))
+def test_matching_as_a_plain_scan(words):
+    terms = {toxicity.fold("clown"): (0.05, 0.001), toxicity.fold("vequ")[:-1]: (0.1, 0.01), toxicity.fold("vequmo"): (0.02, 0.001), toxicity.fold("ve"): (0.03, 0.02)}
+    lexicon = toxicity.Lexicon(terms, {toxicity.fold("clown fish"), toxicity.fold("the vequmo")})
+    assert lexicon.score(" ".join(words)) == pytest.approx(plain_score(lexicon, " ".join(words)))
 
 
 def test_toxicity_learns_words_stems_and_leaves_others(spark, docs, nothing):
