@@ -194,11 +194,17 @@ def feedback_fold(spark, sf_dir):
     return temporal.fold_clamped(e, "user_id", ["ts", "event_id"], "d", 50, 0, 100)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, event_id % 7 = 0 AS no, row_number() OVER (PARTITION BY user_id ORDER BY ts, CASE WHEN event_id % 7 = 0 THEN 0 ELSE 1 END) AS r FROM events),
+    f AS (SELECT user_id, 0::BIGINT AS r, 0.5::DOUBLE AS confidence, 0::DOUBLE AS gained, 0 AS n, 0::DOUBLE AS stability, NULL::DOUBLE AS last FROM e WHERE r = 1
+        UNION ALL SELECT e.user_id, e.r, CASE WHEN no THEN greatest(0::DOUBLE, confidence - 0.3) WHEN last IS NULL OR t - last >= 3600 THEN least(1::DOUBLE, confidence + least(0.1 * pow(0.85::DOUBLE, n), 0.15 - gained)) ELSE confidence END,
+            CASE WHEN NOT no AND (last IS NULL OR t - last >= 3600) THEN gained + least(0.1 * pow(0.85::DOUBLE, n), 0.15 - gained) ELSE gained END, CASE WHEN NOT no AND (last IS NULL OR t - last >= 3600) THEN n + 1 ELSE n END,
+            CASE WHEN NOT no AND (last IS NULL OR t - last >= 3600) THEN least(1::DOUBLE, stability + 0.05) ELSE stability END, CASE WHEN NOT no AND (last IS NULL OR t - last >= 3600) THEN t ELSE last END
+        FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1)
+    SELECT user_id, round(arg_max(confidence, r), 6) AS confidence, round(arg_max(stability, r), 6) AS stability FROM f GROUP BY user_id""")
 def reinforcement_fold(spark, sf_dir):
-    """Cooldowns make this a stateful fold: no SQL; the tests hold it against a plain loop."""
+    """Cooldowns make this a stateful fold, row by row in the SQL."""
     e = table(spark, sf_dir, "events").select("user_id", "ts", F.when(F.col("event_id") % 7 == 0, "contradict").otherwise("support").alias("what"))
-    return temporal.reinforce(e, "user_id", "ts", "what")
+    return temporal.reinforce(e, "user_id", "ts", "what").select("user_id", F.round("confidence", 6).alias("confidence"), F.round("stability", 6).alias("stability"))
 
 
 @query(f"WITH {M} SELECT coalesce(kind, 'all') AS kind, coalesce(lang, 'all') AS lang, count(*) AS n, min(created_s) AS oldest, max(created_s) AS newest, sum(CAST(pinned AS INT)) AS pinned FROM m GROUP BY GROUPING SETS ((kind, lang), (kind), ())")
