@@ -51,7 +51,8 @@ def vec_topk_batch(spark, sf_dir):
     return search.batch_top_k(rows, "vec_id", "embedding", queries, 5).select("query", "key", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"WITH w AS (SELECT * FROM embeddings ORDER BY vec_id DESC LIMIT 200) SELECT vec_id, round(s, 6) AS similarity FROM (SELECT vec_id, {SIM} AS s FROM w) ORDER BY {BUCKET.format('s')} DESC, vec_id LIMIT 10")
+@query(f"""WITH w AS (SELECT * FROM embeddings ORDER BY vec_id DESC LIMIT 200) SELECT vec_id, round(s, 6) AS similarity FROM (SELECT vec_id, {SIM} AS s FROM w)
+        ORDER BY {BUCKET.format('s')} DESC, vec_id LIMIT 10""")
 def vec_recency_window(spark, sf_dir):
     window = search.newest(table(spark, sf_dir, "embeddings"), 200, F.desc("vec_id"))
     return search.vector_top_k(window, "embedding", _query_vector(spark, sf_dir), 10, "vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"))
@@ -65,20 +66,23 @@ def recency_listing(spark, sf_dir):
 
 @query("""
     SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm,
-           round(list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS distance, len(embedding) AS dims FROM embeddings""")
+           round(list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS distance,
+           len(embedding) AS dims FROM embeddings""")
 def vector_geometry(spark, sf_dir):
     q = F.array(*(F.lit(x) for x in _query_vector(spark, sf_dir)))
     e = F.col("embedding")
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.magnitude(e), 6).alias("norm"), F.round(vectors.euclidean(e, q), 6).alias("distance"), F.size(e).cast("long").alias("dims"))
 
 
-@query("SELECT label, pos, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY label, pos")
+@query("""SELECT label, pos, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS pos
+        FROM embeddings) GROUP BY label, pos""")
 def vector_mean(spark, sf_dir):
     parts = table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x"))
     return parts.groupBy("label", "pos").agg(F.round(F.avg("x"), 6).alias("mean"))
 
 
-@query("SELECT vec_id, list_filter(embedding, lambda x, i: (i - 1) % 2 = 0) [1:4]::DOUBLE[] AS head, len(list_filter(embedding, lambda x, i: (i - 1) % 2 = 0)) AS dims FROM embeddings")
+@query("""SELECT vec_id, list_filter(embedding, lambda x, i: (i - 1) % 2 = 0) [1:4]::DOUBLE[] AS head, len(list_filter(embedding, lambda x,
+        i: (i - 1) % 2 = 0)) AS dims FROM embeddings""")
 def vector_strided(spark, sf_dir):
     kept = vectors.every(F.col("embedding"), 0.5)
     return table(spark, sf_dir, "embeddings").select("vec_id", F.slice(kept, 1, 4).cast("array<double>").alias("head"), F.size(kept).cast("long").alias("dims"))
@@ -89,7 +93,8 @@ def lex_score_topk(spark, sf_dir):
     return search.lexical_top_k(memories(spark, sf_dir, "id", "content"), "content", TERMS, 20, "content", "id").select("id", "score")
 
 
-@query(f"WITH {M} SELECT id, CAST({TERM_SUM} AS DOUBLE) / 4 AS score FROM m WHERE {TERM_SUM} > 0 AND NOT contains(lower(content), 'the') ORDER BY 2 DESC, content, id LIMIT 20")
+@query(f"""WITH {M} SELECT id, CAST({TERM_SUM} AS DOUBLE) / 4 AS score FROM m WHERE {TERM_SUM} > 0 AND NOT contains(lower(content), 'the') ORDER BY 2 DESC,
+        content, id LIMIT 20""")
 def lex_exclusion(spark, sf_dir):
     return search.lexical_top_k(memories(spark, sf_dir, "id", "content"), "content", TERMS, 20, "content", "id", exclude=("the",)).select("id", "score")
 
@@ -107,7 +112,8 @@ def bm25_topk(spark, sf_dir):
 
 
 @query("""
-    WITH s AS (SELECT item_id, unnest(regexp_split_to_array(text, '[.!?]\\s+|\\n+')) AS s, generate_subscripts(regexp_split_to_array(text, '[.!?]\\s+|\\n+'), 1) AS pos FROM benchmark),
+    WITH s AS (SELECT item_id, unnest(regexp_split_to_array(text, '[.!?]\\s+|\\n+')) AS s, generate_subscripts(regexp_split_to_array(text,
+        '[.!?]\\s+|\\n+'), 1) AS pos FROM benchmark),
     h AS (SELECT *, CAST(contains(lower(s), 'tion') AS INT) + CAST(contains(lower(s), 'eres') AS INT) AS n FROM s),
     b AS (SELECT item_id, s, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, pos) AS r FROM h),
     p AS (SELECT item_id, s, strpos(lower(s), 'tion') AS p, strpos(lower(s), 'eres') AS q FROM b WHERE r = 1),
@@ -122,7 +128,8 @@ def conversation_distinct(spark, sf_dir):
     return table(spark, sf_dir, "conversations").filter(F.lower("text").contains("the")).groupBy("conv_id").agg(F.max("turn").alias("last_turn")).orderBy(F.desc("last_turn"), "conv_id").limit(50)
 
 
-@query("SELECT conv_id, sum(s) + count(DISTINCT role) - 1 AS score FROM (SELECT conv_id, role, CAST(contains(lower(text), 'tion') AS INT) + CAST(contains(lower(text), 'eres') AS INT) AS s FROM conversations) WHERE s > 0 GROUP BY conv_id")
+@query("""SELECT conv_id, sum(s) + count(DISTINCT role) - 1 AS score FROM (SELECT conv_id, role, CAST(contains(lower(text),
+        'tion') AS INT) + CAST(contains(lower(text), 'eres') AS INT) AS s FROM conversations) WHERE s > 0 GROUP BY conv_id""")
 def related_sessions(spark, sf_dir):
     hits = table(spark, sf_dir, "conversations").withColumn("s", F.lower("text").contains("tion").cast("int") + F.lower("text").contains("eres").cast("int")).filter("s > 0")
     return hits.groupBy("conv_id").agg((F.sum("s") + F.countDistinct("role") - 1).alias("score"))
@@ -141,7 +148,8 @@ LEGS = f"""{M},
     v AS (SELECT id, row_number() OVER (ORDER BY b DESC, id) AS rank FROM (SELECT vec_id AS id, {BUCKET.format(SIM)} AS b FROM embeddings) QUALIFY rank <= 40),
     x AS (SELECT id, row_number() OVER (ORDER BY {TERM_SUM} DESC, content, id) AS rank FROM m WHERE {TERM_SUM} > 0 QUALIFY rank <= 40),
     n AS (SELECT id, row_number() OVER (ORDER BY created_s DESC, id) AS rank FROM m QUALIFY rank <= 40)"""
-FUSED = "f AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM u GROUP BY id), g AS (SELECT * FROM f ORDER BY floor(s * 1e6 + 0.5) DESC, id LIMIT 30) SELECT id, round(s, 9) AS rrf, round(s / (SELECT max(s) FROM g), 6) AS fused FROM g"
+FUSED = """f AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM u GROUP BY id), g AS (SELECT * FROM f ORDER BY floor(s * 1e6 + 0.5) DESC, id LIMIT 30)
+        SELECT id, round(s, 9) AS rrf, round(s / (SELECT max(s) FROM g), 6) AS fused FROM g"""
 
 
 @query(f"WITH {LEGS}, u AS (SELECT * FROM v UNION ALL SELECT * FROM x), {FUSED}")
@@ -170,8 +178,10 @@ def score_recency(spark, sf_dir):
     return memories(spark, sf_dir, "id", "created_s").select("id", F.round(scoring.recency_boost((AS_OF - F.col("created_s")) / 3600), 6).alias("boost"))
 
 
-@query(f"""WITH {M} SELECT id, least(0.05::DOUBLE * len(list_filter(['Apache', 'MIT', 'Creative', 'GNU', 'License'], lambda e: contains(content, e))), 0.3::DOUBLE) AS boost,
-    CASE WHEN regexp_matches(content, '\\b(19|20)[0-9]{{2}}\\b|\\b[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}\\b') THEN 0.25::DOUBLE ELSE 0::DOUBLE END AS dated FROM m""")
+@query(f"""WITH {M} SELECT id, least(0.05::DOUBLE * len(list_filter(['Apache', 'MIT', 'Creative', 'GNU', 'License'], lambda e: contains(content, e))),
+        0.3::DOUBLE) AS boost,
+    CASE WHEN regexp_matches(content, '\\b(19|20)[0-9]{{2}}\\b|\\b[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}\\b') THEN 0.25::DOUBLE
+        ELSE 0::DOUBLE END AS dated FROM m""")
 def score_entity(spark, sf_dir):
     names = F.array(*map(F.lit, ("Apache", "MIT", "Creative", "GNU", "License")))
     dated = F.col("content").rlike(r"\b(19|20)[0-9]{2}\b|\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\b")
@@ -183,7 +193,8 @@ FINAL = f"""{M}, b AS (SELECT id, content, conflict, semantic,
     least(0.1::DOUBLE * len(list_intersect([lang, source], ['en', 'src3'])), 0.3::DOUBLE) AS tags,
     0.1 * exp(-CAST(1706745600 - created_s AS DOUBLE) / 3600 / 720) AS recency, CASE WHEN source = 'src3' THEN 0.1::DOUBLE ELSE 0::DOUBLE END AS session,
     CASE WHEN superseded_by IS NOT NULL THEN -0.5::DOUBLE ELSE 0::DOUBLE END AS superseded FROM m),
-    f AS (SELECT *, semantic + tags + recency + session + superseded AS composite FROM b), z AS (SELECT *, greatest(0::DOUBLE, least(1::DOUBLE, composite)) AS final FROM f)"""
+    f AS (SELECT *, semantic + tags + recency + session + superseded AS composite FROM b), z AS (SELECT *, greatest(0::DOUBLE, least(1::DOUBLE,
+        composite)) AS final FROM f)"""
 
 
 def _boosted(spark, sf_dir):
@@ -196,13 +207,15 @@ def _boosted(spark, sf_dir):
     })
 
 
-@query(f"WITH {FINAL} SELECT id, round(semantic, 6) AS semantic, round(composite, 6) AS composite, round(final, 6) AS final FROM z ORDER BY floor(final * 1e6 + 0.5) DESC, floor(composite * 1e6 + 0.5) DESC, content, id LIMIT 50")
+@query(f"""WITH {FINAL} SELECT id, round(semantic, 6) AS semantic, round(composite, 6) AS composite, round(final, 6) AS final FROM z
+        ORDER BY floor(final * 1e6 + 0.5) DESC, floor(composite * 1e6 + 0.5) DESC, content, id LIMIT 50""")
 def final_rank(spark, sf_dir):
     top = _boosted(spark, sf_dir).orderBy(*search.final_order()).limit(50)
     return top.select("id", *(F.round(c, 6).alias(c) for c in ("semantic", "composite", "final")))
 
 
-@query(f"WITH {FINAL}, q AS (SELECT *, id % 40 AS query FROM z), g AS (SELECT *, max(semantic) OVER (PARTITION BY query) AS best FROM q) SELECT query, id, round(final, 6) AS final FROM g WHERE best >= 0.98")
+@query(f"""WITH {FINAL}, q AS (SELECT *, id % 40 AS query FROM z), g AS (SELECT *, max(semantic) OVER (PARTITION BY query) AS best FROM q) SELECT query, id,
+        round(final, 6) AS final FROM g WHERE best >= 0.98""")
 def confidence_gate(spark, sf_dir):
     """Queries whose best result isn't good enough give no rows at all."""
     rows = _boosted(spark, sf_dir).withColumn("query", F.col("id") % 40)
@@ -213,7 +226,8 @@ def confidence_gate(spark, sf_dir):
 CONF = f"""{M}, s AS (SELECT *, id % 40 AS query, row_number() OVER (PARTITION BY id % 40 ORDER BY semantic DESC, id) AS r FROM m),
     a AS (SELECT query, count(*) AS n, max(semantic) AS best, max(semantic) - max(CASE WHEN r = 2 THEN semantic END) AS gap FROM s GROUP BY query),
     c AS (SELECT s.id, s.query, s.conflict, least(1::DOUBLE, 1 / (1 + exp(-8 * (semantic - 0.5)))
-        + least(CASE WHEN lexical_rank <= 3 THEN 0.08::DOUBLE WHEN lexical >= 0.5 THEN 0.04::DOUBLE ELSE 0::DOUBLE END + CASE WHEN graph > 0 THEN 0.05::DOUBLE ELSE 0::DOUBLE END, 0.13::DOUBLE))
+        + least(CASE WHEN lexical_rank <= 3 THEN 0.08::DOUBLE WHEN lexical >= 0.5 THEN 0.04::DOUBLE ELSE 0::DOUBLE END + CASE
+        WHEN graph > 0 THEN 0.05::DOUBLE ELSE 0::DOUBLE END, 0.13::DOUBLE))
         * CASE WHEN n < 2 THEN 1::DOUBLE WHEN gap >= 0.25 THEN 1.05::DOUBLE WHEN gap <= 0.05 THEN 0.9::DOUBLE ELSE 1::DOUBLE END
         * (0.7::DOUBLE + 0.3::DOUBLE * pow(2::DOUBLE, -CAST(1706745600 - created_s AS DOUBLE) / 86400 / 365))
         * CASE WHEN level = 'certain' THEN 1::DOUBLE WHEN level = 'outdated' THEN 0.7::DOUBLE ELSE 0.95::DOUBLE END
@@ -230,12 +244,14 @@ def _confidence(spark, sf_dir):
     return rows.join(stats, "query").withColumn("confidence", scoring.recall_confidence(c["semantic"], c["lexical_rank"], c["lexical"], c["graph"], c["gap"], c["n"], c["best"], fresh, c["level"], c["conflict"]))
 
 
-@query(f"WITH {CONF} SELECT id, round(confidence, 6) AS confidence, CASE WHEN confidence >= 0.9 THEN 'high' WHEN confidence >= 0.6 THEN 'qualified' ELSE 'low' END AS tier FROM k")
+@query(f"""WITH {CONF} SELECT id, round(confidence, 6) AS confidence, CASE WHEN confidence >= 0.9 THEN 'high' WHEN confidence >= 0.6 THEN 'qualified'
+        ELSE 'low' END AS tier FROM k""")
 def calibrated_confidence(spark, sf_dir):
     return _confidence(spark, sf_dir).select("id", F.round("confidence", 6).alias("confidence"), scoring.confidence_tier(F.col("confidence")).alias("tier"))
 
 
-@query(f"WITH {CONF}, b AS (SELECT query, max(confidence) AS c FROM k GROUP BY query) SELECT query, round(c, 6) AS confidence, CASE WHEN c < 0.6 THEN 'none' WHEN c >= 0.9 THEN 'confident' ELSE 'qualified' END AS verdict FROM b")
+@query(f"""WITH {CONF}, b AS (SELECT query, max(confidence) AS c FROM k GROUP BY query) SELECT query, round(c, 6) AS confidence, CASE WHEN c < 0.6 THEN 'none'
+        WHEN c >= 0.9 THEN 'confident' ELSE 'qualified' END AS verdict FROM b""")
 def assess_verdict(spark, sf_dir):
     best = _confidence(spark, sf_dir).groupBy("query").agg(F.max("confidence").alias("c"))
     return best.select("query", F.round("c", 6).alias("confidence"), F.when(F.col("c") < 0.6, "none").when(F.col("c") >= 0.9, "confident").otherwise("qualified").alias("verdict"))
@@ -248,7 +264,8 @@ def shadow_delta(spark, sf_dir):
 
 
 @query("""
-    WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+    WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a,
+        embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
     SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.4""")
 def near_duplicate_lookup(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")

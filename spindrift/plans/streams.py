@@ -20,7 +20,8 @@ def stream_window_counts(spark, sf_dir):
     return got.select("event_type", F.unix_seconds("start").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
-@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+        s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
     SELECT user_id, epoch_us(min(ts))::BIGINT AS start, count(*) AS n FROM s GROUP BY user_id, s""")
 def stream_sessions(spark, sf_dir):
     got = streams.run_available(streams.sessions(_events(spark, sf_dir), "user_id", "ts"))

@@ -14,7 +14,8 @@ def _case(column: str, rules, default: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(lower({column}), '{p}') THEN '{n}'" for n, p in rules) + f" ELSE '{default}' END"
 
 
-PROMPT = "CASE turn % 6 WHEN 0 THEN 'What happened yesterday: ' WHEN 1 THEN 'When did it fail? ' WHEN 2 THEN 'Should we prefer this: ' WHEN 3 THEN 'current hypothesis: ' WHEN 4 THEN 'npm install then test ' ELSE '' END || text"
+PROMPT = """CASE turn % 6 WHEN 0 THEN 'What happened yesterday: ' WHEN 1 THEN 'When did it fail? ' WHEN 2 THEN 'Should we prefer this: '
+        WHEN 3 THEN 'current hypothesis: ' WHEN 4 THEN 'npm install then test ' ELSE '' END || text"""
 
 
 def _prompts(spark, sf_dir):
@@ -35,20 +36,27 @@ INTENTS = [("temporal", r"\b(when|yesterday|ago|since)\b", 0.95), ("relational",
 SCORES = ", ".join(f"CASE WHEN len(regexp_extract_all(lower(p), '{r}')) > 0 THEN least(0.5 + 0.15 * len(regexp_extract_all(lower(p), '{r}')), {c}) ELSE 0 END::DOUBLE AS s{i}" for i, (_, r, c) in enumerate(INTENTS))
 
 
-@query(f"""WITH p AS (SELECT conv_id, turn, {PROMPT} AS p FROM conversations), s AS (SELECT conv_id, turn, {SCORES} FROM p), b AS (SELECT *, greatest(s0, s1, s2, s3) AS best FROM s)
-    SELECT conv_id, turn, CASE WHEN best = 0 THEN 'factual' WHEN s0 = best THEN 'temporal' WHEN s1 = best THEN 'relational' WHEN s2 = best THEN 'strategic' ELSE 'factual' END AS intent, round(CASE WHEN best = 0 THEN 0.3 ELSE best END, 6) AS score FROM b""")
+@query(f"""WITH p AS (SELECT conv_id, turn, {PROMPT} AS p FROM conversations), s AS (SELECT conv_id, turn, {SCORES} FROM p), b AS (SELECT *, greatest(s0, s1, s2,
+        s3) AS best FROM s)
+    SELECT conv_id, turn, CASE WHEN best = 0 THEN 'factual' WHEN s0 = best THEN 'temporal' WHEN s1 = best THEN 'relational'
+        WHEN s2 = best THEN 'strategic' ELSE 'factual' END AS intent, round(CASE WHEN best = 0 THEN 0.3 ELSE best END, 6) AS score FROM b""")
 def classify_query(spark, sf_dir):
     got = _prompts(spark, sf_dir).withColumn("x", routing.intent_scores(F.col("text"), INTENTS))
     return got.select("conv_id", "turn", "x.intent", F.round("x.score", 6).alias("score"))
 
 
-@query(f"WITH {M} SELECT id, CASE WHEN kind IN ('insight', 'reflection', 'learning') THEN 'reflective' WHEN regexp_matches(lower(content), '{routing.PROCEDURAL}') OR len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '^\\s*[0-9]+[.)]\\s+\\w+'))) >= 2 THEN 'procedural' WHEN kind IN ('fact', 'decision', 'preference', 'note') THEN 'semantic' ELSE 'episodic' END AS sector FROM m")
+@query(f"""WITH {M} SELECT id, CASE WHEN kind IN ('insight', 'reflection', 'learning') THEN 'reflective' WHEN regexp_matches(lower(content),
+        '{routing.PROCEDURAL}') OR len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x,
+        '^\\s*[0-9]+[.)]\\s+\\w+'))) >= 2 THEN 'procedural' WHEN kind IN ('fact', 'decision', 'preference', 'note') THEN 'semantic'
+        ELSE 'episodic' END AS sector FROM m""")
 def sector_route(spark, sf_dir):
     return memories(spark, sf_dir, "id", "kind", "content").select("id", routing.sector(F.col("kind"), F.col("content")).alias("sector"))
 
 
-@query(f"""WITH {M}, w AS (SELECT id, content, length(content) AS n, regexp_split_to_array(lower(content), '[ \\t\\n\\r\\f\\x0B]+') AS ws, len(list_filter(regexp_split_to_array(content, '[.!?]+'), lambda s: trim(s) <> '')) AS sentences FROM m)
-    SELECT id, length(trim(content)) BETWEEN 5 AND 50000 AS ok, least(100, greatest(0, 100 - CASE WHEN n < 20 THEN 30 WHEN n < 50 THEN 15 ELSE 0 END - CASE WHEN len(list_distinct(list_filter(ws, lambda w: length(w) > 3))) / greatest(1, len(ws))::DOUBLE < 0.3 THEN 20 ELSE 0 END
+@query(f"""WITH {M}, w AS (SELECT id, content, length(content) AS n, regexp_split_to_array(lower(content), '[ \\t\\n\\r\\f\\x0B]+') AS ws,
+        len(list_filter(regexp_split_to_array(content, '[.!?]+'), lambda s: trim(s) <> '')) AS sentences FROM m)
+    SELECT id, length(trim(content)) BETWEEN 5 AND 50000 AS ok, least(100, greatest(0, 100 - CASE WHEN n < 20 THEN 30 WHEN n < 50 THEN 15 ELSE 0 END -
+        CASE WHEN len(list_distinct(list_filter(ws, lambda w: length(w) > 3))) / greatest(1, len(ws))::DOUBLE < 0.3 THEN 20 ELSE 0 END
         + CASE WHEN sentences > 1 THEN 10 ELSE 0 END + CASE WHEN n BETWEEN 50 AND 2000 THEN 5 ELSE 0 END)) AS quality FROM w""")
 def write_gate(spark, sf_dir):
     return memories(spark, sf_dir, "id", "content").select("id", routing.writable(F.col("content")).alias("ok"), routing.quality(F.col("content")).alias("quality"))
@@ -57,8 +65,10 @@ def write_gate(spark, sf_dir):
 RULES = [("work", "project", 90, "fact", "en"), ("notes", "project", 60, None, "src3"), ("archive", "area", 40, "context", None)]
 
 
-@query(f"""WITH {M}, r AS (SELECT * FROM (VALUES ('work', 'project', 90, 'fact', 'en'), ('notes', 'project', 60, NULL, 'src3'), ('archive', 'area', 40, 'context', NULL)) t(place, type, priority, kind, tag)),
-    h AS (SELECT m.id, r.*, row_number() OVER (PARTITION BY m.id, r.type ORDER BY r.priority DESC, r.place) AS n FROM m LEFT JOIN r ON (r.kind IS NULL OR r.kind = m.kind) AND (r.tag IS NULL OR r.tag = m.lang OR r.tag = m.source))
+@query(f"""WITH {M}, r AS (SELECT * FROM (VALUES ('work', 'project', 90, 'fact', 'en'), ('notes', 'project', 60, NULL, 'src3'), ('archive', 'area', 40,
+        'context', NULL)) t(place, type, priority, kind, tag)),
+    h AS (SELECT m.id, r.*, row_number() OVER (PARTITION BY m.id, r.type ORDER BY r.priority DESC, r.place) AS n FROM m LEFT JOIN r ON (r.kind IS NULL
+        OR r.kind = m.kind) AND (r.tag IS NULL OR r.tag = m.lang OR r.tag = m.source))
     SELECT id, coalesce(place, 'inbox') AS place, coalesce(least(1, priority / 100::DOUBLE), 0.5) AS weight FROM h WHERE n = 1""")
 def place_rules(spark, sf_dir):
     rules = spark.createDataFrame(RULES, "place string, type string, priority int, kind string, tag string")
@@ -68,7 +78,9 @@ def place_rules(spark, sf_dir):
 TAGS = "['  Big  ' || source, '--' || lang || '--x', 'misc', upper(source) || '  ' || lang, source]"
 
 
-@query(f"""WITH {M}, t AS (SELECT id, unnest({TAGS}) AS t FROM m), n AS (SELECT DISTINCT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(t)), '\\s+', '-', 'g'), '^-+', ''), '-+$', ''), '-{{2,}}', '-', 'g') AS t FROM t)
+@query(f"""WITH {M}, t AS (SELECT id, unnest({TAGS}) AS t FROM m), n AS (SELECT DISTINCT id,
+        regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(t)), '\\s+', '-', 'g'), '^-+', ''), '-+$', ''), '-{{2,}}', '-',
+        'g') AS t FROM t)
     SELECT id, string_agg(t, ',' ORDER BY t) AS tags FROM n WHERE length(t) >= 2 AND t NOT IN ('misc', 'other', 'none') GROUP BY id""")
 def tag_normalize(spark, sf_dir):
     rows = memories(spark, sf_dir, "id", "lang", "source")
@@ -76,7 +88,8 @@ def tag_normalize(spark, sf_dir):
     return rows.select("id", F.array_join(text.normalize_tags(tags), ",").alias("tags"))
 
 
-@query(f"WITH {M} SELECT id, regexp_replace('a <private>' || lang || '</private> b ' || source, '(?s)<private>.*?</private>', '', 'g') AS clean, ceil(length(content) / 4.0)::BIGINT AS prose, ceil(length(content) / 3.0)::BIGINT AS wire FROM m")
+@query(f"""WITH {M} SELECT id, regexp_replace('a <private>' || lang || '</private> b ' || source, '(?s)<private>.*?</private>', '', 'g') AS clean,
+        ceil(length(content) / 4.0)::BIGINT AS prose, ceil(length(content) / 3.0)::BIGINT AS wire FROM m""")
 def privacy_and_tokens(spark, sf_dir):
     rows = memories(spark, sf_dir, "id", "content", "lang", "source")
     secret = F.concat(F.lit("a <private>"), "lang", F.lit("</private> b "), "source")
@@ -86,34 +99,40 @@ def privacy_and_tokens(spark, sf_dir):
 HEADS = "array_to_string(list_transform(string_split(content, chr(10)), lambda x: substring(x, 1, {})), chr(10))"
 
 
-@query(f"""WITH {M} SELECT id, md5(CASE WHEN length(content) <= 100 THEN content WHEN length(content) <= 500 THEN substring({HEADS.format(80)}, 1, 300) WHEN length(content) <= 2000 THEN substring({HEADS.format(60)}, 1, 300) ELSE substring({HEADS.format(40)}, 1, 150) END) AS compressed,
+@query(f"""WITH {M} SELECT id, md5(CASE WHEN length(content) <= 100 THEN content WHEN length(content) <= 500 THEN substring({HEADS.format(80)}, 1, 300)
+        WHEN length(content) <= 2000 THEN substring({HEADS.format(60)}, 1, 300) ELSE substring({HEADS.format(40)}, 1, 150) END) AS compressed,
     md5(CASE WHEN ceil(length(content) / 4.0) <= 50 THEN content ELSE substring(content, 1, 197) || '...' END) AS truncated FROM m""")
 def compression_tiers(spark, sf_dir):
     rows = memories(spark, sf_dir, "id", "content")
     return rows.select("id", F.md5(context.compress(F.col("content")).cast("binary")).alias("compressed"), F.md5(text.truncate(F.col("content"), 50).cast("binary")).alias("truncated"))
 
 
-@query("""WITH c AS (SELECT *, CASE role WHEN 'system' THEN 'setup' WHEN 'user' THEN 'request' ELSE 'answer' END AS chunk FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, chunk ORDER BY turn) AS nth FROM c)
-    SELECT conv_id, turn, chunk, nth, md5(substring(text, 1, 500)) AS head FROM n WHERE nth <= CASE chunk WHEN 'setup' THEN 1 WHEN 'request' THEN 2 ELSE 3 END""")
+@query("""WITH c AS (SELECT *, CASE role WHEN 'system' THEN 'setup' WHEN 'user' THEN 'request' ELSE 'answer' END AS chunk FROM conversations), n AS (SELECT *,
+        row_number() OVER (PARTITION BY conv_id, chunk ORDER BY turn) AS nth FROM c)
+    SELECT conv_id, turn, chunk, nth, md5(substring(text, 1, 500)) AS head FROM n WHERE nth <= CASE chunk WHEN 'setup' THEN 1 WHEN 'request' THEN 2
+        ELSE 3 END""")
 def chunk_caps(spark, sf_dir):
     kind = F.when(F.col("role") == "system", "setup").when(F.col("role") == "user", "request").otherwise("answer")
     got = context.chunks(table(spark, sf_dir, "conversations"), "conv_id", kind, ["turn"], {"setup": 1, "request": 2, "answer": 3}, "text")
     return got.select("conv_id", "turn", "chunk", "nth", F.md5(F.col("head").cast("binary")).alias("head"))
 
 
-@query("SELECT conv_id, turn, md5(string_agg(substring(text, 1, 60), ' | ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) AS summary FROM conversations")
+@query("""SELECT conv_id, turn, md5(string_agg(substring(text, 1, 60), ' | ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING
+        AND CURRENT ROW)) AS summary FROM conversations""")
 def rolling_summary(spark, sf_dir):
     got = context.rolling(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 3)
     return got.select("conv_id", "turn", F.md5(F.col("summary").cast("binary")).alias("summary"))
 
 
-@query("WITH n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS chunk FROM conversations) SELECT conv_id, chunk, md5(string_agg(substring(text, 1, 60), ' | ' ORDER BY turn)) AS summary FROM n GROUP BY 1, 2")
+@query("""WITH n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS chunk FROM conversations) SELECT conv_id, chunk,
+        md5(string_agg(substring(text, 1, 60), ' | ' ORDER BY turn)) AS summary FROM n GROUP BY 1, 2""")
 def incremental_summary(spark, sf_dir):
     got = context.fixed_chunks(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 3)
     return got.select("conv_id", "chunk", F.md5(F.col("summary").cast("binary")).alias("summary"))
 
 
-@query("""WITH p AS (SELECT a.doc_id, string_split(a.text, chr(10)) AS x, string_split(b.text, chr(10)) AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
+@query("""WITH p AS (SELECT a.doc_id, string_split(a.text, chr(10)) AS x, string_split(b.text, chr(10)) AS y FROM documents a
+        JOIN documents b ON b.doc_id = a.doc_id + 1)
     SELECT doc_id, len(list_filter(y, lambda l: NOT list_contains(x, l))) AS added, len(list_filter(x, lambda l: NOT list_contains(y, l))) AS removed FROM p""")
 def snapshot_line_diff(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -122,17 +141,21 @@ def snapshot_line_diff(spark, sf_dir):
     return both.select("doc_id", F.size(added).cast("long").alias("added"), F.size(removed).cast("long").alias("removed"))
 
 
-@query(f"""WITH {M}, s AS (SELECT id, kind, ceil(length(content) / 4.0) AS n FROM m), u AS (SELECT *, sum(n) OVER (PARTITION BY kind ORDER BY id ROWS UNBOUNDED PRECEDING) AS used FROM s)
-    SELECT id, kind, used::BIGINT AS used FROM u WHERE used <= 20000 * CASE kind WHEN 'fact' THEN 0.3 WHEN 'preference' THEN 0.25 WHEN 'decision' THEN 0.2 WHEN 'observation' THEN 0.15 ELSE 0.1 END""")
+@query(f"""WITH {M}, s AS (SELECT id, kind, ceil(length(content) / 4.0) AS n FROM m), u AS (SELECT *, sum(n) OVER (PARTITION BY kind
+        ORDER BY id ROWS UNBOUNDED PRECEDING) AS used FROM s)
+    SELECT id, kind, used::BIGINT AS used FROM u WHERE used <= 20000 * CASE kind WHEN 'fact' THEN 0.3 WHEN 'preference' THEN 0.25
+        WHEN 'decision' THEN 0.2 WHEN 'observation' THEN 0.15 ELSE 0.1 END""")
 def section_budgets(spark, sf_dir):
     rows = memories(spark, sf_dir, "id", "kind", "content").select("id", "kind", text.tokens(F.col("content")).alias("n"))
     got = context.section_windows(rows, "kind", "n", [F.asc("id")], {"fact": 0.3, "preference": 0.25, "decision": 0.2, "observation": 0.15, "context": 0.1}, 20000)
     return got.select("id", "kind", "used")
 
 
-@query(f"""WITH RECURSIVE {M}, o AS (SELECT source, id, pinned, CAST(ceil(length(content) / 4.0) AS BIGINT) AS n, row_number() OVER (PARTITION BY source ORDER BY NOT pinned, importance DESC, id) AS r FROM m),
+@query(f"""WITH RECURSIVE {M}, o AS (SELECT source, id, pinned, CAST(ceil(length(content) / 4.0) AS BIGINT) AS n, row_number() OVER (PARTITION BY source
+        ORDER BY NOT pinned, importance DESC, id) AS r FROM m),
     f AS (SELECT source, id, r, CASE WHEN pinned OR n <= 2000 THEN n ELSE 0 END AS used, pinned OR n <= 2000 AS taken FROM o WHERE r = 1
-        UNION ALL SELECT o.source, o.id, o.r, f.used + CASE WHEN o.pinned OR f.used + o.n <= 2000 THEN o.n ELSE 0 END, o.pinned OR f.used + o.n <= 2000 FROM f JOIN o ON o.source = f.source AND o.r = f.r + 1)
+        UNION ALL SELECT o.source, o.id, o.r, f.used + CASE WHEN o.pinned OR f.used + o.n <= 2000 THEN o.n ELSE 0 END, o.pinned
+        OR f.used + o.n <= 2000 FROM f JOIN o ON o.source = f.source AND o.r = f.r + 1)
     SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY r) AS place FROM f WHERE taken""")
 def context_budget(spark, sf_dir):
     """Skip-and-continue, row by row in the SQL."""
@@ -140,9 +163,13 @@ def context_budget(spark, sf_dir):
     return context.fit_budget(rows, "source", "id", "n", "importance", "pinned", 2000)
 
 
-@query(f"""WITH {M}, s AS (SELECT id, id % 40 AS query, content, semantic, ceil(length(content) / 3.0) AS n FROM m), k AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY query ORDER BY semantic DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM s WHERE semantic >= 0.5),
+@query(f"""WITH {M}, s AS (SELECT id, id % 40 AS query, content, semantic, ceil(length(content) / 3.0) AS n FROM m), k AS (SELECT *,
+        coalesce(sum(n) OVER (PARTITION BY query ORDER BY semantic DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM s
+        WHERE semantic >= 0.5),
     t AS (SELECT query, sum(CASE WHEN semantic >= 0.5 THEN n END) AS total FROM s GROUP BY query)
-    SELECT t.query, coalesce(k.id, -1) AS id, CASE WHEN total IS NULL THEN 'none' WHEN total > 1500 THEN 'partial' ELSE 'ok' END AS status, md5(coalesce(CASE WHEN n > 1500 - used THEN regexp_replace(substring(content, 1, CAST((1500 - used) * 3 AS INT)), '\\s+\\S*$', '') ELSE content END, '')) AS body
+    SELECT t.query, coalesce(k.id, -1) AS id, CASE WHEN total IS NULL THEN 'none' WHEN total > 1500 THEN 'partial' ELSE 'ok' END AS status,
+        md5(coalesce(CASE WHEN n > 1500 - used THEN regexp_replace(substring(content, 1, CAST((1500 - used) * 3 AS INT)), '\\s+\\S*$', '')
+        ELSE content END, '')) AS body
     FROM t LEFT JOIN k ON t.query = k.query AND used < 1500""")
 def response_pack(spark, sf_dir):
     rows = memories(spark, sf_dir, "id", "content", "semantic").withColumn("query", F.col("id") % 40)
