@@ -2,7 +2,7 @@
 
 Each step groups edges by a vertex and hands all its neighbours to the least one; partial minima are combined
 before the shuffle, and no step collects a vertex's neighbours. The number of rounds grows with the logarithm of
-the longest chain. Every round is written to the shared folder, so lost executors cost one round at most.
+the longest chain. Every round is written to the shared folder, so lost executors cost one round at most; the one before is deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.tables import written
+from spindrift.llm.tables import discard, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,12 +21,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # large star: every larger neighbour of a vertex goes to the least of its neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         # small star: every smaller neighbour, and the vertex itself, go to the least neighbour
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         nxt = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(edges)
         edges = nxt
         if now == seen:
             break

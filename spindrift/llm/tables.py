@@ -45,7 +45,31 @@ def written(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/spindrift-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bits of a filter of keys: its table has at most a 64th as many rows.
+FILTER_BITS = 1 << 25
+
+
+def likely_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among `keys`, and a few others: a filter of fixed size is broadcast, so that rows that no key
+    wants aren't shuffled by the join that follows. With very many keys it lets more pass, which only costs time."""
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast({c} % 64 AS int))")
+    words = keys.select(place.alias("_p")).groupBy(F.floor(F.col("_p") / 64).alias("_k")).agg(F.bit_or(bit("_p")).alias("_b"))
+    marked = rows.withColumn("_p", place).withColumn("_k", F.floor(F.col("_p") / 64)).join(F.broadcast(words), "_k")
+    return marked.filter(F.col("_b").bitwiseAND(bit("_p")) != 0).select(*named(*rows.columns))
 
 
 def spread_join(rows: DataFrame, classes: DataFrame, on: list[str], size: str) -> DataFrame:

@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, components, exact_dedup, fingerprint, jaccard, langid, line_dedup, packing, quality, repeats, samples, shingles, toxicity
+from spindrift.llm import bpe, components, exact_dedup, fingerprint, jaccard, langid, line_dedup, packing, quality, repeats, samples, shingles, tables, toxicity
 from spindrift.llm.tables import held_out, tokenizer_path
 
 
@@ -283,6 +283,17 @@ def test_components(spark):
     assert got == {(v, 1) for v in range(1, 6)} | {(8, 8), (9, 8), (10, 10), (11, 10), (12, 10)}
 
 
+def test_filter_of_keys(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, str(i)) for i in [*range(-300, 300), None]], "doc_id long, `a b` string")
+    keys = spark.createDataFrame([(i,) for i in [*range(0, 90, 3), 10**12, None]], "doc_id long")
+    want = set(range(0, 90, 3))
+    got = [r.doc_id for r in tables.likely_in(rows, keys, "doc_id").collect()]
+    assert want <= set(got) and len(got) < 45
+    monkeypatch.setattr(tables, "FILTER_BITS", 64)
+    assert want <= {r.doc_id for r in tables.likely_in(rows, keys, "doc_id").collect()}
+    assert tables.likely_in(rows, keys.limit(0), "doc_id").collect() == []
+
+
 # 5. repeated passages
 
 
