@@ -5,8 +5,8 @@ key; an empty table gives no rows."""
 
 from __future__ import annotations
 
-import hashlib
 import itertools
+import re
 from collections import Counter
 
 import numpy as np
@@ -35,28 +35,55 @@ def word_sets(rows: DataFrame, key: str, content: str) -> DataFrame:
     return rows.select(key, F.array_sort(F.array_distinct(text.words(F.col(content)))).alias("_w")).filter(F.size("_w") > 0)
 
 
-def simhash_value(words: Counter) -> int:
-    """32 bits: each the sign of the weighted votes of FNV-1a hashes."""
-    votes = np.zeros(32, np.int64)
-    for w, n in words.items():
-        h = 2166136261
-        for c in w.encode():
-            h = (h ^ c) * 16777619 & 0xFFFFFFFF
-        h ^= h >> 16
-        h = h * 0x45D9F3B & 0xFFFFFFFF
-        h ^= h >> 16
-        votes += np.where((h >> np.arange(32)) & 1, n, -n)
-    return int(((votes > 0).astype(np.uint64) << np.arange(32, dtype=np.uint64)).sum())
-
-
-def minhash_signature(content: str, size: int = 128) -> np.ndarray:
-    """Least values of `size` hash functions over the text's padded character trigrams."""
-    t = f"  {content.lower()} "
-    grams = {t[i : i + 3] for i in range(len(t) - 2)}
-    base = np.array([int.from_bytes(hashlib.blake2b(g.encode(), digest_size=4).digest(), "little") for g in sorted(grams)], np.uint64)
-    rng = np.random.Generator(np.random.PCG64(7))
-    a, b = rng.integers(1, 1 << 31, size, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 31, size, dtype=np.uint64)
-    return ((base[None, :] * a[:, None] + b[:, None]) % np.uint64(4294967291)).min(1).astype(np.int64)
+# Start, factors and seed step of the hashes, whose values must be the same everywhere.
+FNV_START, FNV_FACTOR, FOLD_FACTOR, SEED_STEP = 2166136261, 16777619, 65599, 0x9E3779B9
+PLACES = 128
+_WORD = re.compile(r"[a-z0-9_]+")
+
+
+def word_codes(words: list[str]) -> np.ndarray:
+    """32-bit codes of ASCII words: a multiplicative hash whose products are rounded to doubles, folded once at the end."""
+    size = np.array([len(w) for w in words], np.int64)
+    letters = np.frombuffer("".join(words).encode("ascii"), np.uint8).astype(np.int64)
+    first = np.cumsum(size) - size
+    h = np.full(len(words), np.int64(FNV_START).astype(np.int32), np.int32).astype(np.int64)
+    for place in range(int(size.max(initial=0))):
+        on = np.flatnonzero(size > place)
+        product = (h[on] ^ letters[first[on] + place]).astype(np.float64) * float(FNV_FACTOR)
+        h[on] = product.astype(np.int64).astype(np.int32)  # the low 32 bits of the rounded product, signed
+    h = h & 0xFFFFFFFF
+    return ((h >> 16) * FOLD_FACTOR + (h & 0xFFFF)) & 0xFFFFFFFF
+
+
+def simhashes(texts: list[str]) -> list[int]:
+    """32 bits of each text: each the sign of the votes of its words' codes, a word counting as often as it occurs."""
+    found = [Counter(_WORD.findall(t.lower())) for t in texts]
+    known = {w: i for i, w in enumerate({w: None for c in found for w in c})}
+    bits = ((word_codes(list(known))[:, None] >> np.arange(32)) & 1) * 2 - 1 if known else np.zeros((0, 32), np.int64)
+    out = []
+    for c in found:
+        votes = np.array(list(c.values()), np.int64) @ bits[[known[w] for w in c]] if c else np.zeros(32, np.int64)
+        out.append(int(((votes > 0).astype(np.int64) << np.arange(32)).sum()))
+    return out
+
+
+_SEEDS = (np.uint32(FNV_START) ^ (np.arange(1, PLACES + 1, dtype=np.uint64) * np.uint64(SEED_STEP)).astype(np.uint32))[None, :]
+
+
+def minhash(text: str) -> np.ndarray:
+    """Least values of 128 seeded hashes over the trigrams of UTF-16 units of a text with two spaces at each end; of a
+    blank text all 0."""
+    if not text.strip():
+        return np.zeros(PLACES, np.int64)
+    units = np.frombuffer(f"  {text.lower()}  ".encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.uint64)
+    grams = np.unique(units[:-2] << np.uint64(32) | units[1:-1] << np.uint64(16) | units[2:])
+    low = np.full(PLACES, 0xFFFFFFFF, np.uint32)
+    for a in range(0, len(grams), 4096):
+        part, h = grams[a : a + 4096, None], np.broadcast_to(_SEEDS, (min(4096, len(grams) - a), PLACES))
+        for shift in (32, 16, 0):
+            h = (h ^ ((part >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint32)) * np.uint32(FNV_FACTOR)
+        low = np.minimum(low, h.min(0))
+    return low.astype(np.int64)
 
 
 def hashes(rows: DataFrame, key: str, content: str) -> DataFrame:
@@ -65,8 +92,8 @@ def hashes(rows: DataFrame, key: str, content: str) -> DataFrame:
     def run(batches):
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            sims = [simhash_value(Counter(t.lower().split())) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sims, pa.int64()), pa.array([minhash_signature(t) for t in texts], pa.list_(pa.int64()))], [key, "simhash", "minhash"])
+            signatures = pa.array([minhash(t) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(simhashes(texts), pa.int64()), signatures], [key, "simhash", "minhash"])
 
     return rows.select(F.col(key).cast("long").alias(key), content).mapInArrow(run, f"{key} long, simhash long, minhash array<long>")
 

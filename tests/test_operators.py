@@ -87,6 +87,44 @@ def test_hash_blocking_loses_nothing(spark):
     assert got == want
 
 
+def plain_word_code(word):
+    """Letter by letter, with the low 32 bits of a product rounded to a double."""
+    signed = lambda x: (x & 0xFFFFFFFF) - ((x & 0x80000000) << 1)
+    h = 2166136261
+    for c in word.encode():
+        h = signed(int(float(signed(h) ^ c) * 16777619.0))
+    h &= 0xFFFFFFFF
+    return ((h >> 16) * 65599 + (h & 0xFFFF)) & 0xFFFFFFFF
+
+
+def plain_minhash(text):
+    units = [int.from_bytes(x, "little") for x in itertools.batched(f"  {text.lower()}  ".encode("utf-16-le"), 2)]
+    out = []
+    for seed in range(128):
+        start = (2166136261 ^ ((seed + 1) * 0x9E3779B9 & 0xFFFFFFFF)) & 0xFFFFFFFF
+        values = []
+        for gram in zip(units, units[1:], units[2:]):
+            h = start
+            for c in gram:
+                h = (h ^ c) * 16777619 & 0xFFFFFFFF
+            values.append(h)
+        out.append(min(values))
+    return out
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aB z_9é🙂\n-"), max_size=30), min_size=1, max_size=5))
+def test_hashes_as_a_plain_version(texts):
+    got = dedup.simhashes(texts)
+    for t, h in zip(texts, got):
+        votes = [0] * 32
+        for w in re.findall("[a-z0-9_]+", t.lower()):
+            code = plain_word_code(w)
+            votes = [v + (1 if code >> i & 1 else -1) for i, v in enumerate(votes)]
+        assert h == sum((v > 0) << i for i, v in enumerate(votes))
+        assert dedup.minhash(t).tolist() == (plain_minhash(t) if t.strip() else [0] * 128)
+
+
 @pytest.mark.parametrize("least", [0.3, 0.5, 0.75])
 def test_word_jaccard_finds_all(spark, least):
     rng = random.Random(3)
