@@ -1,4 +1,7 @@
-"""Fitting records into budgets: packing, chunks, compression, summaries and line differences."""
+"""Fitting records into budgets: packing, chunks, compression, summaries and line differences.
+
+Rows are taken in a stated order whose ties go to the least key; a null text is as long as none; an empty table gives no
+rows."""
 
 from __future__ import annotations
 

@@ -1,5 +1,8 @@
 """Bounded graph operators over edge tables (src, dst, weight). Traversals are a fixed number of joins with the
-visited vertices taken out; an edge is looked up by either end through a union of two equi-joins."""
+visited vertices taken out; an edge is looked up by either end through a union of two equi-joins.
+
+Edges with a null end join nothing; ties go to the least vertex or path; without edges there are the starts alone, or no
+rows."""
 
 from __future__ import annotations
 

@@ -2,7 +2,8 @@
 
 Rows are ordered by millionths of a score, then content, then id, so equal scores rank alike on every run. A top-k
 without a key is an ordered limit (each task keeps k rows); with a key it is a row number, which Spark also limits
-before its shuffle."""
+before its shuffle. Null texts hold no words and no terms; rows without a vector, or with one of another dimension, are
+skipped; an empty table gives no rows."""
 
 from __future__ import annotations
 

@@ -32,16 +32,29 @@ def signal_classify(spark, sf_dir):
     return _prompts(spark, sf_dir).select("conv_id", "turn", routing.first_match(F.col("text"), routing.SIGNALS, "durable").alias("signal"))
 
 
-INTENTS = [("temporal", r"\b(when|yesterday|ago|since)\b", 0.95), ("relational", r"\b(related|between|connects)\b", 0.9), ("strategic", r"\b(should|plan|prefer)\b", 0.9), ("factual", r"\b(what|which)\b", 0.85)]
-SCORES = ", ".join(f"CASE WHEN len(regexp_extract_all(lower(p), '{r}')) > 0 THEN least(0.5 + 0.15 * len(regexp_extract_all(lower(p), '{r}')), {c}) ELSE 0 END::DOUBLE AS s{i}" for i, (_, r, c) in enumerate(INTENTS))
-
-
-@query(f"""WITH p AS (SELECT conv_id, turn, {PROMPT} AS p FROM conversations), s AS (SELECT conv_id, turn, {SCORES} FROM p), b AS (SELECT *, greatest(s0, s1, s2,
-        s3) AS best FROM s)
-    SELECT conv_id, turn, CASE WHEN best = 0 THEN 'factual' WHEN s0 = best THEN 'temporal' WHEN s1 = best THEN 'relational'
-        WHEN s2 = best THEN 'strategic' ELSE 'factual' END AS intent, round(CASE WHEN best = 0 THEN 0.3 ELSE best END, 6) AS score FROM b""")
+def _intents() -> str:
+    """s0 .. s5, the score of each intent, in SQL."""
+    out = []
+    for i, (patterns, base, step, cap) in enumerate(routing.INTENTS.values()):
+        hits = " + ".join("CAST(regexp_matches(lower(trim(q)), '" + p.replace("'", "''") + "') AS INT)" for p in patterns)
+        out.append(f"CASE WHEN {hits} > 0 THEN least({base}::DOUBLE + {step}::DOUBLE * ({hits}), {cap}::DOUBLE) ELSE 0::DOUBLE END AS s{i}")
+    named = f"len(regexp_extract_all(q, '{routing.CAPITALS}', 1))"
+    return ", ".join(out) + f", CASE WHEN {named} >= 2 THEN least(0.45::DOUBLE + 0.1::DOUBLE * {named}, 0.9::DOUBLE) ELSE 0::DOUBLE END AS s5"
+
+
+#: Questions of several intents, beside the turns' own texts.
+QUERY = """CASE (conv_id + turn) % 9 WHEN 0 THEN 'When did the build fail last week, before 2024-01-05?' WHEN 1 THEN 'What depends on it and who owns the link between them'
+    WHEN 2 THEN 'What is the right approach, should we prefer a guide' WHEN 3 THEN 'explain what does it mean' WHEN 4 THEN 'show me similar ones, what else'
+    WHEN 5 THEN 'Ask Red Fox and Blue Whale about Green Tea' WHEN 6 THEN '' WHEN 7 THEN 'tell me about March 2021' ELSE text END"""
+_NAMES = ", ".join(f"'{n}'" for n in (*routing.INTENTS, "entity_heavy"))
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, {QUERY} AS q FROM conversations), s AS (SELECT conv_id, turn, {_intents()} FROM p),
+    b AS (SELECT *, greatest(s0, s1, s2, s3, s4, s5) AS best FROM s)
+    SELECT conv_id, turn, CASE WHEN best = 0 THEN 'default' ELSE [{_NAMES}][list_position([s0, s1, s2, s3, s4, s5], best)] END AS intent,
+        round(CASE WHEN best = 0 THEN 0.3 ELSE best END, 6) AS score FROM b""")
 def classify_query(spark, sf_dir):
-    got = _prompts(spark, sf_dir).withColumn("x", routing.intent_scores(F.col("text"), INTENTS))
+    got = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{QUERY} AS q").withColumn("x", routing.classify(F.col("q")))
     return got.select("conv_id", "turn", "x.intent", F.round("x.score", 6).alias("score"))
 
 
