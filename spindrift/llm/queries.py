@@ -95,11 +95,41 @@ def _lines_sql(key: str, rows: str, least: int, ratio: float) -> str:
         FROM page p LEFT JOIN kept k USING (page)"""
 
 
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 ORACLES = {
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op4_jaccard": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{CAPITALS}', '{CAPITALS.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d),
+        t AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS m, b.n AS n, count(*) AS k FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p WHERE 100 * k >= 75 * (m + n - k)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+        c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+        SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id FROM s JOIN c ON c.a = s.doc_id""",
+    "op5_repeats": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        k AS (SELECT doc_id, i, b[i + 1:i + 50] AS s FROM (SELECT doc_id, b, unnest(range(0, n - 49)) AS i FROM d)),
+        f AS (SELECT s, min(doc_id) AS first FROM k GROUP BY s HAVING count(*) > 1),
+        g AS (SELECT k.doc_id, i FROM k JOIN f USING (s) WHERE first < k.doc_id),
+        m AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM g),
+        r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM m),
+        u AS (SELECT doc_id, run, min(i) AS lo, max(i) + 50 AS hi FROM r GROUP BY doc_id, run),
+        v AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM u),
+        x AS (
+            SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS last,
+                   string_agg(CASE WHEN lo > before THEN hex(b[before + 1:lo]) ELSE '' END, '' ORDER BY lo) AS head FROM v JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(head, '') || CASE WHEN n > coalesce(last, 0) THEN hex(b[coalesce(last, 0) + 1:n]) ELSE '' END)) AS kept_sha256
+        FROM d LEFT JOIN x USING (doc_id)""",
     "op10_line_dedup": _lines_sql("doc_id", "SELECT doc_id, source AS host, text FROM documents", 5, 0.08),
     "pages_line_dedup": _lines_sql(
         "page_id",
