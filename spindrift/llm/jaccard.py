@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from spindrift.llm import shingles as S
 from spindrift.llm.components import components
 from spindrift.llm.memory import release
-from spindrift.llm.tables import spread_join, written
+from spindrift.llm.tables import discard, likely_in, spread_join, written
 
 WIDTH = 5
 #: Tokens of a portion, which a task counts before it reports the frequent ones; postings that it sends at once.
@@ -156,7 +156,8 @@ def _stars(docs: DataFrame, vertices: DataFrame, partitions: int) -> DataFrame:
     members = spread_join(edges, slices.withColumn("rows", F.col("slices") * SLICE), ["centre"], "rows").select("doc_id", "sig", where.alias("at"))
     centres = slices.select("centre.doc_id", "centre.sig", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     centres = centres.select("doc_id", "sig", F.struct(F.col("sig").alias("centre"), "slice", F.lit(0).alias("member")).alias("at"))
-    texts = _texts(docs, members.unionByName(centres)).select("at.*", "sig", "text")
+    wanted = written(members.unionByName(centres))  # its size is known when the join with the texts is planned
+    texts = _texts(docs, wanted).select("at.*", "sig", "text")
     texts = texts.repartition(partitions, "centre", "slice").sortWithinPartitions("centre", "slice", "member", "sig")
 
     def run(batches):
@@ -193,13 +194,22 @@ def _stars(docs: DataFrame, vertices: DataFrame, partitions: int) -> DataFrame:
     return texts.mapInArrow(run, "a long, b long")
 
 
+def _families(kept: DataFrame) -> DataFrame:
+    """sig, family: sets under the name of a set that they link with, or that it links with; links join all of a family.
+    It need not be all that links join: it is what makes no pairs."""
+    own = kept.select(F.col("b").alias("sig"), F.col("a").alias("family")).unionByName(kept.select(F.col("a").alias("sig"), F.col("a").alias("family")))
+    first = written(own.groupBy("sig").agg(F.min("family").alias("family")))
+    further = first.select(F.col("sig").alias("family"), F.col("family").alias("next")).filter("family <> next")
+    return first.join(further, "family", "left").select("sig", F.coalesce("next", "family").alias("family"))
+
+
 def similar(m, n, common):
     return 7 * common >= 3 * (m + n)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The wanted rows (doc_id, sig, ...) with the texts of their documents; a document of several texts gives each."""
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted, "doc_id")
+    return likely_in(docs.select("doc_id", F.col("text").cast("binary").alias("text")), wanted, "doc_id").join(wanted, "doc_id")
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -225,22 +235,31 @@ def _set_range(sig: np.ndarray, buckets: int) -> np.ndarray:
     return ((sig.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def _packed(bucket: np.ndarray, token: np.ndarray, sig: np.ndarray, size: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Postings by bucket: sorted tokens as differences, sets as places in a small dictionary of (sig, size)."""
+def _packed(bucket: np.ndarray, token: np.ndarray, owner: np.ndarray, sigs: np.ndarray, sizes: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Postings by bucket: sorted tokens as differences, owners as places in a small dictionary of (sig, size)."""
     order = np.lexsort((token, bucket))
-    token, sig, size = token[order], sig[order], size[order].astype(np.int32)
+    token, owner, sizes = token[order], owner[order], sizes.astype(np.int32)
     edge = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=bucket.dtype))
     out = []
     for k in np.flatnonzero(np.diff(edge)).tolist():
         a, b = edge[k], edge[k + 1]
-        both = np.empty(b - a, [("s", np.int64), ("n", np.int32)])
-        both["s"], both["n"] = sig[a:b], size[a:b]
-        own, at = np.unique(both, return_inverse=True)
-        out.append((k, _planes(np.diff(token[a:b], prepend=np.uint64(0))), _planes(at.astype(np.uint32)), _planes(own["s"].copy()), _planes(own["n"].copy())))
+        own, at = np.unique(owner[a:b], return_inverse=True)
+        out.append((k, _planes(np.diff(token[a:b], prepend=np.uint64(0))), _planes(at.astype(np.uint32)), _planes(sigs[own]), _planes(sizes[own])))
     for i in range(0, len(out), 16):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 16]), _SCHEMA)], schema=_SCHEMA)
 
 
+def _owners(sig: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each posting's (sig, size), and the sig and size of each number."""
+    order = np.lexsort((size, sig))
+    new = _starts(sig[order])
+    new[1:] |= size[order][1:] != size[order][:-1]
+    owner = np.empty(len(sig), np.int64)
+    owner[order] = np.cumsum(new) - 1
+    first = order[new]
+    return owner, sig[first], size[first]
+
+
 def _by_bucket(batches, work) -> Iterator[pa.RecordBatch]:
     """work(token, sig, size) of each bucket's postings, distinct and ordered by token and sig."""
     held, parts = None, []
@@ -268,7 +287,7 @@ def _by_bucket(batches, work) -> Iterator[pa.RecordBatch]:
 
 
 def _dealt(postings: DataFrame, buckets: int) -> DataFrame:
-    return postings.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return postings.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
 
 
 def _postings(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
@@ -279,9 +298,8 @@ def _postings(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         hot, known, tokens, sigs, sizes, held = shared.value, set(), [], [], [], 0
 
         def flush():
-            n = np.array([len(x) for x in tokens])
-            token = np.concatenate(tokens)
-            yield from _packed(_range_of(token, buckets), token, np.repeat(np.array(sigs, np.int64), n), np.repeat(np.array(sizes, np.int64), n), buckets)
+            token, owner = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+            yield from _packed(_range_of(token, buckets), token, owner, np.array(sigs, np.int64), np.array(sizes, np.int64), buckets)
 
         for _, first, last, values, bounds in _sets(batches, 0):
             for i in range(last - first):
@@ -315,7 +333,7 @@ def _shared_only(postings: DataFrame, buckets: int) -> DataFrame:
     def work(token, sig, size):
         length = np.diff(np.append(np.flatnonzero(_starts(token)), len(token)))
         some = np.repeat(length > 1, length)
-        yield from _packed(_set_range(sig[some], buckets), token[some], sig[some], size[some], buckets)
+        yield from _packed(_set_range(sig[some], buckets), token[some], *_owners(sig[some], size[some]), buckets)
 
     return _dealt(postings, buckets).mapInArrow(lambda batches: _by_bucket(batches, work), _POSTINGS)
 
@@ -357,7 +375,7 @@ def _survivors(postings: DataFrame, families: DataFrame, buckets: int) -> DataFr
             known, names = known[by], names[by]
             at = np.minimum(np.searchsorted(known, sig), len(known) - 1)
             sig = np.where(known[at] == sig, names[at], sig)
-        out = list(_packed(_range_of(token, buckets), token, sig, size, buckets)) if len(token) else []
+        out = list(_packed(_range_of(token, buckets), token, *_owners(sig, size), buckets)) if len(token) else []
         release()
         return pa.Table.from_batches(out, _SCHEMA)
 
@@ -527,21 +545,22 @@ def _placed(vertices: DataFrame, families: DataFrame, groups: DataFrame) -> Data
     others; the rest of a group is dealt to blocks that all meet."""
     sizes = vertices.select("sig", "n").join(families, "sig").groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
     names = groups.join(sizes.withColumnRenamed("family", "vertex"), "vertex", "left")
-    names = names.join(vertices.select(F.col("sig").alias("vertex"), "n"), "vertex")  # a family's name is a member of it
+    names = names.join(vertices.select(F.col("sig").alias("vertex"), "n"), "vertex")  # a family's name is a set
     share = F.greatest(F.coalesce("members", F.lit(1)) / GROUP, F.coalesce("tokens", "n") / GROUP_TOKENS)
-    names = written(names.select(F.col("component").alias("grp"), F.col("vertex").alias("name"), F.coalesce("members", F.lit(1)).alias("members"), share.alias("share"), (share > 0.5).alias("large")))
+    names = names.select(F.col("component").alias("grp"), F.col("vertex").alias("name"), "members", share.alias("share"), (share > 0.5).alias("large"))
+    names = written(names)
     block = lambda name, i: F.struct(name.alias("name"), i.cast("int").alias("i"))
     many = lambda x: F.greatest(F.lit(1), F.ceil(x)).cast("int")
     of = names.groupBy("grp").agg(
-        F.sum("members").alias("rows"), many(F.sum(F.when(~F.col("large"), F.col("share")).otherwise(0.0))).alias("blocks"),
+        F.sum(F.coalesce("members", F.lit(1))).alias("rows"), many(F.sum(F.when(~F.col("large"), F.col("share")).otherwise(0.0))).alias("blocks"),
         F.collect_list(F.when(F.col("large"), F.struct("name", many(F.col("share")).alias("parts")))).alias("large_ones"),
     )
     mine = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: block(F.lit(0).cast("long"), i))
     theirs = F.flatten(F.transform("large_ones", lambda x: F.transform(F.sequence(F.lit(0), x["parts"] - 1), lambda i: block(x["name"], i))))
     of = of.select("grp", "rows", "blocks", F.concat(mine, theirs).alias("all"))
     member = names.select("grp", "name", "members", F.when(F.col("large"), many(F.col("share"))).alias("parts"))
-    single = member.filter("members = 1").withColumn("sig", F.col("name"))
-    several = spread_join(families.withColumnRenamed("family", "name"), member.filter("members > 1"), ["name"], "members")
+    single = member.filter("members IS NULL").withColumn("sig", F.col("name"))
+    several = spread_join(families.withColumnRenamed("family", "name"), member.filter("members IS NOT NULL"), ["name"], "members")
     rows = spread_join(single.unionByName(several).select("grp", "name", "parts", "sig"), of, ["grp"], "rows")
     hashed = F.xxhash64("sig")
     own = F.when(F.col("parts").isNull(), block(F.lit(0).cast("long"), F.pmod(hashed, "blocks"))).otherwise(block(F.col("name"), F.pmod(hashed, "parts")))
@@ -604,12 +623,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + total // 1_000_000)
     buckets = 2 + int(prefix(total)) // BUCKET
     kept = written(_stars(docs, vertices, partitions))
-    families = written(components(kept).select(F.col("vertex").alias("sig"), F.col("component").alias("family")))
+    families = written(_families(kept))
     frequent = max(HOT, (survey.filter("kind = 0").agg(F.sum("c")).first()[0] or 0) // PORTION + survey.filter("kind = 2").count())
     hot = _hot(survey, frequent, spark)
     postings = _survivors(_shared_only(_postings(docs, hot, buckets), buckets), families, buckets)
     groups = components(_candidates(postings, hot, buckets, LIST))
-    found = written(_join_groups(docs, written(_placed(vertices, families, groups)), partitions))
+    placed = written(_placed(vertices, families, groups))
+    found = written(_join_groups(docs, placed, partitions))
+    discard(placed, families)
     labels = components(kept.unionByName(found)).withColumnRenamed("vertex", "sig")
     sized = labels.join(vertices.select("sig", "doc_id"), "sig")
     least = sized.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
