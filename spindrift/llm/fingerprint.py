@@ -222,7 +222,7 @@ def _ranges(docs: DataFrame) -> DataFrame:
     one = lambda p, last: F.struct(p.cast("int").alias("part"), F.lit(last).alias("last"))
     both = F.when(F.col("_p") % 2 == 1, F.array(one(part, False), one(before, True))).otherwise(F.array(one(part, False)))
     spread = own.withColumn("_p", place("_o", "_h")).select(F.inline(both), "doc_id", "text", "_o", "_h")
-    spread = spread.repartition(len(bounds), "part").sortWithinPartitions("part", "last", "_o", "_h", "text")
+    spread = spread.repartitionById(len(bounds), "part").sortWithinPartitions("part", "last", "_o", "_h", "text")
     return spread.select("part", "last", "doc_id", "text")
 
 

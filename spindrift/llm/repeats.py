@@ -491,9 +491,9 @@ def remove_repeats(docs: DataFrame, *keep: str, text: bool = False) -> DataFrame
 
     grouped = own.groupBy("cell")
     found = grouped.applyInArrow(find_anchors, _DDL["anchors"])
-    shared = found.repartition(buckets, "bucket").sortWithinPartitions("bucket", "cell").mapInArrow(_shared, _DDL["shared"])
+    shared = found.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "cell").mapInArrow(_shared, _DDL["shared"])
     contexts = grouped.cogroup(shared.groupBy("cell")).applyInArrow(find_contexts, _DDL["contexts"])
-    places = contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "cell").mapInArrow(_places, _DDL["shared"])
+    places = contexts.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "cell").mapInArrow(_places, _DDL["shared"])
     longs = [T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")]
     strings = [T.StructField(c, T.StringType()) for c in ("kept_sha256", *["kept"] * text)]
     schema = T.StructType([*longs, *strings, *(own.schema[c] for c in keep)])
