@@ -4,7 +4,7 @@ Each language's labelled text becomes a suffix automaton. A text is parsed from
 phrases that occur in that language's text; the language that needs the fewest phrases wins, since a phrase
 costs about log2(training length) bits. The automata are dense transition tables, so that one numpy step reads
 one symbol of thousands of texts against all languages at once. A table grows with the text that a language is
-learned from (at most 16 texts, 256 bytes a state), and the broadcast model with the number of languages.
+learned from (at most 8 texts, 256 bytes a state), and the broadcast model with the number of languages.
 
 A text is folded (lower case, one separator between words, letters only) and parsed as a whole.
 
@@ -27,13 +27,13 @@ from pyspark.sql import types as T
 from spindrift.llm.memory import release
 
 #: Bound of the training sample: rows of each language, whole texts. The sample is the distinct texts of least hash.
-TRAIN_ROWS = 16
+TRAIN_ROWS = 8
 #: So many pairs of a text and a language are read one by one rather than together.
 FEW = 128
 #: Symbols of the tables: 0 separates words, the last stands for any letter that no sample holds. Of the others each
 #: letter of the samples has its own code: one symbol, or where there are more letters, several for the rarer ones.
 ALPHABET = 64
-BLOCK_SYMBOLS = 1 << 22
+BLOCK_SYMBOLS = 1 << 20
 
 
 def fold(text: str) -> str:
