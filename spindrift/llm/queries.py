@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, exact_dedup, fingerprint, jaccard, langid, line_dedup, packing, quality, repeats, toxicity
+from spindrift.llm import audit, bpe, exact_dedup, fingerprint, jaccard, langid, line_dedup, packing, quality, repeats, toxicity, urls, whitening
 from spindrift.llm.tables import documents, held_out, table
 
 
@@ -56,6 +56,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("source").alias("host"), "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(documents(spark, sf_dir, "doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def pages_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10 over raw web pages: the site is the URL's host, a line is a tag with the text that follows it."""
     pages = table(spark, sf_dir, "pages").select("page_id", line_dedup.host(F.col("url")).alias("host"), F.replace("html", F.lit("<"), F.lit("\n<")).alias("html"))
@@ -67,7 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality, op2_exact_dedup, op3_toxicity, op4_jaccard, op5_repeats, op6_packing, op7_fingerprint, op8_language,
-        op9_bpe, op10_line_dedup, pages_line_dedup,
+        op9_bpe, op10_line_dedup, op11_filter_audit, op12_url_filter, op13_whitening, pages_line_dedup,
     )
 }
 
@@ -131,6 +143,54 @@ ORACLES = {
                sha256(unhex(coalesce(head, '') || CASE WHEN n > coalesce(last, 0) THEN hex(b[coalesce(last, 0) + 1:n]) ELSE '' END)) AS kept_sha256
         FROM d LEFT JOIN x USING (doc_id)""",
     "op10_line_dedup": _lines_sql("doc_id", "SELECT doc_id, source AS host, text FROM documents", 5, 0.08),
+    "op11_filter_audit": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS again FROM documents),
+        k AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
+        m AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+                   CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * list_unique(w) < 50 * len(w) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * (length(t) - length(translate(t, '{CAPITALS}', ''))) > 2 * length(t) THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN again THEN 'E' ELSE '' END AS fails
+            FROM d LEFT JOIN k USING (doc_id)),
+        o AS (
+            SELECT c AS filter_order FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) f(c)
+            UNION ALL SELECT filter_order || c FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) f(c) WHERE NOT contains(filter_order, c)),
+        s AS (
+            SELECT filter_order, step, filter_order[step] AS f, left(filter_order, step - 1) AS before
+            FROM (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM o WHERE length(filter_order) = 5)),
+        n AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM m GROUP BY ALL),
+        x AS (
+            SELECT n.*, s.filter_order, s.step, contains(fails, f) AS mine,
+                   before <> '' AND regexp_matches(fails, '[' || before || '_]') AS gone, fails = f AS only_mine FROM n, s),
+        r AS (
+            SELECT part, filter_order, step,
+                   coalesce(sum(n) FILTER (NOT gone AND NOT mine), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mine AND NOT gone), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (mine AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (only_mine), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(good) FILTER (mine AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(bad) FILTER (mine AND NOT gone), 0)::BIGINT AS toxic_lost
+            FROM x GROUP BY ALL)
+        SELECT r.*, sum(removed) OVER (PARTITION BY part, filter_order[step])::BIGINT AS shapley FROM r""",
+    "op12_url_filter": f"""
+        WITH a AS (
+            SELECT row_number() OVER () AS row, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (
+            SELECT row, page_id, rest, translate(regexp_extract(rest, '^[^/?#]*'), '{CAPITALS}', '{CAPITALS.lower()}') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+        f(verdict, h, p) AS (VALUES {", ".join(map(str, urls.RULES))}),
+        r AS (
+            SELECT row, max_by(f.h || f.p, length(f.h || f.p)) AS rule, max_by(f.verdict, length(f.h || f.p)) AS verdict
+            FROM h JOIN f ON (host = f.h OR ends_with(host, '.' || f.h)) AND starts_with(path, f.p) GROUP BY row),
+        c AS (
+            SELECT row, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':(80|443)?$', ''), '\\.+$', '') AS ch,
+                   regexp_replace(regexp_replace(path, '/+', '/', 'g'), '/$', '') AS cp,
+                   array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '&'),
+                       lambda p: p <> '' AND NOT regexp_matches(p, '{urls.TRACKING}'))), '&') AS q FROM h),
+        u AS (SELECT h.*, rule, verdict, CASE WHEN ch <> '' THEN ch || cp || CASE WHEN q = '' THEN '' ELSE '?' || q END END AS canonical
+              FROM h JOIN c USING (row) LEFT JOIN r USING (row)),
+        b AS (SELECT DISTINCT canonical, 'block' AS listed FROM u WHERE verdict = 'block')
+        SELECT page_id, host, path, rule, coalesce(verdict, listed, 'allow') AS verdict FROM u LEFT JOIN b USING (canonical)""",
     "pages_line_dedup": _lines_sql(
         "page_id",
         """SELECT page_id, coalesce(nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)), ''), url) AS host,
