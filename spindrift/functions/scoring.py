@@ -83,14 +83,24 @@ def agreement_bonus(lexical_rank: Column, lexical: Column, graph: Column) -> Col
     return F.least(F.when(lexical_rank <= 3, 0.08).when(lexical >= 0.5, 0.04).otherwise(0.0) + F.when(graph > 0, 0.05).otherwise(0.0), F.lit(0.13))
 
 
-def recall_confidence(semantic, lexical_rank, lexical, graph, gap, n, best, freshness, level, conflict, multi_signal=None) -> Column:
-    """Calibrated base and agreement, times the factors for margin, retention, level and coverage; conflicts are capped.
+def topical_factor(aligned: Column, absent: Column, unstated: Column) -> Column:
+    """What an answer keeps of its confidence: little if it is about something else (less if all candidates are), most if
+    it is so in part; and less if nothing that is known of the question's subject states what is asked."""
+    other = F.when(absent, 0.3 * 0.85).otherwise(0.3)
+    return F.when(aligned == 0, other).when(aligned == 0.7, 0.85).otherwise(1.0) * F.when(unstated, 0.45).otherwise(1.0)
 
-    gap: distance of the best from the second of the candidates; n, best: their number and best score."""
+
+def recall_confidence(semantic, lexical_rank, lexical, graph, gap, n, best, freshness, level, conflict, multi_signal=None, topical=None) -> Column:
+    """Calibrated base and agreement, times the factors for topic, margin, retention, level and coverage; conflicts are capped.
+
+    gap: distance of the best from the second of the candidates; n, best: their number and best score; multi_signal: whether
+    the lexical leg has results at all, so that a high cosine alone is doubted; topical: topical_factor."""
     margin = F.when(n < 2, 1.0).when(gap >= 0.25, 1.05).when(gap <= 0.05, 0.9).otherwise(1.0)
     cover = F.when(n < 3, 0.9).otherwise(1.0) * F.when(best < 0.35, 0.8).otherwise(1.0)
     known = F.when(level == "certain", 1.0).when(level == "outdated", 0.7).otherwise(0.95)
-    apart = F.when(multi_signal & (semantic >= 0.5) & F.coalesce(lexical_rank > 10, F.lit(True)), 0.8).otherwise(1.0) if multi_signal is not None else F.lit(1.0)
+    backed = F.coalesce(lexical_rank <= 10, F.lit(False)) | F.coalesce(lexical >= 0.5, F.lit(False)) | F.coalesce(graph > 0, F.lit(False))
+    apart = F.when(multi_signal & (semantic >= 0.5) & ~backed, 0.8).otherwise(1.0) if multi_signal is not None else F.lit(1.0)
+    apart = apart * topical if topical is not None else apart
     value = F.least(F.lit(1.0), calibrated_base(semantic) + agreement_bonus(lexical_rank, lexical, graph)) * apart * margin * (0.7 + 0.3 * F.coalesce(freshness, F.lit(1.0))) * known * cover
     return clamp(F.when(conflict, F.least(value, F.lit(0.55)) * 0.85).otherwise(value))
 

@@ -11,7 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions import scoring, text, vectors
+from spindrift.functions import scoring, text, topics, vectors
+from spindrift.operators import search
+from spindrift.sources.tables import stored
 
 # Synonyms that widen a query, three for each word.
 SYNONYMS = {
@@ -55,12 +57,13 @@ def fused(legs: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
 
 
 def recall(queries: DataFrame, rows: DataFrame, vector_leg: DataFrame, at_s: int, k: int = 10, pool: int = 20, floor: float = 0.1) -> DataFrame:
-    """query, id, place, final, confidence, tier, verdict. queries: query, content; rows: id, content, created_s,
+    """query, id, place, final, confidence, tier, verdict, aligned, unstated. queries: query, content; rows: id, content, created_s,
     next_id (the successor, or null), level, conflict; vector_leg: query, id, semantic, rank.
 
     Legs are fused; recency is added and a superseded row loses 0.5, and goes if its successor is among the query's
-    results; queries whose best cosine is under `floor` give nothing; confidence is calibrated from the legs."""
-    lexical = lexical_leg(queries, rows, pool)
+    results; queries whose best cosine is under `floor` give nothing; confidence is calibrated from the legs and from
+    whether a result's topic is the query's, which never changes the order."""
+    vector_leg, lexical = stored(vector_leg), stored(lexical_leg(queries, rows, pool))  # short, and read several times
     found = fused([vector_leg, lexical], pool).join(vector_leg.select("query", "id", "semantic"), ["query", "id"], "left")
     found = found.join(lexical.select("query", "id", "lexical", F.col("rank").alias("lexical_rank")), ["query", "id"], "left").join(rows.drop("content"), "id")
     beaten = found.filter("next_id IS NOT NULL").select("query", "id", F.col("next_id").alias("other")).join(found.select("query", F.col("id").alias("other")), ["query", "other"], "left_semi")
@@ -72,10 +75,13 @@ def recall(queries: DataFrame, rows: DataFrame, vector_leg: DataFrame, at_s: int
     query = Window.partitionBy("query")
     found = found.withColumn("r", near).withColumns({"n": F.count("*").over(query), "best": F.max("semantic").over(query), "second": F.max(F.when(F.col("r") == 2, F.col("semantic"))).over(query)})
     fresh = F.pow(F.lit(2.0), -((at_s - F.col("created_s")) / 86400) / 365)
-    confidence = scoring.recall_confidence(F.col("semantic"), F.col("lexical_rank"), F.col("lexical"), F.lit(0.0), F.col("best") - F.col("second"), F.col("n"), F.col("best"), fresh, F.col("level"), F.col("conflict"))
-    found = found.filter(F.coalesce(F.col("best") >= floor, F.lit(False))).withColumn("confidence", confidence).withColumn("sure", F.max("confidence").over(query))
+    found = topical(queries, stored(found.filter(F.coalesce(F.col("best") >= floor, F.lit(False)))), rows)
+    found = found.join(lexical.select("query").distinct().withColumn("multi", F.lit(True)), "query", "left")
+    topic = scoring.topical_factor(F.col("aligned"), F.col("absent"), F.col("unstated"))
+    confidence = scoring.recall_confidence(F.col("semantic"), F.col("lexical_rank"), F.col("lexical"), F.lit(0.0), F.col("best") - F.col("second"), F.col("n"), F.col("best"), fresh, F.col("level"), F.col("conflict"), F.col("multi"), topic)
+    found = found.withColumn("confidence", confidence).withColumn("sure", F.max("confidence").over(query))
     verdict = F.when(F.col("sure") < 0.6, "none").when(F.col("sure") >= 0.9, "confident").otherwise("qualified")
-    return found.select("query", "id", F.col("rank").alias("place"), "final", "confidence", scoring.confidence_tier(F.col("confidence")).alias("tier"), verdict.alias("verdict"))
+    return found.select("query", "id", F.col("rank").alias("place"), "final", "confidence", scoring.confidence_tier(F.col("confidence")).alias("tier"), verdict.alias("verdict"), "aligned", "unstated")
 
 
 def expanded(queries: DataFrame, most: int = 3) -> DataFrame:
@@ -116,10 +122,20 @@ def evidence(results: DataFrame, rows: DataFrame, edges: DataFrame, age_days: Co
     return out.select("query", "id", "level", F.coalesce("supports", F.lit(0)).alias("supports"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"), "retention")
 
 
-def relation_unstated(rows: DataFrame, about: Column, carries: Column) -> DataFrame:
-    """rows with the flag unstated: those about the query's entity, where no such row of the query carries the relation."""
-    known = F.max(about & carries).over(Window.partitionBy("query"))
-    return rows.withColumn("unstated", about & ~F.coalesce(known, F.lit(False)))
+def topical(queries: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
+    """found (query, id, ...) with aligned (0, 0.7, 1 or null), absent (all of a query's known alignments are 0) and unstated:
+    the query asks for a known attribute, and none of its results about its entity (of all, if it has none) states it."""
+    read = queries.select("query", topics.asked(F.col("content")).alias("_q")).filter("_q.entity IS NOT NULL OR _q.attribute IS NOT NULL")
+    texts = rows.select("id", F.col("content").alias("_text")).join(found.select("id").distinct(), "id")
+    own = found.join(read, "query", "left").join(texts, "id", "left").withColumn("_m", topics.stated(F.col("_text")))
+    q, m, query = F.col("_q"), F.col("_m"), Window.partitionBy("query")
+    said = F.coalesce(F.trim("_text") != "", F.lit(False))
+    about = F.coalesce(F.when(q["entity"].isNull(), said).otherwise(topics.same_entity(q["entity"], m["entity"])), F.lit(False))
+    own = own.withColumn("_about", q["attribute"].isin(*topics.ATTRIBUTES) & about)
+    own = own.withColumn("_states", F.col("_about") & topics.carries(F.col("_text"), q["attribute"])).withColumn("aligned", topics.alignment(q, m, F.col("_text")))
+    own = own.withColumn("absent", F.coalesce(F.max("aligned").over(query) == 0, F.lit(False)))
+    own = own.withColumn("unstated", F.coalesce(F.col("_about"), F.lit(False)) & ~F.coalesce(F.max("_states").over(query), F.lit(False)))
+    return own.drop("_q", "_m", "_text", "_about", "_states")
 
 
 def serving(semantic: Column, importance: Column, recency: Column, relevance: float, recency_weight: float, importance_weight: float) -> Column:
@@ -127,10 +143,12 @@ def serving(semantic: Column, importance: Column, recency: Column, relevance: fl
     return F.coalesce(semantic, F.lit(0.0)) * (relevance / 3 - 1) + F.coalesce(recency, F.lit(0.0)) * (recency_weight / 0.5 - 1) + F.coalesce(importance, F.lit(0.0)) * importance_weight
 
 
-def beliefs(rows: DataFrame, k: int) -> DataFrame:
-    """The k best of a query's beliefs (query, id, similarity, confidence): the cosine counts half to whole with confidence."""
-    scaled = scoring.clamp(F.col("similarity")) * (0.5 + 0.5 * scoring.clamp(F.coalesce("confidence", F.lit(0.5))))
-    return top(rows.withColumn("score", scaled), k, F.desc(vectors.bucket(F.col("score"))), F.asc("id"))
+def beliefs(rows: DataFrame, asked: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:
+    """query, id, score, rank: the k best of each query's beliefs (rows: key, vector, confidence): the cosine counts half to
+    whole with confidence. asked: the table with the queries' vectors. Tasks keep k of their rows a query, so nothing near
+    queries x rows is written."""
+    scaled = rows.withColumn("_weight", 0.5 + 0.5 * scoring.clamp(F.coalesce("confidence", F.lit(0.5))))
+    return search.vector_leg(scaled, queries, k, key, vector, "_weight", asked=asked).withColumnRenamed("semantic", "score")
 
 
 def contains_search(rows: DataFrame, phrase: str, *columns: str) -> DataFrame:

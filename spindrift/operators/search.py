@@ -36,9 +36,32 @@ def budgeted_window(rows: DataFrame, own: Column, order: list[Column], window: i
     return newest(rows.filter(own), window, *order).unionByName(newest(rows.filter(~own), max(10, window // 4), *order))
 
 
-def batch_top_k(rows: DataFrame, key: str, vector: str, queries: list[tuple[int, list[float]]], k: int, block: int = 4096) -> DataFrame:
+#: Queries whose vectors are held at once, by the driver and by each task.
+QUERY_BLOCK = 4096
+
+
+def vector_leg(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", weight: str | None = None, block: int = QUERY_BLOCK, asked: DataFrame | None = None) -> DataFrame:
+    """query, id, semantic, rank: the k nearest rows to each query (query), whose vector is that of its key in `asked` (or rows).
+
+    Queries may be any number: they are dealt to blocks of about `block` by hash, and each block is one pass over the rows, in
+    which only its vectors are held; beyond one block, each block's result is written before the next is read."""
+    asked = (rows if asked is None else asked).join(queries.select(F.col("query").alias(key)).distinct(), key, "left_semi").select(key, vector)
+    blocks = -(-queries.count() // block)
+    if blocks > 1:
+        asked = stored(asked.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks))))
+    found = []
+    for i in range(max(1, blocks)):
+        own = asked.filter(F.col("_block") == i) if blocks > 1 else asked
+        part = batch_top_k(rows, key, vector, [(r[0], [float(x) for x in r[1]]) for r in own.select(key, vector).toLocalIterator()], k, weight=weight)
+        found.append(stored(part) if blocks > 1 else part)
+    out = reduce(DataFrame.unionByName, found)
+    return out.select("query", F.col("key").alias("id"), F.col("similarity").alias("semantic"), F.col("rank").cast("long").alias("rank"))
+
+
+def batch_top_k(rows: DataFrame, key: str, vector: str, queries: list[tuple[int, list[float]]], k: int, block: int = 4096, weight: str | None = None) -> DataFrame:
     """query, key, similarity: each query's k most similar rows. Queries are a stated, bounded list; each task makes one
-    matrix product per block of rows, keeps k rows a query, and the partial lists are merged by a row number."""
+    matrix product per block of rows, keeps k rows a query, and the partial lists are merged by a row number. weight: a column
+    of rows that multiplies the cosine, which is then cut to between 0 and 1; the product is what counts as similarity."""
     ids = np.array([q for q, _ in queries], np.int64)
     matrix = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
     matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
@@ -51,6 +74,8 @@ def batch_top_k(rows: DataFrame, key: str, vector: str, queries: list[tuple[int,
                 v = np.array(part.column(1).flatten(), np.float64).reshape(part.num_rows, -1)
                 own = np.array(part.column(0))
                 sims = matrix @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
+                if weight:
+                    sims = np.clip(sims, 0.0, 1.0) * np.array(part.column(2), np.float64)
                 for q in range(len(ids)):
                     order = np.lexsort((own, -np.floor(sims[q] * 1e6 + 0.5)))[: k + 1]
                     merged = best[q] + [(float(sims[q, i]), int(own[i])) for i in order]
@@ -58,7 +83,8 @@ def batch_top_k(rows: DataFrame, key: str, vector: str, queries: list[tuple[int,
         flat = [(int(ids[q]), i, s) for q in range(len(ids)) for s, i in best[q] if i != ids[q]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat) if flat else [()] * 3, (pa.int64(), pa.int64(), pa.float64()))], ["query", "key", "similarity"])
 
-    own = rows.filter(F.col(key).isNotNull() & (F.size(vector) == matrix.shape[1])).select(F.col(key).cast("long"), F.col(vector).cast("array<double>"))
+    own = rows.filter(F.col(key).isNotNull() & (F.size(vector) == matrix.shape[1]))
+    own = own.select(F.col(key).cast("long"), F.col(vector).cast("array<double>"), *([F.col(weight).cast("double")] if weight else []))
     found = own.mapInArrow(run, "query long, key long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(vectors.bucket(F.col("similarity"))), "key"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)

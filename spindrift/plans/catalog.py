@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.plans import facts, lifecycle, recall, search, streams, structure, text  # noqa: F401  (they register their queries)
+from spindrift.plans import facts, lifecycle, recall, search, streams, structure, summary_tree, text, topics  # noqa: F401  (they register their queries)
 from spindrift.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "rrf_two_leg"

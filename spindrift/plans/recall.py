@@ -23,15 +23,12 @@ def _queries(spark, sf_dir):
 
 
 def _vector_leg(spark, sf_dir, k=20):
-    """The nearest vectors of the stated queries (a query's vector is the one of its id)."""
-    rows = table(spark, sf_dir, "embeddings")
-    asked = rows.join(F.broadcast(_queries(spark, sf_dir).select(F.col("query").alias("vec_id"))), "vec_id", "left_semi")
-    queries = [(r.vec_id, [float(x) for x in r.embedding]) for r in asked.select("vec_id", "embedding").toLocalIterator()]
-    found = search.batch_top_k(rows, "vec_id", "embedding", queries, k)
-    return found.select("query", F.col("key").alias("id"), F.col("similarity").alias("semantic"), F.col("rank").cast("long").alias("rank"))
+    """The nearest vectors of the queries (a query's vector is the one of its id)."""
+    return search.vector_leg(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), k)
 
 
-@query(f"""WITH {LEGS}, u AS (SELECT query, id, rank FROM v UNION ALL SELECT query, id, rank FROM x), f0 AS (SELECT query, id,
+#: From the legs to the verdict; `topic` has the factor of what a query's results are about.
+VERDICT = f"""u AS (SELECT query, id, rank FROM v UNION ALL SELECT query, id, rank FROM x), f0 AS (SELECT query, id,
         sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM u GROUP BY 1, 2),
     f1 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY floor(rrf * 1e6 + 0.5) DESC, id) AS place FROM f0 QUALIFY place <= 20),
     f2 AS (SELECT query, id, place, rrf / max(rrf) OVER (PARTITION BY query) AS fused FROM f1),
@@ -43,19 +40,26 @@ def _vector_leg(spark, sf_dir, k=20):
         ORDER BY floor(final * 1e6 + 0.5) DESC, place) AS rank FROM l QUALIFY rank <= 10),
     s AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY semantic DESC NULLS LAST, id) AS near FROM r),
     a AS (SELECT query, count(*) AS n, max(semantic) AS best, max(semantic) - max(CASE WHEN near = 2 THEN semantic END) AS gap FROM s GROUP BY query),
-    g AS (SELECT s.*, least(1::DOUBLE, coalesce(1 / (1 + exp(-8 * (semantic - 0.5))), 0.02::DOUBLE) + CASE WHEN lexical_rank <= 3 THEN 0.08::DOUBLE
-        WHEN lexical >= 0.5 THEN 0.04::DOUBLE ELSE 0::DOUBLE END)
+    {{topic}},
+    g AS (SELECT s.*, topic.aligned, topic.unstated, least(1::DOUBLE, coalesce(1 / (1 + exp(-8 * (semantic - 0.5))), 0.02::DOUBLE) + CASE WHEN lexical_rank <= 3
+        THEN 0.08::DOUBLE WHEN lexical >= 0.5 THEN 0.04::DOUBLE ELSE 0::DOUBLE END)
         * CASE WHEN n < 2 THEN 1::DOUBLE WHEN gap >= 0.25 THEN 1.05::DOUBLE WHEN gap <= 0.05 THEN 0.9::DOUBLE ELSE 1::DOUBLE END
         * (0.7::DOUBLE + 0.3::DOUBLE * pow(2::DOUBLE, -CAST({AS_OF} - created_s AS DOUBLE) / 86400 / 365))
         * CASE WHEN level = 'certain' THEN 1::DOUBLE WHEN level = 'outdated' THEN 0.7::DOUBLE ELSE 0.95::DOUBLE END
-        * CASE WHEN n < 3 THEN 0.9::DOUBLE ELSE 1::DOUBLE END * CASE WHEN best < 0.35 THEN 0.8::DOUBLE ELSE 1::DOUBLE END AS c FROM s
-        JOIN a USING (query) WHERE best >= 0.1),
-    y AS (SELECT query, id, rank, final, greatest(0::DOUBLE, least(1::DOUBLE, CASE WHEN conflict THEN least(c, 0.55::DOUBLE) * 0.85
+        * CASE WHEN n < 3 THEN 0.9::DOUBLE ELSE 1::DOUBLE END * CASE WHEN best < 0.35 THEN 0.8::DOUBLE ELSE 1::DOUBLE END
+        * CASE WHEN semantic >= 0.5 AND coalesce(lexical_rank, 99) > 10 AND coalesce(lexical, 0) < 0.5 AND query IN (SELECT query FROM x) THEN 0.8::DOUBLE ELSE 1::DOUBLE END
+        * CASE WHEN aligned = 0 AND absent THEN 0.3::DOUBLE * 0.85::DOUBLE WHEN aligned = 0 THEN 0.3::DOUBLE WHEN aligned = 0.7 THEN 0.85::DOUBLE ELSE 1::DOUBLE END
+        * CASE WHEN unstated THEN 0.45::DOUBLE ELSE 1::DOUBLE END AS c FROM s JOIN a USING (query) JOIN topic USING (query, id) WHERE best >= 0.1),
+    y AS (SELECT query, id, rank, final, aligned, unstated, greatest(0::DOUBLE, least(1::DOUBLE, CASE WHEN conflict THEN least(c, 0.55::DOUBLE) * 0.85
         ELSE c END)) AS confidence FROM g),
     z AS (SELECT *, max(confidence) OVER (PARTITION BY query) AS sure FROM y)
     SELECT query, id, rank AS place, round(final, 6) AS final, round(confidence, 6) AS confidence, CASE WHEN confidence >= 0.9 THEN 'high'
         WHEN confidence >= 0.6 THEN 'qualified' ELSE 'low' END AS tier,
-        CASE WHEN sure < 0.6 THEN 'none' WHEN sure >= 0.9 THEN 'confident' ELSE 'qualified' END AS verdict FROM z""")
+        CASE WHEN sure < 0.6 THEN 'none' WHEN sure >= 0.9 THEN 'confident' ELSE 'qualified' END AS verdict FROM z"""
+NO_TOPIC = "topic AS (SELECT query, id, NULL::DOUBLE AS aligned, false AS absent, false AS unstated FROM s)"
+
+
+@query(f"WITH {LEGS}, {VERDICT.format(topic=NO_TOPIC)}")
 def recall_end_to_end(spark, sf_dir):
     """The whole benchmark query set through both legs, fusion, boosts, supersession, gate and verdict."""
     rows = memories(spark, sf_dir, "id", "content", "created_s", "superseded_by", "level", "conflict").withColumnRenamed("superseded_by", "next_id")
@@ -138,13 +142,6 @@ def evidence_join(spark, sf_dir):
     return out.withColumn("retention", F.round("retention", 6))
 
 
-@query(f"""WITH {LEGS}, r AS (SELECT query, id, contains(lower(content), 'tion') AS about, contains(lower(content), 'keit') AS carries FROM v JOIN m USING (id))
-    SELECT query, id, about AND NOT coalesce(bool_or(about AND carries) OVER (PARTITION BY query), false) AS unstated FROM r""")
-def relation_unstated(spark, sf_dir):
-    rows = _vector_leg(spark, sf_dir).select("query", "id").join(memories(spark, sf_dir, "id", "content"), "id")
-    return recall.relation_unstated(rows, F.lower("content").contains("tion"), F.lower("content").contains("keit")).select("query", "id", "unstated")
-
-
 @query(f"""WITH {M} SELECT id, round(coalesce(semantic, 0) * (4.5::DOUBLE / 3 - 1) + 0.1 * exp(-CAST({AS_OF} - created_s AS DOUBLE) / 3600 / 720) * (0.25::DOUBLE
         / 0.5 - 1) + importance / 100::DOUBLE * 0.2, 6) AS delta FROM m""")
 def serving_weights(spark, sf_dir):
@@ -158,12 +155,10 @@ def serving_weights(spark, sf_dir):
         round(score, 6) AS score FROM r WHERE rank <= 5""")
 def belief_search(spark, sf_dir):
     """Beliefs are every third record; all of them are scored, not a newest few."""
-    rows = table(spark, sf_dir, "embeddings")
-    asked = rows.join(F.broadcast(_queries(spark, sf_dir).select(F.col("query").alias("vec_id"))), "vec_id", "left_semi")
-    queries = [(r.vec_id, [float(x) for x in r.embedding]) for r in asked.select("vec_id", "embedding").toLocalIterator()]
-    near = search.batch_at_least(rows.filter("vec_id % 3 = 0"), "vec_id", "embedding", queries, -1.0).select("query", F.col("key").alias("id"), "similarity")
-    known = memories(spark, sf_dir, "id", "importance").select("id", (F.col("importance") / 80).alias("confidence"))
-    return recall.beliefs(near.join(known, "id"), 5).select("query", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    vectors = table(spark, sf_dir, "embeddings")
+    known = memories(spark, sf_dir, "id", "importance").select(F.col("id").alias("vec_id"), (F.col("importance") / 80).alias("confidence"))
+    found = recall.beliefs(vectors.filter("vec_id % 3 = 0").join(known, "vec_id"), vectors, _queries(spark, sf_dir), 5, "vec_id", "embedding")
+    return found.select("query", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {M} SELECT id, kind FROM m WHERE (contains(lower(content), 'license') OR contains(lower(source), 'license')) AND kind IN ('fact', 'decision')")

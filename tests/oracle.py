@@ -21,7 +21,7 @@ def connect(sf_dir: str):
 def plain(x):
     if hasattr(x, "tolist"):
         x = x.tolist()
-    if x is None or x != x or str(x) == "<NA>":
+    if x is None or str(x) == "<NA>" or x != x:
         return None
     return f"{float(x):.6g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
