@@ -167,7 +167,24 @@ def encoder(name: str = VOCABULARY):
         with open(tokenizer_path(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         coding = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(name))
-        _ENCODERS[name] = lambda text: coding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+
+        def encode(text: str) -> np.ndarray:
+            try:
+                return coding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+            except ValueError:  # a run of white space of about a million characters is more than its pattern search can take
+                return np.array(plain_encoder(name).encode(text, add_special_tokens=False).ids, np.uint32)
+
+        _ENCODERS[name] = encode
+    return _ENCODERS[name]
+
+
+def plain_encoder(name: str):
+    """The vocabulary's JSON form in its own library, which is slower and takes any text; one for each worker process."""
+    name = name.removesuffix(".tiktoken") + ".json"
+    if name not in _ENCODERS:
+        import tokenizers
+
+        _ENCODERS[name] = tokenizers.Tokenizer.from_file(tokenizer_path(name))
     return _ENCODERS[name]
 
 

@@ -373,6 +373,15 @@ def test_same_ids_as_the_tokenizers_library(docs):
         assert packing.encoder()(r.text or "").tolist() == t.encode(r.text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" ", "\n", " \t\n"])
+def test_a_long_run_of_white_space(spark, run):
+    text = "some words" + run * (1_200_000 // len(run)) + "x end"
+    ids = packing.plain_encoder(packing.VOCABULARY).encode(text, add_special_tokens=False).ids
+    assert packing.encoder()(text).tolist() == ids
+    got = table(packing.pack_documents(spark.createDataFrame([(1, text), (2, "after")], "doc_id long, text string")))
+    assert sum(r["length"] for r in got if r["doc_id"] == 1) == len(ids) + 1 == max(r["doc_tokens"] for r in got)
+
+
 def test_added_tokens_as_the_tokenizers_library(docs):
     from tokenizers import Tokenizer
 
