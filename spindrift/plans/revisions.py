@@ -15,7 +15,7 @@ STEPS = {
     "valid_from": f"CASE WHEN o_orderkey % 4 = 1 THEN {T0} + (o_orderkey % 700) * {DAY} END",
     "valid_to": f"CASE WHEN o_orderkey % 9 = 2 OR o_orderkey % 5 = 2 THEN {T0} + (o_orderkey % 1500) * {DAY} END",
     "weight": "CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 100 AS DOUBLE) / CAST(100 AS DOUBLE) END",
-    "recorded_to": f"CASE WHEN o_orderkey % 31 = 4 THEN {T0} + 3000 * {DAY} END",
+    "recorded_to": f"CASE WHEN o_orderkey % 31 = 4 THEN {T0 + 3000 * DAY} END",
     "reopen": "o_orderkey % 11 = 5",
 }
 _AT = {"spark": "CAST(datediff(o_orderdate, DATE'1970-01-01') AS BIGINT) * 86400000", "sql": "CAST(datediff('day', DATE '1970-01-01', o_orderdate) AS BIGINT) * 86400000"}
@@ -24,7 +24,7 @@ RECORDED = "CASE WHEN o_orderkey % 2 = 0 THEN {at} ELSE {at} - ({at}) % 31536000
 #: z (edge, dst, versions, o, step, kind, outcome): the replay of one step after another.
 REPLAY = f"""s AS (SELECT o_custkey AS edge, c_nationkey AS dst, o_orderkey AS step, {", ".join(f"{v} AS {k}" for k, v in STEPS.items())}, {RECORDED.format(at=_AT["sql"])} AS ra FROM orders JOIN customer ON c_custkey = o_custkey),
     n AS (SELECT *, row_number() OVER (PARTITION BY edge ORDER BY ra, step, kind) AS i FROM s),
-    r AS (SELECT c_custkey AS edge, 0::BIGINT AS i, NULL::BIGINT AS step, NULL AS kind, NULL AS outcome, CASE WHEN c_custkey % 2 = 0 THEN {T0}::BIGINT END AS vf, NULL::BIGINT AS vt,
+    r AS (SELECT c_custkey AS edge, 0::BIGINT AS i, NULL::BIGINT AS step, NULL::VARCHAR AS kind, NULL::VARCHAR AS outcome, CASE WHEN c_custkey % 2 = 0 THEN {T0}::BIGINT END AS vf, NULL::BIGINT AS vt,
             CASE WHEN c_custkey % 2 = 0 THEN 0.5::DOUBLE END AS w, CASE WHEN c_custkey % 2 = 0 THEN {T0}::BIGINT END AS ra, NULL::STRUCT(vf BIGINT, vt BIGINT, w DOUBLE, ra BIGINT, rt BIGINT)[] AS done FROM customer
         UNION ALL
         SELECT edge, i, step, kind, outcome, CASE WHEN outcome <> 'applied' THEN vf WHEN kind = 'retract' OR nrt IS NOT NULL THEN NULL ELSE nvf END,
@@ -39,7 +39,7 @@ REPLAY = f"""s AS (SELECT o_custkey AS edge, c_nationkey AS dst, o_orderkey AS s
                 CASE WHEN n.kind = 'create' THEN valid_to WHEN n.kind = 'revise' AND reopen THEN NULL ELSE coalesce(valid_to, r.vt) END AS nvt,
                 CASE n.kind WHEN 'create' THEN coalesce(weight, 1) WHEN 'revise' THEN coalesce(weight, r.w) ELSE r.w END AS nw, CASE WHEN n.kind IN ('create', 'revise') THEN recorded_to END AS nrt
                 FROM r JOIN n ON n.edge = r.edge AND n.i = r.i + 1))),
-    v AS (SELECT edge, d.vf AS valid_from, d.vt AS valid_to, d.w AS weight, d.ra AS recorded_at, d.rt AS recorded_to FROM (SELECT edge, unnest(done) AS d FROM r)
+    v AS (SELECT edge, d.vf AS valid_from, d.vt AS valid_to, d.w AS weight, d.ra AS recorded_at, d.rt AS recorded_to FROM (SELECT edge, unnest(done) AS d FROM r WHERE done IS NOT NULL)
         UNION ALL SELECT edge, vf, vt, w, ra, NULL FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY edge ORDER BY i DESC) = 1) WHERE ra IS NOT NULL)""".replace("{{", "{").replace("}}", "}")
 
 
