@@ -29,12 +29,12 @@ def coactivation(items: DataFrame, basket: str, item: str, least: int = 1) -> Da
 def bfs(edges: DataFrame, starts: DataFrame, depth: int, least: float = 0.0) -> DataFrame:
     """vertex, hops: everything within `depth` hops of the starts (vertex), over edges of enough weight."""
     step = edges.filter(F.col("weight") >= least).select("src", "dst") if "weight" in edges.columns else edges.select("src", "dst")
-    seen = starts.select("vertex").distinct().withColumn("hops", F.lit(0))
-    for hop in range(1, depth + 1):
-        front = seen.filter(F.col("hops") == hop - 1).select(F.col("vertex").alias("src"))
-        reached = step.join(front, "src").select(F.col("dst").alias("vertex")).distinct().join(seen.select("vertex"), "vertex", "left_anti")
-        seen = seen.unionByName(reached.withColumn("hops", F.lit(hop)))
-    return seen
+    seen = [stored(starts.select("vertex").distinct().withColumn("hops", F.lit(0)))]
+    for hop in range(1, depth + 1):  # each hop is written, so that the plan doesn't grow with the hops
+        known = reduce(DataFrame.unionByName, seen).select("vertex")
+        reached = step.join(seen[-1].select(F.col("vertex").alias("src")), "src").select(F.col("dst").alias("vertex")).distinct()
+        seen.append(stored(reached.join(known, "vertex", "left_anti").withColumn("hops", F.lit(hop))))
+    return reduce(DataFrame.unionByName, seen)
 
 
 def neighborhood(edges: DataFrame, starts: DataFrame, radius: int = 2) -> DataFrame:

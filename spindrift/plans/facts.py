@@ -161,7 +161,7 @@ def merge_safety(spark, sf_dir):
     return out.select("grp", "members", F.array_join("blockers", ",").alias("blockers"), F.array_join("warnings", ",").alias("warnings"))
 
 
-@query(f"""WITH {M}, g AS (SELECT id, id % 20 AS grp, kind, substring(content, 1, 40) AS content, created_s, importance FROM m),
+@query(f"""WITH {M}, g AS (SELECT id, id % 20 AS grp, kind, content, created_s, importance FROM m),
     n AS (SELECT grp, kind, CASE WHEN kind = 'decision' THEN arg_max(content, (importance, created_s, id)) ELSE arg_max(content, (created_s,
         id)) END AS merged, count(*) AS sources
           FROM g WHERE kind IN ('preference', 'context', 'decision') GROUP BY grp, kind),
@@ -170,7 +170,7 @@ def merge_safety(spark, sf_dir):
         FROM o GROUP BY grp""")
 def merge_strategies(spark, sf_dir):
     rows = memories(spark, sf_dir, "id", "kind", "content", "created_s", "importance")
-    rows = rows.withColumn("grp", F.col("id") % 20).withColumn("content", F.substring("content", 1, 40))
+    rows = rows.withColumn("grp", F.col("id") % 20)
     return facts.merged(rows, "grp").select("grp", "kind", "merged", "sources")
 
 

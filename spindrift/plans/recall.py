@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindrift.functions import scoring, text
+from spindrift.functions import entities, scoring, text
 from spindrift.operators import graph, recall, routing, search
 from spindrift.plans.registry import AS_OF, M, memories, query, table
 
@@ -258,14 +258,14 @@ def _walk(kinds, depth: int, both: bool) -> str:
 
 def _views(name: str) -> str:
     kinds, depth, _ = VIEWS[name]
-    return f"WITH RECURSIVE {KINDED}, {_walk(kinds, min(depth, 3), True)} SELECT '{name}' AS view, vertex, min(hops) AS hops FROM w GROUP BY vertex"
+    return f"WITH RECURSIVE {KINDED}, {_walk(kinds, depth, True)} SELECT '{name}' AS view, vertex, min(hops) AS hops FROM w GROUP BY vertex"
 
 
 @query(" UNION ALL ".join(f"SELECT * FROM ({_views(n)})" for n in VIEWS))
 def graph_views(spark, sf_dir):
     start, edges, out = spark.range(1, 2).select(F.col("id").alias("vertex")), _kinded(spark, sf_dir), None
     for name, (kinds, depth, least) in VIEWS.items():
-        one = graph.view(edges, start, kinds, min(depth, 3), least).select(F.lit(name).alias("view"), "vertex", "hops")
+        one = graph.view(edges, start, kinds, depth, least).select(F.lit(name).alias("view"), "vertex", "hops")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -344,31 +344,34 @@ def except_intersect(spark, sf_dir):
     return a.subtract(b).select(F.lit("only").alias("part"), "n").unionByName(a.intersect(b).select(F.lit("both").alias("part"), "n"))
 
 
-ENTITY_KINDS = {
-    "date": r"\b(\d{4}-\d{2}-\d{2})\b",
-    "tool": r"\b(React|Vue|Angular|Express|Django|Flask|FastAPI|PostgreSQL|MongoDB|Redis|Docker|Kubernetes)\b",
-    "function": r"\b([a-zA-Z_][a-zA-Z0-9_]*)\(",
-    "class": r"\b(?:class|new|extends|implements)\s+([A-Z][a-zA-Z0-9_]*)\b",
-    "file": r"\b([\w-]+\.(?:ts|js|py|go|java|json|yaml|md|txt|csv|sql))\b",
-}
-CODED = """concat(substring(text, 1, 60), CASE item_id % 5 WHEN 0 THEN ' see run_all(x) in main.py' WHEN 1 THEN ' class Engine extends Base on 2024-01-05'
-        WHEN 2 THEN ' Redis and Docker, Redis' WHEN 3 THEN ' main.py and data.csv' ELSE '' END)"""
+CODED = """concat(text, CASE doc_id % 9 WHEN 0 THEN ' see run_all(x) in main.py' WHEN 1 THEN ' class Engine extends Base on 2024-01-05'
+        WHEN 2 THEN ' Redis and Docker, Redis, Nodejs' WHEN 3 THEN ' src/main.py and (data.csv) go (x)' WHEN 4 THEN ' the abstract factory pattern, Observer Pattern with lazy  loading'
+        WHEN 5 THEN ' a "Linear Model" and Linear Model, Event Queue System' WHEN 6 THEN ' ./a/b.c/d new Thing(1) at 2024-01-05T10:00:00' ELSE '' END)"""
+
+
+def _names(x: str) -> str:
+    """id, kind, name, confidence of entities in SQL; x: the texts (id, x)."""
+    quoted = lambda p: p.replace("'", "''")
+    trimmed = lambda n: f"trim({n}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))"
+    all_ = [f"SELECT DISTINCT id, '{k}' AS kind, {trimmed('n') if k == 'file' else 'n'} AS name, {c}::DOUBLE AS confidence FROM (SELECT id, unnest(regexp_extract_all(x, '{quoted(p)}', {g})) AS n FROM {x}) WHERE '{k}' <> 'function' OR length(n) >= {entities.LEAST}" for k, c, p, g in entities.PATTERNS]
+    return f"SELECT id, kind, name, max(confidence) AS confidence FROM ({' UNION ALL '.join(all_)}) GROUP BY 1, 2, 3"
+
+
+def _entities(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id AS id", f"{CODED} AS x")
+    return rows.select("id", F.explode(entities.entities(F.col("x"))).alias("e")).select("id", "e.kind", "e.name", "e.confidence")
 
 
-@query(f"WITH d AS (SELECT item_id, {CODED} AS x FROM benchmark) " + " UNION ALL ".join(f"SELECT DISTINCT item_id, '{k}' AS kind, unnest(regexp_extract_all(x, '{p}', 1)) AS name FROM d" for k, p in ENTITY_KINDS.items()))
+@query(f"WITH d AS (SELECT doc_id AS id, {CODED} AS x FROM documents) {_names('d')}")
 def entity_extraction(spark, sf_dir):
-    """Entities by kind, each name once a record."""
-    rows = table(spark, sf_dir, "benchmark").selectExpr("item_id", f"{CODED} AS x")
-    found = F.array(*(F.struct(F.lit(k).alias("kind"), F.array_distinct(F.regexp_extract_all("x", F.lit(p), F.lit(1))).alias("names")) for k, p in ENTITY_KINDS.items()))
-    return rows.select("item_id", F.inline(found)).select("item_id", "kind", F.explode("names").alias("name"))
+    """Entities of every document by kind, each name once."""
+    return _entities(spark, sf_dir)
 
 
-@query(f"""WITH d AS (SELECT item_id, {CODED} AS x FROM benchmark), e AS (SELECT DISTINCT item_id,
-        unnest(list_concat({', '.join(f"regexp_extract_all(x, '{p}', 1)" for p in ENTITY_KINDS.values())})) AS name FROM d),
-    n AS (SELECT name, min(item_id) AS hub FROM e GROUP BY name)
-    SELECT hub AS src, item_id AS dst, count(*) AS weight FROM e JOIN n USING (name) WHERE item_id <> hub GROUP BY 1, 2""")
+@query(f"""WITH d AS (SELECT doc_id AS id, {CODED} AS x FROM documents), e AS (SELECT DISTINCT id, name FROM ({_names('d')})),
+    n AS (SELECT name, min(id) AS hub FROM e GROUP BY name) SELECT hub AS src, id AS dst, count(*) AS weight FROM e JOIN n USING (name) WHERE id <> hub GROUP BY 1, 2""")
 def entity_graph(spark, sf_dir):
     """Records are linked to the first record that names one of their entities: a star for each entity, not all pairs."""
-    names = entity_extraction(spark, sf_dir).select("item_id", "name").distinct()
-    hubs = names.groupBy("name").agg(F.min("item_id").alias("src"))
-    return names.join(hubs, "name").filter("item_id <> src").groupBy("src", F.col("item_id").alias("dst")).agg(F.count("*").alias("weight"))
+    names = _entities(spark, sf_dir).select("id", "name").distinct()
+    hubs = names.groupBy("name").agg(F.min("id").alias("src"))
+    return names.join(hubs, "name").filter("id <> src").groupBy("src", F.col("id").alias("dst")).agg(F.count("*").alias("weight"))
