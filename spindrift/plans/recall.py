@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.functions import entities, scoring, text
-from spindrift.operators import graph, recall, routing, search
+from spindrift.operators import cycles, graph, recall, routing, search
 from spindrift.plans.registry import AS_OF, M, memories, query, table
 
 WORDS = "list_distinct(list_filter(string_split(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: length(w) >= 3 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in sorted(text.STOPWORDS)) + "], w)))"
@@ -375,3 +375,17 @@ def entity_graph(spark, sf_dir):
     names = _entities(spark, sf_dir).select("id", "name").distinct()
     hubs = names.groupBy("name").agg(F.min("id").alias("src"))
     return names.join(hubs, "name").filter("id <> src").groupBy("src", F.col("id").alias("dst")).agg(F.count("*").alias("weight"))
+
+
+CHANGES = ("updates", "extends", "causes")
+_CHANGE = ", ".join(f"'{k}'" for k in CHANGES)
+
+
+@query(f"""WITH RECURSIVE {KINDED}, s AS (SELECT DISTINCT src, dst FROM g WHERE kind IN ({_CHANGE}) UNION SELECT l_suppkey, l_suppkey FROM lineitem WHERE l_suppkey % 37 = 5),
+    r AS (SELECT src, dst FROM s UNION SELECT r.src, s.dst FROM r JOIN s ON r.dst = s.src), c AS (SELECT a.src AS vertex, a.dst AS other FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src)
+    SELECT vertex, min(other) AS component, count(*) AS size FROM c GROUP BY vertex""")
+def supersession_cycles(spark, sf_dir):
+    """Records on cycles of any length of what updates, extends or causes what."""
+    loops = table(spark, sf_dir, "lineitem").filter("l_suppkey % 37 = 5").select(F.col("l_suppkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    edges = _kinded(spark, sf_dir).filter(F.col("kind").isin(*CHANGES)).select("src", "dst")
+    return cycles.components(edges.unionByName(loops))
