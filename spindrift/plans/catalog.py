@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.plans import consolidation, facts, lifecycle, recall, revisions, search, streams, structure, summary_tree, text, time_expressions, topics  # noqa: F401  (they register their queries)
+from spindrift.plans import consolidation, facts, lifecycle, proposals, recall, revisions, search, streams, structure, summary_tree, text, time_expressions, topics  # noqa: F401  (they register their queries)
 from spindrift.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "rrf_two_leg"
