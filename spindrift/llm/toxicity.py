@@ -17,6 +17,7 @@ gives no rows; columns other than those named are ignored.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import unicodedata
@@ -117,7 +118,8 @@ class Lexicon:
             else:
                 spared.append((start, end))
         if spared:
-            best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in spared)}
+            begins, ends = _joined(spared)
+            best = {s: w for s, w in best.items() if (k := bisect.bisect_right(begins, s) - 1) < 0 or s >= ends[k]}
         return Counter(term for _, term in best.values())
 
     def evidence(self, folded: str) -> float:
@@ -128,6 +130,19 @@ class Lexicon:
         return 1 / (1 + math.exp(-min(30.0, self.bias + self.evidence(fold(text)))))
 
 
+def _joined(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Begins and ends of the places that any of the spans covers, in order."""
+    begins: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    return begins, ends
+
+
 def grams(folded: str) -> tuple[Counter, set[str]]:
     """Patterns of a folded text: words and stems with their counts, and pairs of words."""
     words = folded.split()

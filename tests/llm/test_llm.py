@@ -8,6 +8,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -134,6 +135,22 @@ def test_matching_as_a_plain_scan(words):
     assert lexicon.score(" ".join(words)) == pytest.approx(plain_score(lexicon, " ".join(words)))
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["clown", "fish", "vequmo", "the", "a"]), max_size=40))
+def test_hits_outside_exceptions_as_a_plain_scan(words):
+    lexicon = toxicity.Lexicon({toxicity.fold("clown"): (0.01, 0.00002), " vequ": (0.02, 0.0002)}, {toxicity.fold("clown fish"), toxicity.fold("fish clown"), toxicity.fold("the vequmo")})
+    folded = toxicity.fold(" ".join(words))
+    spared = [(i, i + len(e) - 1) for e in lexicon.exceptions for i in range(len(folded)) if folded.startswith(e, i)]
+    plain = Counter(t for t in lexicon.terms for i in range(len(folded)) if folded.startswith(t, i) and not any(a <= i < b for a, b in spared))
+    assert lexicon.hits(folded) == plain
+
+
+def test_a_million_words_with_exceptions():
+    lexicon = toxicity.Lexicon({toxicity.fold("clown"): (0.01, 0.00002)}, {toxicity.fold("clown fish")})
+    began = time.perf_counter()
+    assert lexicon.hits(toxicity.fold("clown fish clown " * 333_333))[toxicity.fold("clown")] == 333_333 and time.perf_counter() - began < 30
+
+
 def test_toxicity_learns_words_stems_and_leaves_others(spark, docs, nothing):
     rng = random.Random(5)
     words = [f"{a}{b}{c}" for a in "brt" for b in "aeiou" for c in ("n", "ks", "mp")]
