@@ -188,3 +188,25 @@ def response_pack(spark, sf_dir):
     rows = memories(spark, sf_dir, "id", "content", "semantic").withColumn("query", F.col("id") % 40)
     got = context.pack_response(rows, "query", "id", "content", "semantic", 0.5, 1500)
     return got.select("query", F.coalesce("id", F.lit(-1)).alias("id"), "status", F.md5(F.coalesce("content", F.lit("")).cast("binary")).alias("body"))
+
+
+_STRATEGY = "CASE intent " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in routing.STRATEGIES.items()) + " END"
+#: Known names: the first word of every document, and a few of two words.
+KNOWN = "SELECT regexp_extract(coalesce(text, ''), '([A-Z][a-z]{3,})', 1) AS name FROM documents UNION ALL SELECT n FROM (VALUES ('Red Fox'), ('blue whale'), ('March 2021'), ('GUIDE')) v(n)"
+
+
+@query(f"""WITH p AS (SELECT conv_id * 100 + turn AS query, {QUERY} AS q FROM conversations), s AS (SELECT query, q, {_intents()} FROM p),
+    b AS (SELECT *, greatest(s0, s1, s2, s3, s4, s5) AS best FROM s),
+    c AS (SELECT query, q, CASE WHEN best = 0 THEN 'default' ELSE [{_NAMES}][list_position([s0, s1, s2, s3, s4, s5], best)] END AS intent, CASE WHEN best = 0 THEN 0.3 ELSE best END AS score FROM b),
+    k AS (SELECT DISTINCT name FROM ({KNOWN}) WHERE name <> ''), h AS (SELECT query, list(DISTINCT name ORDER BY name) AS names FROM p JOIN k ON contains(lower(q), lower(name)) GROUP BY query),
+    r AS (SELECT query, coalesce(len(names), 0) >= 2 AND intent <> 'entity_heavy' AS other, intent AS own, score AS own_score, names FROM c LEFT JOIN h USING (query)),
+    o AS (SELECT query, CASE WHEN other THEN 'entity_heavy' ELSE own END AS intent, CASE WHEN other THEN least(0.5::DOUBLE + 0.1::DOUBLE * len(names), 0.9::DOUBLE) ELSE own_score END AS score,
+        CASE WHEN other THEN array_to_string(names, ',') ELSE '' END AS entities FROM r)
+    SELECT query, intent, round(score, 6) AS score, {_STRATEGY} AS strategy, CASE WHEN {_STRATEGY} = 'hybrid_search' THEN 'contextual' ELSE 'hybrid_search' END AS fallback, entities FROM o""")
+def auto_route(spark, sf_dir):
+    """Every turn's route: its intent, unless it names known entities, and how it is searched for."""
+    queries = table(spark, sf_dir, "conversations").selectExpr("conv_id * 100 + turn AS query", f"{QUERY} AS content")
+    names = table(spark, sf_dir, "documents").selectExpr("regexp_extract(coalesce(text, ''), '([A-Z][a-z]{3,})', 1) AS name")
+    names = names.unionByName(spark.createDataFrame([(n,) for n in ("Red Fox", "blue whale", "March 2021", "GUIDE")], "name string"))
+    got = routing.routed(queries, names)
+    return got.select("query", "intent", F.round("score", 6).alias("score"), "strategy", "fallback", F.array_join("entities", ",").alias("entities"))
