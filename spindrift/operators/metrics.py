@@ -1,4 +1,7 @@
-"""Retrieval and calibration metrics. One aggregation each; thresholds are a short list that every row is counted for."""
+"""Retrieval and calibration metrics. One aggregation each; thresholds are a short list that every row is counted for.
+
+A null relevance, rank, gain or confidence adds nothing; a query without a relevant row has no recall and rank 0; ties in the ideal order
+go to the least key; an empty table gives null means and zero counts."""
 
 from __future__ import annotations
 

@@ -355,3 +355,17 @@ def test_sources(spark, tmp_path):
     assert sorted((r.c, r.t, r.s) for r in tables.merge_stores([a, b], "c", "t").collect()) == [("x", 2, None), ("y", 1, None)]
     tables.backup(a, str(tmp_path / "bk"))
     assert tables.restore(spark, str(tmp_path / "bk"), a.schema).collect() == a.collect()
+
+
+def test_fold_clamped_of_a_hot_key_equals_a_loop(spark):
+    rng = random.Random(1)
+    rows = [("hot" if i % 3 else f"k{i % 7}", rng.randint(0, 400) if i % 50 else None, i, rng.choice([-3.0, -1.0, 0.5, 2.0, None])) for i in range(900)] + [(None, 1, 1, 1.0)]
+    events = spark.createDataFrame(rows, "k string, t long, i long, d double").repartition(4)
+    got = {r.k: (round(r.value, 9), r.events) for r in temporal.fold_clamped(events, "k", ["t", "i"], "d", 1.0, 0.0, 5.0).collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        value, own = 1.0, sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        for r in own:
+            value = min(max(value + (r[3] or 0.0), 0.0), 5.0)
+        want[k] = (round(value, 9), len(own))
+    assert got == want and temporal.fold_clamped(events.limit(0), "k", ["t", "i"], "d", 1.0, 0.0, 5.0).isEmpty()
