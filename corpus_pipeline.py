@@ -14,11 +14,16 @@ from spindrift.llm import jaccard, langid, line_dedup, packing, repeats
 from spindrift.llm.tables import held_out, named, table, written
 
 
+def _others(docs: DataFrame) -> Column:
+    """All columns but the text in one struct, _row, so that a text is carried once."""
+    return F.struct(*named(*(c for c in docs.columns if c != "text"))).alias("_row")
+
+
 def _with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of the struct _row, with the text in _kept as text and n_chars (where there is one) after it."""
-    new: dict[str, Column] = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
-    same = F.col("_kept").isNull()
-    return rows.select(*((F.when(same, F.col("_row")[c]).otherwise(new[c]) if c in new else F.col("_row")[c]).alias(c) for c in columns))
+    length = F.when(F.col("_kept").isNull(), F.col("_row")["n_chars"]).otherwise(F.length("_kept").cast("long")) if "n_chars" in columns else None
+    new = {"text": F.col("_kept"), "n_chars": length}
+    return rows.select(*((new[c] if c in new else F.col("_row")[c]).alias(c) for c in columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate on their site go; every document stays."""
-    own = docs.select(F.struct(*named(*docs.columns)).alias("_row"), "source", "text")
+    own = docs.select(_others(docs), "source", "text")
     return _with_text(line_dedup.drop_boilerplate(own).withColumn("_kept", F.col("text")), docs.columns)
 
 
@@ -43,9 +48,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more that a document with a smaller doc_id holds go; every document stays."""
-    own = docs.select("doc_id", "text", F.struct(*named(*docs.columns)).alias("_row"))
-    own = repeats.remove_repeats(own, "_row", text=True)
-    return _with_text(own.withColumn("_kept", F.when(F.col("_row")["text"].isNotNull(), F.col("kept"))), docs.columns)
+    own = docs.select("doc_id", "text", _others(docs), F.col("text").isNull().alias("_none"))
+    own = repeats.remove_repeats(own, "_row", "_none", text=True)
+    return _with_text(own.withColumn("_kept", F.when(~F.col("_none"), F.col("kept"))), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
