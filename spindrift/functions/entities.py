@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spindrift.functions.text import ascii_bounds
+
 # Kind, confidence, pattern and the group that holds the name, in the order in which they are tried.
 PATTERNS = (
     ("file", 0.9, r"(?m)(?:^|[^\w])(?:\.?\/[\w.-]*[\w.-]*(?:\/[\w.-]+)*|[\w.-]+\.(?:ts|tsx|js|jsx|py|rb|go|java|cpp|c|h|json|yaml|yml|env|md|txt|csv|sql|graphql))\b", 0),
@@ -33,7 +35,7 @@ def entities(text: Column) -> Column:
     content = F.coalesce(text, F.lit(""))
     out, before = [], {}
     for kind, confidence, pattern, group in PATTERNS:
-        names = F.regexp_extract_all(content, F.lit(pattern), F.lit(group))
+        names = F.regexp_extract_all(content, F.lit(ascii_bounds(pattern)), F.lit(group))
         if kind == "file":
             names = F.transform(names, lambda n: F.trim(n, F.lit(" \t\n\r\f\v")))
         if kind == "function":

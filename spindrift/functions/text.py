@@ -18,6 +18,12 @@ STOPWORDS = frozenset((
 RESERVED = frozenset("and or not near match rank order column phrase".split())
 
 
+def ascii_bounds(pattern: str) -> str:
+    r"""A pattern whose \b stands at the ends of words of ASCII letters, digits and underscores, as RE2 reads it. Java's \b
+    takes other letters into words, so that "test\u00fc" wouldn't hold the word "test"."""
+    return re.sub(r"\\.", lambda m: r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))" if m[0] == r"\b" else m[0], pattern)
+
+
 def query_terms(query: str) -> list[str]:
     """Words of more than two characters that aren't stopwords or reserved, in order, once each."""
     words = re.sub(r"[^\w\s]", " ", query.lower()).split()

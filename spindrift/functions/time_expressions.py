@@ -16,6 +16,8 @@ import zoneinfo
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spindrift.functions.text import ascii_bounds
+
 # The patterns of each kind of expression, in the order in which kinds are listed; confidence of each.
 _LONG = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 _UNITS = "days?|weeks?|months?|years?|hours?|minutes?|seconds?"
@@ -81,7 +83,7 @@ def expressions(text: Column, at_ms: Column, zone: str = "UTC") -> Column:
     """array of STRUCT: the text's expressions by kind and place; end is exclusive, and equals start of an instant or an
     offset in days or more. at_ms: what relative ones refer to."""
     zoneinfo.ZoneInfo(zone)
-    got = lambda v, p, i: F.nullif(F.regexp_extract(v, p, i), F.lit(""))
+    got = lambda v, p, i: F.nullif(F.regexp_extract(v, ascii_bounds(p), i), F.lit(""))
     number = lambda v, p, i: got(v, p, i).try_cast("long")
     here = lambda date: instant(_ms(date), zone)
     content = F.coalesce(text, F.lit(""))
@@ -160,7 +162,7 @@ def expressions(text: Column, at_ms: Column, zone: str = "UTC") -> Column:
 
     plain = content
     for kind in ("iso_date", "date", "iso_month", "month"):
-        plain = F.regexp_replace(plain, PATTERNS[kind], " ")
+        plain = F.regexp_replace(plain, ascii_bounds(PATTERNS[kind]), " ")
     readers = {"iso_date": iso_date, "iso_month": iso_month, "month": month, "year": year, "date": date, "relative": relative, "offset": offset, "duration": duration, "frequency": frequency}
-    found = [F.transform(F.regexp_extract_all(plain if k == "year" else content, F.lit(p), F.lit(0)), readers[k]) for k, p in PATTERNS.items()]
+    found = [F.transform(F.regexp_extract_all(plain if k == "year" else content, F.lit(ascii_bounds(p)), F.lit(0)), readers[k]) for k, p in PATTERNS.items()]
     return F.filter(F.concat(*(f.cast(f"array<{STRUCT}>") for f in found)), lambda x: x.isNotNull())

@@ -90,7 +90,7 @@ def expanded(queries: DataFrame, most: int = 3) -> DataFrame:
     spark = queries.sparkSession
     known = spark.createDataFrame([(w, i, s) for w, all_ in SYNONYMS.items() for i, s in enumerate(all_)], "w string, turn int, synonym string")
     asked = queries.select("query", "content", F.posexplode(F.array_distinct(F.split(F.lower("content"), r"\s+"))).alias("at", "w")).join(F.broadcast(known), "w")
-    swapped = F.regexp_replace("content", F.concat(F.lit(r"(?i)\b"), F.col("w"), F.lit(r"\b")), F.col("synonym"))
+    swapped = F.regexp_replace("content", F.concat(F.lit(text.ascii_bounds(r"(?i)\b")), F.col("w"), F.lit(text.ascii_bounds(r"\b"))), F.col("synonym"))
     made = asked.select("query", "turn", "at", swapped.alias("content"), F.col("content").alias("own")).filter("content <> own")
     first = made.groupBy("query", "content").agg(F.min(F.struct("turn", "at")).alias("o"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy("o.turn", "o.at"))

@@ -184,7 +184,7 @@ def score_recency(spark, sf_dir):
         ELSE 0::DOUBLE END AS dated FROM m""")
 def score_entity(spark, sf_dir):
     names = F.array(*map(F.lit, ("Apache", "MIT", "Creative", "GNU", "License")))
-    dated = F.col("content").rlike(r"\b(19|20)[0-9]{2}\b|\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\b")
+    dated = F.col("content").rlike(text.ascii_bounds(r"\b(19|20)[0-9]{2}\b|\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\b"))
     found = F.size(F.filter(names, lambda e: F.col("content").contains(e)))
     return memories(spark, sf_dir, "id", "content").select("id", scoring.capped(0.05, found, 0.3).alias("boost"), F.when(dated, 0.25).otherwise(0.0).alias("dated"))
 
