@@ -213,8 +213,10 @@ def asked(question: Column) -> Column:
     ]
 
     def worded(x: Column) -> Column:
-        words = F.trim(F.regexp_replace(F.regexp_replace(F.lower(x["words"]), rf"(?<![^ ]){_either(ARTICLES)}{END}", ""), " +", " "))
-        return F.struct(x.alias("x"), words.alias("words"), attribute(words).alias("own"))
+        plain = lambda words: F.trim(F.regexp_replace(F.regexp_replace(F.lower(words), rf"(?<![^ ]){_either(ARTICLES)}{END}", ""), " +", " "))
+        words = plain(x["words"])
+        unnamed = F.when(x["rule"] == "changed", attribute(plain(F.regexp_replace(x["words"], rf"(?<![^ ]){NAME}", ""))))  # a name such as Beer isn't what is asked
+        return F.struct(x.alias("x"), words.alias("words"), F.coalesce(unnamed, attribute(words)).alias("own"))
 
     def decided(y: Column) -> Column:
         x, words, own = y["x"], y["words"], y["own"]
