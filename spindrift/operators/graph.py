@@ -14,15 +14,24 @@ from pyspark.sql import functions as F
 from spindrift.sources.tables import discard, stored
 
 
+#: Rows of baskets for each partition of pairs.
+ROWS = 500_000
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *(c for c in edges.columns if c not in ("src", "dst"))))
 
 
 def coactivation(items: DataFrame, basket: str, item: str, least: int = 1) -> DataFrame:
-    """src < dst and in how many baskets both are. A basket's items are distinct; cost is the sum of its pairs."""
-    own = items.select(basket, item).distinct()
+    """src < dst and in how many baskets both are. A basket's items are distinct; cost is the sum of its pairs.
+
+    Rows are dealt out by basket once, and pairs by both ends, to partitions whose number grows with the rows, so that what
+    a task holds doesn't."""
+    least_parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least_parts, -(-items.count() // ROWS))
+    own = items.select(basket, item).repartition(parts, basket).distinct()
     a, b = own.select(basket, F.col(item).alias("src")), own.select(basket, F.col(item).alias("dst"))
-    pairs = a.join(b, basket).filter("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    pairs = a.join(b, basket).filter("src < dst").select("src", "dst").repartition(parts, "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
     return pairs.filter(F.col("weight") >= least)
 
 

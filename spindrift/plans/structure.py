@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import vectors
 from spindrift.operators import cluster, dedup, graph, search
 from spindrift.plans.registry import M, memories, query, table
+from spindrift.sources.tables import stored
 
 ITEM = "i AS (SELECT DISTINCT l_orderkey AS basket, l_partkey AS item FROM lineitem)"
 PAIR = f"{ITEM}, e AS (SELECT a.item AS src, b.item AS dst, count(*) AS weight FROM i a JOIN i b ON a.basket = b.basket AND a.item < b.item GROUP BY 1, 2)"
@@ -27,7 +28,7 @@ def coactivation_pairs(spark, sf_dir):
         AND dst NOT IN (SELECT vertex FROM a)) SELECT 1 AS vertex, 0 AS hops UNION ALL SELECT vertex, 1 FROM a UNION ALL SELECT vertex, 2 FROM b""")
 def bfs_depth2(spark, sf_dir):
     starts = spark.range(1, 2).select(F.col("id").alias("vertex"))
-    return graph.bfs(graph.both_ways(_pairs(spark, sf_dir, 2)), starts, 2)
+    return graph.bfs(graph.both_ways(stored(_pairs(spark, sf_dir, 2))), starts, 2)
 
 
 @query(f"""WITH {PAIR}, w AS MATERIALIZED (SELECT src, dst, weight FROM e WHERE weight >= 2), u AS MATERIALIZED (SELECT src, dst FROM w UNION ALL SELECT dst, src
@@ -36,7 +37,7 @@ def bfs_depth2(spark, sf_dir):
         JOIN o ON u.src = o.vertex)
     SELECT src, dst, weight FROM w SEMI JOIN v a ON w.src = a.vertex SEMI JOIN v b ON w.dst = b.vertex""")
 def neighborhood(spark, sf_dir):
-    return graph.neighborhood(_pairs(spark, sf_dir, 2), spark.range(1, 2).select(F.col("id").alias("vertex"))).select("src", "dst", "weight")
+    return graph.neighborhood(stored(_pairs(spark, sf_dir, 2)), spark.range(1, 2).select(F.col("id").alias("vertex"))).select("src", "dst", "weight")
 
 
 NATION = """e AS (SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst, (s_nationkey * 7 + c_nationkey * 3) % 11 + 1 AS weight FROM supplier
@@ -68,7 +69,7 @@ def paths_k(spark, sf_dir):
     SELECT vertex, round(raw, 6) AS raw, round(CASE WHEN max(raw) OVER () = min(raw) OVER () THEN 0.1::DOUBLE
         ELSE 0.1 * (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()) END, 6) AS boost FROM t""")
 def graph_boost(spark, sf_dir):
-    e = _pairs(spark, sf_dir, 2).select("src", "dst", (F.col("weight") / 3).alias("weight"), F.col("weight").alias("count"), F.when((F.col("src") + F.col("dst")) % 3 == 0, 1.5).otherwise(1.0).alias("recency"))
+    e = stored(_pairs(spark, sf_dir, 2)).select("src", "dst", (F.col("weight") / 3).alias("weight"), F.col("weight").alias("count"), F.when((F.col("src") + F.col("dst")) % 3 == 0, 1.5).otherwise(1.0).alias("recency"))
     seeds = graph.both_ways(e.select("src", "dst")).filter("src % 500 = 1").select(F.col("src").alias("vertex")).distinct()
     return graph.boost(e, seeds).select("vertex", F.round("raw", 6).alias("raw"), F.round("boost", 6).alias("boost"))
 
