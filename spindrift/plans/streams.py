@@ -46,10 +46,10 @@ def stream_salience(spark, sf_dir):
 @query("""WITH o AS (SELECT DISTINCT l_orderkey AS id, l_partkey % 5000 || CASE WHEN l_linenumber > 3 THEN 'b' ELSE '' END AS name FROM lineitem),
     f AS (SELECT name, min(id) AS src FROM o GROUP BY name) SELECT src, id AS dst, count(*) AS weight FROM o JOIN f USING (name) WHERE id <> src GROUP BY 1, 2""")
 def stream_graph_sync(spark, sf_dir):
-    """Orders as records and their parts as entities, in four batches whose order isn't that of the ids; the graph is kept by deltas."""
+    """Orders as records and their parts as entities, in about four batches whose order isn't that of the ids; the graph is kept by deltas."""
     folder = f"{shared_folder(spark)}/mentions-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS id", "concat(l_partkey % 5000, CASE WHEN l_linenumber > 3 THEN 'b' ELSE '' END) AS name")
-    for k in (2, 0, 3, 1):  # the stream takes files by their time
-        rows.filter(F.pmod(F.xxhash64("id"), F.lit(4)) == k).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema("id long, name string").option("maxFilesPerTrigger", 1).parquet(folder)
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)  # of a batch: as many tasks read it
+    rows.repartition(4 * files, F.xxhash64("id")).write.parquet(folder)
+    stream = spark.readStream.schema("id long, name string").option("maxFilesPerTrigger", files).parquet(folder)
     return graph_sync.current(spark, graph_sync.maintain(stream), "long")

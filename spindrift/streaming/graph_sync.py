@@ -6,8 +6,8 @@ the first record stays, a new mention adds one to one edge; where an earlier rec
 minus and plus one. Deltas are appended, and the graph is their sum, so it equals the full build after any split into batches.
 
 Mentions and deltas are written to a folder for each batch, over what an earlier try of the batch left, and a batch reads those of
-earlier batches alone: a batch that is tried again changes nothing. Known mentions are pruned to the batch's names before
-they are counted.
+earlier batches alone: a batch that is tried again changes nothing. New mentions are written before they are compared, so that
+they are found once.
 
 Defined results: mentions with a null id or name are none; repeated mentions count once, in a batch and over batches; an
 empty stream gives an empty graph.
@@ -32,18 +32,22 @@ def star(mentions: DataFrame) -> DataFrame:
     return own.join(first, "name").filter("id <> src").groupBy("src", F.col("id").alias("dst")).agg(F.count("*").alias("weight"))
 
 
-def deltas(known: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The batch's new mentions (id, name), and how they change the edges: src, dst, weight (which may be negative)."""
+def arrived(known: DataFrame, batch: DataFrame) -> DataFrame:
+    """The batch's new mentions: id, name."""
     own = batch.filter("id IS NOT NULL AND name IS NOT NULL").select("id", "name").distinct()
-    touched = known.join(own.select("name").distinct(), "name", "left_semi").select("id", "name")
-    new = own.join(touched, ["id", "name"], "left_anti")
-    firsts = touched.groupBy("name").agg(F.min("id").alias("before")).join(new.groupBy("name").agg(F.min("id").alias("arrived")), "name", "right")
-    firsts = firsts.select("name", "before", F.least("before", "arrived").alias("after"))
-    moved = firsts.filter("before > after")
-    old = touched.join(moved, "name")
-    link = lambda rows, src, n: rows.filter(F.col("id") != F.col(src)).select(F.col(src).alias("src"), F.col("id").alias("dst"), F.lit(n).cast("long").alias("weight"))
-    changes = link(new.join(firsts, "name"), "after", 1).unionByName(link(old, "before", -1)).unionByName(link(old, "after", 1))
-    return new, changes.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).filter("weight <> 0")
+    return own.join(known, ["id", "name"], "left_anti")
+
+
+def deltas(known: DataFrame, new: DataFrame) -> DataFrame:
+    """How new mentions change the edges: src, dst, weight (which may be negative)."""
+    arrivals = new.groupBy("name").agg(F.min("id").alias("arrived"))
+    before = known.join(arrivals.select("name"), "name", "left_semi").groupBy("name").agg(F.min("id").alias("before"))
+    firsts = before.join(arrivals, "name", "right").select("name", "before", F.least("before", "arrived").alias("after"))
+    old = known.select("id", "name").join(firsts.filter("before > after"), "name")
+    link = lambda src, n: F.struct(F.col(src).alias("src"), F.lit(n).cast("long").alias("weight"))
+    changes = new.join(firsts, "name").select("id", F.array(link("after", 1)).alias("links")).unionByName(old.select("id", F.array(link("before", -1), link("after", 1)).alias("links")))
+    changes = changes.select(F.col("id").alias("dst"), F.inline("links")).filter("src <> dst")
+    return changes.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).filter("weight <> 0")
 
 
 def current(spark: SparkSession, folder: str, kind: str) -> DataFrame:
@@ -64,10 +68,14 @@ def maintain(stream: DataFrame, folder: str | None = None, at_once: bool = True)
     def write(batch: DataFrame, number: int) -> None:
         own = batch.sparkSession
         known = own.read.schema(f"{mentions}, batch long").parquet(f"{folder}/mentions").filter(F.col("batch") < number)
-        new, changes = deltas(known, batch.persist())
-        new.write.mode("overwrite").parquet(f"{folder}/mentions/batch={number}")
-        changes.write.mode("overwrite").parquet(f"{folder}/edges/batch={number}")
-        batch.unpersist()
+        adaptive = own.conf.get("spark.sql.adaptive.enabled")
+        own.conf.set("spark.sql.adaptive.enabled", spark.conf.get("spark.sql.adaptive.enabled"))  # streams turn it off for their state; here is none
+        try:
+            arrived(known, batch).write.mode("overwrite").parquet(f"{folder}/mentions/batch={number}")
+            new = own.read.schema(mentions).parquet(f"{folder}/mentions/batch={number}")
+            deltas(known, new).write.mode("overwrite").parquet(f"{folder}/edges/batch={number}")
+        finally:
+            own.conf.set("spark.sql.adaptive.enabled", adaptive)
 
     writer = stream.select("id", "name").writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write)
     (writer.trigger(availableNow=True) if at_once else writer).start().awaitTermination()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 from spindrift.streaming import graph_sync
 
@@ -50,3 +51,22 @@ def test_an_empty_stream(spark, tmp_path):
     spark.createDataFrame([], "id long, name string").write.parquet(str(tmp_path / "in"))
     folder = graph_sync.maintain(spark.readStream.schema("id long, name string").parquet(str(tmp_path / "in")), str(tmp_path / "out"))
     assert graph_sync.current(spark, folder, "long").isEmpty()
+
+
+def test_a_batch_of_the_query_is_read_by_several_tasks(spark, tmp_path):
+    from spindrift.plans.streams import stream_graph_sync
+    from spindrift.sources.tables import shared_folder
+
+    lines = [(i % 90, i % 13, 1 + i % 6) for i in range(400)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    there = lambda: set(Path(shared_folder(spark).removeprefix("file:")).glob("mentions-*"))
+    before, partitions = there(), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        got = rows(stream_graph_sync(spark, str(tmp_path)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    (folder,) = there() - before
+    assert len(list(folder.glob("*.parquet"))) == 12
+    own = spark.createDataFrame([(o, f"{p}{'b' if n > 3 else ''}") for o, p, n in lines], "id long, name string")
+    assert got == rows(graph_sync.star(own))
