@@ -24,6 +24,14 @@ def ascii_bounds(pattern: str) -> str:
     return re.sub(r"\\.", lambda m: r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))" if m[0] == r"\b" else m[0], pattern)
 
 
+def word_bounds(pattern: str, starts: str, word_ends: bool = True) -> str:
+    r"""ascii_bounds, made to give up at once where no match can start: for a pattern that begins with \b and whose matches begin
+    with a word character of the class `starts`. word_ends: each of its other \b follows a word character."""
+    flags, rest = re.fullmatch(r"((?:\(\?\w+\))?)\\b(.*)", pattern, re.S).groups()
+    rest = re.sub(r"\\.", lambda m: r"(?!\w)" if m[0] == r"\b" else m[0], rest) if word_ends else ascii_bounds(rest)
+    return rf"{flags}(?=[{starts}])(?<!\w){rest}"
+
+
 def query_terms(query: str) -> list[str]:
     """Words of more than two characters that aren't stopwords or reserved, in order, once each."""
     words = re.sub(r"[^\w\s]", " ", query.lower()).split()

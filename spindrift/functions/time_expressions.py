@@ -16,7 +16,7 @@ import zoneinfo
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import ascii_bounds
+from spindrift.functions.text import ascii_bounds, word_bounds
 
 # The patterns of each kind of expression, in the order in which kinds are listed; confidence of each.
 _LONG = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
@@ -35,6 +35,12 @@ PATTERNS = {
 CONFIDENCE = {"iso_date": 0.95, "iso_month": 0.95, "month": 0.9, "year": 0.85, "date": 0.85, "relative": 0.9, "offset": 0.85, "duration": 0.8, "frequency": 0.85}
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 # End of the fixed values.
+#: Characters that expressions of each kind start with; all end with a word character.
+STARTS = {
+    "iso_date": "0-9", "iso_month": "0-9", "month": "JFMASONDjfmasond", "year": "12", "date": "JFMASONDjfmasond", "relative": "YTLNytln",
+    "offset": "0-9Ii", "duration": "FDOfdo", "frequency": "DWMYHEOdwmyheo",
+}
+FAST = {k: word_bounds(p, STARTS[k]) for k, p in PATTERNS.items()}
 
 SECOND, MINUTE, HOUR, DAY = 1000, 60_000, 3_600_000, 86_400_000
 UNIT_MS = {"second": SECOND, "minute": MINUTE, "hour": HOUR, "day": DAY, "week": 7 * DAY, "month": 30 * DAY, "year": 365 * DAY}
@@ -162,7 +168,7 @@ def expressions(text: Column, at_ms: Column, zone: str = "UTC") -> Column:
 
     plain = content
     for kind in ("iso_date", "date", "iso_month", "month"):
-        plain = F.regexp_replace(plain, ascii_bounds(PATTERNS[kind]), " ")
+        plain = F.regexp_replace(plain, FAST[kind], " ")
     readers = {"iso_date": iso_date, "iso_month": iso_month, "month": month, "year": year, "date": date, "relative": relative, "offset": offset, "duration": duration, "frequency": frequency}
-    found = [F.transform(F.regexp_extract_all(plain if k == "year" else content, F.lit(ascii_bounds(p)), F.lit(0)), readers[k]) for k, p in PATTERNS.items()]
+    found = [F.transform(F.regexp_extract_all(plain if k == "year" else content, F.lit(p), F.lit(0)), readers[k]) for k, p in FAST.items()]
     return F.filter(F.concat(*(f.cast(f"array<{STRUCT}>") for f in found)), lambda x: x.isNotNull())
