@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import ascii_bounds
+from spindrift.functions.text import ascii_bounds, word_bounds
 
 # Kind, confidence, pattern and the group that holds the name, in the order in which they are tried.
 PATTERNS = (
@@ -24,6 +24,19 @@ PATTERNS = (
 #: Shortest name of a function.
 LEAST = 3
 # End of the fixed values.
+#: Characters that the matches of some kinds' patterns start with; those of classes may end with a dollar sign.
+STARTS = {"class": "cnei", "tool": "RVANEDFPMK", "pattern": "AFSODafsod", "technique": "MCLDTmcldt", "date": "0-9"}
+
+
+def _fast(kind: str, pattern: str) -> str:
+    """The pattern as Java reads it, without tries that can't succeed."""
+    if kind == "function":  # a shorter name is followed by a character of the name
+        pattern = pattern.replace("*)\\s*", "*+)\\s*+")
+    if kind == "concept" and pattern.startswith(r"\b"):
+        return word_bounds(pattern, "A-Z")
+    return word_bounds(pattern, STARTS[kind], kind != "class") if kind in STARTS else ascii_bounds(pattern)
+
+
 
 
 def _made(kind: str, confidence: float, names: Column) -> Column:
@@ -35,7 +48,7 @@ def entities(text: Column) -> Column:
     content = F.coalesce(text, F.lit(""))
     out, before = [], {}
     for kind, confidence, pattern, group in PATTERNS:
-        names = F.regexp_extract_all(content, F.lit(ascii_bounds(pattern)), F.lit(group))
+        names = F.regexp_extract_all(content, F.lit(_fast(kind, pattern)), F.lit(group))
         if kind == "file":
             names = F.transform(names, lambda n: F.trim(n, F.lit(" \t\n\r\f\v")))
         if kind == "function":

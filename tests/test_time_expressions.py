@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 import zoneinfo
 
 import pytest
@@ -94,3 +95,24 @@ def test_clocks_go_to_instants_and_back(spark, zone):
             assert at(r.i) > r.c > at(r.i - te.MINUTE)
         else:
             assert zone == APIA
+
+
+def test_patterns_that_give_up_early_find_the_same(spark):
+    """Of times and of entities, on texts that are cut together from their pieces."""
+    from spindrift.functions import entities
+    from spindrift.functions.text import ascii_bounds, word_bounds
+
+    rng = random.Random(3)
+    pieces = (
+        "2024-01-05 2024-02 T10:00:00 Z +02:00 January may 5 , 1999 2101 last next week YEAR today yesterday in 3 days ago from now during for 2 hours daily every month once a _ é . - $ ( class new Engine$ "
+        "extends React Nodejs Node.js abstract factory pattern METHOD lazy loading caching Event Queue System run_all $x a1 /src/main.py \" '"
+    ).split(" ")
+    texts = ["x for 2 hours", *("".join(p + rng.choice(("", " ", "  ", "\n", ".", "é")) for p in rng.choices(pieces, k=rng.randint(1, 14))) for _ in range(1500))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4).cache()
+    pairs = [(te.FAST[k], ascii_bounds(p), 0) for k, p in te.PATTERNS.items()] + [(entities._fast(k, p), ascii_bounds(p), g) for k, _, p, g in entities.PATTERNS]
+    all_ = lambda p, g: F.regexp_extract_all("t", F.lit(p), F.lit(g))
+    bad = df.select(*(F.count_if(all_(a, g) != all_(b, g)).alias(f"bad{i}") for i, (a, b, g) in enumerate(pairs)), *(F.sum(F.size(all_(a, g))).alias(f"n{i}") for i, (a, b, g) in enumerate(pairs))).first()
+    df.unpersist()
+    assert all(bad[f"bad{i}"] == 0 and bad[f"n{i}"] > 0 for i in range(len(pairs))), bad
+    assert sum(a != b for a, b, _ in pairs) == 16
+    assert word_bounds(r"(?i)\ba\b", "Aa") == r"(?i)(?=[Aa])(?<!\w)a(?!\w)"
