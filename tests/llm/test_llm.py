@@ -300,6 +300,22 @@ def test_components(spark):
     assert got == {(v, 1) for v in range(1, 6)} | {(8, 8), (9, 8), (10, 10), (11, 10), (12, 10)}
 
 
+def test_components_of_few_edges_need_no_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-200, 200, (260, 2))] + [(i, i + 1) for i in range(1000, 1100)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few", "few")
+    got = {(r.vertex, r.component) for r in components.components(df).collect()}
+    jobs = len(tracker.getJobIdsForGroup("few"))
+    monkeypatch.setattr(components, "FEW", 0)
+    spark.sparkContext.setJobGroup("many", "many")
+    assert got == {(r.vertex, r.component) for r in components.components(df).collect()} and len(got) > 300
+    assert jobs < 10 < len(tracker.getJobIdsForGroup("many"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert components.components(df.limit(0)).collect() == []
+
+
 def test_filter_of_keys(spark, monkeypatch):
     rows = spark.createDataFrame([(i, str(i)) for i in [*range(-300, 300), None]], "doc_id long, `a b` string")
     keys = spark.createDataFrame([(i,) for i in [*range(0, 90, 3), 10**12, None]], "doc_id long")
