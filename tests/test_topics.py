@@ -94,3 +94,22 @@ def test_vector_leg_in_blocks_is_the_same(spark):
     queries = spark.createDataFrame([(i,) for i in range(0, 150, 3)] + [(3,), (None,)], "query long")
     plain = sorted(map(tuple, search.vector_leg(rows, queries, 4).collect()))
     assert plain == sorted(map(tuple, search.vector_leg(rows, queries, 4, block=7).collect())) and len(plain) == 40 * 4
+
+
+def test_topical_recall_reads_its_rows_without_a_join(spark, sf_dir, monkeypatch):
+    from spindrift.plans import topics as plans
+
+    class Seen(Exception):
+        pass
+
+    def recall(queries, rows, *rest):
+        raise Seen(rows)
+
+    monkeypatch.setattr(plans.recall, "recall", recall)
+    try:
+        plans.recall_topical(spark, sf_dir)
+    except Seen as seen:
+        rows = seen.args[0]
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    said = plans._statements(spark, sf_dir)
+    assert rows.select("id", "content").exceptAll(said).isEmpty() and rows.count() == said.count() > 0
