@@ -108,6 +108,8 @@ NAME = rf"(?=[A-Z])(?![^ ]*\d)(?!(?:[^A-Za-z ]*[A-Z]){{2}}[^a-z ]*{END})[^ ]+"
 RUN = rf"{NAME}(?: {NAME})*"
 _FORM = rf"(?<![^ ])({_any_of(list(FORMS))})(?: (the|a|an))?{END}"
 _PHRASE = rf"(?<![^ ])({'|'.join(PHRASES)}){END}"
+#: Before a verb within a question: "Does" after a word without a capital is a name.
+_VERB = rf"(?:(?!(?-i:[A-Z][a-z]))|(?<={_WORD}(?-i:[A-Z])[A-Za-z0-9_]{{0,40}} ))"
 #: Up to the first end of a sentence that isn't an abbreviation's dot.
 _SENTENCE = rf"^[^.!?\n;]*+(?:(?<={_WORD}(?:{'|'.join(ABBREVIATIONS.split())}))\.(?=\s)[^.!?\n;]*+)*+"
 _MONTH = rf"(?i:{'|'.join(CALENDAR.split())})"
@@ -163,7 +165,8 @@ def asked(question: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(question, r"\s+", " ")), r'[.,;:!?"()\[\]{}]+$', ""), r"""^["'(\[]+""", "")
     first = lambda words: _found(words, f"^({RUN})")
     after = lambda words: F.trim(F.regexp_replace(words, f"^{RUN}", ""))
-    born = lambda words: F.lower(words).rlike(_WORD + "(born|grow|grew|grown|growing)" + _DROW)
+    unnamed = lambda words: F.regexp_replace(words, rf"(?<![^ ]){NAME}", "")  # noqa: E731, a name such as Beer isn't what is asked
+    born = lambda words: F.lower(unnamed(words)).rlike(_WORD + "(born|grow|grew|grown|growing)" + _DROW)
     none = F.lit(None).cast("string")
 
     def read(entity, words=none, fixed=none, role=none, rule="any") -> Column:
@@ -195,17 +198,17 @@ def asked(question: Column) -> Column:
     def what(rest, name, asks) -> Column:
         late = _found(rest, rf"^(?:[^ ]+ ){{2,}}?({RUN})")
         told = read(late, F.regexp_extract(rest, rf"^((?:[^ ]+ ){{2,}}?){NAME}", 1), role=F.lit("object"))
-        return F.when(rest.rlike(rf"(?i)(?<![^ ])(?:{be}|{do}){END}") | late.isNull(), nothing).otherwise(told)
+        return F.when(rest.rlike(rf"(?i)(?<![^ ])(?:^|{_VERB})(?:{be}|{do}){END}") | late.isNull(), nothing).otherwise(told)
 
     do, be, which = r"(?:does|do|did)", r"(?:is|are|was|were)", r"(?:what|which)"
     named = lambda rest, name, asks: F.when(name.isNull(), nothing).otherwise(read(name, asks))
     forms = [
-        form(rf"(?i)^{which}\s+(.+?)\s+{do}\s+(.+)$", lambda rest, name, asks: F.when(name.isNotNull(), read(name, asks)).when(~asks.rlike(rf"(?i){_WORD}{do}{_DROW}"), read(none, asks, rule="known")), 1, 2),
-        form(rf"(?i)^{which}\s+(.+?)\s+(?:is|are)\s+(.+)$", lambda rest, name, asks: read(_without_possessive(name), asks, rule="narrow"), 1, 2),
+        form(rf"(?i)^{which}\s+(.+?)\s+{_VERB}{do}\s+(.+)$", lambda rest, name, asks: F.when(name.isNotNull(), read(name, asks)).when(~asks.rlike(rf"(?i){_WORD}{do}{_DROW}"), read(none, asks, rule="known")), 1, 2),
+        form(rf"(?i)^{which}\s+(.+?)\s+{_VERB}(?:is|are)\s+(.+)$", lambda rest, name, asks: read(_without_possessive(name), asks, rule="narrow"), 1, 2),
         form(rf"(?i)^when\s+(?:{do}|{be})\s+(.+)$", lambda rest, name, asks: read(none, rest, rule="changed")),
         form(rf"(?i)^what\s+{do}\s+(.+)$", lambda rest, name, asks: F.when(name.isNotNull(), read(name, after(rest))).otherwise(nothing)),
         form(rf"(?i)^where\s+(?:{do}|{be})\s+(.+)$", lambda rest, name, asks: where(rest, name, none)),
-        form(rf"(?i)^(?:(?:in|at|on|to|by|near|around)\s+)?{which}\s+(.+?)\s+(?:was|were|{do})\s+(.+)$", where, 1, 2),
+        form(rf"(?i)^(?:(?:in|at|on|to|by|near|around)\s+)?{which}\s+(.+?)\s+{_VERB}(?:was|were|{do})\s+(.+)$", where, 1, 2),
         form(rf"(?i)^how\s+(?:many|much)\s+(.+?)\s+{do}\s+(.+)$", named, 1, 2),
         form(rf"(?i)^{which}\s+(?:is|are)\s+the\s+(.+?)\s+of\s+(.+)$", named, 1, 2),
         form(rf"(?i)^who\s+{be}\s+(.+)$", lambda rest, name, asks: read(name, fixed=F.lit("person"))),
@@ -215,14 +218,14 @@ def asked(question: Column) -> Column:
     def worded(x: Column) -> Column:
         plain = lambda words: F.trim(F.regexp_replace(F.regexp_replace(F.lower(words), rf"(?<![^ ]){_either(ARTICLES)}{END}", ""), " +", " "))
         words = plain(x["words"])
-        unnamed = F.when(x["rule"] == "changed", attribute(plain(F.regexp_replace(x["words"], rf"(?<![^ ]){NAME}", ""))))  # a name such as Beer isn't what is asked
-        return F.struct(x.alias("x"), words.alias("words"), F.coalesce(unnamed, attribute(words)).alias("own"))
+        changed = F.when(x["rule"] == "changed", attribute(plain(unnamed(x["words"]))))
+        return F.struct(x.alias("x"), words.alias("words"), F.coalesce(changed, attribute(words)).alias("own"))
 
     def decided(y: Column) -> Column:
         x, words, own = y["x"], y["words"], y["own"]
         free = F.coalesce(own, F.nullif(words, F.lit("")))
         value = (
-            F.when(x["fixed"].isNotNull(), x["fixed"]).when(x["rule"] == "place", F.coalesce(_mapped(_found(F.lower(x["words"]), _FORM), FORMS), F.lit("location")))
+            F.when(x["fixed"].isNotNull(), x["fixed"]).when(x["rule"] == "place", F.coalesce(_mapped(_found(F.lower(unnamed(x["words"])), _FORM), FORMS), F.lit("location")))
             .when(x["rule"] == "person", F.coalesce(_mapped(_found(words, rf"^({'|'.join(FORMS)})$"), FORMS), F.lit("person")))
             .when(x["rule"] == "known", F.when(free.isin(*ASKABLE), free)).when(x["rule"] == "narrow", F.when(own.isin("brand", "breed"), own))
             .when(x["rule"] == "changed", F.when(free != F.lower(x["words"]), free)).otherwise(free)

@@ -16,7 +16,8 @@ QUESTIONS = [
     ("Who leads it?", None, "person", None), ("What is Priyas shoe size?", "priya", "shoe size", None), ("What is Priya's salary?", "priya", "salary", None), ("What is PaperTrail?", "papertrail", None, None), ("What is it?", None, None, None),
     ("Which airline flies Qing to work?", "qing", "airline flies", "object"), ("What color is Kenji's car?", None, None, None), ("What breed is Hana's dog?", "hana", "breed", None), ("What breed is the dog?", None, "breed", None),
     ("When does the extinguisher inspection expire?", None, "expiration", None), ("When was it?", None, None, None), ("What brand does the office use?", None, "brand", None), ("What plan does the office use?", None, None, None), ("What do we use?", None, None, None),
-    ("What food allergy does Ana have?", "ana", "allergy", None), ("What sport does NASA play?", None, "sport", None), ("Which app does X9 use?", None, "phone", None), ("When does the lease of Beer expire?", None, "expiration", None), ("When does Beer arrive?", None, "drink", None), ("hello", None, None, None), ("", None, None, None), (None, None, None, None), ("???", None, None, None),
+    ("What food allergy does Ana have?", "ana", "allergy", None), ("What sport does NASA play?", None, "sport", None), ("Which app does X9 use?", None, "phone", None), ("When does the lease of Beer expire?", None, "expiration", None), ("When does Beer arrive?", None, "drink", None), ("Where does Beer live now?", "beer", "location", None), ("Where does Film work?", "film", "employer", None),
+    ("In which city does Born work?", "born", "location", None), ("Which app helps Does today?", "does", "phone", "object"), ("Which app helps Were today?", "were", "phone", "object"), ("hello", None, None, None), ("", None, None, None), (None, None, None, None), ("???", None, None, None),
 ]
 STATEMENTS = [
     ("Kenji was born in Tokyo.", "kenji", "birthplace", False), ("My phone is old.", None, "phone", True), ("Growing up in Kyoto was fun.", "kyoto", "birthplace", False), ("Qing runs", "qing", None, False), ("Olga plays the erhu", "olga", "instrument", False),
