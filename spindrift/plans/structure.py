@@ -154,9 +154,9 @@ def dup_jaccard(spark, sf_dir):
 
 @query()
 def dup_hashes(spark, sf_dir):
-    """SimHash and MinHash candidates with lossless blocking: hash values have no SQL; the tests hold the pairs against all pairs."""
+    """SimHash and MinHash candidates, none lost: hash values have no SQL; the tests hold the pairs against all pairs."""
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
-    signed = dedup.hashes(rows, "id", "text")
+    signed = stored(dedup.hashes(rows, "id", "text"))
     pairs = dedup.hash_candidates(signed, "id")
     same = dedup.class_members(signed, "id", "simhash", "minhash").select(F.col("rep").alias("a"), F.col("member").alias("b"), F.lit(0).alias("hamming"), F.lit(1.0).alias("minhash"), F.lit("both").alias("stage"))
     return pairs.unionByName(same)
