@@ -147,8 +147,9 @@ WORDS = "list_sort(list_distinct(list_filter(string_split(regexp_replace(lower({
 def dup_jaccard(spark, sf_dir):
     """Pairs of the least ids of classes of equal word sets, and each class as a star around its least id."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    same = dedup.equal_sets(rows, "id", "text")
-    pairs = dedup.word_jaccard(rows, "id", "text", 0.8).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    sets = dedup.named_sets(rows, "id", "text")
+    same = dedup.class_members(sets.select("id", "_h"), "id", "_h")
+    pairs = dedup.similar_classes(sets, 0.8).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
     return pairs.unionByName(same.select(F.col("rep").alias("a"), F.col("member").alias("b"), F.lit(1.0).alias("jaccard")))
 
 
