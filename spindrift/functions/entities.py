@@ -29,11 +29,17 @@ STARTS = {"class": "cnei", "tool": "RVANEDFPMK", "pattern": "AFSODafsod", "techn
 
 
 def _fast(kind: str, pattern: str) -> str:
-    """The pattern as Java reads it, without tries that can't succeed."""
+    """The pattern as Java reads it, without tries that can't succeed. A group that gives back what it took needs a frame of the
+    stack for each time, so that runs of thousands of words or folders would end the JVM; possessive ones don't."""
+    if kind == "file":  # all folders, if a word ends there
+        pattern = pattern.replace(r"(?:\.?\/[\w.-]*[\w.-]*(?:\/[\w.-]+)*|", r"(?:\.?\/[\w.-]*+(?:\/[\w.-]++)*+\b|\.?\/[\w.-]*(?:\/[\w.-]+)*|")
     if kind == "function":  # a shorter name is followed by a character of the name
         pattern = pattern.replace("*)\\s*", "*+)\\s*+")
     if kind == "concept" and pattern.startswith(r"\b"):
-        return word_bounds(pattern, "A-Z")
+        end = pattern[pattern.rindex("(") : pattern.rindex(")") + 1] + r"(?!\w)"
+        words = rf"(?:(?!{end})[A-Z][a-z]++\s++)*+{end}"  # to the next end; the last one that can be reached counts
+        inside = r"(?<!(?<!\w)[A-Z][a-z]{1,40}\s{1,3})"  # a run that has no match from its first word has none from another
+        return rf"(?=[A-Z])(?<!\w){inside}[A-Z][a-z]++\s++{words}(?:\s++{words})*+"
     return word_bounds(pattern, STARTS[kind], kind != "class") if kind in STARTS else ascii_bounds(pattern)
 
 

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spindrift.functions import scoring, text, vectors
+from spindrift.functions import entities, scoring, text, vectors
 from spindrift.functions.embedding import decode, embed, encode, slot
 from spindrift.operators import cluster, context, dedup, facts, graph, search, temporal
 from spindrift.plans import search as search_plans
@@ -369,3 +369,16 @@ def test_fold_clamped_of_a_hot_key_equals_a_loop(spark):
             value = min(max(value + (r[3] or 0.0), 0.0), 5.0)
         want[k] = (round(value, 9), len(own))
     assert got == want and temporal.fold_clamped(events.limit(0), "k", ["t", "i"], "d", 1.0, 0.0, 5.0).isEmpty()
+
+
+def test_long_runs_of_names_and_folders_end_no_task(spark):
+    rng = np.random.default_rng(4)
+    parts = ["Linear", "Model", "Models", "System", "and", "Big", "Process.", "A", "/ab", "/c-", "//d", "./", " ", "\n", "x"]
+    texts = ["".join(parts[i] + " " * int(rng.integers(0, 2)) for i in rng.integers(0, len(parts), 14)) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate([*texts, "Aabb Ccdd " * 10000, "Aabb " * 10000 + "Model", "x " + "/ab" * 20000])), "i int, t string")
+    got = {r.i: {(e.kind, e.name) for e in r.e} for r in rows.select("i", entities.entities(F.col("t")).alias("e")).collect()}
+    for kind, _, pattern, group in (p for p in entities.PATTERNS if p[0] in ("file", "concept")):
+        plain = [{m[group].strip(" \t\n\r\f\v") for m in re.finditer(pattern.replace(r"\/", "/"), t, re.ASCII)} for t in texts]
+        assert all((kind, n) in got[i] for i, names in enumerate(plain) for n in names) and sum(map(len, plain)) > 100 or group == 1
+        assert kind == "concept" or all({n for k, n in got[i] if k == kind} == names for i, names in enumerate(plain))
+    assert got[400] == set() and len(got[401]) == 1 and got[402] == {("file", "/ab" * 20000)}
